@@ -1,10 +1,67 @@
-"""The corpus pipeline: classify, filter, deduplicate, mix and pack documents."""
+"""The corpus pipeline: quality classifier, quality rules, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before it kept, and returns a
+DataFrame that is written as Parquet and read again for the next one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from typeloom.llm import classifier, compression, forest, mixing, packing
+from typeloom.llm.common import scratch_path, table
+from typeloom.llm.tokens import vocabulary
+from typeloom.session import ship_package
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labels of documents not held out."""
+    ship_package(spark)
+    return classifier.keep_predicted(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the compression bands."""
+    ship_package(spark)
+    return compression.keep_good(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    ship_package(spark)
+    return forest.keep_one(docs, size=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    ship_package(spark)
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all rows, packed into sequences of at most 2048."""
+    ship_package(spark)
+    packed, _ = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return packed
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", filter_quality),
+    ("near-dedup", deduplicate),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack),
+]
+
+#: SQL can express neither the models nor the compression; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"pipeline-{i}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

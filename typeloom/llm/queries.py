@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeloom.llm import compression, mixing, packing, sharding, tokenfiles, warc
+from typeloom.llm import classifier, compression, forest, html, mixing, nearest, packing, sharding, tokenfiles, warc
 from typeloom.llm.common import table
 from typeloom.llm.tokens import vocabulary
 
@@ -17,11 +17,20 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"_rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed, _ = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
     return packed
 
 
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixing_rates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,13 +44,26 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op8_nb_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.train(docs, table(spark, sf_dir, "labels"))
+    scored = classifier.score_documents(docs, model)
+    predicted = (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
 def op9_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_bands, op3_best_fit_packing, op5_mixing, op6_arrow_tokens, op7_warc_salvage, op9_karmarkar_karp)
+    f.__name__: f for f in (op1_compression_bands, op2_collision_counting, op3_best_fit_packing, op4_lsh_forest, op5_mixing, op6_arrow_tokens, op7_warc_salvage, op8_nb_support_vectors, op9_karmarkar_karp, op10_boosted_dom)
 }
 
 _OP5 = """
