@@ -38,7 +38,7 @@ def catalog_tables(spark: SparkSession, catalog: Catalog) -> dict[str, DataFrame
     """elements, class_parents, class_slots, derived_attributes and prefixes of a catalog."""
     order = {id(s): i for i, s in enumerate(catalog.schemas)}
     elements = [(e.name, e.kind, order[id(s)], catalog.uri(e)) for s in catalog.schemas for group in s.elements.values() for e in group.values()]
-    parents = [(c.name, p, kind, i) for c in catalog.classes.values() for i, (p, kind) in enumerate([(m, "mixin") for m in c.get("mixins")] + [(c.meta["is_a"], "is_a")] * bool(c.meta.get("is_a")))]
+    parents = [(c.name, p, kind, i) for c in catalog.classes.values() for i, (p, kind) in enumerate([(m, "mixin") for m in c.get("mixins")] + [(c.meta.get("is_a"), "is_a")] * bool(c.meta.get("is_a")))]
     slots = []
     for c in catalog.classes.values():
         for source, metaslot in (("slot_usage", "slot_usage"), ("attribute", "attributes")):
