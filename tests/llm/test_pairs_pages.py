@@ -86,9 +86,10 @@ def test_forest_on_odd_documents(odd_docs, no_docs):
     assert forest.near_duplicates(no_docs).count() == 0 and forest.keep_one(no_docs).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("united", [0, 1 << 20])
+def test_components_of_a_long_chain(spark, united):
     links = spark.range(400).selectExpr("id AS u", "id + 1 AS v").union(spark.createDataFrame([(900, 901), (5, 5)], "u long, v long"))
-    got = {r["node"]: r["comp"] for r in forest.components(links.repartition(7)).collect()}
+    got = {r["node"]: r["comp"] for r in forest.components(links.repartition(7), united).collect()}
     assert got == {**{i: 0 for i in range(401)}, 900: 900, 901: 900}
 
 

@@ -29,6 +29,8 @@ TREES, DEPTH, LEAST = 20, 6, 4
 FIRST = 4
 REGION = 64
 PERCENT = 80
+#: So many contracted links, at most, are united in one task (16 MB of ids); more take star steps.
+UNITED_LINKS = 1 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -161,21 +163,25 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], names=["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, united_links: int = UNITED_LINKS) -> DataFrame:
     """node, comp: the smallest node that each node of links (u, v) reaches, itself included.
 
-    Links are contracted inside partitions, then alternating large-star and small-star steps run until
-    nothing changes; each step is written to the shared folder.
+    Links are contracted to stars inside partitions. If at most ``united_links`` are left, one task unites
+    them; otherwise alternating large-star and small-star steps run until nothing changes, each written to
+    the shared folder.
     """
     spark = links.sparkSession
     both = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
-    edges, path = staged(both.repartition("u").mapInArrow(_united, "u long, v long").distinct(), "links")
-    seen = None
+    edges, path = staged(both.repartition("u").mapInArrow(_united, "u long, v long"), "links")
+    left = edges.count()
+    if not left:
+        return spark.createDataFrame([], "node long, comp long")
+    if left <= united_links:
+        after, _ = staged(edges.coalesce(1).mapInArrow(_united, "u long, v long"), "stars")
+        drop_scratch(path)
+        return _named(after)
+    edges, seen = edges.distinct(), None
     while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not mark[0] or mark == seen:
-            break
-        seen = mark
         sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sym.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -184,10 +190,15 @@ def components(links: DataFrame) -> DataFrame:
         after, after_path = staged(small, "stars")
         drop_scratch(path)
         edges, path = after, after_path
-    if seen is None:
-        return spark.createDataFrame([], "node long, comp long")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            return _named(edges)
+        seen = mark
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
 def _alike(a: str, b: str, percent: int) -> F.Column:
@@ -293,8 +304,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, doc_
     rest = _pairs(chained.filter(F.col("tree") >= first), "rep", "prev")
     rest = _with_comp(_with_comp(rest, comp, "a", "ca"), comp, "b", "cb").filter("ca <> cb").select("a", "b")
     more, _ = staged(confirmed(rest, sets, percent), "links-2")
-    links = links.unionByName(more)
-    comp, _ = staged(components(links), "comp-2")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp, _ = staged(components(links), "comp-2")
 
     members = _with_comp(walked.select("tree", "label", "rep", "n").distinct(), comp, "rep", "comp")
     pairs, large = _completions(members, percent, region)

@@ -168,6 +168,14 @@ class SalvageReader:
             raise _Damaged("the block digest differs")
         return Record(pos, begin + size + 4, headers, block)
 
+    def _whole(self, pos: int) -> bool:
+        """Whether a whole record is at pos, for version lines that follow a cut and not a line's end."""
+        try:
+            self._parsed(self._bytes, pos, self.size)
+        except _Damaged:
+            return False
+        return True
+
     def _search(self, pos: int) -> int:
         """The next place of a member that opens a record or of a version line at a line's start; else the end."""
         while pos < self.size:
@@ -182,7 +190,7 @@ class SalvageReader:
                         continue
                     if _VERSION.match(content):
                         return at
-                elif at == 0 or self._bytes(at - 1, 1) == b"\n":
+                elif at == 0 or self._bytes(at - 1, 1) == b"\n" or self._whole(at):
                     return at
             if len(part) < 1 << 16:
                 break
