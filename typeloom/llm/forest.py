@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -253,21 +254,69 @@ def _completions(members: DataFrame, percent: int, region: int) -> tuple[DataFra
     return found.distinct(), large
 
 
-def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components that may reach ``percent``: two such sets share one of their rarest shingles.
+def _reach(cap, n, least_n, percent: int) -> F.Column:
+    """Whether an intersection of at most ``cap`` can reach the percentage for sizes n and least_n or more."""
+    return cap * 100 >= (n + least_n - cap) * percent
+
+
+def _verify(percent: int):
+    """Links between the members of a component's chunk and the outsiders that may link to it."""
+
+    def verify(key: tuple, members: pd.DataFrame, outsiders: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        if len(members) and len(outsiders):
+            sets = [np.asarray(s) for s in members["shingles"]]
+            sizes = np.array([len(s) for s in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            reps = members["rep"].to_numpy()
+            for rep, own in zip(outsiders["rep"].tolist(), outsiders["shingles"]):
+                own = np.asarray(own)
+                lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+                hit = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+                shared = np.bincount(owner[hit], minlength=len(sets))
+                near = np.flatnonzero(shared * 100 >= (sizes + len(own) - shared) * percent)
+                links += [(rep, int(reps[k])) for k in near[:1]]  # one link joins the two components
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return verify
+
+
+def _rarest(members: DataFrame, sets: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
+    """Links (u, v) that join members' components, found exactly.
 
     Of a set of n shingles, ordered by how many members hold them, the first n - ceil(percent n / 100) + 1
-    must meet those of any partner.
+    must meet those of any partner, and shingles that no other member holds are never shared. So members of
+    the smaller component ask the larger component whose rarest shingles they meet, if the counts allow the
+    percentage at all; question and chunks of the component's sets come together, and never all pairs.
     """
-    held = sets.join(members, "rep")
+    held, path = staged(sets.join(members, "rep"), "large-sets")
+    again = held.sparkSession.read.schema(held.schema).parquet(path)  # the other side of the cogroup
+    sizes = held.groupBy("comp").agg(F.count(F.lit(1)).alias("csize"))
     spread = held.select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    often = spread.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
-    ordered = spread.join(often.filter("f > 1"), "s", "left").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "s"))).alias("o"))
-    first = ordered.select("rep", "comp", "n", F.explode(F.expr(f"slice(o, 1, n - cast(ceil(n * {percent} / 100.0) as int) + 1)")).alias("e")).filter("e.f > 1")
-    one = first.select(F.col("e.s").alias("s"), F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    two = first.select(F.col("e.s").alias("s"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    met = one.join(two, "s").filter("a < b AND ca <> cb")
-    return met.filter(_alike("na", "nb", percent)).select("a", "b").distinct()
+    often = spread.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    ordered = spread.join(often, "s", "left").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "s"))).alias("o"), F.count("f").alias("cap"))
+    first = ordered.filter(F.col("cap") * 100 >= F.col("n") * percent).select("rep", "comp", "n", "cap", F.posexplode(F.expr(f"slice(o, 1, n - cast(ceil(n * {percent} / 100.0) as int) + 1)")).alias("at", "e"))
+    # the smaller set of a pair, and both if they are equal in size, must meet the other in a shorter prefix yet
+    short = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2.0 * percent / (100 + percent)) - 1e-9)
+    first = first.filter("e.f > 1").select("rep", "comp", "n", "cap", short.alias("short"), F.col("e.s").alias("s"))
+    first, _ = staged(first.join(sizes, "comp"), "rare-shingles")
+    asked = first.groupBy("s", F.col("comp").alias("to"), F.col("csize").alias("tsize")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("cap").alias("tcap"), F.bool_or("short").alias("tshort"))
+    cap = F.least("cap", "tcap")
+    smaller = (F.col("csize") < F.col("tsize")) | ((F.col("csize") == F.col("tsize")) & (F.col("comp") < F.col("to")))
+    fits = (F.col("least") * percent <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * percent) & _reach(cap, F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)), percent)
+    fits = fits & ((F.col("n") > F.col("least")) | F.col("short")) & ((F.col("n") < F.col("most")) | F.col("tshort"))
+    questions, _ = staged(first.join(asked, "s").filter(smaller & fits).select("rep", "to", "tsize").distinct(), "questions")
+    per = questions.groupBy("to", "tsize").agg(F.count(F.lit(1)).alias("asking"))
+    parts = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), parts(n)).cast("int")
+    inside = held.withColumnRenamed("comp", "to").join(per, "to").select("to", dealt("tsize").alias("chunk"), every("asking").alias("part"), "rep", "shingles")
+    outside = questions.join(per.select("to", "asking"), "to").join(again.select("rep", "shingles"), "rep")
+    outside = outside.select("to", every("tsize").alias("chunk"), dealt("asking").alias("part"), "rep", "shingles")
+    keys = ("to", "chunk", "part")
+    return inside.groupBy(*keys).cogroup(outside.groupBy(*keys)).applyInPandas(_verify(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", region: int = REGION, first: int = FIRST) -> DataFrame:
@@ -312,8 +361,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, doc_
     pairs, large = _completions(members, percent, region)
     last = confirmed(pairs, sets, percent)
     if not large.isEmpty():
-        exact, _ = staged(_rarest(large, sets, percent), "rarest")
-        last = last.unionByName(confirmed(exact, sets, percent))
+        last = last.unionByName(_rarest(large, sets, percent))
     last, _ = staged(last, "links-3")
     if not last.isEmpty():
         comp, _ = staged(components(links.unionByName(last)), "comp-3")
