@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from typeloom.llm import classifier, compression, forest, mixing, packing
-from typeloom.llm.common import scratch_path, table
+from typeloom.llm.common import drop_scratch, scratch_path, table
 from typeloom.llm.tokens import vocabulary
 from typeloom.session import ship_package
 
@@ -60,8 +60,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"pipeline-{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            drop_scratch(before)
+        before = path
     return docs

@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, doc_
     # a set links to a different one only if it reaches the percentage with one shingle more: at 80 percent, from 4 on
     forest = classes.filter(F.col("n") * (100 - percent) >= percent).select("rep", "n", F.posexplode("labels").alias("tree", "label"))
     ordered = forest.repartitionByRange(n_parts, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-    walked, _ = staged(ordered.select("tree", "label", "rep", "n").mapInArrow(_neighbours(LEAST), _ORDERED), "orders")
+    walked, walked_path = staged(ordered.select("tree", "label", "rep", "n").mapInArrow(_neighbours(LEAST), _ORDERED), "orders")
     # the rows at the edges of partitions, two a partition, meet here
     ends = sorted(walked.filter("edge >= 0").select("edge", "tree", "label", "rep", "n").collect(), key=lambda r: r["edge"])
     met = [(x["rep"], x["n"], y["rep"], y["n"], x["tree"]) for x, y in zip(ends, ends[1:]) if x["edge"] % 2 and not y["edge"] % 2 and x["tree"] == y["tree"] and x["label"][: 4 * LEAST] == y["label"][: 4 * LEAST]]
@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, doc_
 
     near = walked.select("rep").distinct()
     texts = rows.join(near.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets, _ = staged(texts.mapInArrow(_sets(size), "rep long, shingles array<long>"), "sets")
+    sets, sets_path = staged(texts.mapInArrow(_sets(size), "rep long, shingles array<long>"), "sets")
 
     links, _ = staged(confirmed(_pairs(chained.filter(F.col("tree") < first), "rep", "prev"), sets, percent), "links-1")
     comp, _ = staged(components(links), "comp-1")
@@ -366,6 +366,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, doc_
     if not last.isEmpty():
         comp, _ = staged(components(links.unionByName(last)), "comp-3")
 
+    for path in (walked_path, sets_path):  # all links are written by now
+        drop_scratch(path)
     named = _with_comp(classes.select("k1", "k2", "rep", "copies"), comp, "rep", "component_id")
     total = signed.count()
     out = skew_safe_lookup(signed.select("doc_id", "n_shingles", "k1", "k2"), F.col("doc_id"), named.select("k1", "k2", "component_id", "copies"), ["k1", "k2"], "component_id", "copies", total)
