@@ -21,9 +21,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
+    """Documents that pass the base rules and the compression bands, fitted to those labelled good among docs."""
     ship_package(spark)
-    return compression.keep_good(docs)
+    return compression.keep_good(docs, bands=compression.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -50,6 +51,28 @@ def test_bands_reject_repeats_and_noise():
     assert not compression.verdict(half, compression.DEFAULT, packer)[0]
 
 
+def test_default_bands_reject_half_repeats_and_half_noise():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("ka lo mi ter an en st re vi pa ru so te ne".split()) for _ in range(rng.randint(1, 4)))
+    random_word = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=8))
+    packer = zstandard.ZstdCompressor(level=3)
+    lines = [" ".join(word() for _ in range(12)) for _ in range(60)]
+    again = "\n".join(line for line in lines for _ in range(1 + (rng.random() < 0.6))).encode()  # over half of the lines twice
+    assert not compression.verdict(again, compression.DEFAULT, packer)[0]
+    mixed = " ".join(word() if rng.random() < 0.6 else random_word() for _ in range(900)).encode()
+    assert 1.4 < len(mixed) / len(packer.compress(mixed)) and not compression.verdict(mixed, compression.DEFAULT, packer)[0]
+
+
+def test_fitted_bands_decide(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.filter(compression.held_out(labels["doc_id"])).groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "quality")
+    rows = queries.op1_compression_bands(spark, sf).filter("NOT base_failed").join(known, "doc_id").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(bad) > 4 and sum(good) >= 0.97 * len(good) and sum(bad) <= 0.6 * len(bad)
+    assert compression.fitted(docs, labels.limit(0)) == compression.DEFAULT == compression.fitted(docs.limit(0), labels)
+
+
 def test_rules_on_odd_documents(odd_docs, no_docs):
     got = {(r["doc_id"], r["text"]): r["_rules"] for r in compression.quality_rules(odd_docs).collect()}
     for (_, text), r in got.items():

@@ -13,7 +13,8 @@ from typeloom.llm.tokens import vocabulary
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compression.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = compression.quality_rules(docs, bands=compression.fitted(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", *[f"_rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
