@@ -215,6 +215,29 @@ def test_round_trip_of_odd_pages(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_long_headers_and_null_ids_come_back(spark):
+    url = "data:text/html," + "x" * (3 << 20)
+    rows = [(1, url, "same"), (2, "u", "same"), (None, "u", "same"), (None, "v", "own"), (None, "v", "own"), (None, None, None)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    key = lambda r: str(r)
+    want = [(1, 4, "response", None), (2, 4, "revisit", 1), (None, 4, "revisit", 1), (None, 3, "response", None), (None, 3, "response", None), (None, 0, "response", None)]
+    assert sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
+    for packed in (True, False):
+        record = warc.record_bytes(7, url, b"x", None)
+        found, gaps = pages_of((warc.gzip_member(record) if packed else record) + b"".join(archive([b"y"], packed)))
+        assert not gaps and [p[0] for p in found] == [7, 0]
+
+
+def test_lost_rows_fail(spark, tmp_path):
+    members = archive(PAYLOADS, True)
+    path = tmp_path / "b.warc.gz"
+    path.write_bytes(b"".join(members[:-1]))
+    known = [(str(path), path.stat().st_size, [6])]
+    assert warc.read_archives(spark, known).count() == 6
+    with pytest.raises(Exception, match="7 rows were written, 6 were read back"):
+        warc.read_archives(spark, [(*known[0][:2], [7])]).collect()
+
+
 def test_gaps_are_logged(spark, tmp_path):
     members = archive(PAYLOADS, True)
     members[2] = members[2][:-3]

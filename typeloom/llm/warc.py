@@ -26,9 +26,11 @@ from typeloom.llm.tokenfiles import open_store
 DATE = "2020-01-01T00:00:00Z"
 SPLIT_BYTES = 64 << 20
 _ID = "urn:page:"
+#: What stands for a null page_id.
+_NO_ID = "null"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_HEAD_LIMIT = 1 << 20
+_HEAD_STOP = re.compile(rb"\r\n[^:]*?\r\n")  # the empty line, or a line that is none of a header
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -36,14 +38,14 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record; a revisit holds the HTTP head only, whose Content-Length is the payload's."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if refers_to is not None else head + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{_ID}{page_id}>",
+        f"WARC-Record-ID: <{_ID}{_NO_ID if page_id is None else page_id}>",
         f"WARC-Date: {date}",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest32(payload)}",
@@ -142,13 +144,9 @@ class SalvageReader:
     def _parsed(self, read, pos: int, limit: int) -> Record:
         if not _VERSION.match(read(pos, 10)):
             raise _Damaged("no version line")
-        head, n = b"", 4096
-        while (stop := head.find(b"\r\n\r\n")) < 0:
-            if len(head) >= min(_HEAD_LIMIT, limit - pos):
-                raise _Damaged("the header does not end")
-            head, n = read(pos, min(n, limit - pos)), n * 4
+        stop = self._head_end(read, pos, limit) - pos
         headers = {}
-        for line in head[:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in read(pos, stop).decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if not colon:
                 raise _Damaged("a header line without a colon")
@@ -168,6 +166,19 @@ class SalvageReader:
             raise _Damaged("the block digest differs")
         return Record(pos, begin + size + 4, headers, block)
 
+    def _head_end(self, read, pos: int, limit: int) -> int:
+        """Where the empty line after a header begins, however long its lines are; read by pieces."""
+        at, n = pos, 4096
+        while True:
+            part = read(at, min(n, limit - at))
+            if stop := _HEAD_STOP.search(part):
+                if stop[0] != b"\r\n\r\n":
+                    raise _Damaged("a header line without a colon")
+                return at + stop.start()
+            if not part or at + len(part) >= limit:
+                raise _Damaged("the header does not end")
+            at, n = at + len(part) - 3, min(n * 4, self.WINDOW)
+
     def _whole(self, pos: int) -> bool:
         """Whether a whole record is at pos, for version lines that follow a cut and not a line's end."""
         try:
@@ -198,10 +209,14 @@ class SalvageReader:
         return self.size
 
 
-def page_of(record: Record) -> tuple[int, int, str, str, int | None]:
+def page_of(record: Record) -> tuple[int | None, int, str, str, int | None]:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of a record this module wrote."""
     kind = record.headers["warc-type"]
-    number = lambda name: int(record.headers[name].strip("<>").removeprefix(_ID))
+
+    def number(name: str) -> int | None:
+        value = record.headers[name].strip("<>").removeprefix(_ID)
+        return None if value == _NO_ID else int(value)
+
     head, _, payload = record.block.partition(b"\r\n\r\n")
     size = int(re.search(rb"(?im)^Content-Length:\s*(\d+)", head)[1])
     if kind == "revisit":
@@ -216,7 +231,7 @@ def _write(folder: str, date: str):
         fs, base = open_store(folder)
         task = TaskContext.get()
         name, temp = f"{base}/part-{task.partitionId():06d}.warc.gz", f"{base}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        stream, size = None, 0
+        stream, size, counts = None, 0, []
         for batch in batches:
             for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if stream is None:
@@ -225,20 +240,25 @@ def _write(folder: str, date: str):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 member = gzip_member(record_bytes(page_id, url, payload, None if first == page_id else first, date))
                 stream.write(member)
+                counts += [0] * (size // SPLIT_BYTES + 1 - len(counts))
+                counts[-1] += 1
                 size += len(member)
         if stream is not None:
             stream.close()
             fs.move(temp, name)
-            yield pa.RecordBatch.from_pydict({"path": [name], "size": pa.array([size], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": [name], "size": pa.array([size], pa.int64()), "counts": pa.array([counts], pa.list_(pa.int64()))})
 
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE, page_id: str = "page_id", url: str = "url", html: str = "html") -> list[tuple[str, int]]:
-    """Write pages to archives in folder, one a partition; returns their paths and sizes.
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE, page_id: str = "page_id", url: str = "url", html: str = "html") -> list[tuple[str, int, list[int]]]:
+    """Write pages to archives in folder, one a partition; returns their paths, sizes and how many records
+    begin in each SPLIT_BYTES of them.
 
     Null payloads are empty. Of payloads of at least ``least_bytes`` that are equal, the one of the
-    smallest page_id is the response. A repeated row is written again. An empty table writes nothing.
+    smallest page_id is the response. A null page_id is written as such: it refers to the smallest page_id
+    with its payload, and is a response if there is none. A repeated row is written again. An empty table
+    writes nothing.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
@@ -249,9 +269,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a payload that occurs once needs no lookup
     shared = firsts.filter("n > 1")
-    found = skew_safe_lookup(rows, F.col("page_id"), shared, ["digest", "own"], "first", "n", total)
+    found = skew_safe_lookup(rows, F.coalesce("page_id", F.xxhash64("url")), shared, ["digest", "own"], "first", "n", total)
     found = found.select("page_id", "url", "html", F.coalesce("first", "page_id").alias("first"))
-    return [(r["path"], r["size"]) for r in found.mapInArrow(_write(folder, date), "path string, size long").collect()]
+    return [(r["path"], r["size"], r["counts"]) for r in found.mapInArrow(_write(folder, date), "path string, size long, counts array<long>").collect()]
 
 
 _PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -262,9 +282,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _EVENT.split(", ")]
     kinds = [pa.string() if x.split()[1] == "string" else pa.int64() for x in _EVENT.split(", ")]
     for batch in batches:
-        for path, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+        for path, first, last, written in zip(*(c.to_pylist() for c in batch.columns)):
             fs, inner = open_store(path)
             rows: list[tuple] = []
+            n_pages = 0
             with fs.open_input_file(inner) as file:
                 for event in SalvageReader(file, first, last):
                     if isinstance(event, Gap):
@@ -276,27 +297,33 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             rows.append((path, event.offset, event.end, f"not a page: {error}", *[None] * 5))
                         else:
                             rows.append((path, event.offset, event.end, None, *page))
+                            n_pages += 1
                     if len(rows) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                         rows = []
+            if written is not None and n_pages != written:
+                raise ValueError(f"{path}, bytes {first} to {last}: {written} rows were written, {n_pages} were read back")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def read_archives(spark, archives: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_archives(spark, archives: list[tuple], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Events of archives (path, size): page rows, and rows with a reason for each quarantined gap.
 
-    Archives are cut into ranges; a range's task reads the records that begin in it.
+    Archives are cut into ranges; a range's task reads the records that begin in it. Where an archive
+    comes with the counts of write_archives and the ranges are theirs, a task fails if it reads another
+    number of pages.
     """
-    ranges = [(path, at, min(size, at + split_bytes)) for path, size in archives for at in range(0, size, split_bytes)]
-    rows = spark.createDataFrame(ranges, "path string, first long, last long")
+    counted = lambda counts, i: counts[i] if i < len(counts) else 0
+    ranges = [(path, at, min(size, at + split_bytes), counted(counts[0], at // split_bytes) if counts and split_bytes == SPLIT_BYTES else None) for path, size, *counts in archives for at in range(0, size, split_bytes)]
+    rows = spark.createDataFrame(ranges, "path string, first long, last long, written long")
     if ranges:
         rows = rows.repartition(len(ranges))
     return rows.mapInArrow(_read, _EVENT)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Pages as the archives hold them: written to the shared folder and read back."""
+    """Pages as the archives hold them: written to the shared folder and read back, each row or an error."""
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     events = read_archives(spark, write_archives(pages, folder, **options))
