@@ -66,6 +66,58 @@ def test_each_constraint(spark, schema, changes, broken):
     assert {k for k, n in counts.items() if n} == broken
 
 
+NESTED = HEAD + """
+classes:
+  Leaf: {attributes: {x: {range: integer, required: true, maximum_value: 5}, t: {pattern: '^[a-z]+$'}}}
+  Item: {attributes: {leaf: {range: Leaf}, leaves: {range: Leaf, multivalued: true}}}
+  Entry: {attributes: {k: {identifier: true, pattern: '^[a-z]+$'}, leaf: {range: Leaf, required: true}, w: {}}}
+  Pair: {attributes: {k: {key: true}, v: {range: integer}}}
+  C5: {attributes: {leaf: {range: Leaf}}}
+  C4: {attributes: {c: {range: C5}}}
+  C3: {attributes: {c: {range: C4}}}
+  C2: {attributes: {c: {range: C3}}}
+  C1: {attributes: {c: {range: C2}}}
+  Top: {attributes: {id: {identifier: true, range: integer}, os: {range: Item, multivalued: true}, d: {range: Entry, multivalued: true, inlined: true}, p: {range: Pair, multivalued: true, inlined: true}, c: {range: C1}}}
+  Loop: {attributes: {again: {range: Loop}}}
+"""
+LEAF = "struct<x:int,t:string>"
+
+
+@pytest.mark.parametrize("os, d, c, broken", [
+    ([((1, "a"), [(2, "b")])], {"q": ((1, "a"), "w")}, ((((((1, "a"),),),),),), set()),
+    ([((1, "a"), None), ((None, "a"), None)], None, None, {("os.leaf.x", "required")}),
+    ([((9, "A"), None)], None, None, {("os.leaf.x", "maximum"), ("os.leaf.t", "pattern")}),
+    ([(None, [(1, "a"), (9, None)])], None, None, {("os.leaves.x", "maximum")}),
+    ([(None, [None])], None, None, {("os.leaves", "null_item")}),
+    (None, {"q": ((1, "a"), "w"), "r": ((9, "a"), "w")}, None, {("d.leaf.x", "maximum")}),
+    (None, {"q": ((None, "a"), "w")}, None, {("d.leaf.x", "required")}),
+    (None, {"q": (None, "w")}, None, {("d.leaf", "required")}),
+    (None, {"q": None}, None, {("d.leaf", "required")}),
+    (None, None, ((((((7, "a"),),),),),), {("c.c.c.c.c.leaf.x", "maximum")}),
+])
+def test_nested_constraints_at_any_depth(spark, os, d, c, broken):
+    schema = api.load_string(NESTED)
+    deep = f"struct<c:struct<c:struct<c:struct<c:struct<leaf:{LEAF}>>>>>"
+    df = spark.createDataFrame([(1, os, d, c)], f"id long, os array<struct<leaf:{LEAF},leaves:array<{LEAF}>>>, d map<string,struct<leaf:{LEAF},w:string>>, c {deep}")
+    assert {(r["slot"], r["constraint"]) for r in schema.validate(df, "Top", ["id"]).collect()} == broken
+    assert schema.valid_rows(df, "Top").count() == (not broken)
+    assert {(r["slot"], r["constraint"]) for r in schema.validation_report(df, "Top").collect() if r["n_invalid"]} == broken
+
+
+@pytest.mark.parametrize("members, valid", [
+    ('"os": [{"leaf": {"x": 1}, "leaves": [{"x": 2}]}], "d": {"q": {"leaf": {"x": 1}, "w": "a"}}, "p": {"a": 1}', True), ('"os": [{"leaf": {"x": 9}}]', False), ('"os": [{"leaf": {"x": 1, "more": 1}}]', False),
+    ('"os": [{"leaves": [{"x": 1}, {}]}]', False), ('"os": [{"more": 1}]', False), ('"d": {"q": {"leaf": {"x": "1"}}}', False), ('"d": {"q": {"leaf": {"x": 1}, "more": 1}}', False), ('"d": {"q": {}}', False),
+    ('"d": {"q": null}', False), ('"d": {"q": {"k": "q", "leaf": {"x": 1}}}', True), ('"d": {"Q": {"leaf": {"x": 1}}}', False), ('"p": {"a": {"v": 1}}', True), ('"p": {"a": {"v": "x"}}', False), ('"p": {"a": {"more": 1}}', False), ('"p": {"a": "x"}', False),
+    ('"c": {"c": {"c": {"c": {"c": {"leaf": {"x": 1}}}}}}', True), ('"c": {"c": {"c": {"c": {"c": {"leaf": {"x": 9}}}}}}', False), ('"c": {"c": {"c": {"c": {"c": {"leaf": {"x": 1}, "more": 1}}}}}', False),
+])
+def test_nested_json_at_any_depth(spark, members, valid):
+    catalog = api.load_string(NESTED).catalog
+    df = spark.createDataFrame([('{"id": 1, ' + members + "}",)], "j string")
+    assert df.select(validate.json_valid(F.col("j"), catalog, "Top").alias("v")).first()["v"] is valid
+    with pytest.raises(ValueError, match="contains itself"):
+        validate.json_valid(F.col("j"), catalog, "Loop")
+
+
 def test_missing_column_and_empty_table(spark, schema):
     df = spark.createDataFrame([(1,)], "id long")
     assert ("any", "required") in {(r["slot"], r["constraint"]) for r in schema.validate(df, "Row", ["id"]).collect()}

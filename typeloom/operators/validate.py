@@ -7,7 +7,7 @@ so they stay in generated code and run unchanged on streams.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,12 +116,18 @@ def _any_of(catalog: Catalog, attribute: Attribute, spark_type: str) -> Callable
     return none_fits
 
 
-def constraints(catalog: Catalog, cls: str, schema: T.StructType, depth: int = 4) -> list[Constraint]:
-    """All constraints of a class over rows of a schema; nested objects are followed to ``depth``."""
-    return list(_object(catalog, catalog.classes[cls], schema, lambda name: F.col(f"`{name}`"), "", depth))
+#: A check of an object: slot path, kind, and from the object's members (by name) to the Column that is true where it is broken.
+_Members = Callable[[str], Column]
+_Check = tuple[str, str, Callable[[_Members], Column]]
 
 
-def _object(catalog: Catalog, cls: Element, schema: T.StructType, at: Callable[[str], Column], path: str, depth: int, skip: str | None = None):
+def constraints(catalog: Catalog, cls: str, schema: T.StructType) -> list[Constraint]:
+    """All constraints of a class over rows of a schema; nested objects are followed to the schema's end."""
+    at = lambda name: F.col(f"`{name}`")
+    return [Constraint(where, kind, invalid(at)) for where, kind, invalid in _object(catalog, catalog.classes[cls], schema, "")]
+
+
+def _object(catalog: Catalog, cls: Element, schema: T.StructType, path: str, skip: str | None = None) -> Iterator[_Check]:
     fields = {f.name: f.dataType for f in schema.fields}
     for attribute in catalog.attributes(cls).values():
         name, slot = attribute.name, attribute.slot
@@ -130,12 +136,12 @@ def _object(catalog: Catalog, cls: Element, schema: T.StructType, at: Callable[[
         where = path + name
         if name not in fields:
             if slot.get("required"):
-                yield Constraint(where, "required", F.lit(True))
+                yield where, "required", lambda at: F.lit(True)
             continue
-        col, kind = at(name), fields[name]
         if slot.get("required"):
-            yield Constraint(where, "required", col.isNull())
-        yield from _slot(catalog, attribute, col, kind, where, depth)
+            yield where, "required", lambda at, name=name: at(name).isNull()
+        for inner, kind, invalid in _slot(catalog, attribute, fields[name], where):
+            yield inner, kind, lambda at, name=name, invalid=invalid: invalid(at(name))
 
 
 def _present(c: Column, check: Column) -> Column:
@@ -148,45 +154,55 @@ def _sure(check: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda x: F.coalesce(check(x), F.lit(False))
 
 
-def _slot(catalog: Catalog, attribute: Attribute, col: Column, kind: T.DataType, where: str, depth: int):
+def _any_item(check: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The check of a list: true where an item breaks ``check``."""
+    return lambda col: _present(col, F.exists(col, _sure(check)))
+
+
+def _slot(catalog: Catalog, attribute: Attribute, kind: T.DataType, where: str) -> Iterator[tuple[str, str, Callable[[Column], Column]]]:
+    """Slot path, kind and check of a slot's values of one Spark type."""
     slot = attribute.slot
+    given = lambda col: col.isNotNull()
     if isinstance(kind, T.ArrayType):
         if not slot.get("multivalued"):
-            yield Constraint(where, "at_most_one", _present(col, F.size(col) > 1))
+            yield where, "at_most_one", lambda col: _present(col, F.size(col) > 1)
         if attribute.kind == "inline" and attribute.form and attribute.form.name not in ("list", "plain", "optional"):
-            yield Constraint(where, "form", col.isNotNull())
+            yield where, "form", given
         inner = kind.elementType
-        if attribute.kind == "inline" and isinstance(inner, T.StructType) and depth:
-            yield Constraint(where, "null_item", _present(col, F.exists(col, lambda x: x.isNull())))
-            yield from _items(catalog, attribute, col, inner, where, depth)
+        if attribute.kind == "inline" and isinstance(inner, T.StructType):
+            yield where, "null_item", _any_item(lambda x: x.isNull())
+            for name, of, invalid in _object(catalog, attribute.range, inner, where + "."):
+                yield name, of, _any_item(lambda x, invalid=invalid: x.isNotNull() & invalid(lambda n: x[n]))
         else:
             for name, check in _checks(catalog, attribute, inner.simpleString()):
-                yield Constraint(where, name, _present(col, F.exists(col, _sure(check))))
+                yield where, name, _any_item(check)
     elif isinstance(kind, T.MapType):
         form = attribute.form
         if attribute.kind != "inline" or form is None or form.key is None:
-            yield Constraint(where, "form", col.isNotNull())
+            yield where, "form", given
             return
         inner = catalog.attributes(attribute.range)
         for name, check in _checks(catalog, inner[form.key], kind.keyType.simpleString()):
-            yield Constraint(f"{where}.{inner[form.key].name}", name, _present(col, F.exists(F.map_keys(col), _sure(check))))
-        values = F.map_values(col)
+            yield f"{where}.{inner[form.key].name}", name, lambda col, check=check: _any_item(check)(F.map_keys(col))
         if form.name == "simple_dict" and not isinstance(kind.valueType, T.StructType):
-            for name, check in _checks(catalog, inner[form.value], kind.valueType.simpleString()):
-                yield Constraint(f"{where}.{inner[form.value].name}", name, _present(col, F.exists(values, _sure(check))))
-        elif isinstance(kind.valueType, T.StructType) and depth:
-            yield from _items(catalog, attribute, values, kind.valueType, where, depth, form.key)
+            value = inner[form.value]
+            for name, of, invalid in _slot(catalog, value, kind.valueType, f"{where}.{value.name}"):
+                yield name, of, lambda col, invalid=invalid: _any_item(invalid)(F.map_values(col))
+        elif isinstance(kind.valueType, T.StructType):
+            # an entry without a value has its key only
+            for name, of, invalid in _object(catalog, attribute.range, kind.valueType, where + ".", form.key):
+                yield name, of, lambda col, invalid=invalid: _any_item(lambda x: invalid(lambda n: x[n]))(F.map_values(col))
     elif attribute.kind == "inline" and isinstance(kind, T.StructType):
         if slot.get("multivalued"):
-            yield Constraint(where, "form", col.isNotNull())
-        elif depth:
-            for inner in _object(catalog, attribute.range, kind, lambda n: col[n], where + ".", depth - 1):
-                yield Constraint(inner.slot, inner.kind, _present(col, inner.invalid))
+            yield where, "form", given
+        else:
+            for name, of, invalid in _object(catalog, attribute.range, kind, where + "."):
+                yield name, of, lambda col, invalid=invalid: _present(col, invalid(lambda n: col[n]))
     elif attribute.kind == "inline":
-        yield Constraint(where, "form", col.isNotNull())
+        yield where, "form", given
     else:
         for name, check in _checks(catalog, attribute, kind.simpleString()):
-            yield Constraint(where, name, _present(col, check(col)))
+            yield where, name, lambda col, check=check: _present(col, check(col))
 
 
 def _checks(catalog: Catalog, attribute: Attribute, spark_type: str) -> list[tuple[str, Callable[[Column], Column]]]:
@@ -194,19 +210,6 @@ def _checks(catalog: Catalog, attribute: Attribute, spark_type: str) -> list[tup
     return [("any_of", union)] if union is not None else _value_checks(catalog, attribute, spark_type)
 
 
-def _items(catalog: Catalog, attribute: Attribute, col: Column, inner: T.StructType, where: str, depth: int, skip: str | None = None):
-    """Constraints of the objects in a list: a row is invalid if any of its objects is."""
-
-    def of(x: Column) -> list[Constraint]:
-        return list(_object(catalog, attribute.range, inner, lambda n: x[n], where + ".", 0, skip))
-
-    def broken(i: int) -> Callable[[Column], Column]:
-        return lambda x: F.coalesce(x.isNotNull() & of(x)[i].invalid, F.lit(False))
-
-    for i, made in enumerate(of(F.lit(None))):
-        yield Constraint(made.slot, made.kind, _present(col, F.exists(col, broken(i))))
-
-
 def report(df: DataFrame, catalog: Catalog, cls: str) -> DataFrame:
     """slot, constraint, n_invalid: every constraint counted in one scan."""
     found = constraints(catalog, cls, df.schema)
@@ -289,13 +292,13 @@ _JSON_TYPES = {
 }
 
 
-def _json_value(catalog: Catalog, attribute: Attribute, v: Column, depth: int) -> Column:
-    """True where a variant value does not fit the attribute's range."""
+def _json_value(catalog: Catalog, attribute: Attribute, v: Column, closed: bool, above: tuple[str, ...]) -> Column:
+    """True where a variant value does not fit the attribute's range; ``above`` are the classes around it."""
     shape = F.schema_of_variant(v)
     if attribute.kind == "any":
         return F.lit(False)
     if attribute.kind == "inline":
-        return ~shape.startswith("OBJECT") | (_json_object(catalog, attribute.range, v, depth - 1) if depth else F.lit(False))
+        return ~shape.startswith("OBJECT") | _json_object(catalog, attribute.range, v, closed, above)
     kind = attribute.identifier if attribute.kind == "reference" else attribute
     text = F.try_variant_get(v, "$", "string")
     if kind.kind == "enum":
@@ -315,54 +318,75 @@ def _json_value(catalog: Catalog, attribute: Attribute, v: Column, depth: int) -
     return wrong
 
 
-def _json_slot(catalog: Catalog, attribute: Attribute, v: Column, depth: int) -> Column:
+def _json_slot(catalog: Catalog, attribute: Attribute, v: Column, closed: bool, above: tuple[str, ...]) -> Column:
     """True where a slot's variant, which is not null, is wrong."""
     shape = F.schema_of_variant(v)
     branches = [catalog.attribute(Element(attribute.slot.name, "slot", attribute.slot.schema, {**b})) for b in attribute.slot.get("any_of") if b.get("range")]
 
     def one(x: Column) -> Column:
         if not branches:
-            return _json_value(catalog, attribute, x, depth)
+            return _json_value(catalog, attribute, x, closed, above)
         bad = F.lit(True)
         for b in branches:
-            bad = bad & _json_value(catalog, b, x, depth)
+            bad = bad & _json_value(catalog, b, x, closed, above)
         return bad
 
     if not attribute.slot.get("multivalued"):
         return one(v)
     form = attribute.form
     if form is not None and form.key is not None:
-        entries = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+        entries = F.try_variant_get(v, "$", "map<string,variant>")
         inner = catalog.attributes(attribute.range)
-        if form.name == "simple_dict":
-            bad = F.exists(entries, lambda x: _json_value(catalog, inner[form.value], x, 0) & ~F.schema_of_variant(x).startswith("OBJECT"))
-        else:
-            bad = F.exists(entries, lambda x: F.coalesce(~F.schema_of_variant(x).startswith("OBJECT") & (F.schema_of_variant(x) != "VOID"), F.lit(False)))
-        return ~shape.startswith("OBJECT") | F.coalesce(bad, F.lit(False))
+
+        def wrong_key(k: Column) -> Column:
+            wrong = F.lit(False)
+            for _, check in _value_checks(catalog, inner[form.key], "string"):
+                wrong = wrong | F.coalesce(check(k), F.lit(False))
+            return wrong
+
+        def wrong_entry(x: Column) -> Column:
+            is_object = F.schema_of_variant(x).startswith("OBJECT")
+            whole = is_object & ~_json_object(catalog, attribute.range, x, closed, above, form.key)
+            if form.name == "simple_dict":
+                return ~whole & _json_slot(catalog, inner[form.value], x, closed, (*above, attribute.range.name))
+            # a null has the key only
+            needs = any(a.slot.get("required") for a in inner.values() if a.slot.name != form.key)
+            return ~whole & (F.lit(needs) | ~F.is_variant_null(x))
+
+        bad = F.exists(F.map_values(entries), lambda x: F.coalesce(wrong_entry(x), F.lit(True))) | F.exists(F.map_keys(entries), wrong_key)
+        return ~shape.startswith("OBJECT") | F.coalesce(bad, F.lit(True))
     items = F.try_variant_get(v, "$", "array<variant>")
     return ~shape.startswith("ARRAY") | F.coalesce(F.exists(items, lambda x: F.coalesce(one(x), F.lit(True)) | F.is_variant_null(x)), F.lit(False))
 
 
-def _json_object(catalog: Catalog, cls: Element, v: Column, depth: int) -> Column:
+def _json_object(catalog: Catalog, cls: Element, v: Column, closed: bool, above: tuple[str, ...], key: str | None = None) -> Column:
+    """True where a variant object is no instance of a class; the slot ``key`` may be absent, as a dictionary's key has it."""
+    if cls.name in above:
+        raise ValueError(f"class {cls.name} contains itself ({' > '.join((*above, cls.name))}): JSON of any depth cannot be checked by Columns")
     bad = F.lit(False)
-    for attribute in catalog.attributes(cls).values():
-        bad = bad | _json_attribute(catalog, attribute, v, depth)
+    attributes = catalog.attributes(cls).values()
+    for attribute in attributes:
+        bad = bad | _json_attribute(catalog, attribute, v, closed, (*above, cls.name), attribute.slot.name == key)
+    if closed:
+        known = F.array(*[F.lit(a.name) for a in attributes]) if attributes else F.array().cast("array<string>")
+        members = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        bad = bad | F.coalesce(F.size(F.array_except(members, known)) > 0, F.lit(False))
     return bad
 
 
-def _json_attribute(catalog: Catalog, attribute: Attribute, v: Column, depth: int) -> Column:
+def _json_attribute(catalog: Catalog, attribute: Attribute, v: Column, closed: bool, above: tuple[str, ...], is_key: bool = False) -> Column:
     value = F.try_variant_get(v, f"$['{attribute.name}']", "variant")
     absent = value.isNull() | F.is_variant_null(value)
-    return F.when(absent, F.lit(bool(attribute.slot.get("required")))).otherwise(F.coalesce(_json_slot(catalog, attribute, value, depth), F.lit(False)))
+    return F.when(absent, F.lit(bool(attribute.slot.get("required")) and not is_key)).otherwise(F.coalesce(_json_slot(catalog, attribute, value, closed, above), F.lit(False)))
 
 
-def json_valid(json: Column, catalog: Catalog, cls: str, closed: bool = True, depth: int = 3) -> Column:
-    """Whether a JSON text is an instance of a class: its types are strict, unknown members only pass if not closed."""
+def json_valid(json: Column, catalog: Catalog, cls: str, closed: bool = True) -> Column:
+    """Whether a JSON text is an instance of a class: its types are strict, unknown members only pass if not closed.
+
+    Objects at every level are checked so; a class that contains itself raises a ValueError.
+    """
     v = F.try_parse_json(json)
-    bad = _json_object(catalog, catalog.classes[cls], v, depth)
-    if closed:
-        known = [a.name for a in catalog.attributes(catalog.classes[cls]).values()]
-        bad = bad | (F.size(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"))) > 0)
+    bad = _json_object(catalog, catalog.classes[cls], v, closed, ())
     return F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).otherwise(~bad)
 
 
