@@ -262,6 +262,32 @@ def test_parser_repairs():
     assert html.extract([deep], html.trained()) is not None
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>x</title><meta a=b><body><article><p>one</article></html>", "one"),
+    ("<head><style>x</style><link a=b><article><p>one</p></article>", "one"),
+    ("<head><meta a=b>one<p>two", "one two"),
+    ("<head><noscript><div>no</div></noscript><script>no</script></head><body><p>one", "one"),
+    ("<head><noscript><link a=b><body><p>one</p></body>", "one"),
+    ("<body><noscript>no<p>one</p><p>two</p>", "one two"),
+    ("<div><noscript><p>no</p></noscript><p>one</p></div>", "one"),
+    ("<select><option>no<option>no<p>one</p>", "one"),
+    ("<select><option>no<option>no</select><p>one</p>", "one"),
+    ("<button>no<article><p>one</p></article><button>no</button>two", "one two"),
+    ("<button><div>no</div></button><p>one", "one"),
+    ("<body><svg><path d=x><p>one</p><svg><text>no</text></svg>", "one"),
+    ("<div><svg><text>no</div>one", "one"),
+    ("<template><div>no<svg/></div><template><p>no</p></template><p>no</p></template>one", "one"),
+])
+def test_muted_elements_without_end_tags(page, text):
+    assert " ".join(t for _, t in sorted(b for n in html.parse(page) for b in n.blocks)) == text
+
+
+def test_a_page_without_head_end_tag_has_its_text():
+    page = "<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><article><p>" + "</p><p>".join(f"This is sentence {i}, with some words in it, and a full stop." for i in range(8)) + "</p></article></body></html>"
+    found = html.extract([page, page.replace("</head>", "")], html.trained())
+    assert found[0] == found[1] and "sentence 7" in found[0]
+
+
 def test_held_out_pages():
     rng, model = random.Random(123), html.trained()
     wrong = total = 0

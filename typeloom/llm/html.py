@@ -31,6 +31,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Their content is never text of the page.
 _MUTE = frozenset("head script style noscript template svg math iframe object canvas select option button textarea title audio video noembed noframes xmp".split())
+#: What a head can hold; any other start tag ends it.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Muted elements that cannot hold one of their kind.
+_SINGLE = frozenset("noscript select button option".split())
 _BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table caption tbody thead tfoot tr td th ul".split()
 )
@@ -72,17 +76,35 @@ def _tokens_of(attributes: str) -> tuple[int, int]:
     return against, favour
 
 
+def _ended(page: str, tag: str) -> set[int]:
+    """Where the start tags of an element begin that have an end tag of their own."""
+    found: set[int] = set()
+    open_: list[int] = []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*?(/?)>", page, re.I):
+        if m[1]:
+            if open_:
+                found.add(open_.pop())
+        elif not m[2]:
+            if tag in _SINGLE:
+                open_.clear()
+            open_.append(m.start())
+    return found
+
+
 def parse(page: str | None) -> list[Node]:
     """The page's block-level nodes in document order, each with its own text blocks; node 0 is the root.
 
     Inline elements belong to the block around them; a br or a block's edge ends a text block. Wrong or
     missing end tags are repaired as a browser does for these cases: an end tag without its start is
-    ignored, an open p ends at the next block.
+    ignored, an open p ends at the next block, a head at what it cannot hold. A muted element without an
+    end tag ends at the next block's start tag, at one of its kind that it cannot hold, or with its parent.
     """
     nodes = [Node("#root", -1, 0)]
     if not page:
         return nodes
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, with the block node each lies in
+    # open elements, with the block node each lies in, and whether it is muted up to an end tag of its own
+    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]
+    ended: dict[str, set[int]] = {}
     mute = anchors = 0
     pending: list[str] = []
     order = link_chars = pos = 0
@@ -108,7 +130,7 @@ def parse(page: str | None) -> list[Node]:
         while len(stack) > depth:
             if stack[-1][0] in _BLOCK:
                 flush()
-            tag, _ = stack.pop()
+            tag = stack.pop()[0]
             mute -= tag in _MUTE
             anchors -= tag == "a"
 
@@ -120,8 +142,23 @@ def parse(page: str | None) -> list[Node]:
                 return 0
         return 0
 
+    def overdue(tag: str) -> int:
+        """Where the outermost muted element is that a start tag ends, or 0."""
+        for i in range(1, len(stack)):
+            held, _, to_end = stack[i]
+            if held == "head":
+                if tag not in _IN_HEAD:
+                    return 0 if any(x[2] for x in stack[i + 1 :]) else i
+            elif to_end:
+                return 0
+            elif held in _MUTE and (tag in _BLOCK or tag == held and tag in _SINGLE):
+                return i
+        return 0
+
     def text_between(lo: int, hi: int) -> None:
         nonlocal link_chars
+        if mute == 1 and stack[-1][0] == "head" and not page[lo:hi].isspace() and hi > lo:
+            close_to(len(stack) - 1)  # text ends a head
         if hi > lo and not mute:
             pending.append(page[lo:hi])
             link_chars += (hi - lo) * (anchors > 0)
@@ -143,6 +180,10 @@ def parse(page: str | None) -> list[Node]:
             if at:
                 close_to(at)
             continue
+        if mute:
+            at = overdue(tag)
+            if at:
+                close_to(at)
         if tag in _BLOCK:
             flush()
         if tag in _CLOSES_P:
@@ -171,7 +212,12 @@ def parse(page: str | None) -> list[Node]:
         else:
             nodes[block].n_inline += 1
         if not attributes.rstrip().endswith("/") or tag in _BLOCK:
-            stack.append((tag, block))
+            to_end = tag in _MUTE and tag != "head"
+            if to_end:
+                if tag not in ended:
+                    ended[tag] = _ended(page, tag)
+                to_end = m.start() in ended[tag]
+            stack.append((tag, block, to_end))
             mute += tag in _MUTE
             anchors += tag == "a"
     close_to(1)
