@@ -284,6 +284,12 @@ def test_classifier_learns_held_out_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.25
 
 
+def test_shapes_are_of_whole_words():
+    assert classifier.shape("aB" * 40 + "9") == "aA" * 40 + "9"
+    one, other = "aB" * 32 + "xY" * 300, "aB" * 32 + "12" * 300
+    assert classifier.shape(one) != classifier.shape(other)
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(20, 5, replace=False) + (20 if i % 2 else 0)) for i in range(80)]

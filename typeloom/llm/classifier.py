@@ -35,9 +35,9 @@ def _mix(text: str, seed: int) -> int:
 
 
 def shape(word: str) -> str:
-    """A word's shape: runs of capitals, small letters and digits as A, a, 9; other characters as they are, runs once."""
+    """A whole word's shape: runs of capitals, small letters and digits as A, a, 9; other characters as they are, runs once."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
