@@ -241,6 +241,15 @@ def test_exchange_saves_bins(spark):
     assert report["bins"] < report["rounds"][0]["bins"] or report["rounds"][0]["bins"] == report["bound"]
 
 
+def test_exchange_goes_on_while_it_saves(spark):
+    pieces = spark.range(4000).selectExpr("id AS uid", "id AS doc_id", "0 AS piece", "0L AS start", "CAST(20 + pmod(xxhash64(id), 60) AS LONG) AS length", "0L AS ids_crc32")
+    packed, report = packing.pack_pieces(pieces, 100, part_pieces=100)
+    after = [r["bins"] for r in report["rounds"]]
+    assert len(after) > 4 and report["bins"] == min(after) < after[3] and (after[-1] >= after[-2] or report["rounds"][-1]["parts"] == 1)
+    assert packed.count() == 4000 and packed.select("sequence_id").distinct().count() == report["bins"]
+    assert packed.groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").filter("n > 100").count() == 0
+
+
 # -- token files
 
 

@@ -8,6 +8,7 @@ packed again, as long as that saves bins and the bound of all pieces is not met.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,8 +24,8 @@ from typeloom.llm.tokens import encoder
 
 CAPACITY = 2048
 PART_PIECES = 100_000
-ROUNDS = 4
-_FULL = 1 << 62
+#: Sequence ids: full pieces from _FULL on, else round, partition and bin.
+_FULL, _ROUND, _PART = 1 << 62, 1 << 48, 1 << 28
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -132,9 +133,11 @@ def certificates(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return bins.join(bounds, "part").withColumn("certified", F.col("bins") == F.col("bound"))
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> tuple[DataFrame, dict]:
     """pieces (uid, doc_id, piece, start, length, ids_crc32; uid unique) with sequence_id and offset.
 
+    Packed again until a round saves nothing, the bound is met or one partition saw all. Partitions that are
+    certified alone take part: their unfilled bins can still save some together with those of others.
     Returns the packed pieces and a report: bins, the bound of all pieces and the bins after each round.
     """
     full = pieces.filter(F.col("length") == capacity)
@@ -149,7 +152,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
     closed = 0
     pool, pool_bins, before = open_, None, None
     left = int(counts.sum())
-    for step in range(rounds):
+    for step in itertools.count():
         if not left:
             break
         parts = max(1, math.ceil(left / part_pieces))
@@ -165,7 +168,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
         if pool_bins is not None and total >= pool_bins:
             drop_scratch(path)  # nothing gained: the packing before stands
             break
-        numbered = packed.withColumn("sequence_id", (F.lit(step) * (1 << 56) + F.col("part") * (1 << 28) + F.col("bin")).cast("long"))
+        numbered = packed.withColumn("sequence_id", (F.lit(step * _ROUND) + F.col("part") * _PART + F.col("bin")).cast("long"))
         before = numbered
         if closed + total <= bound or parts == 1:
             break  # certified as a whole, or one partition saw all that had gaps
