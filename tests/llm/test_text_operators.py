@@ -183,6 +183,16 @@ def test_cached_ids_equal_the_tokenizer(name):
 # -- packing
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_in_texts_equal_the_plain_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    plain, code = Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name))
+    for t in ("<|endoftext|>", "<|startoftext|>"):
+        for text in (f"one {t} two", f"one{t}two", t, f"{t}{t}", f" {t}", f"{t} ", f"one \n{t}\n two", f"one\n{t}", f"{t}\ntwo", f"one  {t}  two", f"{t} {t} x", f"One, {t.upper()} two {t[:-1]}", f"a.{t}, b"):
+            assert np.frombuffer(code.encode(text), np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 @settings(max_examples=60)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_best_fit_and_bound(sizes):

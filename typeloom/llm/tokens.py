@@ -53,7 +53,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size()
         probe = self._pipeline("a b"), self._pipeline("ab")
