@@ -228,6 +228,22 @@ def test_long_headers_and_null_ids_come_back(spark):
         assert not gaps and [p[0] for p in found] == [7, 0]
 
 
+def test_members_of_several_records():
+    records = archive(PAYLOADS, False)
+    single = warc.gzip_member(warc.record_bytes(9, None, b"z", None))
+    found, gaps = pages_of(warc.gzip_member(b"".join(records)) + single)
+    assert not gaps and [p[0] for p in found] == [*range(7), 9]
+    broken = records[3][:-501] + bytes([records[3][-501] ^ 0xFF]) + records[3][-500:]
+    member = warc.gzip_member(b"".join([*records[:3], broken, *records[4:]]))
+    found, gaps = pages_of(member + single)
+    assert [p[0] for p in found] == [0, 1, 2, 4, 5, 6, 9] and "content" in gaps[0].reason
+    start = len(b"".join(records[:3]))
+    assert f"bytes {start} to {start + len(broken)} of" in gaps[0].reason and gaps[0].end == len(member)
+    cut = warc.gzip_member(b"".join(records))[:-60]
+    found, gaps = pages_of(cut + single)
+    assert [p[0] for p in found] == [*range(6), 9] and (gaps[0].offset, gaps[-1].end) == (0, len(cut))
+
+
 def test_lost_rows_fail(spark, tmp_path):
     members = archive(PAYLOADS, True)
     path = tmp_path / "b.warc.gz"

@@ -83,6 +83,19 @@ class _Damaged(Exception):
     pass
 
 
+@dataclass
+class _Content:
+    """A member's content as a source."""
+
+    data: bytes
+
+    def size(self) -> int:
+        return len(self.data)
+
+    def read_at(self, n: int, pos: int) -> bytes:
+        return self.data[pos : pos + n]
+
+
 class SalvageReader:
     """Records and gaps of an archive, of those that begin in [first, last); plain or gzip by member.
 
@@ -111,9 +124,12 @@ class SalvageReader:
             try:
                 record = self._record(pos)
             except (_Damaged, zlib.error) as error:
-                after = self._search(pos + 1)
-                yield Gap(pos, after, str(error))
-                pos = after
+                found, end = self._inside(pos) if self._bytes(pos, 3) == _MAGIC else ([], None)
+                yield from found
+                if end is None:
+                    end = self._search(pos + 1)
+                    yield Gap(pos, end, str(error))
+                pos = end
             else:
                 yield record
                 pos = record.end
@@ -127,6 +143,28 @@ class SalvageReader:
             return Record(pos, end, record.headers, record.block)
         return self._parsed(self._bytes, pos, self.size)
 
+    def _inside(self, pos: int) -> tuple[list[Record | Gap], int | None]:
+        """Records and gaps in a member of more than one record, and its end; all have the member's place.
+
+        The end is None for a member that is broken or holds no record. Of a broken one come the records
+        whose digest holds and that further content follows: its checksum cannot speak for the last one.
+        """
+        unpacker, content, at, broken = zlib.decompressobj(31), bytearray(), pos, False
+        try:
+            while not unpacker.eof and not broken:
+                part = self._bytes(at, min(64, self.size - at))
+                broken = not part
+                at += len(part)
+                content += unpacker.decompress(part)
+        except zlib.error:
+            broken = True
+        end = at - len(unpacker.unused_data)
+        events = list(SalvageReader(_Content(bytes(content))))
+        records = [x for x in events if isinstance(x, Record) and (not broken or x.end < len(content) and "warc-block-digest" in x.headers)]
+        if broken or not records:
+            return [Record(pos, end, x.headers, x.block) for x in records], None
+        return [Record(pos, end, x.headers, x.block) if isinstance(x, Record) else Gap(pos, end, f"bytes {x.offset} to {x.end} of the member's content: {x.reason}") for x in events], end
+
     def _member(self, pos: int, most: int | None = None) -> tuple[bytes, int]:
         """A gzip member's content and end; with ``most``, only so many bytes and no checksum."""
         unpacker, out, got, at = zlib.decompressobj(31), [], 0, pos
