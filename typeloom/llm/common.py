@@ -1,71 +1,31 @@
-"""Helpers shared by the training-data operators: scratch tables, words, skew-safe lookups, numbering."""
+"""Helpers shared by the training-data operators: words, skew-safe lookups, numbering; scratch tables are the session's."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from typeloom.session import drop_scratch, scratch_path, staged  # noqa: F401 - the operators take them from here
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN: dict[str, str] = {}
-_SCRATCH: dict[str, tuple[SparkSession, str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="typeloom-shared")
-    return _OWN[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; deleted at the end of the application."""
-    path = f"{shared_dir(spark)}/typeloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    _SCRATCH[path] = (spark, path)
-    return path
-
-
-def drop_scratch(path: str) -> None:
-    """Delete a scratch path now; harmless if it is gone or the session has ended."""
-    spark, _ = _SCRATCH.pop(path, (None, None))
-    if spark is None:
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session may be over; then nothing is left to do
-        pass
-
-
-@atexit.register
-def _drop_all() -> None:
-    for path in list(_SCRATCH):
-        drop_scratch(path)
-
-
-def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_typeloom_{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
