@@ -14,8 +14,9 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A worker's cache is emptied when it holds so many chunks, which bounds its memory.
-CACHE_CHUNKS = 1_000_000
+#: A worker's cache is emptied beyond so many bytes, and longer chunks and tails are not kept.
+CACHE_BYTES = 128 << 20
+LONG_CHUNK, LONG_TAIL = 64, 4
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?|]*)")
@@ -34,22 +35,27 @@ class _Chunks(dict):
     """Chunk to little-endian unsigned 32-bit ids; a missing chunk is encoded on demand."""
 
     def __init__(self, owner: "Encoder", lead: str):
-        super().__init__({"": b""} if owner.drops_space else {})
-        self.owner, self.lead = owner, lead
+        super().__init__()
+        self.owner, self.lead, self.held = owner, lead, 0
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk[:1] == "\n" and self.lead:  # a line's start: the line feed is a piece of its own
             found = self.owner.line_feed + self.owner.encode_chunk(chunk[1:])
         else:
             found = self.owner.encode_chunk(self.lead + chunk)
-        self[chunk] = found
+        if len(chunk) <= LONG_CHUNK:
+            if self.held > self.owner.cache_bytes:
+                self.clear()
+                self.held = 0
+            self[chunk] = found
+            self.held += sys.getsizeof(chunk) + sys.getsizeof(found) + 100  # with its share of the table
         return found
 
 
 class Encoder:
     """Whole texts to ids with a vocabulary file of the tokenizers library, add_special_tokens=False."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,7 +66,7 @@ class Encoder:
         self.folds_case = self._pipeline("A") == self._pipeline("a")
         self.letters = _byte_letters()
         self.plain = len(probe[0]) > 0 and sys.byteorder == "little"
-        self.limit = cache_chunks
+        self.cache_bytes = cache_bytes // 2  # each of two
         self.first, self.later = _Chunks(self, ""), _Chunks(self, "" if self.drops_space else " ")
         self.tails: dict[str, bytes] = {}
         self.line_feed = self._pipeline("\n")
@@ -79,7 +85,9 @@ class Encoder:
             return self._pipeline(chunk)
         word, tail = match.groups()
         ids = self._letters((" " if lead else "") + (word.lower() if self.folds_case else word))
-        if tail:
+        if len(tail) > LONG_TAIL:
+            ids += self._pipeline(tail)
+        elif tail:
             if tail not in self.tails:
                 self.tails[tail] = self._pipeline(tail)
             ids += self.tails[tail]
@@ -89,8 +97,6 @@ class Encoder:
         """All ids of a text (null: none) as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.later) > self.limit:
-            self.first, self.later = _Chunks(self, ""), _Chunks(self, self.later.lead)
         if self.drops_space:
             return b"".join(map(self.later.__getitem__, text.replace("\n", " ").split(" ")))
         chunks = _CUT.split(text) if _SPACES_MEET.search(text) else text.replace("\n", " \n").split(" ")
