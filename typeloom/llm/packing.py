@@ -1,9 +1,10 @@
 """Best-fit packing with certified bounds.
 
 Documents become token pieces of at most ``capacity``. Pieces are dealt to partitions, each packed by
-best-fit decreasing; dual-feasible functions give a lower bound of each partition's bins. Partitions
-with gaps hand the pieces of their unfilled bins over, those are dealt anew to fewer partitions and
-packed again, as long as that saves bins and the bound of all pieces is not met.
+best-fit decreasing; dual-feasible functions give a lower bound of each partition's bins. A partition
+that meets its bound is certified and stands; the others hand the pieces of their unfilled bins over,
+which are dealt anew to fewer partitions and packed again, as long as that saves bins. Last, the pieces
+of all unfilled bins, those of certified partitions too, are exchanged in the same way.
 """
 
 from __future__ import annotations
@@ -126,8 +127,9 @@ def _part_bounds(capacity: int):
 
 
 def certificates(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """part, bins, bound, gaps, certified: a partition is certified when it has as few bins as its bound."""
-    bins = packed.groupBy("part").agg(F.count_distinct("bin").alias("bins"), F.count_distinct(F.when(F.col("gap") > 0, F.col("bin"))).alias("gaps"))
+    """part, bins, gap_bins, gap_pieces, bound, certified: a partition is certified when it has as few bins as its bound."""
+    unfilled = F.col("gap") > 0
+    bins = packed.groupBy("part").agg(F.count_distinct("bin").alias("bins"), F.count_distinct(F.when(unfilled, F.col("bin"))).alias("gap_bins"), F.count_if(unfilled).alias("gap_pieces"))
     by_size = packed.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     bounds = by_size.groupBy("part").applyInPandas(_part_bounds(capacity), "part long, bound long")
     return bins.join(bounds, "part").withColumn("certified", F.col("bins") == F.col("bound"))
@@ -136,9 +138,10 @@ def certificates(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> tuple[DataFrame, dict]:
     """pieces (uid, doc_id, piece, start, length, ids_crc32; uid unique) with sequence_id and offset.
 
-    Packed again until a round saves nothing, the bound is met or one partition saw all. Partitions that are
-    certified alone take part: their unfilled bins can still save some together with those of others.
-    Returns the packed pieces and a report: bins, the bound of all pieces and the bins after each round.
+    First only partitions without a certificate exchange, then all that have unfilled bins: the leftovers of
+    two certified partitions can still save a bin together. Each goes on until a round saves nothing, the
+    bound is met or one partition saw all. Returns the packed pieces and a report: bins, the bound of all
+    pieces, and of each round its partitions, how many are certified, and the bins after it.
     """
     full = pieces.filter(F.col("length") == capacity)
     open_ = pieces.filter(F.col("length") < capacity)
@@ -147,44 +150,55 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
     for row in by_size:
         counts[row["length"]] = row["n"]
     bound = lower_bound(counts, capacity)
-    done: list[DataFrame] = []
-    report = {"full": full.count(), "bound": bound, "rounds": []}
-    closed = 0
-    pool, pool_bins, before = open_, None, None
-    left = int(counts.sum())
-    for step in itertools.count():
-        if not left:
-            break
-        parts = max(1, math.ceil(left / part_pieces))
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(parts)).cast("long"))
-        packed, path = staged(dealt.groupBy("part").applyInPandas(_pack_part(capacity), _PACKED), f"pack-{step}")
-        total, gap_bins, gap_pieces = packed.agg(
-            F.sum(F.when(F.col("offset") == 0, 1).otherwise(0)),
-            F.sum(F.when((F.col("offset") == 0) & (F.col("gap") > 0), 1).otherwise(0)),
-            F.sum(F.when(F.col("gap") > 0, 1).otherwise(0)),
-        ).first()
-        certified = certificates(packed, capacity).agg(F.sum(F.col("certified").cast("int"))).first()[0]
-        report["rounds"].append({"parts": parts, "certified": certified, "bins": closed + total})
-        if pool_bins is not None and total >= pool_bins:
-            drop_scratch(path)  # nothing gained: the packing before stands
-            break
-        numbered = packed.withColumn("sequence_id", (F.lit(step * _ROUND) + F.col("part") * _PART + F.col("bin")).cast("long"))
-        before = numbered
-        if closed + total <= bound or parts == 1:
-            break  # certified as a whole, or one partition saw all that had gaps
-        done.append(numbered.filter("gap = 0"))
-        closed += total - gap_bins
-        before = numbered.filter("gap > 0")
-        pool, pool_bins, left = before.select(pieces.columns), gap_bins, gap_pieces
-    if before is not None:
-        done.append(before)
+    report = {"full": full.count(), "bound": bound, "rounds": [], "bins": 0}
+    done: list[DataFrame] = []  # filled bins
+    closed, step = 0, itertools.count()
+    standing: DataFrame | None = None  # the unfilled bins of partitions that may exchange, as packed last
+    certified: list[DataFrame] = []  # those of certified partitions
+    pool, pool_bins, left = open_, None, int(counts.sum())
+    certified_bins = certified_pieces = 0
+    for all_exchange in (False, True):
+        if all_exchange:
+            if not certified or report["bins"] <= bound:
+                break
+            for more in certified:
+                standing = more if standing is None else standing.unionByName(more)
+            certified, left, pool_bins = [], left + certified_pieces, pool_bins + certified_bins
+            pool, certified_bins, certified_pieces = standing.select(pieces.columns), 0, 0
+        while left:
+            parts, i = max(1, math.ceil(left / part_pieces)), next(step)
+            dealt = pool.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(i)), F.lit(parts)).cast("long"))
+            packed, path = staged(dealt.groupBy("part").applyInPandas(_pack_part(capacity), _PACKED), f"pack-{i}")
+            judged, _ = staged(certificates(packed, capacity), f"certificates-{i}")  # a row a partition
+            sure = F.col("certified")
+            total = judged.agg(
+                *[F.sum(c).alias(c) for c in ("bins", "gap_bins", "gap_pieces")],
+                F.count_if(sure).alias("n"),
+                *[F.coalesce(F.sum(F.when(sure, F.col(c))), F.lit(0)).alias(f"sure_{c}") for c in ("gap_bins", "gap_pieces")],
+            ).first()
+            report["rounds"].append({"parts": parts, "certified": total["n"], "bins": closed + certified_bins + total["bins"]})
+            if pool_bins is not None and total["bins"] >= pool_bins:
+                drop_scratch(path)  # nothing gained: the packing before stands
+                break
+            numbered = packed.join(judged.select("part", "certified"), "part")
+            numbered = numbered.withColumn("sequence_id", (F.lit(i * _ROUND) + F.col("part") * _PART + F.col("bin")).cast("long"))
+            done.append(numbered.filter("gap = 0"))
+            closed += total["bins"] - total["gap_bins"]
+            standing, pool_bins, left = numbered.filter("gap > 0"), total["gap_bins"], total["gap_pieces"]
+            alone = parts == 1 and not certified  # this partition has all unfilled bins
+            if not all_exchange and total["n"] and not alone:
+                certified.append(standing.filter("certified"))
+                standing = standing.filter("NOT certified")
+                certified_bins, certified_pieces = certified_bins + total["sure_gap_bins"], certified_pieces + total["sure_gap_pieces"]
+                pool_bins, left = pool_bins - total["sure_gap_bins"], left - total["sure_gap_pieces"]
+            pool = standing.select(pieces.columns)
+            report["bins"] = closed + certified_bins + pool_bins
+            if report["bins"] <= bound or parts == 1:
+                break  # certified as a whole, or one partition saw all that had gaps
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     out = full.select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(_FULL) + F.col("uid")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    for part in done:
+    for part in [*done, *certified, *([standing] if standing is not None else [])]:
         out = out.unionByName(part.select(columns))
-    report["bins"] = report["rounds"][-1]["bins"] if report["rounds"] else 0
-    if len(report["rounds"]) > 1:
-        report["bins"] = min(r["bins"] for r in report["rounds"])
     return out, report
 
 
