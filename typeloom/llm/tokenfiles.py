@@ -1,14 +1,15 @@
 """Token output in Arrow files.
 
 A corpus is written as parts in document order. Each part is an Arrow IPC file whose record batches
-hold two fixed-size-list columns, ids and mask, of equal-length sequences: the ids of the part's
-documents in a row, the last sequence padded and masked. Fixed sizes make the place of any sequence
+hold two fixed-size-list columns, ids and mask (a byte a place), of equal-length sequences: the ids of the
+part's documents in a row, the last sequence padded and masked. Fixed sizes make the place of any sequence
 plain arithmetic, so a memory-mapped part is read at random without a copy. Beside each part lies an
 index of its documents.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from typeloom.llm.tokens import encoder
 LENGTH = 2048
 BATCH_SEQUENCES = 64
 END_ID = 2
+#: Text bytes a part, at most on average.
+PART_BYTES = 256 << 20
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -42,7 +45,7 @@ def id_type(vocab_size: int) -> pa.DataType:
 
 
 def file_schema(ids: pa.DataType, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"sequence_length": str(length), "batch_sequences": str(BATCH_SEQUENCES)})
+    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"sequence_length": str(length), "batch_sequences": str(BATCH_SEQUENCES)})
 
 
 class PartWriter:
@@ -80,7 +83,7 @@ class PartWriter:
         for at in range(0, end, step):
             ids = flat[at : min(at + step, end)]
             n = -(-len(ids) // self.length)
-            mask = np.arange(n * self.length) < len(ids)
+            mask = (np.arange(n * self.length) < len(ids)).view(np.uint8)
             padded = np.zeros(n * self.length, self.dtype)
             padded[: len(ids)] = ids
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
@@ -118,13 +121,13 @@ class PartReader:
         batch = self.file.get_batch(i // self.per_batch)
         lo = i % self.per_batch
         ids, mask = (batch.column(c).slice(lo, 1).flatten() for c in (0, 1))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask.to_numpy().view(np.bool_)
 
     def _batch_ids(self, b: int) -> np.ndarray:
         if b != self._at:
             batch = self.file.get_batch(b)
             ids = batch.column(0).flatten().to_numpy()
-            mask = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            mask = batch.column(1).flatten().to_numpy().view(np.bool_)
             self._at, self._flat = b, ids if mask.all() else ids[mask]
         return self._flat
 
@@ -163,11 +166,16 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     """Write docs in ascending doc_id order to parts; returns (name, first id's place, ids) of each part.
 
     Null texts are empty: such documents are their end id. Null ids come first. Every row is written,
-    repeated ones too; an empty table writes no part. The list has a row a part, not a row a document.
+    repeated ones too, rows of one id by the hash of their text; an empty table writes no part. Without
+    ``parts`` there are as many as shuffle partitions, or more, so that each has some PART_BYTES of text.
+    The list has a row a part, not a row a document.
     """
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    if parts is None:
+        held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held / PART_BYTES))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = ordered.mapInArrow(_write(folder, vocabulary, end_id, length), "part int, name string, total long").collect()
     out, at = [], 0
     for row in sorted(found, key=lambda r: r["part"]):
