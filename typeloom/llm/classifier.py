@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import WORD
+from typeloom.llm.common import WORD, drop_scratch, staged, unused_name
 
 BITS = 18
-#: The fit sees at most so many labelled documents, those of smallest hash.
-SAMPLE = 4000
+#: The fit sees at most so many labelled documents, those of smallest hash, and of these so many indicators.
+SAMPLE, INDICATORS = 4000, 20_000_000
 THRESHOLD = 0.7
 _WORD = re.compile(WORD)
 _CACHE_WORDS = 400_000
@@ -165,23 +165,29 @@ def held_out(doc_id) -> F.Column:
 
 def _indicator_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = [t if isinstance(t, str) else None for t in batch["_text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "grams": [features(t).tolist() for t in texts]})
+        found = [features(t if isinstance(t, str) else None) for t in batch["_text"]]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "n": [len(g) for g in found], "grams": [g.tobytes() for g in found]})
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, indicators: int = INDICATORS) -> Model:
     """Fit on labelled documents that are not held out: at most ``sample`` of them, those of smallest hash.
 
     Labels other than 0 and 1 are left out; of several labels of a document the smallest counts; of
-    several rows with its id each is used.
+    several rows with its id the one whose text has the smallest hash is used. If the sample has more than
+    ``indicators`` indicators in all, it ends where it reaches them (80 MB on the driver).
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(taken), "doc_id")  # at most sample rows
-    found = rows.mapInPandas(_indicator_rows, "doc_id long, label int, grams array<int>").toPandas()
-    found = found.sort_values(["doc_id", "label"], key=lambda c: c if c.name == "label" else (c * 2654435761) % (1 << 32), kind="stable")
-    return fit([np.asarray(g, dtype=np.int32) for g in found["grams"]], found["label"].to_numpy())
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    found = rows.mapInPandas(_indicator_rows, "doc_id long, label int, n int, grams binary")
+    found, path = staged(found.withColumn("place", F.xxhash64("doc_id")), "labelled")
+    before = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = found.select("doc_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).filter(F.col("before") < indicators)  # at most sample rows
+    held = found.join(F.broadcast(chosen), "doc_id").orderBy("place", "doc_id").toPandas()
+    drop_scratch(path)
+    return fit([np.frombuffer(g, dtype=np.int32) for g in held["grams"]], held["label"].to_numpy())
 
 
 def score_udf(model: Model):
@@ -206,4 +212,5 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str
 
 def keep_predicted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs of predicted quality, with the columns of docs."""
-    return score_documents(docs, model, text, "_typeloom_score").filter(F.col("_typeloom_score") >= threshold).drop("_typeloom_score")
+    score = unused_name(docs, "score")
+    return score_documents(docs, model, text, score).filter(F.col(score) >= threshold).drop(score)
