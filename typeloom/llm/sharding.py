@@ -113,14 +113,15 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A document's size is the UTF-8 bytes of its text plus 1; null texts count as empty and form one
     group with the empty ones. Equal texts, repeated rows included, share a shard; slots number a
-    shard's rows from 0 by doc_id. A group larger than a fair share fills one shard. An empty table
+    shard's rows from 0, in the order of chunks by hash. A group larger than a fair share fills one shard. An empty table
     gives an empty result; other columns are left out, whatever their names.
     """
     body: Column = F.coalesce(F.col("_text"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    keyed, _ = staged(rows.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *text_key(body)), "kk-docs")
+    keyed, _ = staged(rows.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *text_key(body), F.monotonically_increasing_id().alias("row")), "kk-docs")
     groups, _ = staged(keyed.groupBy("k1", "k2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "kk-sizes")
     total = keyed.count()
     found = shard_groups(groups, shards)
     placed = skew_safe_lookup(keyed, F.col("doc_id"), found, ["k1", "k2"], "shard", "n", total)
-    return gapless_slots(placed.select("doc_id", "size", "text_crc32", "shard"), "shard", ["doc_id", "text_crc32"], total)
+    # the staged table fixes each row's number, which parts the chunks of repeated rows
+    return gapless_slots(placed.select("doc_id", "size", "text_crc32", "shard", "row"), "shard", ["doc_id", "text_crc32", "row"], total).drop("row")
