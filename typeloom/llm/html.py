@@ -13,6 +13,7 @@ import html as entities
 import math
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,11 +43,9 @@ _CLOSES_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption".split())
 _SIBLING_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("html body article aside section main div td th table ul ol dl nav header footer form blockquote figure details fieldset li dd".split())
 
-#: Attribute tokens that speak against or for main text.
-_AGAINST = frozenset(
-    "ad ads adv advert advertisement advertising banner bottombar breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disqus feedback foot footer form gdpr header hidden login masthead menu meta modal nav navbar navigation newsletter notice notification pager pagination paywall popup privacy promo promotion recommended related replies reply respond share sharing sidebar signup site skip social sponsor sponsored subscribe subscription tag tags toolbar topbar warning widget alert search dialog outbrain taboola popular trending navigation contentinfo complementary".split()
-)
-_FOR = frozenset("article articlebody body content entry main post story text page copy prose column narrative".split())
+#: Attributes whose words are features, each in one of TOKENS hash buckets.
+_NAMING = frozenset("class id role itemprop aria-label data-component".split())
+TOKENS = 4096
 
 
 @dataclass
@@ -54,8 +53,7 @@ class Node:
     tag: str
     parent: int
     depth: int
-    against: int = 0
-    favour: int = 0
+    tokens: tuple[int, ...] = ()
     children: list[int] = field(default_factory=list)
     own: int = 0
     links: int = 0
@@ -65,15 +63,13 @@ class Node:
     n_inline: int = 0
 
 
-def _tokens_of(attributes: str) -> tuple[int, int]:
-    against = favour = 0
+def _tokens_of(attributes: str) -> tuple[int, ...]:
+    """The buckets of the words in an element's naming attributes; words are parted at capitals and at what is no letter."""
+    found = []
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id", "role", "itemprop", "aria-label", "data-component"):
-            for token in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()):
-                against += token in _AGAINST
-                favour += token in _FOR
-    return against, favour
+        if name.lower() in _NAMING:
+            found += re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())
+    return tuple(dict.fromkeys(zlib.crc32(t.encode()) % TOKENS for t in found if len(t) > 1))
 
 
 def _ended(page: str, tag: str) -> set[int]:
@@ -205,9 +201,8 @@ def parse(page: str | None) -> list[Node]:
         attributes = m[3] or m[6] or ""
         block = stack[-1][1]
         if tag in _BLOCK and not mute:
-            against, favour = _tokens_of(attributes) if attributes else (0, 0)
             nodes[block].children.append(len(nodes))
-            nodes.append(Node(tag, block, nodes[block].depth + 1, against, favour))
+            nodes.append(Node(tag, block, nodes[block].depth + 1, _tokens_of(attributes) if attributes else ()))
             block = len(nodes) - 1
         else:
             nodes[block].n_inline += 1
@@ -226,11 +221,11 @@ def parse(page: str | None) -> list[Node]:
 
 
 _GROUPS = {t: i for i, names in enumerate(("p pre blockquote", "h1 h2 h3 h4 h5 h6", "li ul ol dl dt dd menu", "article main", "nav header footer aside search dialog address", "form fieldset", "table tr td th tbody thead tfoot caption", "div section center", "figure figcaption", "html body #root")) for t in names.split()}
-_N_FEATURES = 27
+_N_FEATURES = 28
 
 
-def node_features(nodes: list[Node]) -> np.ndarray:
-    """A row of features for each node."""
+def node_features(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
+    """A row of features for each node; ``odds`` says of each token bucket how far it speaks for main text."""
     n = len(nodes)
     text, links, marks, words, size, inline = ([0] * n for _ in range(6))
     for i in range(n - 1, -1, -1):
@@ -246,15 +241,17 @@ def node_features(nodes: list[Node]) -> np.ndarray:
                 held[node.parent] += held[i]
     total = text[0] or 1
     rows = np.zeros((n, _N_FEATURES))
-    above: list[tuple[int, int, int, int, int]] = []
+    above: list[tuple[float, float, int, int, int]] = []
     place = [0] * n
     for node in nodes:
         for k, c in enumerate(node.children):
             place[c] = k
     for i, node in enumerate(nodes):
         group = _GROUPS.get(node.tag, 7)
-        before = above[node.parent] if node.parent >= 0 else (0, 0, 0, 0, 0)
-        here = (before[0] + node.against, before[1] + node.favour, before[2] + (group == 4), before[3] + (group == 3), before[4] + (group == 5))
+        own = [float(odds[t]) for t in node.tokens]
+        low, high = min(own, default=0.0), max(own, default=0.0)
+        before = above[node.parent] if node.parent >= 0 else (0.0, 0.0, 0, 0, 0)
+        here = (min(before[0], low), max(before[1], high), before[2] + (group == 4), before[3] + (group == 3), before[4] + (group == 5))
         above.append(here)
         up = nodes[node.parent] if node.parent >= 0 else node
         around = len(up.children) or 1
@@ -263,13 +260,24 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         rows[i] = (
             math.log1p(text[i]), math.log1p(node.own), links[i] / t, marks[i] / t, t / (words[i] or 1), text[i] / size[i], text[i] / total,
             node.depth, len(node.children), size[i], inline[i] / size[i],
-            node.against, node.favour, before[0], before[1], here[2], here[3], here[4],
+            low, high, sum(own), before[0], before[1], here[2], here[3], here[4],
             group, node.tag == "p", node.tag in ("h1", "h2"), node.tag == "li",
             place[i] / around, around, text[i] / (over or 1), over / around, marks[node.parent] / (over or 1) if node.parent >= 0 else 0.0,
         )
     return rows
 
 
+def token_odds(trees: list[list[Node]], shares: list[np.ndarray], weights: list[np.ndarray], smooth: float = 2.0) -> np.ndarray:
+    """The log odds of main text in nodes that bear a token, per bucket; 0 for one that no page has."""
+    good, bad = np.full(TOKENS, smooth), np.full(TOKENS, smooth)
+    for nodes, share, weight in zip(trees, shares, weights):
+        for node, s, w in zip(nodes, share, weight):
+            for t in node.tokens:
+                good[t] += w * s
+                bad[t] += w * (1 - s)
+    return np.log(good / bad)
+
+
 class Boosted:
     """Gradient-boosted regression trees on the logistic loss, with histogram splits."""
 
@@ -368,6 +376,19 @@ def _words(rng: random.Random, n: int) -> str:
     return (" ".join(out).capitalize() + rng.choice([".", ".", "!", "?", ""])) if n else ""
 
 
+# Names that pages give their parts; training pages draw from them, and the model learns what they stand for.
+_MENUS = "menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar topbar skip links sitemap"
+_ADVERTS = "ad ads adv advert advertisement advertising banner promo promotion sponsor sponsored outbrain taboola"
+_NOTICES = "notice notices notification alert warning cookie cookies consent gdpr popup modal paywall privacy overlay disclaimer"
+_FORMS = "form search newsletter login signup subscribe subscription contact feedback"
+_COMMENTS = "comment comments discussion disqus reply replies respond responses thread reviews"
+_SIDES = "sidebar side aside widget related recommended popular trending social share sharing tags tag meta complementary"
+_HEADS = "header head masthead site topbar banner branding logo"
+_FEET = "footer foot bottombar copyright contentinfo legal colophon"
+_STORIES = "article articlebody body content entry main post story text page copy prose column narrative"
+_FRAMES = "container wrapper wrap row col grid inner outer section box block layout panel item module region"
+
+
 def training_page(rng: random.Random) -> tuple[str, set[str]]:
     """A made-up page and the set of marks of its main blocks; a block's text opens with its mark."""
     main: set[str] = set()
@@ -383,10 +404,13 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         item = lambda: f'<a href="/{rng.randint(1, 99)}">{said(rng.randint(1, 3), False)}</a>'
         return rng.choice(["<ul>" + "".join(f"<li>{item()}</li>" for _ in range(n)) + "</ul>", "<div>" + " | ".join(item() for _ in range(n)) + "</div>", "".join(f"<p>{item()}</p>" for _ in range(n))])
 
-    def named(tag: str, names: str, inner: str) -> str:
+    def named(tag: str, names: str, inner: str, main: bool = False) -> str:
         form = rng.random()
         name = rng.choice(names.split())
-        attr = f' class="{name}"' if form < 0.5 else f' id="{name}-{rng.randint(1, 9)}"' if form < 0.7 else f' class="x{rng.randint(1, 9)} {name}"'
+        if not main and rng.random() < 0.05:
+            name = rng.choice(_FRAMES.split())  # a name that says nothing
+        also = rng.choice(_FRAMES.split())
+        attr = f' class="{name}"' if form < 0.4 else f' id="{name}-{rng.randint(1, 9)}"' if form < 0.6 else f' class="{also} {name}"' if form < 0.75 else f' class="{name}-{also}"' if form < 0.9 else f' class="{also}{name.capitalize()}"'
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def block(tag: str, n: int, good: bool) -> str:
@@ -396,22 +420,25 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         kind = rng.randint(0, 9)
         short = lambda: rng.randint(1, 14)
         if kind == 0:
-            return rng.choice(["<nav>%s</nav>", '<div class="menu">%s</div>', '<div id="navbar">%s</div>', '<div role="navigation">%s</div>']) % links(rng.randint(2, 9))
+            inner = links(rng.randint(2, 9))
+            return rng.choice([f"<nav>{inner}</nav>", f'<div role="navigation">{inner}</div>', named("div", _MENUS, inner), named("ul", _MENUS, inner)])
         if kind == 1:
-            return named("div", "ad ads advert banner promo sponsored", said(rng.randint(2, 30), False))
+            return named(rng.choice(["div", "div", "section", "p"]), _ADVERTS, said(rng.randint(2, 30), False))
         if kind == 2:
-            return rng.choice(["<aside>%s</aside>", '<div class="sidebar">%s</div>', '<aside class="widget">%s</aside>']) % (block("h3", 2, False) + rng.choice([links(4), block("p", rng.randint(5, 50), False)]))
+            inner = block("h3", 2, False) + rng.choice([links(4), block("p", rng.randint(5, 50), False), block("p", rng.randint(5, 50), False)])
+            return rng.choice([f"<aside>{inner}</aside>", named("div", _SIDES, inner), named("aside", _SIDES, inner)])
         if kind == 3:
-            return named("div", "cookie-notice notice alert gdpr-consent popup", block("p", rng.randint(4, 40), False))
+            return named(rng.choice(["div", "div", "section"]), _NOTICES, rng.choice([block("p", rng.randint(4, 40), False), said(rng.randint(4, 40), False)]))
         if kind == 4:
-            return rng.choice(["<form>%s</form>", '<form class="search">%s</form>', '<div class="newsletter"><form>%s</form></div>']) % (f"<label>{said(short(), False)}</label><input type='text'><p>{said(short(), False)}</p>")
+            inner = f"<label>{said(short(), False)}</label><input type='text'><p>{said(short(), False)}</p>"
+            return rng.choice([f"<form>{inner}</form>", named("form", _FORMS, inner), named("div", _FORMS, f"<form>{inner}</form>"), named("div", _FORMS, block("p", rng.randint(4, 30), False))])
         if kind in (5, 6):
             each = "".join(rng.choice(["<div class='comment'>%s</div>", "<li>%s</li>", "<article class='comment'>%s</article>"]) % (block("h4", 2, False) + "".join(block("p", rng.randint(3, 60), False) for _ in range(rng.randint(1, 3)))) for _ in range(rng.randint(1, 5)))
-            return rng.choice(["<section class='comments'>%s</section>", "<div id='comments'>%s</div>", "<ol class='comment-list'>%s</ol>", "<section id='discussion'>%s</section>", "<div class='replies'>%s</div>"]) % (rng.choice(["", block("h2", 2, False)]) + each)
+            return named(rng.choice(["section", "div", "ol"]), _COMMENTS, rng.choice(["", block("h2", 2, False)]) + each)
         if kind == 7:
-            return named("div", "related share social tags recommended", rng.choice(["", block("h3", 2, False)]) + links(rng.randint(2, 6)))
+            return named("div", _SIDES, rng.choice(["", block("h3", 2, False)]) + links(rng.randint(2, 6)))
         if kind == 8:
-            return named("div", "breadcrumb pagination toolbar", links(3))
+            return named("div", _MENUS, links(3))
         return rng.choice(["<aside>%s</aside>", "<aside class='notice'>%s</aside>"]) % said(rng.randint(4, 40), False)
 
     def story() -> str:
@@ -443,22 +470,50 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
         return "".join(parts)
 
     head = f"<!DOCTYPE html><html><head><title>{_words(rng, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
-    top = rng.choice(["<header>%s</header>", '<div class="header">%s</div>', '<div id="masthead">%s</div>', "%s"]) % rng.choice([links(5), block("h1", 2, False) + links(4), ""])
-    if top.startswith(("<ul", "<div><a", "<p><a")):
-        top = f"<nav>{top}</nav>"
-    content = story()
-    content = rng.choice([f"<article>{content}</article>"] * 3 + [f"<main>{content}</main>", f"<main><article>{content}</article></main>", f'<div class="content">{content}</div>', f'<div id="main"><div class="post">{content}</div></div>', f'<div class="article-body">{content}</div>', f"<div>{content}</div>", f"<section>{content}</section>"])
+    inner = rng.choice([links(5), block("h1", 2, False) + links(4), block("p", rng.randint(1, 8), False) + links(3), ""])
+    top = rng.choice([f"<header>{inner}</header>", named("div", _HEADS, inner), f"<nav>{inner}</nav>" if inner.startswith(("<ul", "<div><a", "<p><a")) else named("div", _HEADS, inner)])
+    if rng.random() < 0.1:  # lines parted by breaks, without paragraphs
+        content = block("h1", 4, True) + "<br><br>".join(said(rng.choice([10, 40, 80]), True) for _ in range(rng.randint(2, 6)))
+    else:
+        content = story()
+    content = rng.choice([f"<article>{content}</article>"] * 4 + [f"<main>{content}</main>", f"<main><article>{content}</article></main>", named("div", _STORIES, content, True), f'<div id="main">{named("div", _STORIES, content, True)}</div>', named("section", _STORIES, content, True), named("article", _STORIES, content, True), f"<div>{content}</div>", f"<section>{content}</section>"])
     around = [junk() for _ in range(rng.randint(0, 3))]
     after = [junk() for _ in range(rng.randint(0, 3))]
-    foot = rng.choice(["<footer>%s</footer>"] * 3 + ['<div class="footer">%s</div>', '<div id="footer-1">%s</div>']) % rng.choice([f"&copy; {said(rng.randint(2, 25), False)}", block("p", rng.randint(2, 20), False), links(4) + block("p", 4, False)])
-    return head + top + "".join(around) + content + "".join(after) + foot + "</body></html>", main
+    inner = rng.choice([f"&copy; {said(rng.randint(2, 25), False)}", block("p", rng.randint(2, 20), False), links(4) + block("p", 4, False), "<br>".join(said(rng.randint(2, 8), False) for _ in range(3))])
+    foot = rng.choice([f"<footer>{inner}</footer>"] * 2 + [named("div", _FEET, inner)])
+    before, behind = "".join(around), "".join(after)
+    family = rng.random()
+    if family < 0.1:  # a layout table
+        page = f"{top}<table><tr><td>{before}</td><td>{content}</td><td>{behind}</td></tr></table>{foot}"
+    elif family < 0.25:  # columns in frames
+        frame = lambda x: f'<div class="{rng.choice(_FRAMES.split())}">{x}</div>'
+        page = frame(top + frame(before) + frame(content) + behind) + foot
+    elif family < 0.35:
+        page = f'{top}<div class="{rng.choice(_FRAMES.split())}">{before}{content}{behind}{foot}</div>'
+    else:
+        page = top + before + content + behind + foot
+    return head + page + "</body></html>", main
+
+
+@dataclass
+class Model:
+    """The trees, and what each token bucket says."""
+
+    trees: Boosted
+    odds: np.ndarray
+
+    def logits(self, pages: list[list[Node]]) -> np.ndarray:
+        return self.trees.logit(np.concatenate([node_features(p, self.odds) for p in pages]))
 
 
 @functools.cache
-def trained(pages: int = 500, seed: int = 11) -> Boosted:
-    """The model, fitted on so many made-up pages; the same for the same arguments."""
+def trained(pages: int = 900, seed: int = 11) -> Model:
+    """The model, fitted on so many made-up pages; the same for the same arguments.
+
+    The trees see each half of the pages with token odds from the other half, so that they learn how far to trust them.
+    """
     rng = random.Random(seed)
-    xs, ys, ws = [], [], []
+    trees, shares, weights = [], [], []
     for _ in range(pages):
         page, main = training_page(rng)
         nodes = parse(page)
@@ -477,10 +532,15 @@ def trained(pages: int = 500, seed: int = 11) -> Boosted:
                 bad[nodes[i].parent] += bad[i]
         share = np.array([g / (g + b) if g + b else 0.5 for g, b in zip(good, bad)])
         seen = np.array([g + b > 0 for g, b in zip(good, bad)])
-        xs.append(node_features(nodes)[seen])
-        ys.append((share[seen] > 0.5).astype(float))
-        ws.append(np.maximum(np.abs(share[seen] - 0.5) * 2, 0.05))
-    return Boosted().fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+        trees.append(nodes)
+        shares.append(share)
+        weights.append(seen * np.maximum(np.abs(share - 0.5) * 2, 0.05))
+    halves = [token_odds(trees[i::2], shares[i::2], weights[i::2]) for i in (0, 1)]
+    rows = [node_features(t, halves[1 - i % 2]) for i, t in enumerate(trees)]
+    held = [w > 0 for w in weights]
+    x, w = (np.concatenate([r[k] for r, k in zip(of, held)]) for of in (rows, weights))
+    y = np.concatenate([(s[k] > 0.5).astype(float) for s, k in zip(shares, held)])
+    return Model(Boosted().fit(x, y, w), token_odds(trees, shares, weights))
 
 
 def chosen_text(nodes: list[Node], kept: list[bool]) -> str:
@@ -489,12 +549,12 @@ def chosen_text(nodes: list[Node], kept: list[bool]) -> str:
     return " ".join(text for _, text in blocks)
 
 
-def extract(pages: list[str | None], model: Boosted) -> list[str]:
+def extract(pages: list[str | None], model: Model) -> list[str]:
     """Main texts of whole pages; empty where there is none."""
     trees = [parse(p) for p in pages]
     if not trees:
         return []
-    logits = model.logit(np.concatenate([node_features(t) for t in trees]))
+    logits = model.logits(trees)
     out, at = [], 0
     for nodes in trees:
         out.append(chosen_text(nodes, decode(nodes, logits[at : at + len(nodes)])))
@@ -502,7 +562,7 @@ def extract(pages: list[str | None], model: Boosted) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, html: str = "html", out: str = "text", model: Boosted | None = None) -> DataFrame:
+def main_text(pages: DataFrame, html: str = "html", out: str = "text", model: Model | None = None) -> DataFrame:
     """pages with the main text of each in column ``out``.
 
     Null and empty pages, and pages without main text, give an empty text. Rows are judged alone, so
