@@ -77,6 +77,32 @@ def test_large_mixed_regions_are_joined_exactly(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 4, 80, region=3, first=1)
 
 
+def test_a_large_component_and_others_just_below_the_threshold(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # copies with one or two words changed, all in one component
+        own = base[:]
+        for at in rng.sample(range(120), 1 + i % 2):
+            own[at] = f"c{i}_{at}"
+        rows.append((i, " ".join(own)))
+    for i in range(150, 260):  # some four words changed, far apart: around the threshold
+        own = base[:]
+        for at in range(i % 20, 120, 30 - i % 3):
+            own[at] = f"d{i}_{at}"
+        rows.append((i, " ".join(own)))
+    want = slow_components(slow_sets(rows, 4), 80)
+    assert 20 < len(set(want.values())) < 111
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, 4, 80, region=8, first=1)
+
+
+def test_repeated_ids_link_by_any_of_their_texts(spark):
+    w, z, a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "wzab")
+    rows = [(1, w), (1, z), (3, z + " more"), (4, a), (2, a), (2, b), (6, b + " more"), (7, "own words only here"), (None, w), (1, None)]
+    got = {(r["doc_id"], r["n_shingles"] > 0): (r["component_id"], r["kept"]) for r in forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, True): (1, True), (1, False): (1, True), (3, True): (1, False), (4, True): (2, False), (2, True): (2, True), (6, True): (2, False), (7, True): (7, True), (None, True): (1, True)}
+
+
 def test_forest_on_odd_documents(odd_docs, no_docs):
     rows = {d["doc_id"]: d["text"] for d in odd_docs.collect()}
     found = forest.near_duplicates(odd_docs, size=4).collect()
@@ -104,7 +130,7 @@ def brute(vectors, query, k):
 
 def test_recall_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = nearest.nearest(df, df.filter("vec_id % 20 = 0"), 20, block_rows=900, chunk_queries=40).collect()
+    rows = nearest.nearest(df, df.filter("vec_id % 20 = 0"), 20, block_rows=900).collect()
     vectors = {r["vec_id"]: r["embedding"] for r in df.collect()}
     by = defaultdict(list)
     for r in sorted(rows, key=lambda r: r["rank"]):
@@ -117,6 +143,23 @@ def test_recall_against_brute_force(spark):
         assert [(r["score"], -r["vec_id"]) for r in found] == sorted(((r["score"], -r["vec_id"]) for r in found), reverse=True)
         hits.append(len({r["vec_id"] for r in found} & set(want)) / 20)
     assert len(by) == 100 and np.mean(hits) >= 0.95
+    assert all(np.mean(hits[i::10]) >= 0.9 for i in range(10))  # each tenth of the queries
+
+
+def test_few_vectors_are_verified_and_equal_ones_score_alike():
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((20_000, 64))
+    vectors /= np.sqrt((vectors * vectors).sum(1))[:, None]
+    vectors[[5, 700, 19_000]] = vectors[5]
+    index, hits = nearest.CollisionIndex(vectors, 1.0), []
+    for i in range(0, 20_000, 500):
+        rows, scores = index.search(vectors[i], 20, np.array([i]))
+        exact = vectors @ vectors[i]
+        exact[i] = -9
+        hits.append(len(set(rows[np.argsort(-scores)[:20]].tolist()) & set(np.argsort(-exact)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.95 and index.verified < 0.12 * 40 * 20_000
+    rows, scores = index.search(vectors[6], 20_000)
+    assert len({scores[rows == r][0] for r in (5, 700, 19_000)}) == 1
 
 
 def test_odd_vectors(spark):
@@ -315,6 +358,30 @@ def test_held_out_pages():
     assert wrong / total < 0.02
 
 
+SAID = [f"This is sentence {i} of the story, with some words in it, and it ends with a stop." for i in range(6)]
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class='topNav'>{menu}</div><div class='post-body'>{story}</div><div id='footer-2'>Made by us</div></body>",
+    "<table><tr><td class='leftMenu'>{menu}</td><td><div class='entry-content'>{story}</div></td></tr></table><div class=copyright>All rights kept by us</div>",
+    "<div class='wrapper outer'><header>{menu}</header><main>{story}</main><div class='comments'><div class='comment'><p>I read it, and I liked it very much, thanks.</p></div></div></div>",
+    "<nav>{menu}</nav><article>{breaks}</article><div class='cookieNotice'><p>We use cookies here, do you agree with that?</p></div>",
+    "<div id='site-header'>{menu}</div><section class='articleBody'>{story}</section><aside>{menu}</aside>",
+])
+def test_pages_of_other_shapes(page):
+    story, breaks = "".join(f"<p>{t}</p>" for t in SAID), "<br><br>".join(SAID)
+    assert html.extract([page.format(menu=MENU, story=story, breaks=breaks)], html.trained()) == [" ".join(SAID)]
+
+
+def test_attribute_tokens_are_hashed_and_learned():
+    node = html.parse("<div class='sideBar x9' ID=main-2 data-x=ads></div>")[1]
+    bucket = lambda t: html.zlib.crc32(t.encode()) % html.TOKENS
+    assert node.tokens == tuple(map(bucket, ("side", "bar", "main")))
+    odds = html.trained().odds
+    assert odds[bucket("footer")] < -1 and odds[bucket("comments")] < -1 and odds[bucket("entry")] > 1 and odds[bucket("neverseen")] == 0
+
+
 def test_decoding_has_no_contradictions():
     rng = random.Random(5)
     for _ in range(30):
