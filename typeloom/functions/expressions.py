@@ -111,6 +111,12 @@ def infer_optional(given: Column, computed: Column, strict: bool = True) -> Colu
     return F.when(given.isNull(), computed).when(given == computed, given).otherwise(wrong)
 
 
+def infer_required(given: Column, computed: Column, strict: bool = True) -> Column:
+    """The given value, which must equal the computed one; where it differs or is missing, an error, or null if not strict."""
+    wrong = F.raise_error(F.concat(F.lit("required value differs from its expression: "), F.coalesce(given.cast("string"), F.lit("none")))) if strict else F.lit(None)
+    return F.when(given.eqNullSafe(computed) & given.isNotNull(), given).otherwise(wrong)
+
+
 def infer_conflict(given: Column, computed: Column) -> Column:
     """Whether a given value contradicts its expression; false where none is given."""
     return F.coalesce(given != computed, F.lit(False))

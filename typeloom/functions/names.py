@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from urllib.parse import quote_plus
 
 from pyspark.sql import Column
@@ -101,11 +101,18 @@ def snake_case_col(name: Column) -> Column:
 
 
 def pascal_case_col(name: Column) -> Column:
-    """For names with separators; a single word gets a capital."""
     words = F.filter(F.split(name, r"[ _\-]+"), lambda w: w != "")
-    joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), "")
-    single = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20))
-    return F.when(name.rlike(r"[ _\-]"), joined).otherwise(single)
+    rest = lambda w, n: F.substring(w, n, F.length(w))
+    joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(rest(w, F.lit(2))))), "")
+    acronym = F.regexp_extract(name, r"^([A-Z]{2,}(?=[A-Z][a-z])|[A-Z]{2,}$)", 1)
+    folded = F.concat(F.substring(acronym, 1, 1), F.lower(rest(acronym, F.lit(2))), rest(name, F.length(acronym) + 1))
+    single = F.concat(F.upper(F.substring(name, 1, 1)), rest(name, F.lit(2)))
+    return F.when(name.rlike(r"[ _\-]"), joined).when(acronym != "", folded).otherwise(single)
+
+
+def camel_case_col(name: Column) -> Column:
+    found = pascal_case_col(name)
+    return F.concat(F.lower(F.substring(found, 1, 1)), F.substring(found, F.lit(2), F.length(found)))
 
 
 def expand_col(text: Column, prefixes: Mapping[str, str], strict: bool = True) -> Column:
@@ -133,17 +140,41 @@ def synthetic_uri_col(space: Column, name: Column) -> Column:
     return F.concat(space, F.url_encode(name))
 
 
+_SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def _coded(text: Column, plain: Callable[[Column], Column], short: Mapping[str, str]) -> Column:
+    """text with each character as it is, as its short escape, or as \\u or \\U and its code."""
+    codes = F.regexp_extract_all(F.hex(F.encode(text, "UTF-32")), F.lit("(.{8})"), 1)
+
+    def one(code: Column) -> Column:
+        found = F.when(plain(code), F.decode(F.unhex(F.substring(code, 7, 2)), "UTF-8"))
+        for raw, escaped in short.items():
+            found = found.when(code == f"{ord(raw):08X}", escaped)
+        return found.when(code <= "0000FFFF", F.concat(F.lit("\\u"), F.substring(code, 5, 4))).otherwise(F.concat(F.lit("\\U"), code))
+
+    return F.array_join(F.transform(codes, one), "")
+
+
 def ntriples_string(text: Column) -> Column:
-    """Escapes of an N-Triples string: backslash, quote, line feed, carriage return and tab."""
-    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        text = F.replace(text, F.lit(raw), F.lit(escaped))
-    return text
+    """A string for N-Triples: backslash, quote, line ends and tab by their escapes, all else beyond ASCII by its code."""
+    simple = text
+    for raw, escaped in _SHORT.items():
+        simple = F.replace(simple, F.lit(raw), F.lit(escaped))
+    plain = lambda code: code.between("00000020", "0000007E") & ~code.isin("00000022", "0000005C")
+    return F.when(text.rlike(r"[^\x20-\x7E\n\r\t]"), _coded(text, plain, _SHORT)).otherwise(simple)
+
+
+def ntriples_iri(text: Column) -> Column:
+    """An IRI for N-Triples: what it may not hold, and all beyond ASCII, by its code."""
+    odd = [f"{ord(c):08X}" for c in '<>"{}|^`\\']
+    plain = lambda code: code.between("00000021", "0000007E") & ~code.isin(odd)
+    return F.when(text.rlike(r"[^\x21-\x7E]|[<>\"{}|^`\\\\]"), _coded(text, plain, {})).otherwise(text)
 
 
 def ntriples_escape(text: str, iri: bool = False) -> str:
     """The same on the driver, with everything beyond ASCII as \\u and \\U escapes."""
-    short = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-    out = []
+    short, out = _SHORT, []
     for c in text:
         code = ord(c)
         if iri:

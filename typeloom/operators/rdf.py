@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typeloom.functions.names import namespace, ntriples_escape, ntriples_string
+from typeloom.functions.names import expand_col, namespace, ntriples_escape, ntriples_iri, ntriples_string
 from typeloom.plans.catalog import Attribute, Catalog
 from typeloom.plans.model import Element
 
@@ -20,7 +20,7 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 SH = "http://www.w3.org/ns/shacl#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 SKOS = "http://www.w3.org/2004/02/skos/core#"
-_ROWS = "array<struct<p:string,o:string,o_kind:string,o_datatype:string>>"
+_ROWS = "array<struct<s:string,s_kind:string,p:string,o:string,o_kind:string,o_datatype:string>>"
 IRI, BLANK, LITERAL = "iri", "blank", "literal"
 TRIPLES = "s string, s_kind string, p string, o string, o_kind string, o_datatype string"
 
@@ -211,7 +211,10 @@ def instances(df: DataFrame, catalog: Catalog, cls: str, subject: Column | None
     """Rows of a class as triples, without a shuffle: a type, and each value of each slot.
 
     The subject is the identifier in the class's default namespace unless given; references become IRIs of
-    their class's namespace, enumerations their meanings, implicit prefixes are applied, nulls left out.
+    their class's namespace, enumerations their meanings, CURIEs are expanded and implicit prefixes applied;
+    nulls are left out. Inline objects, in lists and dictionaries too, are nodes of their own, to the end of
+    the schema: named by their identifier, else blank, labelled by where they stand. What cannot be put as an
+    IRI (a value that is none of its enumeration) and values of any type are literals.
     """
     element = catalog.classes[cls]
     key = catalog.identifier(element)
@@ -219,60 +222,99 @@ def instances(df: DataFrame, catalog: Catalog, cls: str, subject: Column | None
         if key is None:
             raise ValueError(f"class {cls} has no identifier; give a subject")
         subject = F.concat(F.lit(_instance_space(catalog, element)), F.col(catalog.alias(key)).cast("string"))
-    rows = [F.array(_row(F.lit(RDF + "type"), F.lit(catalog.uri(element)), IRI, None))]
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    for attribute in catalog.attributes(element).values():
-        if attribute.slot.get("identifier") or attribute.name not in fields or attribute.kind in ("any", "inline"):
-            continue
-        listed = isinstance(fields[attribute.name], T.ArrayType)
-        values = F.col(attribute.name) if listed else F.array(attribute.name)
-
-        rows.append(F.coalesce(F.transform(values, _triple_of(catalog, attribute)), F.array().cast(_ROWS)))
-    found = df.select(subject.alias("s"), F.explode(F.array_compact(F.flatten(F.array(*rows)))).alias("t"))
-    return found.select("s", F.lit(IRI).alias("s_kind"), "t.p", "t.o", "t.o_kind", "t.o_datatype")
-
+    rows = _node(catalog, element, df.schema, lambda name: F.col(f"`{name}`"), F.col("_subject"), F.lit(IRI))
+    found = df.withColumn("_subject", subject).select(F.explode(rows).alias("t"))
+    return found.select("t.s", "t.s_kind", "t.p", "t.o", "t.o_kind", "t.o_datatype")
 
-def _triple_of(catalog: Catalog, attribute: Attribute):
-    def one(x: Column) -> Column:
-        value, kind, datatype = _object(catalog, attribute, x)
-        return F.when(x.isNotNull(), _row(F.lit(catalog.uri(attribute.slot)), value, kind, datatype))
 
-    return one
+def _row(s: Column, s_kind: Column, p: str, o: Column, kind: Column, datatype: str | None = None) -> Column:
+    return F.struct(s.alias("s"), s_kind.alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), kind.alias("o_kind"), F.lit(datatype).cast("string").alias("o_datatype"))
 
 
-def _row(p: Column, o: Column, kind: str, datatype: str | None) -> Column:
-    return F.struct(p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("o_datatype"))
+def _node(catalog: Catalog, cls: Element, schema: T.StructType, at: Callable[[str], Column], s: Column, kind: Column) -> Column:
+    """The triples of one object as an array: its type, and what its members say."""
+    rows = [F.array(_row(s, kind, RDF + "type", F.lit(catalog.uri(cls)), F.lit(IRI)))]
+    fields = {f.name: f.dataType for f in schema.fields}
+    for attribute in catalog.attributes(cls).values():
+        if attribute.slot.get("identifier") or attribute.name not in fields:
+            continue
+        rows.append(F.coalesce(_values(catalog, attribute, at(attribute.name), fields[attribute.name], s, kind), F.array().cast(_ROWS)))
+    return F.flatten(F.array(*rows))
+
+
+def _values(catalog: Catalog, attribute: Attribute, col: Column, kind: T.DataType, s: Column, s_kind: Column) -> Column:
+    """The triples of a slot's values; null where there are none."""
+    inline = attribute.kind == "inline"
+    if isinstance(kind, T.ArrayType):
+        return F.flatten(F.transform(col, lambda x, i: F.coalesce(_value(catalog, attribute, x, kind.elementType, s, s_kind, i), F.array().cast(_ROWS))))
+    if isinstance(kind, T.MapType) and inline and isinstance(kind.valueType, T.StructType):
+        entries = F.map_entries(col)
+        return F.flatten(F.transform(entries, lambda e, i: F.coalesce(_value(catalog, attribute, e["value"], kind.valueType, s, s_kind, i, e["key"]), F.array().cast(_ROWS))))
+    if isinstance(kind, T.MapType) and inline and attribute.form and attribute.form.value:
+        value = catalog.attributes(attribute.range)[attribute.form.value]
+        only = T.StructType([T.StructField(value.name, kind.valueType)])
+
+        def entry(e: Column, i: Column) -> Column:
+            return F.coalesce(_value(catalog, attribute, F.struct(e["value"].alias(value.name)), only, s, s_kind, i, e["key"]), F.array().cast(_ROWS))
+
+        return F.flatten(F.transform(F.map_entries(col), entry))
+    return _value(catalog, attribute, col, kind, s, s_kind, F.lit(0))
+
+
+def _value(catalog: Catalog, attribute: Attribute, x: Column, kind: T.DataType, s: Column, s_kind: Column, i: Column, key: Column | None = None) -> Column:
+    """The triples of one value, null for a null; ``i`` is its place, ``key`` its key in a dictionary."""
+    p = catalog.uri(attribute.slot)
+    if attribute.kind == "inline" and isinstance(kind, T.StructType):
+        own = catalog.identifier(attribute.range)
+        name = catalog.alias(own) if own is not None else None
+        given = key if key is not None and own is not None else x[name] if name in kind.names else None
+        blank = F.concat(F.lit("b"), F.md5(F.concat_ws("|", s, F.lit(p), i.cast("string")).cast("binary")))
+        node = blank if given is None else F.coalesce(F.concat(F.lit(_instance_space(catalog, attribute.range)), given.cast("string")), blank)
+        node_kind = F.lit(BLANK) if given is None else F.when(given.isNotNull(), IRI).otherwise(BLANK)
+        inner = _node(catalog, attribute.range, kind, lambda n: x[n], node, node_kind)
+        return F.when(x.isNotNull(), F.concat(F.array(_row(s, s_kind, p, node, node_kind)), inner))
+    if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
+        value, o_kind, datatype = F.to_json(x), F.lit(LITERAL), None
+    else:
+        value, o_kind, datatype = _object(catalog, attribute, x)
+    return F.when(x.isNotNull(), F.array(_row(s, s_kind, p, value, o_kind, datatype)))
 
 
 def _instance_space(catalog: Catalog, element: Element) -> str:
     return f"{catalog.default_namespace(element.schema)}{catalog.local_name(element).lower()}/"
 
 
-def _object(catalog: Catalog, attribute: Attribute, x: Column) -> tuple[Column, str, str | None]:
+def _object(catalog: Catalog, attribute: Attribute, x: Column) -> tuple[Column, Column, str | None]:
+    """A scalar as an object: its text, what it is, and a literal's type."""
     text = x.cast("string")
+    if attribute.kind in ("any", "inline"):
+        return text, F.lit(LITERAL), None
     if attribute.kind == "enum":
         found = catalog.meanings(attribute.range)
-        meanings = F.create_map(*[F.lit(v) for pair in found.items() for v in pair]) if found else F.create_map()
-        return F.try_element_at(meanings, text), IRI, None
+        if not found:
+            return text, F.lit(LITERAL), None
+        meaning = F.try_element_at(F.create_map(*[F.lit(v) for pair in found.items() for v in pair]), text)
+        return F.coalesce(meaning, text), F.when(meaning.isNotNull(), IRI).otherwise(LITERAL), None
     how = catalog.subject_type(attribute)
     if how.startswith("implicit:"):
         space = namespace(catalog.prefixes(attribute.slot.schema)[how.removeprefix("implicit:")])
-        return F.concat(F.lit(space), text), IRI, None
-    if attribute.kind == "reference":
-        return F.concat(F.lit(_instance_space(catalog, attribute.range)), text), IRI, None
+        return F.concat(F.lit(space), text), F.lit(IRI), None
     if how in ("uri", "curie", "uriorcurie"):
-        return text, IRI, None
-    return text, LITERAL, catalog.uri(attribute.range)
+        return F.coalesce(expand_col(text, catalog.prefixes(attribute.slot.schema), strict=False), text), F.lit(IRI), None
+    if attribute.kind == "reference":
+        return F.concat(F.lit(_instance_space(catalog, attribute.range)), text), F.lit(IRI), None
+    return text, F.lit(LITERAL), catalog.uri(attribute.range)
 
 
 def ntriples_lines(triples: DataFrame) -> DataFrame:
     """value: one N-Triples line a triple, by built-in functions alone."""
-    end = lambda v, k: F.when(k == BLANK, F.concat(F.lit("_:"), v)).otherwise(F.concat(F.lit("<"), v, F.lit(">")))
+    iri = lambda v: F.concat(F.lit("<"), ntriples_iri(v), F.lit(">"))
+    end = lambda v, k: F.when(k == BLANK, F.concat(F.lit("_:"), v)).otherwise(iri(v))
     plain = F.col("o_datatype").isNull() | (F.col("o_datatype") == XSD + "string")
     quoted = F.concat(F.lit('"'), ntriples_string(F.col("o")), F.lit('"'))
-    typed = F.when(plain, quoted).otherwise(F.concat(quoted, F.lit("^^<"), F.col("o_datatype"), F.lit(">")))
+    typed = F.when(plain, quoted).otherwise(F.concat(quoted, F.lit("^^"), iri(F.col("o_datatype"))))
     o = F.when(F.col("o_kind") == LITERAL, typed).otherwise(end(F.col("o"), F.col("o_kind")))
-    return triples.select(F.concat(end(F.col("s"), F.col("s_kind")), F.lit(" <"), F.col("p"), F.lit("> "), o, F.lit(" .")).alias("value"))
+    return triples.select(F.concat(end(F.col("s"), F.col("s_kind")), F.lit(" "), iri(F.col("p")), F.lit(" "), o, F.lit(" .")).alias("value"))
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:

@@ -7,28 +7,19 @@ catalog gives the same answers for one schema.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typeloom.plans.catalog import Catalog
+from typeloom.plans.catalog import closure as driver_closure
+from typeloom.session import drop_scratch, staged
 
-_OWN: dict[str, str] = {}
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df by way of a table in the folder that driver and executors share; its lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="typeloom-algebra"))
-    path = f"{folder}/typeloom/{spark.sparkContext.applicationId}/algebra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Graphs of at most so many edges are walked whole in each task (some 10 MB); larger ones by joins.
+HELD_EDGES = 100_000
 
 
 # -- a catalog as tables
@@ -82,6 +73,26 @@ def corpus_tables(spark: SparkSession, path: str) -> DataFrame:
     return texts.mapInPandas(derive, "schema_uri string, cls string, pos int, slot string, range_kind string, range string, required boolean, problem string")
 
 
+def lint_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, issue, severity, n: the problems of each schema text, linted where the rows are; imports are not followed."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def lint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from typeloom.operators.lint import issues, load
+        from typeloom.sources.documents import MapImporter
+
+        for batch in batches:
+            rows = []
+            for k, body in zip(batch[key], batch[text]):
+                catalog, found = load(str(k), body or "", MapImporter())
+                found = found if catalog is None else issues(catalog)
+                counts = Counter((i.kind, i.severity) for i in found)
+                rows += [(k, issue, severity, n) for (issue, severity), n in counts.items()]
+            yield pd.DataFrame(rows, columns=[key, "issue", "severity", "n"])
+
+    return texts.select(key, text).mapInPandas(lint, f"{key} {kind}, issue string, severity string, n long")
+
+
 # -- lookups
 
 
@@ -109,6 +120,24 @@ def unknown_references(refs: DataFrame, elements: DataFrame, name: str = "value"
     return refs.join(known, (F.col(name) == F.col("_n")) & (F.col(kind) == F.col("_k")), "left_anti")
 
 
+#: Kinds that a range can name.
+RANGES = ("class", "type", "enum")
+
+
+def reference_issues(refs: DataFrame, elements: DataFrame, name: str = "value", kind: str = "expected_kind") -> DataFrame:
+    """refs' columns but the kind, and issue, of the references that do not resolve.
+
+    A reference of kind ``range`` may name a class, a type or an enumeration; one that names only a slot or a
+    subset is an invalid range. An unknown ``string`` is told apart, as an import is all that it lacks.
+    """
+    known = elements.groupBy(F.col("name").alias("_n")).agg(F.collect_set("kind").alias("_kinds"))  # five kinds at most
+    wanted = F.when(F.col(kind) == "range", F.array(*map(F.lit, RANGES))).otherwise(F.array(kind))
+    unknown = F.when(F.col(name) == "string", "UnknownStringReference").otherwise("UnknownReference")
+    issue = F.when(F.col("_n").isNull(), unknown).when(~F.arrays_overlap("_kinds", wanted), F.when(F.col(kind) == "range", "InvalidRange").otherwise("UnknownReference"))
+    judged = refs.join(known, F.col(name) == F.col("_n"), "left").withColumn("issue", issue)
+    return judged.filter("issue IS NOT NULL").drop("_n", "_kinds", kind)
+
+
 def nonunique_names(elements: DataFrame) -> DataFrame:
     """space, name, n: names used more than once within a kind, where class, type and enum share one space."""
     space = F.when(F.col("kind").isin("class", "type", "enum"), "named").otherwise(F.col("kind"))
@@ -130,34 +159,113 @@ def expand_curies(curies: DataFrame, prefixes: DataFrame, column: str = "curie")
 # -- graphs
 
 
-def closure(edges: DataFrame, src: str = "src", dst: str = "dst", seeds: DataFrame | None = None, reflexive: bool = True) -> DataFrame:
+def _held(edges: DataFrame, most: int) -> dict | None:
+    """The successors of each node, in order, if there are at most ``most`` edges (src, dst, ord); else None."""
+    rows = edges.limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        out.setdefault(r[0], []).append(r[1])
+    return out
+
+
+def closure(edges: DataFrame, src: str = "src", dst: str = "dst", seeds: DataFrame | None = None, reflexive: bool = True, held_edges: int = HELD_EDGES) -> DataFrame:
     """start, node, depth: what each start reaches, at the fewest steps.
 
-    A frontier is joined with the edges and stripped of pairs seen before, until it is empty; the frontier
-    and what was seen are written after each step, so plans stay short.
+    A graph of at most ``held_edges`` edges goes to the tasks whole, and each walks from its own starts. In a
+    larger one a frontier is joined with the edges and stripped of pairs seen before, until it is empty; each
+    frontier is written once, and what was seen is all of them.
     """
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
     starts = seeds.select(F.col(seeds.columns[0]).alias("start")).distinct() if seeds is not None else e.select(F.col("_s").alias("start")).union(e.select("_d")).distinct()
-    seen = _cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
-    frontier, depth = seen, 0
+    after = _held(e.withColumn("_o", F.lit(0)), held_edges)
+    if after is not None:
+        kind = starts.schema["start"].dataType.simpleString()
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for start in batch["start"]:
+                    depths, level = {start: 0}, [start]
+                    while level:
+                        level = list(dict.fromkeys(d for s in level for d in after.get(s, ()) if d not in depths))
+                        depths |= dict.fromkeys(level, max(depths.values()) + 1)
+                    rows += [(start, node, depth) for node, depth in depths.items()]
+                yield pd.DataFrame(rows, columns=["start", "node", "depth"])
+
+        seen = starts.mapInPandas(walk, f"start {kind}, node {kind}, depth int")
+        return seen if reflexive else seen.filter("depth > 0")
+    frontier, _ = staged(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "frontier")
+    seen, depth = frontier, 0
     while True:
         depth += 1
         step = frontier.join(e, F.col("node") == F.col("_s")).select("start", F.col("_d").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier, path = staged(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
+            drop_scratch(path)
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen if reflexive else seen.filter("depth > 0")
 
 
-def ancestors(class_parents: DataFrame, reflexive: bool = True) -> DataFrame:
-    """cls, ancestor, depth."""
-    return closure(class_parents, "cls", "parent", reflexive=reflexive).withColumnsRenamed({"start": "cls", "node": "ancestor"})
+def _orders(start: str, parents: Callable[[str], Sequence[str]]) -> list[tuple[str, int, int]]:
+    """Each ancestor of a class with its place in the order of ancestors and in the order of precedence.
+
+    Ancestors come as a catalog lists them. Precedence goes through each parent in full depth before the
+    next one, mixins first; where a class is met more than once, the first time counts.
+    """
+    listed = {name: i for i, name in enumerate(driver_closure([start], parents))}
+    out, stack, met = [], [start], set()
+    while stack:
+        name = stack.pop()
+        if name not in met:
+            met.add(name)
+            out.append((name, listed[name], len(out)))
+            stack += reversed(parents(name))
+    return out
+
+
+def ancestors(class_parents: DataFrame, reflexive: bool = True, held_edges: int = HELD_EDGES) -> DataFrame:
+    """cls, ancestor, depth, ord, p: the ancestors of each class, in order, and ranked by precedence.
+
+    The ancestors of one class with their own parents are a small graph, which is walked in one place.
+    """
+    # mixins come before is_a
+    rank = F.when(F.col("kind") == "is_a", 1 << 30).otherwise(0) + F.col("ord")
+    edges = class_parents.select("cls", "parent", rank.alias("_rank")).distinct()
+    depths = closure(edges, "cls", "parent", held_edges=held_edges).withColumnsRenamed({"start": "cls", "node": "ancestor"})
+    after = _held(edges, held_edges)
+    schema = "cls string, ancestor string, ord int, p int"
+    if after is not None:
+
+        def rank_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(c, *found) for c in batch["cls"] for found in _orders(c, lambda n: after.get(n, []))]
+                yield pd.DataFrame(rows, columns=["cls", "ancestor", "ord", "p"])
+
+        ranked = depths.filter("depth = 0").select("cls").mapInPandas(rank_all, schema)
+    else:
+        depths, _ = staged(depths, "ancestors")
+
+        def rank_one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            after: dict[str, list[str]] = {}
+            for name, parent in own.sort_values("_rank", kind="stable")[["ancestor", "parent"]].itertuples(index=False):
+                after.setdefault(name, []).append(parent)
+            return pd.DataFrame([(key[0], *found) for found in _orders(key[0], lambda n: after.get(n, []))], columns=["cls", "ancestor", "ord", "p"])
+
+        inside = depths.select("cls", "ancestor").join(edges.withColumnRenamed("cls", "ancestor"), "ancestor", "left")
+        inside = inside.filter("parent IS NOT NULL OR cls = ancestor").fillna(0, ["_rank"])
+        ranked = inside.filter("parent IS NOT NULL").groupBy("cls").applyInPandas(rank_one, schema)
+        roots = depths.groupBy("cls").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("cls", F.col("cls").alias("ancestor"), F.lit(0).alias("ord"), F.lit(0).alias("p"))
+        ranked = ranked.unionByName(roots)
+    out = depths.join(ranked, ["cls", "ancestor"])
+    return out if reflexive else out.filter("depth > 0")
 
 
 def lowest_common_ancestors(class_parents: DataFrame, groups: DataFrame, group: str = "grp", cls: str = "cls") -> DataFrame:
     """grp, ancestor: common ancestors of each group's classes that are no strict ancestors of another."""
-    up = _cut(ancestors(class_parents).select(F.col("cls").alias("_c"), "ancestor"))
+    up, _ = staged(closure(class_parents, "cls", "parent").select(F.col("start").alias("_c"), F.col("node").alias("ancestor")), "ancestors")
     wanted = groups.select(group, F.col(cls).alias("_c")).distinct()
     sizes = wanted.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     # a class outside the graph is its own only ancestor
@@ -172,6 +280,14 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return closure(edges, seeds=seeds).select("node").distinct()
 
 
+def pruned(elements: DataFrame, edges: DataFrame, roots: DataFrame | None = None, default_ranges: Sequence[str] = ()) -> DataFrame:
+    """Elements that a generator keeps: reached from the roots (name), or from the root schema's classes without
+    them, and from the schemas' default ranges."""
+    names = roots.select("name") if roots is not None else elements.filter("kind = 'class' AND schema_ord = 0").select("name")
+    ranges = elements.filter(F.col("name").isin(list(default_ranges)) & F.col("kind").isin(*RANGES)).select("name")
+    return elements.join(reachable(edges, names.union(ranges)).withColumnRenamed("node", "name"), "name", "left_semi")
+
+
 def unused(elements: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Elements that no seed reaches."""
     return elements.join(reachable(edges, seeds).withColumnRenamed("node", "name"), "name", "left_anti")
@@ -199,23 +315,43 @@ def appended(value: str, rank: str = "p") -> Column:
     return F.aggregate(ordered, F.array().cast("array<string>"), lambda acc, x: F.when((F.size(x) <= 0) | (acc == x), acc).otherwise(F.concat(acc, x)))
 
 
-def derive_slots(class_parents: DataFrame, class_slots: DataFrame) -> DataFrame:
+def merged_maps(layers: DataFrame, keys: Sequence[str], value: str, rank: str = "p") -> DataFrame:
+    """keys and value: the maps of all layers as one; where several have a key, the one of the highest rank counts.
+
+    A group whose maps are all null or empty has an empty map.
+    """
+    kind = layers.schema[value].dataType.simpleString()
+    entries = layers.select(*keys, rank, F.explode_outer(value).alias("_key", "_value"))
+    best = entries.groupBy(*keys, "_key").agg(F.max_by("_value", rank).alias("_value"))
+    held = F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("_key", "_value")))
+    return best.groupBy(*keys).agg(F.map_from_entries(F.sort_array(held)).cast(kind).alias(value))
+
+
+def derive_slots(class_parents: DataFrame, class_slots: DataFrame, slots: DataFrame | None = None) -> DataFrame:
     """cls, slot, range, required, multivalued, identifier, pattern of the effective slots.
 
-    Layers rank by distance, and within a class usage before attribute before slot; values come from the
-    nearest layer that has one, flags are true if any layer says so, keys are required.
+    Layers rank by precedence: a class's usage, then its attribute, then its mixins, each in full depth, then
+    its parent. The schema's own ``slots`` (slot, ord, range, required, ...; ord 0 for the slot itself, then
+    those it inherits from) come last, for slots that no class declares as an attribute. Values come from the
+    first layer that has one, flags are true if any layer says so, keys are required.
     """
-    up = ancestors(class_parents).select("cls", "ancestor", "depth")
-    alone = class_slots.select("cls").distinct().join(up.select("cls").distinct(), "cls", "left_anti").select("cls", F.col("cls").alias("ancestor"), F.lit(0).alias("depth"))
+    up = ancestors(class_parents).select("cls", "ancestor", "p")
+    alone = class_slots.select("cls").distinct().join(up.select("cls").distinct(), "cls", "left_anti").select("cls", F.col("cls").alias("ancestor"), F.lit(0).alias("p"))
     source = F.array_position(F.array(*map(F.lit, ("slot_usage", "attribute", "slot"))), F.col("source"))
-    layers = up.unionByName(alone).join(class_slots.withColumnRenamed("cls", "ancestor"), "ancestor").withColumn("p", F.struct(F.col("depth"), source.alias("s"), F.col("ancestor")))
+    values = ("range", "required", "multivalued", "identifier", "pattern")
+    held = up.unionByName(alone).join(class_slots.withColumnRenamed("cls", "ancestor"), "ancestor")
+    layers = held.select("cls", "slot", "source", *values, F.struct(F.col("p"), source.cast("int").alias("s")).alias("p"))
+    if slots is not None:
+        named = layers.groupBy("cls", "slot").agg(F.max((F.col("source") == "attribute").cast("int")).alias("_a")).filter("_a = 0")
+        top = named.join(slots, "slot").select("cls", "slot", F.lit("top").alias("source"), *values, F.struct(F.lit((1 << 31) - 1).alias("p"), F.col("ord").cast("int").alias("s")).alias("p"))
+        layers = layers.unionByName(top)
     merged = layers.groupBy("cls", "slot").agg(
         nearest("range").alias("range"),
         any_true("required").alias("_required"),
         any_true("multivalued").alias("multivalued"),
         any_true("identifier").alias("identifier"),
         nearest("pattern").alias("pattern"),
-        F.max((F.col("source") != "slot_usage").cast("int")).alias("_own"),
+        F.max(F.col("source").isin("attribute", "slot").cast("int")).alias("_own"),
     )
     return merged.filter("_own = 1").select("cls", "slot", "range", (F.col("_required") | F.col("identifier")).alias("required"), "multivalued", "identifier", "pattern")
 
@@ -232,6 +368,25 @@ def collection_forms(derived: DataFrame) -> DataFrame:
     return counts.select("cls", form.alias("form"))
 
 
+def range_forms(uses: DataFrame, forms: DataFrame) -> DataFrame:
+    """uses (range, multivalued, inlined_as_list) with form: that of the range's class where many are inlined by key."""
+    known = forms.select(F.col("cls").alias("range"), F.col("form").alias("_form"))
+    form = F.when(~F.col("multivalued"), "optional").when(F.col("_form").isNull() | F.col("inlined_as_list"), "list").otherwise(F.col("_form"))
+    return uses.join(known, "range", "left").withColumn("form", form).drop("_form")
+
+
+def bad_key_types(derived: DataFrame, elements: DataFrame) -> DataFrame:
+    """Identifiers whose range is a class or an enumeration and no type."""
+    kinds = elements.groupBy(F.col("name").alias("range")).agg(F.bool_or(F.col("kind") == "type").alias("_type"), F.bool_or(F.col("kind").isin("class", "enum")).alias("_other"))
+    return derived.filter("identifier").join(kinds, "range").filter("_other AND NOT _type").drop("_type", "_other")
+
+
+def slot_order(slots: DataFrame, group: Sequence[str], rank: str = "rank", name: str = "name", key: str = "is_key", value: str = "is_value") -> DataFrame:
+    """slots with pos from 0 in each group: the key, the value, then by rank (10000 where missing) and name."""
+    order = F.when(F.col(key), -2).when(F.col(value), -1).otherwise(F.coalesce(F.col(rank), F.lit(10000)))
+    return slots.withColumn("pos", F.row_number().over(Window.partitionBy(*group).orderBy(order, name)) - 1)
+
+
 def multiple_keys(derived: DataFrame) -> DataFrame:
     """cls, n_keys of the classes with several identifiers."""
     return derived.filter("identifier").groupBy("cls").agg(F.count(F.lit(1)).alias("n_keys")).filter("n_keys > 1")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,9 +46,6 @@ _HOLDS = {
     "date": ("date",),
     "datetime": ("timestamp", "timestamp_ntz"),
 }
-#: Enumerations beyond so many values are checked by an anti join.
-ISIN_VALUES = 200
-
 
 @dataclass
 class Constraint:
@@ -81,17 +79,27 @@ def _value_checks(catalog: Catalog, attribute: Attribute, spark_type: str) -> li
     elif runtime in _HOLDS and base not in _HOLDS[runtime]:
         whole = runtime == "integer" and base in ("float", "double", "decimal")
         out.append(("type", (lambda c: c != F.floor(c)) if whole else (lambda c: F.lit(True))))
-    numeric = (lambda c: c.try_cast("double")) if base == "string" else (lambda c: c)
     low, high, pattern = (attribute.merged(m) for m in ("minimum_value", "maximum_value", "pattern"))
     if low is not None:
-        out.append(("minimum", lambda c: F.coalesce(numeric(c) < F.lit(float(low)), F.lit(False))))
+        out.append(("minimum", lambda c: F.coalesce(_ordered(c, base, low, lambda x, y: x < y), F.lit(False))))
     if high is not None:
-        out.append(("maximum", lambda c: F.coalesce(numeric(c) > F.lit(float(high)), F.lit(False))))
+        out.append(("maximum", lambda c: F.coalesce(_ordered(c, base, high, lambda x, y: x > y), F.lit(False))))
     if pattern is not None:
         out.append(("pattern", lambda c: ~c.cast("string").rlike(pattern)))
     return out
 
 
+def _ordered(c: Column, base: str, bound: str, broken: Callable[[Column, Column], Column]) -> Column:
+    """Whether a value breaks a bound: exactly, as decimals, unless either is written as a float."""
+    exact = Decimal(bound)
+    if base in ("float", "double") or abs(exact.adjusted()) > 18 or -exact.as_tuple().exponent > 18:
+        return broken(c.cast("double"), F.lit(float(bound)))
+    limit = F.lit(exact).cast("decimal(38,18)")
+    if base == "string":  # what does not fit a decimal is compared as a double
+        return F.coalesce(broken(c.try_cast("decimal(38,18)"), limit), broken(c.try_cast("double"), F.lit(float(bound))))
+    return broken(c, F.lit(int(exact)) if exact == exact.to_integral_value() and base != "decimal" else F.lit(exact))
+
+
 def _any_of(catalog: Catalog, attribute: Attribute, spark_type: str) -> Callable[[Column], Column] | None:
     """True where a value fits none of the slot's branches."""
     branches = []
@@ -236,6 +244,13 @@ def valid_rows(df: DataFrame, catalog: Catalog, cls: str) -> DataFrame:
     return df.filter(~bad)
 
 
+def cardinality(df: DataFrame, group: Sequence[str], least: int = 0, most: int | None = None, out: str = "n") -> DataFrame:
+    """group and the number of its rows, for groups of fewer rows than ``least`` or more than ``most``."""
+    counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias(out))
+    wrong = F.col(out) < least
+    return counted.filter(wrong if most is None else wrong | (F.col(out) > most))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, n_rows of the keys that more than one row holds; a key with a null is no key."""
     whole = F.lit(True)

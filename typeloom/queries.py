@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,10 +111,13 @@ def url_format_violations(spark, sf_dir):
     return df.filter(found.invalid).select("page_id", "url")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE url LIKE 'http%://%') AS n_uri FROM pages")
+@query("SELECT page_id, page_id % 6 IN (0, 3, 5) AS is_uri, page_id % 6 IN (3, 5) AS is_curie FROM pages")
 def uri_validity(spark, sf_dir):
-    """The lexical check of URIs."""
-    return _table(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("url").rlike(names.URI_PATTERN)).alias("n_uri"))
+    """The lexical checks of URIs and CURIEs, over URLs left as they are or spoilt in several ways."""
+    url, k = F.col("url"), F.col("page_id")
+    spoilt = [url, F.replace(url, F.lit("://"), F.lit(" ")), F.concat(F.lit("<"), url, F.lit(">")), F.concat(F.lit("ex:a"), k), F.concat(F.lit("no colon "), k), F.concat(F.lit("urn:x"), k)]
+    text = F.element_at(F.array(*spoilt), (k % 6 + 1).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.rlike(names.URI_PATTERN).alias("is_uri"), text.rlike(names.CURIE_PATTERN).alias("is_curie"))
 
 
 @query("SELECT role, count(*) AS n FROM conversations WHERE role NOT IN ('user', 'assistant') GROUP BY role")
@@ -147,10 +151,12 @@ def key_duplicates(spark, sf_dir):
     return validate.duplicate_keys(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT o_orderkey AS o_orderkey, count(*) AS n_rows FROM orders GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT o_orderkey AS o_orderkey, count(*) AS n_rows FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3 UNION ALL SELECT NULL FROM orders) WHERE o_orderkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def identifier_duplicates(spark, sf_dir):
-    """The class's own identifier."""
-    return validate.key_duplicates(_table(spark, sf_dir, "orders"), tables_catalog(), "Order")
+    """The class's own identifier, over orders of which some come twice and some have lost it."""
+    orders = _table(spark, sf_dir, "orders")
+    again = orders.filter("o_custkey % 10 = 3")
+    return validate.key_duplicates(orders.unionByName(again).unionByName(orders.withColumn("o_orderkey", F.lit(None).cast("long"))), tables_catalog(), "Order")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -173,7 +179,7 @@ def reference_report(spark, sf_dir):
 @query("SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1 HAVING count(*) > 7")
 def cardinality_groups(spark, sf_dir):
     """Orders with more lines than allowed."""
-    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines")).filter("n_lines > 7")
+    return validate.cardinality(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], most=7, out="n_lines")
 
 
 @query("SELECT count(*) AS n_invalid FROM (SELECT o_orderkey FROM orders GROUP BY o_orderkey), (SELECT l_orderkey, count(*) c FROM lineitem GROUP BY 1) WHERE o_orderkey = l_orderkey AND c > 1")
@@ -230,8 +236,8 @@ def list_form(spark, sf_dir):
 @query("SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
 def dict_explode(spark, sf_dir):
     """Members of a JSON object as rows."""
-    entries = F.from_json("props", "map<string,string>")
-    return _table(spark, sf_dir, "events").select("event_id", F.explode(entries).alias("key", "value"))
+    events = _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("props"))
+    return validate.from_dict(events, "props", "key", "value")
 
 
 @query("SELECT CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'number' END AS json_type, count(*) AS n FROM events GROUP BY 1")
@@ -287,11 +293,20 @@ def case_snake(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", names.snake_case_col(F.col("p_name")).alias("snake"))
 
 
-@query("SELECT p_type, list_aggregate(list_transform(string_split(p_type || ' ' || p_brand, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', '') AS pascal, count(*) AS n FROM part GROUP BY ALL")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Http' || upper(p_type[1]) || lower(p_type[2:]) || p_partkey WHEN 1 THEN p_type[1] || lower(p_type[2:]) WHEN 2 THEN upper(p_name[1]) || string_split(p_name, ' ')[1][2:] || upper(string_split(p_name, ' ')[2][1]) || string_split(p_name, ' ')[2][2:] ELSE 'AField' || p_size END AS pascal, lower(pascal[1]) || pascal[2:] AS camel FROM part")
 def case_pascal(spark, sf_dir):
-    """F3."""
-    name = F.concat_ws(" ", "p_type", "p_brand")
-    return _table(spark, sf_dir, "part").groupBy("p_type", names.pascal_case_col(name).alias("pascal")).agg(F.count(F.lit(1)).alias("n"))
+    """names of several words, of one, and with acronyms."""
+    k, kind = F.col("p_partkey"), F.concat(F.substring("p_type", 1, 1), F.lower(F.expr("substring(p_type, 2)")))
+    name = F.when(k % 4 == 0, F.concat(F.lit("HTTP"), kind, k)).when(k % 4 == 1, F.col("p_type")).when(k % 4 == 2, F.col("p_name")).otherwise(F.concat(F.lit("aField"), "p_size"))
+    return _table(spark, sf_dir, "part").select("p_partkey", names.pascal_case_col(name).alias("pascal"), names.camel_case_col(name).alias("camel"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'xml_' || lower(p_type) || p_size WHEN 1 THEN 'my_' || lower(p_brand[1:5]) || '_name' ELSE lower(p_type) || p_size END AS snake FROM part")
+def case_snake_bounds(spark, sf_dir):
+    """case boundaries, acronyms, and a separator before a digit, which goes."""
+    k, kind = F.col("p_partkey"), F.concat(F.substring("p_type", 1, 1), F.lower(F.expr("substring(p_type, 2)")))
+    name = F.when(k % 3 == 0, F.concat(F.lit("XML"), kind, F.lit("_"), "p_size")).when(k % 3 == 1, F.concat(F.lit("my"), F.substring("p_brand", 1, 5), F.lit("Name"))).otherwise(F.concat(kind, F.lit(" -"), "p_size"))
+    return _table(spark, sf_dir, "part").select("p_partkey", names.snake_case_col(name).alias("snake"))
 
 
 @query("SELECT p_partkey, 'https://example.org/item/' || p_partkey AS uri FROM part")
@@ -336,203 +351,454 @@ def shape_order(spark, sf_dir):
     return validate.numbered(_table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"]).withColumn("ord", F.col("ord").cast("long"))
 
 
-# -- the schema algebra over small relations, the same in both engines
+# -- objects within objects
 
-_PARENTS = [("D", "M1", "mixin", 0), ("D", "B", "is_a", 1), ("M1", "A", "is_a", 0), ("B", "A", "is_a", 0), ("E", "B", "is_a", 0), ("F", "E", "is_a", 0), ("F", "M1", "mixin", 1), ("G", "A", "is_a", 0)]
-_SLOTS = [
-    ("A", "id", "attribute", "string", None, None, True, None),
-    ("A", "label", "attribute", "string", None, None, None, "^A"),
-    ("B", "label", "slot_usage", None, True, None, None, "^B"),
-    ("M1", "tags", "attribute", "string", None, True, None, None),
-    ("D", "tags", "slot_usage", "integer", None, None, None, None),
-    ("D", "extra", "slot", "double", None, None, None, None),
-    ("E", "code", "attribute", "string", None, None, True, None),
-    ("G", "ghost", "slot_usage", "string", None, None, None, None),
-]
-_ELEMENTS = [("A", "class", 0, "u:a"), ("B", "class", 0, "u:b"), ("A", "class", 1, "u:a2"), ("string", "type", 1, "u:s"), ("B", "enum", 1, "u:b"), ("label", "slot", 0, "u:l"), ("tags", "slot", 1, "u:l"), ("A", "slot", 0, "u:x"), ("sub", "subset", 0, "u:sub"), ("Z", "class", 0, "u:z")]
-_REFS = [("/classes/A/is_a/", "B", "class"), ("/classes/B/range/", "missing", "type"), ("/classes/B/mixins/0/", "label", "class"), ("/slots/x/range/", "string", "type")]
-_EDGES = [("A", "B"), ("B", "string"), ("B", "A"), ("label", "string"), ("sub", "Z")]
-_GROUPS = [("g1", "D"), ("g1", "E"), ("g2", "D"), ("g2", "F"), ("g3", "G"), ("g3", "F"), ("g4", "D"), ("g4", "X")]
-_CURIES = [("ex:1",), ("zz:2",), ("https://a/b",), ("plain",), ("g:3",)]
-_PREFIXES = [(0, "ex", "https://example.org/item/"), (0, "g", "https://example.org/go_")]
-_ISSUES = [("error", "a"), ("fatal", "b"), ("error", "c"), ("warning", "d")]
-_SEQS = [("s", 0, ["a", "b"]), ("s", 1, ["a", "b"]), ("s", 2, []), ("s", 3, ["c"]), ("t", 0, ["x"]), ("t", 1, ["y", "x"])]
+_NESTED = """{"id": "https://example.org/nested", "name": "nested", "imports": ["linkml:types"], "default_range": "string", "default_prefix": "n", "prefixes": {"n": "https://example.org/n/", "ex": "https://example.org/item/"},
+ "enums": {"Flag": {"permissible_values": {"R": {"meaning": "ex:returned"}, "A": {}, "N": {}}}},
+ "classes": {
+  "Line": {"attributes": {"number": {"range": "integer"}, "quantity": {"range": "double", "maximum_value": 49}, "flag": {"range": "Flag", "required": true}}},
+  "Ord": {"attributes": {"okey": {"range": "integer", "identifier": true}, "lines": {"range": "Line", "multivalued": true, "inlined_as_list": true}}},
+  "Cust": {"attributes": {"ckey": {"range": "integer", "identifier": true}, "orders": {"range": "Ord", "multivalued": true, "inlined": true, "inlined_as_list": true}}}}}"""
 
 
-def _values(name: str, rows: list[tuple], columns: str) -> str:
-    def said(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, list):
-            return f"CAST([{', '.join(map(said, v))}] AS VARCHAR[])"
-        return f"'{v}'" if isinstance(v, str) else str(v)
+def _nested_catalog():
+    from typeloom.operators.lint import loaded
 
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows) + ")"
+    return loaded(text=_NESTED)
 
 
-_V_PARENTS = _values("class_parents", _PARENTS, "cls, parent, kind, ord")
-_V_SLOTS = _values("class_slots", _SLOTS, "cls, slot, source, \"range\", required, multivalued, identifier, pattern")
-_V_ELEMENTS = _values("elements", _ELEMENTS, "name, kind, schema_ord, uri")
-_UP = "up(cls, ancestor, depth) AS (SELECT DISTINCT c, c, 0 FROM (SELECT cls AS c FROM class_parents UNION SELECT parent FROM class_parents) UNION SELECT u.cls, p.parent, u.depth + 1 FROM up u JOIN class_parents p ON u.ancestor = p.cls WHERE u.depth < 20), anc AS (SELECT cls, ancestor, min(depth) AS depth FROM up GROUP BY ALL)"
+def _nested(spark, sf_dir) -> DataFrame:
+    """Customers with their orders with their lines, some of which have no flag or one that there is not."""
+    flag = F.when(F.col("l_partkey") % 90 == 2, "X").when(F.col("l_partkey") % 90 != 1, F.col("l_returnflag"))
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("number"), F.col("l_quantity").alias("quantity"), flag.alias("flag"))).alias("lines"))
+    orders = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return orders.groupBy(F.col("o_custkey").alias("ckey")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("okey"), "lines")).alias("orders"))
 
 
-def _parents(spark):
-    return spark.createDataFrame(_PARENTS, "cls string, parent string, kind string, ord int")
+_OF = "(SELECT o_custkey AS ckey, o_orderkey AS okey, l_linenumber, l_quantity AS quantity, CASE WHEN l_partkey % 90 = 2 THEN 'X' WHEN l_partkey % 90 <> 1 THEN l_returnflag END AS flag FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
-def _class_slots(spark):
-    return spark.createDataFrame(_SLOTS, "cls string, slot string, source string, range string, required boolean, multivalued boolean, identifier boolean, pattern string")
+@query(
+    "WITH n AS (SELECT ckey, coalesce(bool_or(quantity > 49), false) AS q, coalesce(bool_or(l_linenumber IS NOT NULL AND flag IS NULL), false) AS r, coalesce(bool_or(flag NOT IN ('R', 'A', 'N')), false) AS e FROM " + _OF + " GROUP BY ckey) "
+    + " UNION ALL ".join(f"SELECT '{w}' AS slot, '{k}' AS \"constraint\", count(*) FILTER (WHERE {p}) AS n_invalid FROM n" for w, k, p in [("ckey", "required", "false"), ("orders", "null_item", "false"), ("orders.okey", "required", "false"), ("orders.lines", "null_item", "false"), ("orders.lines.quantity", "maximum", "q"), ("orders.lines.flag", "required", "r"), ("orders.lines.flag", "enum", "e")])
+)
+def nested_report(spark, sf_dir):
+    """Constraints of objects in lists of objects in lists, counted by the rows that break them."""
+    return validate.report(_nested(spark, sf_dir), _nested_catalog(), "Cust")
+
 
+@query(f"SELECT valid, count(*) AS n FROM (SELECT ckey, NOT coalesce(bool_or(quantity > 49 OR (l_linenumber IS NOT NULL AND flag IS NULL) OR flag NOT IN ('R', 'A', 'N') OR okey % 50 = 7), false) AS valid FROM {_OF} GROUP BY ckey) GROUP BY valid")
+def nested_json(spark, sf_dir):
+    """The same as JSON texts, some with a member that no class has."""
+    extra = F.transform("orders", lambda o: F.struct(o["okey"].alias("okey"), o["lines"].alias("lines"), F.when(o["okey"] % 50 == 7, "x").alias("odd")))
+    text = F.to_json(F.struct("ckey", extra.alias("orders")))
+    return _nested(spark, sf_dir).groupBy(validate.json_valid(text, _nested_catalog(), "Cust").alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
-def _elements(spark):
-    return spark.createDataFrame(_ELEMENTS, "name string, kind string, schema_ord int, uri string")
+
+@query(
+    f"WITH o AS {_OF}, t AS (SELECT 'type' AS p, 'Cust' AS what, count(DISTINCT ckey) AS n FROM o UNION ALL SELECT 'type', 'Ord', count(DISTINCT okey) FROM o UNION ALL SELECT 'type', 'Line', count(l_linenumber) FROM o "
+    "UNION ALL SELECT 'orders', 'iri', count(DISTINCT okey) FROM o UNION ALL SELECT 'lines', 'blank', count(l_linenumber) FROM o UNION ALL SELECT 'number', 'integer', count(l_linenumber) FROM o UNION ALL SELECT 'quantity', 'double', count(quantity) FROM o "
+    "UNION ALL SELECT 'flag', CASE flag WHEN 'R' THEN 'https://example.org/item/returned' WHEN 'X' THEN 'literal X' ELSE 'https://example.org/n/' || flag END, count(*) FROM o WHERE flag IS NOT NULL GROUP BY 2) SELECT p, what, n FROM t"
+)
+def inline_triples(spark, sf_dir):
+    """Inline objects as nodes of their own, named or blank, with all their values."""
+    found = rdf.instances(_nested(spark, sf_dir), _nested_catalog(), "Cust")
+    local = lambda c: F.regexp_extract(c, "[^/#]+$", 0)
+    p = local(F.col("p"))
+    what = F.when(p == "type", local(F.col("o"))).when(p == "flag", F.when(F.col("o_kind") == "iri", F.col("o")).otherwise(F.concat(F.lit("literal "), "o")))
+    what = what.when(F.col("o_kind") == "literal", local(F.col("o_datatype"))).otherwise(F.col("o_kind"))
+    return found.groupBy(p.alias("p"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '\\' THEN '\\\\' WHEN c = '\"' THEN '\\\"' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t' WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN '\\u' || upper(lpad(to_hex(unicode(c)), 4, '0')) ELSE '\\U' || upper(lpad(to_hex(unicode(c)), 8, '0')) END), '')) AS escaped FROM (SELECT doc_id, text || ' ' || chr(128512) || '\"' || chr(9) AS text FROM documents)")
+def nt_string_escapes(spark, sf_dir):
+    """whole texts as N-Triples strings."""
+    text = F.concat("text", F.lit(" \U0001F600\"\t"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(names.ntriples_string(text).cast("binary")).alias("escaped"))
+
+
+@query("SELECT page_id, array_to_string(list_transform(string_split(iri, ''), lambda c: CASE WHEN unicode(c) BETWEEN 33 AND 126 AND NOT contains('<>\"{}|^`\\', c) THEN c ELSE '\\u' || upper(lpad(to_hex(unicode(c)), 4, '0')) END), '') AS iri FROM (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '/a <b>|{' || page_id || '} é\\^`\"' ELSE '' END AS iri FROM pages)")
+def nt_iri_escapes(spark, sf_dir):
+    """IRIs, some with what an IRI may not hold."""
+    odd = F.concat(F.lit("/a <b>|{"), F.col("page_id").cast("string"), F.lit("} é\\^`\""))
+    iri = F.concat("url", F.when(F.col("page_id") % 2 == 0, odd).otherwise(F.lit("")))
+    return _table(spark, sf_dir, "pages").select("page_id", names.ntriples_iri(iri).alias("iri"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN length(text) END AS n_chars FROM documents")
+def infer_required(spark, sf_dir):
+    """a required value must equal its expression."""
+    k, computed = F.col("doc_id") % 3, F.length("text").cast("long")
+    given = F.when(k == 0, F.col("n_chars")).when(k == 1, F.col("n_chars") + 1)
+    return _table(spark, sf_dir, "documents").select("doc_id", expressions.infer_required(given, computed, strict=False).alias("n_chars"))
+
+
+_FAULTS = [
+    ('"classes": {"R": {"tree_root": true}}', None),
+    ('"classes": {"R": {"tree_root": true}, "A": {"is_a": "Nope"}}', "UnknownReference"),
+    ('"classes": {"R": {"tree_root": true, "attributes": {"x": {"range": "sl"}}}}, "slots": {"sl": {}}', "InvalidRange"),
+    ('"classes": {"R": {"tree_root": true, "is_a": "R"}}', "CyclicInheritance"),
+    ('"classes": {"R": {"tree_root": true}, "S": {"tree_root": true}}', "MultipleTreeRoots"),
+    ('"classes": {"R": {"tree_root": true}, "K": {"attributes": {"a": {"key": true}, "b": {"identifier": true}}}}', "MultipleKeyOrIdSlots"),
+    ('"classes": {"R": {"tree_root": true}, "K": {"attributes": {"a": {"key": true, "range": "R"}}}}', "InvalidKeyOrIdSlotType"),
+    ('"classes": {"R": {"tree_root": true}}, "enums": {"R": {}}', "NonUniqueName"),
+    ('"classes": {"R": {"tree_root": true}}, "types": {"t": {"base": "str", "implicit_prefix": "nope"}}', "UndefinedPrefix"),
+    ('"classes": {"R": {"tree_root": true}}, "slots": {"s": {"slot_uri": "no where:x"}}', "InvalidUriOrCurie"),
+    ('"classes": {"R": {"tree_root": true}, "C": {"slot_usage": {"ghost": {"required": true}}}}', "InvalidSlotUsage"),
+    ('"classes": {"A": {}}', "NoTreeRootClass"),
+    ('"classes": 5', "SchemaParseError"),
+    ('"imports": ["elsewhere"]', "SchemaImportError"),
+]
 
 
-@query(f"WITH RECURSIVE {_V_PARENTS}, {_UP} SELECT cls, ancestor, CAST(depth AS INTEGER) AS depth FROM anc")
+@query("WITH faults(k, issue) AS (VALUES " + ", ".join(f"({i}, '{issue}')" for i, (_, issue) in enumerate(_FAULTS) if issue) + f") SELECT p_partkey, issue, 1 AS n FROM part JOIN faults ON p_partkey % {len(_FAULTS)} = k")
+def corpus_lint(spark, sf_dir):
+    """A schema text a row, each with one fault or none, linted where the rows are."""
+    bodies = F.array(*[F.lit(body) for body, _ in _FAULTS])
+    rest = F.element_at(bodies, (F.col("p_partkey") % len(_FAULTS) + 1).cast("int"))
+    imports = F.when(rest.contains('"imports"'), "").otherwise('"imports": ["linkml:types"], ')
+    text = F.concat(F.lit('{"id": "https://e.org/'), F.col("p_partkey").cast("string"), F.lit('", "name": "s", "default_range": "string", '), imports, rest, F.lit("}"))
+    found = relational.lint_texts(_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return found.select("p_partkey", "issue", F.col("n").cast("int").alias("n"))
+
+
+# -- the schema algebra over a corpus: classes, slots and references made of the tables' rows by SQL that both engines read
+
+_CORPUS = {
+    "class_parents": """
+        SELECT concat('C', p_partkey) AS cls, concat('C', CAST(floor(p_partkey / 2) AS BIGINT)) AS parent, 'is_a' AS kind, 0 AS ord FROM part WHERE p_partkey >= 2
+        UNION ALL SELECT concat('C', p_partkey), concat('C', CAST(floor(p_partkey / 3) AS BIGINT)), 'mixin', 0 FROM part WHERE p_partkey % 5 = 0 AND p_partkey >= 3
+        UNION ALL SELECT concat('C', p_partkey), concat('C', p_partkey - 3), 'mixin', 1 FROM part WHERE p_partkey % 7 = 0 AND p_partkey > 3""",
+    "class_slots": """
+        SELECT concat('C', p_partkey) AS cls, concat('s', p_size % 12) AS slot, 'attribute' AS source, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS rng,
+               CASE WHEN p_partkey % 4 = 0 THEN true END AS required, CASE WHEN p_partkey % 6 = 0 THEN true END AS multivalued,
+               CASE WHEN p_partkey % 11 = 0 THEN true END AS identifier, CASE WHEN p_partkey % 2 = 0 THEN concat('^', p_type) END AS pattern
+        FROM part WHERE p_partkey % 2 = 1 OR p_partkey < 40
+        UNION ALL SELECT concat('C', p_partkey), concat('s', p_partkey % 13), 'slot_usage', p_type, CASE WHEN p_partkey % 8 = 1 THEN true END, CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN), p_name
+        FROM part WHERE p_partkey % 3 = 1
+        UNION ALL SELECT concat('C', p_partkey), concat('t', p_partkey % 5), 'slot', CAST(NULL AS STRING), CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN), CAST(NULL AS STRING)
+        FROM part WHERE p_partkey % 9 = 2""",
+    "slots": """
+        SELECT concat('t', r_regionkey) AS slot, 0 AS ord, r_name AS rng, r_regionkey % 2 = 0 AS required, CAST(NULL AS BOOLEAN) AS multivalued, CAST(NULL AS BOOLEAN) AS identifier, CAST(NULL AS STRING) AS pattern FROM region
+        UNION ALL SELECT concat('t', n_regionkey), 1 + n_nationkey, 'far', CAST(NULL AS BOOLEAN), n_nationkey % 3 = 0, CAST(NULL AS BOOLEAN), n_name FROM nation""",
+    "elements": """
+        SELECT concat('C', p_partkey) AS name, 'class' AS kind, CAST(p_partkey % 3 AS INT) AS schema_ord, concat('u:c', p_size) AS uri FROM part
+        UNION ALL SELECT concat('C', p_partkey), 'class', 3, concat('u:d', p_size) FROM part WHERE p_partkey % 10 = 0
+        UNION ALL SELECT concat('C', p_partkey), 'enum', 4, concat('u:e', p_size) FROM part WHERE p_partkey % 50 = 0
+        UNION ALL SELECT DISTINCT p_brand, 'type', 1, concat('u:', p_brand) FROM part
+        UNION ALL SELECT DISTINCT p_type, 'enum', 2, concat('u:', p_type) FROM part
+        UNION ALL SELECT concat('s', p_partkey), 'slot', 0, concat('u:c', p_partkey) FROM part WHERE p_partkey < 12
+        UNION ALL SELECT concat('C', p_partkey), 'slot', 1, 'u:x' FROM part WHERE p_partkey % 70 = 3
+        UNION ALL SELECT n_name, 'subset', 0, concat('u:', n_name) FROM nation""",
+    "refs": """
+        SELECT concat('/classes/C', p_partkey, '/is_a/') AS path, concat('C', 2 * p_partkey) AS value, 'class' AS expected_kind FROM part
+        UNION ALL SELECT concat('/classes/C', p_partkey, '/attributes/a/range/'), CASE WHEN p_partkey % 5 = 0 THEN 'string' WHEN p_partkey % 7 = 0 THEN concat('s', p_partkey % 20) WHEN p_partkey % 11 = 0 THEN 'NATION_3' WHEN p_partkey % 13 = 0 THEN p_type ELSE p_brand END, 'range' FROM part""",
+    "edges": """
+        SELECT concat('C', p_partkey) AS src, concat('C', CAST(floor(p_partkey / 2) AS BIGINT)) AS dst FROM part WHERE p_partkey % 4 <> 3
+        UNION ALL SELECT concat('C', p_partkey), p_brand FROM part WHERE p_partkey % 3 = 0
+        UNION ALL SELECT p_brand, p_type FROM part WHERE p_partkey % 5 = 0
+        UNION ALL SELECT p_type, concat('C', p_partkey) FROM part WHERE p_partkey % 97 = 5""",
+    "seeds": "SELECT concat('C', p_partkey) AS seed FROM part WHERE p_partkey % 90 = 17",
+    "grps": """
+        SELECT concat('g', s_suppkey) AS grp, concat('C', s_suppkey * 7 + 3) AS cls FROM supplier
+        UNION ALL SELECT concat('g', s_suppkey), concat('C', s_suppkey * 5 + 11) FROM supplier
+        UNION ALL SELECT concat('g', s_suppkey), concat('C', s_suppkey + 40) FROM supplier WHERE s_suppkey % 3 = 0""",
+    "used": "SELECT DISTINCT lower(c_mktsegment) AS prefix FROM customer",
+    "prefixes": """
+        SELECT DISTINCT 0 AS schema_ord, lower(c_mktsegment) AS prefix, concat('https://example.org/', lower(c_mktsegment), CASE WHEN c_mktsegment < 'C' THEN '#' WHEN c_mktsegment < 'H' THEN '' ELSE '/' END) AS namespace
+        FROM customer WHERE c_mktsegment <> 'MACHINERY'""",
+    "curies": """
+        SELECT CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN concat('urn:x:', c_custkey) WHEN 2 THEN concat('http://e.org/', c_custkey) ELSE concat(lower(c_mktsegment), ':', c_custkey, ':a') END AS curie FROM customer
+        UNION ALL SELECT concat(lower(c_mktsegment), ':', c_custkey) FROM customer WHERE c_custkey % 4 = 0""",
+    "seqs": """
+        SELECT concat('s', o_custkey % 200) AS slot, o_orderkey AS p, o_orderstatus AS a, o_orderpriority AS b FROM orders WHERE o_orderkey % 5 = 0""",
+    "issues": "SELECT CASE l_returnflag WHEN 'R' THEN 'fatal' WHEN 'A' THEN 'error' ELSE 'warning' END AS severity, l_linestatus AS what FROM lineitem",
+}
+
+
+def _corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A relation of the corpus; ``rng`` stands for range, which SQL reserves."""
+    sql = re.sub(r"\bFROM (\w+)", lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`", _CORPUS[name])
+    return spark.sql(sql).withColumnRenamed("rng", "range")
+
+
+def _with(*names: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({_CORPUS[n]})" for n in names)
+
+
+# every way up from each class, with the place of each step among a class's parents; the first way in that order ranks an ancestor
+_UP = """ways(cls, ancestor, way) AS (
+  SELECT c, c, CAST([] AS BIGINT[]) FROM (SELECT cls AS c FROM class_parents UNION SELECT parent FROM class_parents)
+  UNION ALL SELECT w.cls, e.parent, list_append(w.way, e.ord + CASE e.kind WHEN 'is_a' THEN 100 ELSE 0 END) FROM ways w JOIN class_parents e ON w.ancestor = e.cls
+), anc AS (SELECT cls, ancestor, CAST(min(len(way)) AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY cls ORDER BY min(way)) - 1 AS INTEGER) AS p FROM ways GROUP BY cls, ancestor)"""
+
+
+@query(f"{_with('class_parents')}, {_UP} SELECT cls, ancestor, depth, p FROM anc")
 def class_ancestors(spark, sf_dir):
-    """G1-G4."""
-    return relational.ancestors(_parents(spark))
+    """Ancestors with their distance and their rank by precedence."""
+    return relational.ancestors(_corpus(spark, sf_dir, "class_parents")).select("cls", "ancestor", "depth", "p")
 
 
-@query(f"WITH RECURSIVE {_V_PARENTS}, {_values('groups', _GROUPS, 'grp, cls')}, {_UP}, held AS (SELECT grp, g.cls, coalesce(ancestor, g.cls) AS ancestor FROM groups g LEFT JOIN anc ON g.cls = anc.cls), sizes AS (SELECT grp, count(DISTINCT cls) AS n FROM groups GROUP BY grp), common AS (SELECT held.grp, ancestor FROM held JOIN sizes ON held.grp = sizes.grp GROUP BY held.grp, ancestor, n HAVING count(DISTINCT cls) = n) SELECT grp, ancestor FROM common c WHERE NOT EXISTS (SELECT 1 FROM common d JOIN anc ON d.ancestor = anc.cls WHERE d.grp = c.grp AND anc.ancestor = c.ancestor AND anc.cls <> c.ancestor)")
+@query(f"{_with('class_parents', 'grps')}, {_UP}, held AS (SELECT grp, g.cls, coalesce(ancestor, g.cls) AS ancestor FROM grps g LEFT JOIN anc ON g.cls = anc.cls), sizes AS (SELECT grp, count(DISTINCT cls) AS n FROM grps GROUP BY grp), common AS (SELECT held.grp, ancestor FROM held JOIN sizes ON held.grp = sizes.grp GROUP BY held.grp, ancestor, n HAVING count(DISTINCT cls) = n) SELECT grp, ancestor FROM common c WHERE NOT EXISTS (SELECT 1 FROM common d JOIN anc ON d.ancestor = anc.cls WHERE d.grp = c.grp AND anc.ancestor = c.ancestor AND anc.cls <> c.ancestor)")
 def lca(spark, sf_dir):
     """G5, U2, U3."""
-    return relational.lowest_common_ancestors(_parents(spark), spark.createDataFrame(_GROUPS, "grp string, cls string"))
+    return relational.lowest_common_ancestors(_corpus(spark, sf_dir, "class_parents"), _corpus(spark, sf_dir, "grps"))
+
 
+_REACHED = f"{_with('elements', 'edges', 'seeds')}, r(node) AS (SELECT seed FROM seeds UNION SELECT dst FROM r JOIN edges ON node = src)"
 
-@query(f"WITH RECURSIVE {_values('edges', _EDGES, 'src, dst')}, r(node) AS (SELECT 'A' UNION SELECT dst FROM r JOIN edges ON node = src) SELECT node FROM r")
+
+@query(_REACHED + " SELECT node FROM r")
 def reachable_elements(spark, sf_dir):
     """A closure over a cyclic graph."""
-    return relational.reachable(spark.createDataFrame(_EDGES, "src string, dst string"), spark.createDataFrame([("A",)], "seed string"))
+    return relational.reachable(_corpus(spark, sf_dir, "edges"), _corpus(spark, sf_dir, "seeds"))
 
 
-@query(f"WITH RECURSIVE {_V_ELEMENTS}, {_values('edges', _EDGES, 'src, dst')}, r(node) AS (SELECT 'A' UNION SELECT dst FROM r JOIN edges ON node = src) SELECT name, kind, schema_ord, uri FROM elements WHERE name NOT IN (SELECT node FROM r)")
+@query(_REACHED + " SELECT name, kind, schema_ord, uri FROM elements WHERE name NOT IN (SELECT node FROM r)")
 def unused_elements(spark, sf_dir):
-    """G6, G9."""
-    return relational.unused(_elements(spark), spark.createDataFrame(_EDGES, "src string, dst string"), spark.createDataFrame([("A",)], "seed string")).select("name", "kind", "schema_ord", "uri")
+    """Elements that no seed reaches."""
+    return relational.unused(_corpus(spark, sf_dir, "elements"), _corpus(spark, sf_dir, "edges"), _corpus(spark, sf_dir, "seeds")).select("name", "kind", "schema_ord", "uri")
+
+
+@query(f"{_with('elements', 'edges')}, start AS (SELECT name FROM elements WHERE kind = 'class' AND schema_ord = 0 UNION SELECT 'Brand#7'), r(node) AS (SELECT name FROM start UNION SELECT dst FROM r JOIN edges ON node = src) SELECT kind, count(*) AS n FROM elements WHERE name IN (SELECT node FROM r) GROUP BY kind")
+def pruned_elements(spark, sf_dir):
+    """What a generator keeps from the root schema's classes and the default range on."""
+    elements = _corpus(spark, sf_dir, "elements")
+    kept = relational.pruned(elements, _corpus(spark, sf_dir, "edges"), default_ranges=["Brand#7"])
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MERGED = f"""{_with('class_parents', 'class_slots', 'slots')}, {_UP}, held AS (
+  SELECT cls, ancestor, p FROM anc UNION SELECT cls, cls, 0 FROM class_slots WHERE cls NOT IN (SELECT cls FROM anc)
+), own AS (
+  SELECT h.cls, s.slot, s.rng, s.required, s.multivalued, s.identifier, s.pattern, s.source, 10 * p + CASE source WHEN 'slot_usage' THEN 1 WHEN 'attribute' THEN 2 ELSE 3 END AS q
+  FROM held h JOIN class_slots s ON h.ancestor = s.cls
+), layers AS (
+  SELECT * FROM own UNION ALL
+  SELECT o.cls, s.slot, s.rng, s.required, s.multivalued, s.identifier, s.pattern, 'top', 1000000000 + s.ord
+  FROM (SELECT cls, slot FROM own GROUP BY cls, slot HAVING NOT bool_or(source = 'attribute')) o JOIN slots s ON o.slot = s.slot
+), derived AS (SELECT cls, slot, arg_min(rng, q) FILTER (WHERE rng IS NOT NULL) AS "range",
+  coalesce(bool_or(required), false) OR coalesce(bool_or(identifier), false) AS required, coalesce(bool_or(multivalued), false) AS multivalued, coalesce(bool_or(identifier), false) AS identifier,
+  arg_min(pattern, q) FILTER (WHERE pattern IS NOT NULL) AS pattern FROM layers GROUP BY cls, slot HAVING bool_or(source IN ('attribute', 'slot')))"""
 
 
-_MERGED = f"""WITH RECURSIVE {_V_PARENTS}, {_V_SLOTS}, {_UP}, layers AS (
-  SELECT anc.cls, s.slot, s."range", s.required, s.multivalued, s.identifier, s.pattern, s.source,
-         row_number() OVER (PARTITION BY anc.cls, s.slot ORDER BY depth, CASE source WHEN 'slot_usage' THEN 1 WHEN 'attribute' THEN 2 ELSE 3 END, ancestor) AS p
-  FROM anc JOIN class_slots s ON anc.ancestor = s.cls)
-, derived AS (SELECT cls, slot, arg_min("range", p) FILTER (WHERE "range" IS NOT NULL) AS "range",
-  coalesce(bool_or(required), false) OR coalesce(bool_or(identifier), false) AS required, coalesce(bool_or(multivalued), false) AS multivalued, coalesce(bool_or(identifier), false) AS identifier,
-  arg_min(pattern, p) FILTER (WHERE pattern IS NOT NULL) AS pattern FROM layers GROUP BY cls, slot HAVING bool_or(source <> 'slot_usage'))"""
+def _derived(spark, sf_dir):
+    return relational.derive_slots(*(_corpus(spark, sf_dir, n) for n in ("class_parents", "class_slots", "slots")))
 
 
 @query(_MERGED + ' SELECT cls, slot, "range", required, multivalued, identifier, pattern FROM derived')
 def derive_slots(spark, sf_dir):
-    """The precedence-ordered merge."""
-    return relational.derive_slots(_parents(spark), _class_slots(spark))
+    """The precedence-ordered merge, with the schema's own slots last."""
+    return _derived(spark, sf_dir)
 
 
 @query(_MERGED + " SELECT cls, count(*) AS n_slots, string_agg(slot, ',' ORDER BY slot) AS slots FROM derived GROUP BY cls")
 def materialized_classes(spark, sf_dir):
     """A7."""
-    found = relational.materialize(relational.derive_slots(_parents(spark), _class_slots(spark)))
-    return found.withColumn("slots", F.array_join("slots", ","))
+    return relational.materialize(_derived(spark, sf_dir)).withColumn("slots", F.array_join("slots", ","))
+
 
+_FORMS = "CASE WHEN count(*) FILTER (WHERE identifier) = 0 THEN 'list' WHEN count(*) = 2 OR count(*) FILTER (WHERE required) = 2 THEN 'simple_dict' ELSE 'compact_dict' END"
 
-@query(_MERGED + " SELECT cls, CASE WHEN count(*) FILTER (WHERE identifier) = 0 THEN 'list' WHEN count(*) = 2 OR count(*) FILTER (WHERE required) = 2 THEN 'simple_dict' ELSE 'compact_dict' END AS form FROM derived GROUP BY cls")
+
+@query(_MERGED + f" SELECT cls, {_FORMS} AS form FROM derived GROUP BY cls")
 def collection_forms(spark, sf_dir):
-    """A9, A10."""
-    return relational.collection_forms(relational.derive_slots(_parents(spark), _class_slots(spark)))
+    """A9."""
+    return relational.collection_forms(_derived(spark, sf_dir))
+
+
+@query(_MERGED + f", forms AS (SELECT cls, {_FORMS} AS form FROM derived GROUP BY cls), uses AS (SELECT concat('C', p_partkey) AS cls, concat('C', 1999 - p_partkey) AS \"range\", p_partkey % 2 = 0 AS multivalued, p_partkey % 3 = 0 AS inlined_as_list FROM part) SELECT u.cls, u.\"range\", CASE WHEN NOT u.multivalued THEN 'optional' WHEN f.form IS NULL OR u.inlined_as_list THEN 'list' ELSE f.form END AS form FROM uses u LEFT JOIN forms f ON u.\"range\" = f.cls")
+def range_forms(spark, sf_dir):
+    """A10: the form of a slot by that of its range."""
+    k = F.col("p_partkey")
+    uses = _table(spark, sf_dir, "part").select(F.concat(F.lit("C"), k).alias("cls"), F.concat(F.lit("C"), 1999 - k).alias("range"), (k % 2 == 0).alias("multivalued"), (k % 3 == 0).alias("inlined_as_list"))
+    return relational.range_forms(uses, relational.collection_forms(_derived(spark, sf_dir))).select("cls", "range", "form")
 
 
 @query(_MERGED + " SELECT cls, count(*) FILTER (WHERE identifier) AS n_keys FROM derived GROUP BY cls HAVING count(*) FILTER (WHERE identifier) > 1")
 def multi_ids(spark, sf_dir):
     """V8."""
-    return relational.multiple_keys(relational.derive_slots(_parents(spark), _class_slots(spark)))
+    return relational.multiple_keys(_derived(spark, sf_dir))
+
+
+@query(_MERGED + " SELECT cls, slot, \"range\" FROM derived WHERE identifier AND \"range\" IN (SELECT p_type FROM part)")
+def bad_key_types(spark, sf_dir):
+    """V8: keys whose range is no type."""
+    return relational.bad_key_types(_derived(spark, sf_dir), _corpus(spark, sf_dir, "elements")).select("cls", "slot", "range")
 
 
-@query(f"WITH RECURSIVE {_V_PARENTS}, {_V_SLOTS}, {_UP} SELECT DISTINCT cls, slot FROM class_slots u WHERE source = 'slot_usage' AND NOT EXISTS (SELECT 1 FROM anc JOIN class_slots s ON anc.ancestor = s.cls WHERE anc.cls = u.cls AND s.source <> 'slot_usage' AND s.slot = u.slot)")
+@query(f"{_with('class_parents', 'class_slots')}, {_UP} SELECT DISTINCT cls, slot FROM class_slots u WHERE source = 'slot_usage' AND NOT EXISTS (SELECT 1 FROM anc JOIN class_slots s ON anc.ancestor = s.cls WHERE anc.cls = u.cls AND s.source <> 'slot_usage' AND s.slot = u.slot)")
 def bad_slot_usage(spark, sf_dir):
     """V12."""
-    return relational.bad_slot_usage(_parents(spark), _class_slots(spark))
+    return relational.bad_slot_usage(_corpus(spark, sf_dir, "class_parents"), _corpus(spark, sf_dir, "class_slots"))
 
 
-@query(f"WITH {_values('seqs', _SEQS, 'slot, p, v')} SELECT 's' AS slot, 'a,b,c' AS merged FROM seqs WHERE slot = 's' AND p = 0 UNION ALL SELECT 't', string_agg(x, ',' ORDER BY p, i) FROM (SELECT p, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM seqs WHERE slot = 't')")
+@query(f"{_with('seqs')}, lists AS (SELECT slot, list(CASE WHEN p % 3 = 0 THEN CAST([] AS VARCHAR[]) WHEN p % 2 = 0 THEN [a, b] ELSE [a] END ORDER BY p) AS vs FROM seqs GROUP BY slot) SELECT slot, array_to_string(list_reduce(vs, lambda acc, x: CASE WHEN len(x) = 0 OR acc = x THEN acc ELSE list_concat(acc, x) END), ',') AS merged FROM lists")
 def seq_merge(spark, sf_dir):
     """A3: lists appended in order of precedence."""
-    df = spark.createDataFrame(_SEQS, "slot string, p int, v array<string>")
-    return df.groupBy("slot").agg(F.array_join(relational.appended("v"), ",").alias("merged"))
+    v = F.when(F.col("p") % 3 == 0, F.array().cast("array<string>")).when(F.col("p") % 2 == 0, F.array("a", "b")).otherwise(F.array("a"))
+    return _corpus(spark, sf_dir, "seqs").withColumn("v", v).groupBy("slot").agg(F.array_join(relational.appended("v"), ",").alias("merged"))
 
 
-@query(f"WITH {_V_SLOTS} SELECT slot, arg_max(pattern, cls) FILTER (WHERE pattern IS NOT NULL) AS far FROM class_slots GROUP BY slot")
+@query(f"{_with('seqs')}, entries AS (SELECT slot, p, a AS k, b AS v FROM seqs UNION ALL SELECT slot, p, 'last', a FROM seqs WHERE p % 2 = 0) SELECT slot, k AS \"key\", arg_max(v, p) AS value FROM entries GROUP BY slot, k")
 def map_merge(spark, sf_dir):
-    """A4: the farthest layer wins."""
-    return _class_slots(spark).groupBy("slot").agg(relational.farthest("pattern", "cls").alias("far"))
+    """A4: maps merged key by key, where the farthest layer wins."""
+    both = F.create_map("a", "b", F.lit("last"), "a")
+    layers = _corpus(spark, sf_dir, "seqs").withColumn("v", F.when(F.col("p") % 2 == 0, both).otherwise(F.create_map("a", "b")))
+    return relational.merged_maps(layers, ["slot"], "v").select("slot", F.explode("v").alias("key", "value"))
 
 
-@query(f"WITH {_V_ELEMENTS} SELECT name, kind, schema_ord, uri FROM elements QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY schema_ord DESC) = 1")
+@query(f"{_with('elements')} SELECT name, kind, schema_ord, uri FROM elements QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY schema_ord DESC) = 1")
 def element_index(spark, sf_dir):
     """P1, P3, P4."""
-    return relational.index(_elements(spark))
+    return relational.index(_corpus(spark, sf_dir, "elements"))
 
 
-@query(f"WITH {_V_ELEMENTS}, one AS (SELECT * FROM elements QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY schema_ord DESC) = 1) SELECT name, kind, schema_ord, uri FROM one QUALIFY row_number() OVER (PARTITION BY name ORDER BY list_position(['class', 'type', 'enum', 'slot', 'subset'], kind)) = 1")
+@query(f"{_with('elements')}, one AS (SELECT * FROM elements QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY schema_ord DESC) = 1) SELECT name, kind, schema_ord, uri FROM one QUALIFY row_number() OVER (PARTITION BY name ORDER BY list_position(['class', 'type', 'enum', 'slot', 'subset'], kind)) = 1")
 def global_index(spark, sf_dir):
     """P2, U1."""
-    return relational.global_index(_elements(spark))
+    return relational.global_index(_corpus(spark, sf_dir, "elements"))
 
 
-@query(f"WITH {_V_ELEMENTS}, {_values('refs', _REFS, 'path, value, expected_kind')} SELECT path, value, expected_kind, EXISTS (SELECT 1 FROM elements WHERE name = value AND kind = expected_kind) AS found FROM refs")
+@query(f"{_with('elements', 'refs')} SELECT path, value, expected_kind, EXISTS (SELECT 1 FROM elements WHERE name = value AND kind = expected_kind) AS found FROM refs")
 def resolve_references(spark, sf_dir):
     """P3."""
-    return relational.resolve(spark.createDataFrame(_REFS, "path string, value string, expected_kind string"), _elements(spark))
+    return relational.resolve(_corpus(spark, sf_dir, "refs"), _corpus(spark, sf_dir, "elements"))
 
 
-@query(f"WITH {_V_ELEMENTS}, {_values('refs', _REFS, 'path, value, expected_kind')} SELECT path, value, expected_kind FROM refs WHERE NOT EXISTS (SELECT 1 FROM elements WHERE name = value AND kind = expected_kind)")
+@query(f"{_with('elements', 'refs')} SELECT path, value, expected_kind FROM refs WHERE NOT EXISTS (SELECT 1 FROM elements WHERE name = value AND kind = expected_kind)")
 def unknown_refs(spark, sf_dir):
-    """V1, V2, V3."""
-    return relational.unknown_references(spark.createDataFrame(_REFS, "path string, value string, expected_kind string"), _elements(spark))
+    """V1."""
+    return relational.unknown_references(_corpus(spark, sf_dir, "refs"), _corpus(spark, sf_dir, "elements"))
+
+
+@query(f"{_with('elements', 'refs')}, known AS (SELECT name, bool_or(kind IN ('class', 'type', 'enum')) AS as_range, bool_or(kind = 'class') AS as_class FROM elements GROUP BY name), judged AS (SELECT path, value, CASE WHEN value = 'string' AND name IS NULL THEN 'UnknownStringReference' WHEN name IS NULL THEN 'UnknownReference' WHEN expected_kind = 'range' AND NOT as_range THEN 'InvalidRange' WHEN expected_kind = 'class' AND NOT as_class THEN 'UnknownReference' END AS issue FROM refs LEFT JOIN known ON name = value) SELECT path, value, issue FROM judged WHERE issue IS NOT NULL")
+def reference_issues(spark, sf_dir):
+    """V1, V2, V3: which problem each bad reference is."""
+    return relational.reference_issues(_corpus(spark, sf_dir, "refs"), _corpus(spark, sf_dir, "elements"))
 
 
-@query(f"WITH {_V_ELEMENTS} SELECT CASE WHEN kind IN ('class', 'type', 'enum') THEN 'named' ELSE kind END AS space, name, count(*) AS n FROM elements GROUP BY ALL HAVING count(*) > 1")
+@query(f"{_with('elements')} SELECT CASE WHEN kind IN ('class', 'type', 'enum') THEN 'named' ELSE kind END AS space, name, count(*) AS n FROM elements GROUP BY ALL HAVING count(*) > 1")
 def nonunique_names(spark, sf_dir):
     """V9."""
-    return relational.nonunique_names(_elements(spark))
+    return relational.nonunique_names(_corpus(spark, sf_dir, "elements"))
 
 
-@query(f"WITH {_values('used', [('ex',), ('nope',)], 'prefix')}, {_values('prefixes', _PREFIXES, 'schema_ord, prefix, namespace')} SELECT prefix FROM used WHERE prefix NOT IN (SELECT prefix FROM prefixes)")
+@query(f"{_with('used', 'prefixes')} SELECT prefix FROM used WHERE prefix NOT IN (SELECT prefix FROM prefixes)")
 def undefined_prefixes(spark, sf_dir):
     """V10."""
-    return relational.undefined_prefixes(spark.createDataFrame([("ex",), ("nope",)], "prefix string"), spark.createDataFrame(_PREFIXES, "schema_ord int, prefix string, namespace string"))
+    return relational.undefined_prefixes(_corpus(spark, sf_dir, "used"), _corpus(spark, sf_dir, "prefixes"))
 
 
-@query(f"WITH {_values('curies', _CURIES, 'curie')}, {_values('prefixes', _PREFIXES, 'schema_ord, prefix, namespace')} SELECT curie, CASE WHEN curie LIKE '%://%' OR curie NOT LIKE '%:%' THEN curie ELSE CASE WHEN regexp_matches(namespace, '[/?#]$') THEN namespace ELSE namespace || '/' END || split_part(curie, ':', 2) END AS uri FROM curies LEFT JOIN prefixes ON split_part(curie, ':', 1) = prefix")
+@query(f"{_with('curies', 'prefixes')} SELECT curie, CASE WHEN strpos(curie, '://') > 0 OR starts_with(curie, 'urn:') OR strpos(curie, ':') = 0 THEN curie ELSE CASE WHEN right(namespace, 1) IN ('/', '#', '?') THEN namespace ELSE namespace || '/' END || substr(curie, strpos(curie, ':') + 1) END AS uri FROM curies LEFT JOIN prefixes ON split_part(curie, ':', 1) = prefix")
 def expand_table(spark, sf_dir):
     """P9, P10 by a prefix table."""
-    return relational.expand_curies(spark.createDataFrame(_CURIES, "curie string"), spark.createDataFrame(_PREFIXES, "schema_ord int, prefix string, namespace string"))
+    return relational.expand_curies(_corpus(spark, sf_dir, "curies"), _corpus(spark, sf_dir, "prefixes"))
 
 
-@query(f"WITH {_V_ELEMENTS} SELECT uri, count(*) AS n, min(name) AS first_name, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM elements GROUP BY uri")
+@query(f"{_with('elements')} SELECT uri, count(*) AS n, min(name) AS first_name, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM elements GROUP BY uri")
 def rdfs_groups(spark, sf_dir):
     """Elements that share a URI."""
-    return relational.uri_groups(_elements(spark))
+    return relational.uri_groups(_corpus(spark, sf_dir, "elements"))
 
 
-@query(f"WITH {_values('issues', _ISSUES, 'severity, what')} SELECT severity, CAST(list_position(['fatal', 'error', 'warning'], severity) - 1 AS INTEGER) AS ordinal, count(*) AS n FROM issues GROUP BY severity")
+@query(f"{_with('issues')} SELECT severity, CAST(list_position(['fatal', 'error', 'warning'], severity) - 1 AS INTEGER) AS ordinal, count(*) AS n FROM issues GROUP BY severity")
 def issue_summary(spark, sf_dir):
     """A12, V16."""
-    return relational.issue_summary(spark.createDataFrame(_ISSUES, "severity string, what string"))
+    return relational.issue_summary(_corpus(spark, sf_dir, "issues"))
 
 
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({i}, '{n}', '{t}')"
-        for i, (n, t) in enumerate(
-            [("l_discount", "number"), ("l_extendedprice", "number"), ("l_linestatus", "string"), ("l_orderkey", "integer"), ("l_partkey", "integer"), ("l_quantity", "number"), ("l_returnflag", "string"), ("l_shipdate", "datetime"), ("l_suppkey", "integer"), ("l_tax", "number"), ("l_linenumber", "integer")]
-        )
-    )
-    + ") t(pos, name, type)"
-)
+@query("SELECT p_brand AS grp, p_name || p_partkey AS name, row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_partkey % 40 WHEN 3 THEN -2 WHEN 5 THEN -1 ELSE CASE WHEN p_size % 4 = 0 THEN 10000 ELSE p_size END END, p_name || p_partkey) - 1 AS pos FROM part")
+def slot_order(spark, sf_dir):
+    """O2: by rank and name; a missing rank is late, the key and the value come first."""
+    k = F.col("p_partkey") % 40
+    slots = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.concat("p_name", "p_partkey").alias("name"), F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("rank"), (k == 3).alias("is_key"), (k == 5).alias("is_value"))
+    return relational.slot_order(slots, ["grp"]).select("grp", "name", F.col("pos").cast("long").alias("pos"))
+
+
+# -- generators of the tables' model against the tables' own columns
+
+_CLASSES = {"Region": "region", "Nation": "nation", "Customer": "customer", "Supplier": "supplier", "Part": "part", "Order": "orders", "LineItem": "lineitem", "Event": "events", "Page": "pages", "Turn": "conversations"}
+_KEYS = "('r_regionkey', 'n_nationkey', 'c_custkey', 's_suppkey', 'p_partkey', 'o_orderkey', 'event_id', 'page_id')"
+_COLUMNS = "WITH named(cls, tbl) AS (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in _CLASSES.items()) + "), cols AS (SELECT DISTINCT cls, column_name AS name, data_type AS type, ordinal_position AS pos FROM named JOIN information_schema.columns ON tbl = table_name)"
+
+
+def _sql_type(**named: str) -> str:
+    return f"CASE WHEN type IN ('BIGINT', 'INTEGER') THEN '{named['integer']}' WHEN type = 'DOUBLE' THEN '{named['double']}' WHEN type LIKE 'TIMESTAMP%' THEN '{named['time']}' ELSE '{named['text']}' END"
+
+
+def _gathered(spark, rows: list[tuple], columns: str):
+    return spark.createDataFrame(rows, columns)
+
+
+@query(f"{_COLUMNS} SELECT row_number() OVER (ORDER BY name = 'l_linenumber', name) - 1 AS pos, name, {_sql_type(integer='integer', double='number', time='datetime', text='string')} AS type FROM cols WHERE cls = 'LineItem'")
 def table_fields(spark, sf_dir):
     """Fields of a table schema, by rank and name."""
     fields = render.table_schema(tables_catalog())["fields"]
-    return spark.createDataFrame([(i, f["name"], f["type"]) for i, f in enumerate(fields)], "pos int, name string, type string")
+    return _gathered(spark, [(i, f["name"], f["type"]) for i, f in enumerate(fields)], "pos long, name string, type string")
+
+
+@query(f"{_COLUMNS} SELECT cls, name, {_sql_type(integer='integer', double='number', time='string', text='string')} AS type FROM cols")
+def json_schema_types(spark, sf_dir):
+    """Properties of the JSON Schema of each class and their types."""
+    rows = []
+    for cls in _CLASSES:
+        defs = render.json_schema(tables_catalog(), tree_root=cls)["$defs"]
+        for name, body in defs[cls]["properties"].items():
+            rows.append((cls, name, (defs[body["$ref"].rsplit("/", 1)[1]] if "$ref" in body else body)["type"]))
+    return _gathered(spark, rows, "cls string, name string, type string")
+
+
+@query(f"{_COLUMNS} SELECT cls, name, {_sql_type(integer='bigint', double='double', time='timestamp', text='string')} AS type, row_number() OVER (PARTITION BY cls ORDER BY pos) - 1 AS pos FROM cols WHERE cls <> 'LineItem'")
+def spark_types(spark, sf_dir):
+    """Each class as a Spark schema, its columns in order."""
+    rows = [(cls, f.name, f.dataType.simpleString(), i) for cls in _CLASSES if cls != "LineItem" for i, f in enumerate(render.struct_type(tables_catalog(), cls).fields)]
+    return _gathered(spark, rows, "cls string, name string, type string, pos long")
+
+
+@query(f"{_COLUMNS} SELECT cls, name, name IN {_KEYS} AS is_key FROM cols")
+def graphql_fields(spark, sf_dir):
+    """Fields of the GraphQL types; a key is never null."""
+    rows, cls = [], None
+    for line in render.graphql(tables_catalog()).split("\n"):
+        head, body = re.match(r"type (\w+)", line), re.match(r"  (\w+): (\w+!?)", line)
+        cls = head[1] if head else None if line == "}" else cls
+        if body and cls in _CLASSES:
+            rows.append((cls, body[1], body[2] == "Int!"))
+    return _gathered(spark, rows, "cls string, name string, is_key boolean")
+
+
+@query(f"{_COLUMNS}, refs(name, range) AS (VALUES ('n_regionkey', 'Region'), ('c_nationkey', 'Nation'), ('s_nationkey', 'Nation'), ('o_custkey', 'Customer'), ('l_orderkey', 'Order'), ('l_partkey', 'Part'), ('l_suppkey', 'Supplier')) SELECT cls, c.name, r.range AS edge_to, c.name IN {_KEYS} AND r.range IS NULL AS is_key FROM cols c LEFT JOIN refs r ON c.name = r.name AND c.cls <> r.range")
+def er_diagram_rows(spark, sf_dir):
+    """Attributes and edges of the ER diagram."""
+    rows, cls = [], None
+    for line in render.er_diagram(tables_catalog()).split("\n"):
+        head, body, edge = re.match(r"  (\w+) \{", line), re.match(r"    (\w+)\?? (\w+)( PK)?$", line), re.match(r'  (\w+) \S+ (\w+) : "(\w+)"', line)
+        cls = head[1] if head else cls
+        if body and cls in _CLASSES:
+            rows.append((cls, body[2], None, body[3] is not None))
+        elif edge:
+            rows.append((edge[1], edge[3], edge[2], False))
+    return _gathered(spark, rows, "cls string, name string, edge_to string, is_key boolean")
+
+
+@query(f"{_COLUMNS} SELECT name, string_agg(cls, ',' ORDER BY cls) AS domains FROM cols WHERE NOT (name IN {_KEYS} AND pos = 1) GROUP BY name")
+def rdfs_domains(spark, sf_dir):
+    """Properties of the RDFS vocabulary with the classes they belong to."""
+    triples = rdf.to_frame(spark, rdf.rdfs(tables_catalog()))
+    local = lambda c: F.element_at(F.split(c, "/"), -1)
+    found = triples.filter(F.col("p") == rdf.RDFS + "domain").select(local("s").alias("name"), local("o").alias("cls"))
+    return found.filter(F.col("cls").isin(list(_CLASSES))).groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("cls")), ",").alias("domains"))
+
+
+@query(f"{_COLUMNS} SELECT cls, name, row_number() OVER (PARTITION BY cls ORDER BY pos) - 1 AS ord FROM cols WHERE NOT (name IN {_KEYS} AND pos = 1) AND cls <> 'LineItem'")
+def shape_orders(spark, sf_dir):
+    """The properties of each SHACL shape, numbered without the key."""
+    triples = rdf.to_frame(spark, rdf.shacl(tables_catalog()))
+    shapes = triples.filter(F.col("p") == rdf.SH + "property").select(F.element_at(F.split("s", "/"), -1).alias("cls"), F.col("o").alias("s"))
+    of = lambda p, name: triples.filter(F.col("p") == rdf.SH + p).select("s", F.element_at(F.split("o", "/"), -1).alias(name))
+    found = shapes.join(of("path", "name"), "s").join(of("order", "ord"), "s")
+    return found.filter(F.col("cls").isin([c for c in _CLASSES if c != "LineItem"])).select("cls", "name", F.col("ord").cast("long").alias("ord"))
 
 
 @query("SELECT * FROM (VALUES ('n_name', 'http://www.w3.org/2001/XMLSchema#string'), ('n_regionkey', 'https://example.org/tables/Region')) t(slot, \"range\")")
