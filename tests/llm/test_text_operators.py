@@ -257,7 +257,8 @@ def test_caches_are_bounded_by_bytes():
         code.encode(f"word{i}and{i}")
         code.encode(f"a{'b' * 200}{i} c{'.' * (i % 50)} d{i}")
     for cache in (code.first, code.later):
-        assert sum(len(k) + len(v) for k, v in cache.items()) < 20_000 + 1000 and len(cache) < 300
+        both = {**cache.before, **cache}
+        assert sum(len(k) + len(v) for k, v in both.items()) < 40_000 and len(both) < 400
     assert len(code.tails) < 3000 and max(map(len, code.tails)) <= 4
 
 

@@ -14,8 +14,8 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A worker's cache is emptied beyond so many bytes, and longer chunks and tails are not kept.
-CACHE_BYTES = 128 << 20
+#: A worker keeps so many bytes of chunks and ids; longer chunks and tails are not kept.
+CACHE_BYTES = 256 << 20
 LONG_CHUNK, LONG_TAIL = 64, 4
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -32,23 +32,30 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Chunks(dict):
-    """Chunk to little-endian unsigned 32-bit ids; a missing chunk is encoded on demand."""
+    """Chunk to little-endian unsigned 32-bit ids; a missing chunk is encoded on demand.
 
-    def __init__(self, owner: "Encoder", lead: str):
+    Half of the bytes are those of the chunks met of late, half those met before: when the first half is full
+    it takes the place of the second, from which chunks that are met again come back.
+    """
+
+    def __init__(self, owner: "Encoder", lead: str, limit: int):
         super().__init__()
-        self.owner, self.lead, self.held = owner, lead, 0
+        self.owner, self.lead, self.limit, self.held = owner, lead, limit // 2, 0
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk[:1] == "\n" and self.lead:  # a line's start: the line feed is a piece of its own
-            found = self.owner.line_feed + self.owner.encode_chunk(chunk[1:])
-        else:
-            found = self.owner.encode_chunk(self.lead + chunk)
+        found = self.before.get(chunk) if self.before else None
+        if found is None:
+            if chunk[:1] == "\n" and self.lead:  # a line's start: the line feed is a piece of its own
+                found = self.owner.line_feed + self.owner.encode_chunk(chunk[1:])
+            else:
+                found = self.owner.encode_chunk(self.lead + chunk)
         if len(chunk) <= LONG_CHUNK:
-            if self.held > self.owner.cache_bytes:
+            if self.held > self.limit:
+                self.before, self.held = dict(self), 0
                 self.clear()
-                self.held = 0
             self[chunk] = found
-            self.held += sys.getsizeof(chunk) + sys.getsizeof(found) + 100  # with its share of the table
+            self.held += 4 * len(chunk) + len(found) + 150  # with the objects and their share of the table
         return found
 
 
@@ -66,8 +73,7 @@ class Encoder:
         self.folds_case = self._pipeline("A") == self._pipeline("a")
         self.letters = _byte_letters()
         self.plain = len(probe[0]) > 0 and sys.byteorder == "little"
-        self.cache_bytes = cache_bytes // 2  # each of two
-        self.first, self.later = _Chunks(self, ""), _Chunks(self, "" if self.drops_space else " ")
+        self.first, self.later = _Chunks(self, "", cache_bytes // 8), _Chunks(self, "" if self.drops_space else " ", cache_bytes // 8 * 7)
         self.tails: dict[str, bytes] = {}
         self.line_feed = self._pipeline("\n")
 
