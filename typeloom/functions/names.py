@@ -172,19 +172,16 @@ def ntriples_iri(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x21-\x7E]|[<>\"{}|^`\\\\]"), _coded(text, plain, {})).otherwise(text)
 
 
+_ODD_STRING, _ODD_IRI = re.compile(r'[^\x20-\x7E]|["\\]'), re.compile(r'[^\x21-\x7E]|[<>"{}|^`\\]')
+
+
+def _code(found: re.Match) -> str:
+    code = ord(found[0])
+    return f"\\u{code:04X}" if code < 0x10000 else f"\\U{code:08X}"
+
+
 def ntriples_escape(text: str, iri: bool = False) -> str:
     """The same on the driver, with everything beyond ASCII as \\u and \\U escapes."""
-    short, out = _SHORT, []
-    for c in text:
-        code = ord(c)
-        if iri:
-            plain = 0x20 < code < 0x7F and c not in '<>"{}|^`\\'
-        else:
-            plain = 0x20 <= code < 0x7F and c not in short
-        if plain:
-            out.append(c)
-        elif not iri and c in short:
-            out.append(short[c])
-        else:
-            out.append(f"\\u{code:04X}" if code < 0x10000 else f"\\U{code:08X}")
-    return "".join(out)
+    if iri:
+        return _ODD_IRI.sub(_code, text)
+    return _ODD_STRING.sub(lambda m: _SHORT.get(m[0]) or _code(m), text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -25,7 +26,7 @@ IRI, BLANK, LITERAL = "iri", "blank", "literal"
 TRIPLES = "s string, s_kind string, p string, o string, o_kind string, o_datatype string"
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Triple:
     s: str
     s_kind: str
@@ -35,12 +36,16 @@ class Triple:
     o_datatype: str | None = None
 
     def line(self) -> str:
-        end = lambda v, k: f"_:{v}" if k == BLANK else f"<{ntriples_escape(v, True)}>"
         if self.o_kind == LITERAL:
-            o = f'"{ntriples_escape(self.o)}"' + ("" if self.o_datatype in (None, XSD + "string") else f"^^<{ntriples_escape(self.o_datatype, True)}>")
+            o = f'"{ntriples_escape(self.o)}"' + ("" if self.o_datatype in (None, XSD + "string") else f"^^{_iri(self.o_datatype)}")
         else:
-            o = end(self.o, self.o_kind)
-        return f"{end(self.s, self.s_kind)} <{ntriples_escape(self.p, True)}> {o} ."
+            o = f"_:{self.o}" if self.o_kind == BLANK else _iri(self.o)
+        return f"{f'_:{self.s}' if self.s_kind == BLANK else _iri(self.s)} {_iri(self.p)} {o} ."
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _iri(value: str) -> str:
+    return f"<{ntriples_escape(value, True)}>"
 
 
 def _literal(s: str, kind: str, p: str, value: str, datatype: str = XSD + "string") -> Triple:

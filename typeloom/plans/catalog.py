@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from typeloom.functions import names
-from typeloom.plans.model import ANY_URI, BASES, EMIT_PREFIXES, INHERITED, KINDS, TYPES_ID, Element, Schema, combine
+from typeloom.plans.model import ANY_URI, BASES, EMIT_PREFIXES, INHERITED, KINDS, SEMWEB_PREFIXES, TYPES_ID, Element, Schema, combine, combine_value
 
 PLURAL = {"class": "classes", "slot": "slots", "enum": "enums", "type": "types", "subset": "subsets"}
 #: Of kinds that share a name in the global index, the later one wins.
@@ -46,6 +46,10 @@ def closure(start: Iterable, step: Callable[[object], Iterable], reflexive: bool
     return out
 
 
+def _listed(value) -> list:
+    return [] if value is None else value if isinstance(value, list) else [value]
+
+
 @dataclass(frozen=True)
 class Form:
     """How instances of a range appear: plain, optional, list, simple_dict (key, value) or compact_dict (key)."""
@@ -70,11 +74,14 @@ class Attribute:
         return self.slot.get("alias") or names.de_space(self.slot.name)
 
     def merged(self, metaslot: str):
-        """The slot's value, else its type's (for a reference, that of the identifier's)."""
+        """The slot's value, else its type's (for a reference, that of the identifier's); lists of both are joined."""
         found = self.slot.meta.get(metaslot)
         if self.kind == "reference":
             return self.identifier.merged(metaslot)
-        return self.range.meta.get(metaslot) if found is None and self.kind == "type" else found
+        if self.kind != "type":
+            return found
+        of_type = self.range.meta.get(metaslot)
+        return combine_value(metaslot, found, of_type) if metaslot == "equals_string_in" else of_type if found is None else found
 
 
 class Catalog:
@@ -91,6 +98,10 @@ class Catalog:
         self.classes, self.slots, self.enums, self.types = (self.by_kind[k] for k in ("class", "slot", "enum", "type"))
         self._derived: dict[str, dict[str, Element]] = {}
         self._attributes: dict[str, dict[str, Attribute]] = {}
+        self._above: dict[tuple[str, str, bool], list[Element]] = {}
+        self._folded: dict[str, dict[str, dict]] = {}
+        self._declared: dict[str, dict[str, Schema]] = {}
+        self._spaces: dict[int, Mapping[str, str]] = {}
 
     # -- lookups
 
@@ -121,7 +132,11 @@ class Catalog:
         return prefix if names.is_uri(prefix) else prefix + "/"
 
     def prefixes(self, schema: Schema) -> Mapping[str, str]:
-        return {**EMIT_PREFIXES, **schema.prefixes}
+        """Prefixes that hold in a schema: those every schema knows, a well-known set it asks for, its own."""
+        if id(schema) not in self._spaces:
+            asked = _listed(schema.meta.get("default_curi_maps"))
+            self._spaces[id(schema)] = {**EMIT_PREFIXES, **(SEMWEB_PREFIXES if "semweb_context" in asked else {}), **schema.prefixes}
+        return self._spaces[id(schema)]
 
     def alias(self, element: Element) -> str:
         alias = element.meta.get("alias")
@@ -176,7 +191,12 @@ class Catalog:
         return [known[n] for n in wanted if n in known]
 
     def ancestors(self, element: Element, reflexive: bool = True) -> list[Element]:
-        return closure([element], self.parents, reflexive, lambda e: e.name)
+        key = (element.kind, element.name, reflexive)
+        if self.by_kind[element.kind].get(element.name) is not element:
+            return closure([element], self.parents, reflexive, lambda e: e.name)
+        if key not in self._above:
+            self._above[key] = closure([element], self.parents, reflexive, lambda e: e.name)
+        return self._above[key]
 
     def lowest_common_ancestors(self, classes: Iterable[Element]) -> list[Element]:
         """Common ancestors that are no strict ancestors of others; several or none are possible."""
@@ -195,24 +215,37 @@ class Catalog:
     def direct_slots(self, cls: Element) -> list[str]:
         return [*cls.get("slots"), *(cls.meta.get("attributes") or {})]
 
+    def _attribute_schemas(self, cls: Element) -> dict[str, Schema]:
+        """Attributes of a class and its ancestors, with the schema of the nearest class that has each."""
+        if cls.name not in self._declared:
+            out: dict[str, Schema] = {}
+            for ancestor in self.ancestors(cls):
+                for name in ancestor.meta.get("attributes") or {}:
+                    out.setdefault(name, ancestor.schema)
+            self._declared[cls.name] = out
+        return self._declared[cls.name]
+
     def from_attributes(self, cls: Element, name: str) -> bool:
-        return any(name in (a.meta.get("attributes") or {}) for a in self.ancestors(cls))
+        return name in self._attribute_schemas(cls)
 
-    def _layers(self, cls: Element, name: str, path: tuple[str, ...] = ()) -> dict:
-        """What a class and those it inherits from say of a slot: usage, attribute, mixins in depth, then is_a."""
+    def _layers(self, cls: Element, path: tuple[str, ...] = ()) -> dict[str, dict]:
+        """What a class and those it inherits from say of each slot: usage, attribute, mixins in depth, then is_a."""
         if cls.name in path:
             return {}
-        out = dict((cls.meta.get("slot_usage") or {}).get(name, {}))
-        out = combine(out, (cls.meta.get("attributes") or {}).get(name, {}))
+        if cls.name in self._folded:
+            return self._folded[cls.name]
+        out = {name: dict(meta) for name, meta in (cls.meta.get("slot_usage") or {}).items()}
+        for name, meta in (cls.meta.get("attributes") or {}).items():
+            out[name] = combine(out.get(name, {}), meta)
         for parent in self.parents(cls):
-            out = combine(out, self._layers(parent, name, (*path, cls.name)))
+            for name, meta in self._layers(parent, (*path, cls.name)).items():
+                out[name] = combine(out.get(name, {}), meta)
+        self._folded[cls.name] = out
         return out
 
     def _source(self, cls: Element, name: str) -> Schema:
-        for a in self.ancestors(cls):
-            if name in (a.meta.get("attributes") or {}):
-                return a.schema
-        return self.slots[name].schema if name in self.slots else cls.schema
+        found = self._attribute_schemas(cls).get(name)
+        return found or (self.slots[name].schema if name in self.slots else cls.schema)
 
     def derived_slots(self, cls: Element) -> dict[str, Element]:
         """The class's effective slots, in the order of its ancestors, attributes before slots."""
@@ -226,7 +259,7 @@ class Catalog:
         return self._derived[cls.name]
 
     def derived_slot(self, cls: Element, name: str) -> Element:
-        meta = self._layers(cls, name)
+        meta = dict(self._layers(cls).get(name, {}))
         if name in self.slots and not self.from_attributes(cls, name):
             top = self.slots[name]
             meta = combine(meta, top.meta)

@@ -73,6 +73,19 @@ EMIT_PREFIXES = {
 }
 
 
+#: Prefixes that a schema gets by ``default_curi_maps: [semweb_context]``.
+SEMWEB_PREFIXES = {
+    "dc": "http://purl.org/dc/terms/",
+    "faldo": "http://biohackathon.org/resource/faldo#",
+    "foaf": "http://xmlns.com/foaf/0.1/",
+    "oa": "http://www.w3.org/ns/oa#",
+    "idot": "http://identifiers.org/",
+    "void": "http://rdfs.org/ns/void#",
+    "prov": "http://www.w3.org/ns/prov#",
+    "dcat": "http://www.w3.org/ns/dcat#",
+}
+
+
 @dataclass
 class Element:
     """A named element of one kind: its metaslots as written, and the schema that defines it."""

@@ -14,6 +14,8 @@ from typeloom.plans.model import BOOLEAN, KIND_OF, KINDS, SEQUENCE, TYPES_ID, El
 
 try:
     import yaml
+
+    _LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 except ImportError:  # JSON, which is YAML too, still loads
     yaml = None
 
@@ -68,7 +70,7 @@ class MapImporter:
 def parse_text(text: str, uri: str = "") -> dict:
     """A document's content; parse errors carry their place."""
     try:
-        found = json.loads(text) if yaml is None else yaml.safe_load(text)
+        found = json.loads(text) if yaml is None else yaml.load(text, _LOADER)
     except ValueError as error:
         raise LoadIssue("SchemaParseError", str(error), uri) from None
     except Exception as error:  # noqa: BLE001 - the YAML library's own errors
