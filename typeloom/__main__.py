@@ -7,7 +7,7 @@ import os
 import sys
 
 from typeloom import __version__, api
-from typeloom.operators import lint, render
+from typeloom.operators import lint
 
 GENERATORS = ("shacl", "json-schema", "spark", "rdfs", "schema", "table-schema", "graphql", "er-diagram")
 
@@ -27,7 +27,7 @@ def _documents(schema: api.Schema, options: argparse.Namespace) -> dict[str, str
     if kind == "er-diagram":
         return {"": schema.er_diagram(options.pruning or "skip")}
     if kind == "schema":
-        return {"": render.to_json(schema.merged(options.pruning or "tree_root", not options.skip_derivation))}
+        return {"": schema.merged_text(options.pruning or "tree_root", not options.skip_derivation, "yaml" if options.format == "yaml" else "json")}
     return {f"{c.name}.sql": schema.ddl(c.name) for c in schema.catalog.classes.values()}
 
 
@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     check = commands.add_parser("validate", help="lint schemas")
     check.add_argument("files", nargs="+")
-    check.add_argument("--format", choices=("plain", "json"), default="plain")
+    check.add_argument("--format", choices=("terminal", "plain", "json"), default="terminal" if sys.stdout.isatty() else "plain")
     check.add_argument("--strict", action="store_true", help="warnings count as errors")
     make = commands.add_parser("generate", help="generate a document")
     make.add_argument("kind", choices=GENERATORS)

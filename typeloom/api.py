@@ -30,6 +30,10 @@ class Schema:
     def report(self, form: str = "plain") -> str:
         return _lint.rendered({self.catalog.root.id: self.issues()}, form)
 
+    def check(self, strict: bool = False) -> None:
+        """Raise the schema's problems if there are any."""
+        _lint.raise_on_failure(self.issues(), strict)
+
     @property
     def is_valid(self) -> bool:
         return _lint.exit_code(self.issues()) == 0
@@ -45,6 +49,10 @@ class Schema:
     def merged(self, pruning: str = "tree_root", derive: bool = True) -> dict:
         return render.merged_schema(self.catalog, pruning, derive)
 
+    def merged_text(self, pruning: str = "tree_root", derive: bool = True, form: str = "yaml") -> str:
+        """The merged schema as YAML or JSON."""
+        return (render.to_yaml if form == "yaml" else render.to_json)(self.merged(pruning, derive))
+
     def graphql(self, pruning: str = "skip") -> str:
         return render.graphql(self.catalog, pruning)
 

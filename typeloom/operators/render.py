@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections.abc import Callable
 from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import types as T
@@ -62,20 +64,25 @@ def _described(out: dict, element: Element) -> dict:
     return out | {k: element.meta[k] for k in ("title", "description") if element.meta.get(k)}
 
 
-def json_schema(catalog: Catalog, open_: bool = False, tree_root: str | None = None, root_form: str | None = None) -> dict:
-    """JSON Schema 2020-12 of what the tree root holds inline, or of all classes without a root; all enums."""
+def json_schema(catalog: Catalog, open_: bool = False, tree_root: str | None = None, root_form: str | None = None, class_name: Callable[[Element], str] | None = None, slot_name: Callable[[Attribute], str] | None = None) -> dict:
+    """JSON Schema 2020-12 of what the tree root holds inline, or of all classes without a root; all enums.
+
+    ``class_name`` and ``slot_name`` name the definitions and their properties, in place of aliases.
+    """
     root = catalog.tree_root(tree_root)
+    class_name = class_name or catalog.alias
+    slot_name = slot_name or (lambda a: a.name)
     kept = None if root is None else catalog.reachable([root], ancestors=False, inlined_only=True)
     keyless: dict[tuple[str, str], None] = {}
     valued: dict[tuple[str, str], None] = {}
 
     def dict_of(cls: Element, form: Form) -> dict:
-        name, slots = catalog.alias(cls), catalog.derived_slots(cls)
+        name, slots = class_name(cls), catalog.attributes(cls)
         if form.name == "simple_dict":
-            valued[name, catalog.alias(slots[form.value])] = None
+            valued[name, slot_name(slots[form.value])] = None
             ref = f"#/$defs/{name}__simple_dict_value"
         else:
-            keyless[name, catalog.alias(slots[form.key])] = None
+            keyless[name, slot_name(slots[form.key])] = None
             ref = f"#/$defs/{name}__identifier_optional"
         return {"type": "object", "additionalProperties": {"$ref": ref}}
 
@@ -95,7 +102,7 @@ def json_schema(catalog: Catalog, open_: bool = False, tree_root: str | None = N
         if attribute.kind == "any":
             out = {}
         elif attribute.kind == "inline":
-            ref = {"$ref": f"#/$defs/{catalog.alias(attribute.range)}"}
+            ref = {"$ref": f"#/$defs/{class_name(attribute.range)}"}
             form = attribute.form
             out = dict_of(attribute.range, form) if form.key else {"type": "array", "items": ref} if form.name == "list" else ref
         elif attribute.kind == "reference":
@@ -110,17 +117,17 @@ def json_schema(catalog: Catalog, open_: bool = False, tree_root: str | None = N
     for cls in catalog.classes.values():
         if kept is not None and ("class", cls.name) not in kept:
             continue
-        own = {a.name: a for a in catalog.attributes(cls).values()}
+        own = {slot_name(a): a for a in catalog.attributes(cls).values()}
         body: dict = {"type": "object", "properties": {n: of(a) for n, a in own.items()}}
         required = [n for n, a in own.items() if a.slot.get("required")]
         if required:
             body["required"] = required
-        defs[catalog.alias(cls)] = _described(body | {"additionalProperties": open_}, cls)
+        defs[class_name(cls)] = _described(body | {"additionalProperties": open_}, cls)
     out: dict = {"$schema": "https://json-schema.org/draft/2020-12/schema", "$id": catalog.root.id, "title": catalog.root.meta.get("title") or catalog.root.name}
     if catalog.root.meta.get("description"):
         out["description"] = catalog.root.meta["description"]
     if root is not None:
-        form, ref = catalog.root_form(root, root_form), {"$ref": f"#/$defs/{catalog.alias(root)}"}
+        form, ref = catalog.root_form(root, root_form), {"$ref": f"#/$defs/{class_name(root)}"}
         out |= {"plain": ref, "optional": {"oneOf": [ref, {"type": "null"}]}, "list": {"type": "array", "items": ref}}.get(form.name) or dict_of(root, form)
     for name, key in keyless:
         copy = dict(defs[name])
@@ -322,4 +329,34 @@ def table_ddl(catalog: Catalog, cls: str) -> str:
 
 
 def to_json(document: dict, indent: int | None = 2) -> str:
-    return json.dumps(document, indent=indent, ensure_ascii=False)
+    """A document as JSON; numbers that JSON cannot hold are written as texts."""
+    try:
+        return json.dumps(document, indent=indent, ensure_ascii=False, allow_nan=False)
+    except ValueError:
+        return json.dumps(_finite(document), indent=indent, ensure_ascii=False)
+
+
+def _finite(value):
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_finite(v) for v in value]
+    return str(value) if isinstance(value, float) and not math.isfinite(value) else value
+
+
+def to_yaml(document: dict) -> str:
+    """A document as YAML, keys in their order; JSON, which is YAML too, without a YAML library."""
+    try:
+        import yaml
+    except ImportError:
+        return to_json(document) + "\n"
+    return yaml.dump(document, Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), sort_keys=False, allow_unicode=True)
+
+
+def indented(template: str, **values: str) -> str:
+    """A template with {names} filled in; the further lines of a value get the indent of the line it stands in."""
+    out = []
+    for line in template.split("\n"):
+        margin = line[: len(line) - len(line.lstrip())]
+        out.append(re.sub(r"\{(\w+)\}", lambda m: values[m[1]].replace("\n", "\n" + margin), line))  # noqa: B023
+    return "\n".join(out)

@@ -47,6 +47,24 @@ _HOLDS = {
     "datetime": ("timestamp", "timestamp_ntz"),
 }
 
+_CODECS: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_codec(type_name: str, decode: Callable[[Column], Column] | None) -> None:
+    """How texts of a schema type are decoded, null where they are none of it; None takes the codec away.
+
+    Texts are then checked and typed by it in place of the type's own form.
+    """
+    if decode is None:
+        _CODECS.pop(type_name, None)
+    else:
+        _CODECS[type_name] = decode
+
+
+def codec(type_name: str) -> Callable[[Column], Column] | None:
+    return _CODECS.get(type_name)
+
+
 @dataclass
 class Constraint:
     """One check: the slot's path, its kind, and the Column that is true where a row breaks it."""
@@ -70,7 +88,10 @@ def _value_checks(catalog: Catalog, attribute: Attribute, spark_type: str) -> li
         return out
     runtime = catalog.runtime_type(kind.range)
     base = spark_type.split("(")[0]
-    if runtime in LEXICAL and base == "string":
+    if kind.range.name in _CODECS and base == "string":
+        decode = _CODECS[kind.range.name]
+        out.append(("type", lambda c: decode(c).isNull()))
+    elif runtime in LEXICAL and base == "string":
         lexical = LEXICAL[runtime]
         if runtime in _CASTS:
             out.append(("type", lambda c: ~c.rlike(lexical) | c.try_cast(_CASTS[runtime]).isNull()))

@@ -1,12 +1,13 @@
-"""Readers of instances: CSV with JSON in the cells of lists, JSON lines, any table of Spark's."""
+"""Readers of instances: CSV with JSON in the cells of lists, JSON lines, triples, any table of Spark's."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from typeloom.operators.render import struct_type
+from typeloom.operators.validate import codec
 from typeloom.plans.catalog import Catalog
 
 
@@ -22,12 +23,40 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("json"))
 
 
+def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """s, s_kind, p, o, o_kind, o_datatype of the lines of N-Triples; escapes stay, other lines are left out."""
+    line = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:(<[^>]*>|_:\S+)|\"((?:[^\"\\]|\\.)*)\"(?:\^\^<([^>]*)>|@\S+)?)\s*\.\s*$"
+    rows = spark.read.text(path).filter(F.col("value").rlike(line))
+    part = lambda i: F.regexp_extract("value", line, i)
+    name = lambda c: F.regexp_replace(c, "^(<|_:)|>$", "")
+    kind = lambda c: F.when(c.startswith("_:"), "blank").otherwise("iri")
+    literal = part(3) == ""
+    return rows.select(
+        name(part(1)).alias("s"),
+        kind(part(1)).alias("s_kind"),
+        part(2).alias("p"),
+        F.when(literal, part(4)).otherwise(name(part(3))).alias("o"),
+        F.when(literal, "literal").otherwise(kind(part(3))).alias("o_kind"),
+        F.nullif(part(5), F.lit("")).alias("o_datatype"),
+    )
+
+
+def decode_any(text: Column, spark_type: str) -> Column:
+    """The value of an any-typed slot, kept as JSON text, as a Spark type; null where it does not fit."""
+    return F.try_variant_get(F.try_parse_json(text), "$", spark_type)
+
+
 def typed(df: DataFrame, catalog: Catalog, cls: str) -> DataFrame:
     """df with the class's types; a value that does not fit becomes null, so validate first."""
     out = {}
+    ranges = {a.name: a.range.name for a in catalog.attributes(catalog.classes[cls]).values() if a.kind == "type"}
     for field in struct_type(catalog, cls).fields:
         if field.name not in df.columns:
             continue
+        decode = codec(ranges.get(field.name, ""))
+        if decode is not None and isinstance(df.schema[field.name].dataType, T.StringType):
+            out[field.name] = decode(F.col(f"`{field.name}`"))
+            continue
         given = df.schema[field.name].dataType
         if given == field.dataType:
             continue
