@@ -297,6 +297,15 @@ def test_lost_rows_fail(spark, tmp_path):
         warc.read_archives(spark, [(*known[0][:2], [7])]).collect()
 
 
+def test_a_plain_archive_is_not_cut_inside_a_payload(spark, tmp_path):
+    inner = warc.record_bytes(99, None, b"inner", None)
+    payloads = [b"a" * 5000, b"x" * 3000 + b"\r\n" + inner + b"y" * 3000, b"z"]
+    path = tmp_path / "p.warc"
+    path.write_bytes(b"".join(archive(payloads, False)))
+    rows = warc.read_archives(spark, [(str(path), path.stat().st_size)], split_bytes=1024).collect()
+    assert sorted(r["page_id"] for r in rows) == [0, 1, 2] and all(r["reason"] is None for r in rows)
+
+
 def test_gaps_are_logged(spark, tmp_path):
     members = archive(PAYLOADS, True)
     members[2] = members[2][:-3]

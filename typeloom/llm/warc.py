@@ -348,12 +348,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark, archives: list[tuple], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Events of archives (path, size): page rows, and rows with a reason for each quarantined gap.
 
-    Archives are cut into ranges; a range's task reads the records that begin in it. Where an archive
-    comes with the counts of write_archives and the ranges are theirs, a task fails if it reads another
+    Archives packed by member (.gz) are cut into ranges; a range's task reads the records that begin in it. A
+    plain archive is one range, read by windows: a payload may hold what looks like a record, and only who comes
+    from the record before knows. Where an archive comes with the counts of write_archives and the ranges are theirs, a task fails if it reads another
     number of pages.
     """
     counted = lambda counts, i: counts[i] if i < len(counts) else 0
-    ranges = [(path, at, min(size, at + split_bytes), counted(counts[0], at // split_bytes) if counts and split_bytes == SPLIT_BYTES else None) for path, size, *counts in archives for at in range(0, size, split_bytes)]
+    step = lambda path, size: split_bytes if path.endswith(".gz") else max(1, size)
+    ranges = [(path, at, min(size, at + step(path, size)), counted(counts[0], at // split_bytes) if counts and split_bytes == SPLIT_BYTES else None) for path, size, *counts in archives for at in range(0, size, step(path, size))]
     rows = spark.createDataFrame(ranges, "path string, first long, last long, written long")
     if ranges:
         rows = rows.repartition(len(ranges))
