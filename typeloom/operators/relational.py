@@ -170,6 +170,16 @@ def _held(edges: DataFrame, most: int) -> dict | None:
     return out
 
 
+def _depths(start, after: dict) -> dict:
+    """What a start reaches, with the fewest steps to it."""
+    depths, level, depth = {start: 0}, [start], 0
+    while level:
+        depth += 1
+        level = list(dict.fromkeys(d for s in level for d in after.get(s, ()) if d not in depths))
+        depths |= dict.fromkeys(level, depth)
+    return depths
+
+
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", seeds: DataFrame | None = None, reflexive: bool = True, held_edges: int = HELD_EDGES) -> DataFrame:
     """start, node, depth: what each start reaches, at the fewest steps.
 
@@ -177,21 +187,22 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", seeds: DataFra
     larger one a frontier is joined with the edges and stripped of pairs seen before, until it is empty; each
     frontier is written once, and what was seen is all of them.
     """
+    spark = edges.sparkSession
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
-    starts = seeds.select(F.col(seeds.columns[0]).alias("start")).distinct() if seeds is not None else e.select(F.col("_s").alias("start")).union(e.select("_d")).distinct()
     after = _held(e.withColumn("_o", F.lit(0)), held_edges)
+    kind = e.schema["_s"].dataType.simpleString()
+    if seeds is not None:
+        starts = seeds.select(F.col(seeds.columns[0]).alias("start")).distinct()
+    elif after is not None:
+        nodes = dict.fromkeys([*after, *(d for found in after.values() for d in found)])
+        starts = spark.createDataFrame([(n,) for n in nodes], f"start {kind}")
+    else:
+        starts = e.select(F.col("_s").alias("start")).union(e.select("_d")).distinct()
     if after is not None:
-        kind = starts.schema["start"].dataType.simpleString()
 
         def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = []
-                for start in batch["start"]:
-                    depths, level = {start: 0}, [start]
-                    while level:
-                        level = list(dict.fromkeys(d for s in level for d in after.get(s, ()) if d not in depths))
-                        depths |= dict.fromkeys(level, max(depths.values()) + 1)
-                    rows += [(start, node, depth) for node, depth in depths.items()]
+                rows = [(start, node, depth) for start in batch["start"] for node, depth in _depths(start, after).items()]
                 yield pd.DataFrame(rows, columns=["start", "node", "depth"])
 
         seen = starts.mapInPandas(walk, f"start {kind}, node {kind}, depth int")
@@ -234,38 +245,40 @@ def ancestors(class_parents: DataFrame, reflexive: bool = True, held_edges: int
     # mixins come before is_a
     rank = F.when(F.col("kind") == "is_a", 1 << 30).otherwise(0) + F.col("ord")
     edges = class_parents.select("cls", "parent", rank.alias("_rank")).distinct()
-    depths = closure(edges, "cls", "parent", held_edges=held_edges).withColumnsRenamed({"start": "cls", "node": "ancestor"})
     after = _held(edges, held_edges)
-    schema = "cls string, ancestor string, ord int, p int"
+    schema = "cls string, ancestor string, depth int, ord int, p int"
+    columns = [x.split()[0] for x in schema.split(", ")]
     if after is not None:
 
         def rank_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = [(c, *found) for c in batch["cls"] for found in _orders(c, lambda n: after.get(n, []))]
-                yield pd.DataFrame(rows, columns=["cls", "ancestor", "ord", "p"])
+                rows = [row for c in batch["cls"] for row in _ranked(c, after)]
+                yield pd.DataFrame(rows, columns=columns)
 
-        ranked = depths.filter("depth = 0").select("cls").mapInPandas(rank_all, schema)
+        nodes = dict.fromkeys([*after, *(d for found in after.values() for d in found)])
+        out = edges.sparkSession.createDataFrame([(n,) for n in nodes], "cls string").mapInPandas(rank_all, schema)
     else:
-        depths, _ = staged(depths, "ancestors")
+        up, _ = staged(closure(edges, "cls", "parent", held_edges=held_edges).select(F.col("start").alias("cls"), F.col("node").alias("ancestor")), "ancestors")
 
         def rank_one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
             after: dict[str, list[str]] = {}
-            for name, parent in own.sort_values("_rank", kind="stable")[["ancestor", "parent"]].itertuples(index=False):
+            for name, parent in own.dropna().sort_values("_rank", kind="stable")[["ancestor", "parent"]].itertuples(index=False):
                 after.setdefault(name, []).append(parent)
-            return pd.DataFrame([(key[0], *found) for found in _orders(key[0], lambda n: after.get(n, []))], columns=["cls", "ancestor", "ord", "p"])
-
-        inside = depths.select("cls", "ancestor").join(edges.withColumnRenamed("cls", "ancestor"), "ancestor", "left")
-        inside = inside.filter("parent IS NOT NULL OR cls = ancestor").fillna(0, ["_rank"])
-        ranked = inside.filter("parent IS NOT NULL").groupBy("cls").applyInPandas(rank_one, schema)
-        roots = depths.groupBy("cls").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("cls", F.col("cls").alias("ancestor"), F.lit(0).alias("ord"), F.lit(0).alias("p"))
-        ranked = ranked.unionByName(roots)
-    out = depths.join(ranked, ["cls", "ancestor"])
+            return pd.DataFrame(_ranked(key[0], after), columns=columns)
+
+        inside = up.join(edges.withColumnRenamed("cls", "ancestor"), "ancestor", "left")
+        out = inside.groupBy("cls").applyInPandas(rank_one, schema)
     return out if reflexive else out.filter("depth > 0")
 
 
+def _ranked(start: str, after: dict[str, list[str]]) -> list[tuple[str, str, int, int, int]]:
+    depths = _depths(start, after)
+    return [(start, name, depths[name], i, p) for name, i, p in _orders(start, lambda n: after.get(n, []))]
+
+
 def lowest_common_ancestors(class_parents: DataFrame, groups: DataFrame, group: str = "grp", cls: str = "cls") -> DataFrame:
     """grp, ancestor: common ancestors of each group's classes that are no strict ancestors of another."""
-    up, _ = staged(closure(class_parents, "cls", "parent").select(F.col("start").alias("_c"), F.col("node").alias("ancestor")), "ancestors")
+    up = closure(class_parents, "cls", "parent").select(F.col("start").alias("_c"), F.col("node").alias("ancestor"))
     wanted = groups.select(group, F.col(cls).alias("_c")).distinct()
     sizes = wanted.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     # a class outside the graph is its own only ancestor
@@ -275,6 +288,19 @@ def lowest_common_ancestors(class_parents: DataFrame, groups: DataFrame, group:
     return common.join(above, [group, "ancestor"], "left_anti")
 
 
+def derived_edges(derived: DataFrame, class_parents: DataFrame) -> DataFrame:
+    """src, dst: from each class to the ranges of its derived slots and to its ancestors."""
+    up = closure(class_parents, "cls", "parent", reflexive=False).select(F.col("start").alias("src"), F.col("node").alias("dst"))
+    return derived.filter("range IS NOT NULL").select(F.col("cls").alias("src"), F.col("range").alias("dst")).unionByName(up).distinct()
+
+
+def underived_edges(class_slots: DataFrame, class_parents: DataFrame) -> DataFrame:
+    """src, dst: from each class to what it writes: ranges, the slots it names, its parents."""
+    ranges = class_slots.filter("range IS NOT NULL").select(F.col("cls").alias("src"), F.col("range").alias("dst"))
+    named = class_slots.filter("source = 'slot'").select(F.col("cls").alias("src"), F.col("slot").alias("dst"))
+    return ranges.unionByName(named).unionByName(class_parents.select(F.col("cls").alias("src"), F.col("parent").alias("dst"))).distinct()
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node: what any seed reaches, itself included."""
     return closure(edges, seeds=seeds).select("node").distinct()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
 from typeloom.operators import rdf, relational, render, validate
+from typeloom.session import scratch_path
+from typeloom.streaming import validate as streaming
 from typeloom.tables import tables_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,21 +435,26 @@ def infer_required(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", expressions.infer_required(given, computed, strict=False).alias("n_chars"))
 
 
+_TYPED = '"imports": ["linkml:types"], "default_range": "string", '
 _FAULTS = [
-    ('"classes": {"R": {"tree_root": true}}', None),
-    ('"classes": {"R": {"tree_root": true}, "A": {"is_a": "Nope"}}', "UnknownReference"),
-    ('"classes": {"R": {"tree_root": true, "attributes": {"x": {"range": "sl"}}}}, "slots": {"sl": {}}', "InvalidRange"),
-    ('"classes": {"R": {"tree_root": true, "is_a": "R"}}', "CyclicInheritance"),
-    ('"classes": {"R": {"tree_root": true}, "S": {"tree_root": true}}', "MultipleTreeRoots"),
-    ('"classes": {"R": {"tree_root": true}, "K": {"attributes": {"a": {"key": true}, "b": {"identifier": true}}}}', "MultipleKeyOrIdSlots"),
-    ('"classes": {"R": {"tree_root": true}, "K": {"attributes": {"a": {"key": true, "range": "R"}}}}', "InvalidKeyOrIdSlotType"),
-    ('"classes": {"R": {"tree_root": true}}, "enums": {"R": {}}', "NonUniqueName"),
-    ('"classes": {"R": {"tree_root": true}}, "types": {"t": {"base": "str", "implicit_prefix": "nope"}}', "UndefinedPrefix"),
-    ('"classes": {"R": {"tree_root": true}}, "slots": {"s": {"slot_uri": "no where:x"}}', "InvalidUriOrCurie"),
-    ('"classes": {"R": {"tree_root": true}, "C": {"slot_usage": {"ghost": {"required": true}}}}', "InvalidSlotUsage"),
-    ('"classes": {"A": {}}', "NoTreeRootClass"),
-    ('"classes": 5', "SchemaParseError"),
+    (_TYPED + '"classes": {"R": {"tree_root": true}}', None),
+    (_TYPED + '"classes": {"R": {"tree_root": true}, "A": {"is_a": "Nope"}}', "UnknownReference"),
+    (_TYPED + '"classes": {"R": {"tree_root": true, "attributes": {"x": {"range": "sl"}}}}, "slots": {"sl": {}}', "InvalidRange"),
+    (_TYPED + '"classes": {"R": {"tree_root": true, "is_a": "R"}}', "CyclicInheritance"),
+    (_TYPED + '"classes": {"R": {"tree_root": true}, "S": {"tree_root": true}}', "MultipleTreeRoots"),
+    (_TYPED + '"classes": {"R": {"tree_root": true}, "K": {"attributes": {"a": {"key": true}, "b": {"identifier": true}}}}', "MultipleKeyOrIdSlots"),
+    (_TYPED + '"classes": {"R": {"tree_root": true}, "K": {"attributes": {"a": {"key": true, "range": "R"}}}}', "InvalidKeyOrIdSlotType"),
+    (_TYPED + '"classes": {"R": {"tree_root": true}}, "enums": {"R": {}}', "NonUniqueName"),
+    (_TYPED + '"classes": {"R": {"tree_root": true}}, "types": {"t": {"base": "str", "implicit_prefix": "nope"}}', "UndefinedPrefix"),
+    (_TYPED + '"classes": {"R": {"tree_root": true}}, "slots": {"s": {"slot_uri": "no where:x"}}', "InvalidUriOrCurie"),
+    (_TYPED + '"classes": {"R": {"tree_root": true}, "C": {"slot_usage": {"ghost": {"required": true}}}}', "InvalidSlotUsage"),
+    (_TYPED + '"classes": {"A": {}}', "NoTreeRootClass"),
+    (_TYPED + '"classes": 5', "SchemaParseError"),
     ('"imports": ["elsewhere"]', "SchemaImportError"),
+    ('"default_range": "E", "enums": {"E": {}}, "classes": {"R": {"tree_root": true, "attributes": {"x": {"range": "string"}}}}', "UnknownStringReference"),
+    ('"classes": {"R": {"tree_root": true, "attributes": {"x": {}}}}', "InvalidDefaultRange"),
+    ('"classes": {"R": {"tree_root": true}}', "UndefinedDefaultRange"),
+    ('"imports": ["linkml:units"], "id": "https://w3id.org/linkml/units"', "SchemaIdClash"),
 ]
 
 
@@ -456,12 +463,43 @@ def corpus_lint(spark, sf_dir):
     """A schema text a row, each with one fault or none, linted where the rows are."""
     bodies = F.array(*[F.lit(body) for body, _ in _FAULTS])
     rest = F.element_at(bodies, (F.col("p_partkey") % len(_FAULTS) + 1).cast("int"))
-    imports = F.when(rest.contains('"imports"'), "").otherwise('"imports": ["linkml:types"], ')
-    text = F.concat(F.lit('{"id": "https://e.org/'), F.col("p_partkey").cast("string"), F.lit('", "name": "s", "default_range": "string", '), imports, rest, F.lit("}"))
+    text = F.concat(F.lit('{"id": "https://e.org/'), F.col("p_partkey").cast("string"), F.lit('", "name": "s", '), rest, F.lit("}"))
     found = relational.lint_texts(_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
     return found.select("p_partkey", "issue", F.col("n").cast("int").alias("n"))
 
 
+# -- streams
+
+
+def _streamed(spark, sf_dir, name, make):
+    """A table read as a stream, made into another that is written until all has been read, and read back."""
+    stream = spark.readStream.schema(_table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    out, path = make(stream), scratch_path(spark, "stream")
+    run = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query("SELECT event_id, 'value' AS slot, 'minimum' AS \"constraint\" FROM events WHERE value < 1 UNION ALL SELECT event_id, 'event_type', 'enum' FROM events WHERE event_type NOT IN ('signup', 'error', 'click', 'view', 'purchase')")
+def stream_violations(spark, sf_dir):
+    """A row for each violation of a stream."""
+    return _streamed(spark, sf_dir, "events", lambda s: streaming.violations(s, tables_catalog(), "Event", ["event_id"]))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01') AS window_start, 'value' AS slot, 'minimum' AS \"constraint\", count(*) AS n_invalid FROM events WHERE value < 1 AND time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01') + INTERVAL 6 HOURS <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    """Violations by windows of event time, of those windows that the watermark has closed."""
+    found = _streamed(spark, sf_dir, "events", lambda s: streaming.windowed_report(s.withColumn("ts", F.col("ts").cast("timestamp")), tables_catalog(), "Event", "ts", "6 hours", "1 hour"))
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def stream_orphans(spark, sf_dir):
+    """Rows of a stream that refer to no row of a table."""
+    parents = _table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
+    return _streamed(spark, sf_dir, "orders", lambda s: streaming.orphans(s.select("o_orderkey", "o_custkey"), "o_custkey", parents, "c_custkey"))
+
+
 # -- the schema algebra over a corpus: classes, slots and references made of the tables' rows by SQL that both engines read
 
 _CORPUS = {
@@ -470,7 +508,7 @@ _CORPUS = {
         UNION ALL SELECT concat('C', p_partkey), concat('C', CAST(floor(p_partkey / 3) AS BIGINT)), 'mixin', 0 FROM part WHERE p_partkey % 5 = 0 AND p_partkey >= 3
         UNION ALL SELECT concat('C', p_partkey), concat('C', p_partkey - 3), 'mixin', 1 FROM part WHERE p_partkey % 7 = 0 AND p_partkey > 3""",
     "class_slots": """
-        SELECT concat('C', p_partkey) AS cls, concat('s', p_size % 12) AS slot, 'attribute' AS source, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS rng,
+        SELECT concat('C', p_partkey) AS cls, concat('s', p_size % 12) AS slot, 'attribute' AS source, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 7 = 1 THEN concat('C', p_partkey % 60) END AS rng,
                CASE WHEN p_partkey % 4 = 0 THEN true END AS required, CASE WHEN p_partkey % 6 = 0 THEN true END AS multivalued,
                CASE WHEN p_partkey % 11 = 0 THEN true END AS identifier, CASE WHEN p_partkey % 2 = 0 THEN concat('^', p_type) END AS pattern
         FROM part WHERE p_partkey % 2 = 1 OR p_partkey < 40
@@ -592,6 +630,20 @@ def derive_slots(spark, sf_dir):
     return _derived(spark, sf_dir)
 
 
+@query(_MERGED + ", steps AS (SELECT cls AS src, \"range\" AS dst FROM derived WHERE \"range\" IS NOT NULL UNION SELECT cls, ancestor FROM anc WHERE cls <> ancestor), r(node) AS (SELECT seed FROM (SELECT concat('C', p_partkey) AS seed FROM part WHERE p_partkey % 90 = 17) UNION SELECT dst FROM r JOIN steps ON node = src) SELECT node FROM r")
+def derived_reachability(spark, sf_dir):
+    """What classes reach by the ranges of their derived slots and by their ancestors."""
+    edges = relational.derived_edges(_derived(spark, sf_dir), _corpus(spark, sf_dir, "class_parents"))
+    return relational.reachable(edges, _corpus(spark, sf_dir, "seeds"))
+
+
+@query(f"{_with('class_parents', 'class_slots', 'seeds')}, steps AS (SELECT cls AS src, rng AS dst FROM class_slots WHERE rng IS NOT NULL UNION SELECT cls, slot FROM class_slots WHERE source = 'slot' UNION SELECT cls, parent FROM class_parents), r(node) AS (SELECT seed FROM seeds UNION SELECT dst FROM r JOIN steps ON node = src) SELECT node FROM r")
+def underived_reachability(spark, sf_dir):
+    """The same over what is written: ranges, named slots and parents."""
+    edges = relational.underived_edges(_corpus(spark, sf_dir, "class_slots"), _corpus(spark, sf_dir, "class_parents"))
+    return relational.reachable(edges, _corpus(spark, sf_dir, "seeds"))
+
+
 @query(_MERGED + " SELECT cls, count(*) AS n_slots, string_agg(slot, ',' ORDER BY slot) AS slots FROM derived GROUP BY cls")
 def materialized_classes(spark, sf_dir):
     """A7."""
@@ -621,7 +673,7 @@ def multi_ids(spark, sf_dir):
     return relational.multiple_keys(_derived(spark, sf_dir))
 
 
-@query(_MERGED + " SELECT cls, slot, \"range\" FROM derived WHERE identifier AND \"range\" IN (SELECT p_type FROM part)")
+@query(_MERGED + " SELECT cls, slot, \"range\" FROM derived WHERE identifier AND (\"range\" IN (SELECT p_type FROM part) OR \"range\" LIKE 'C%')")
 def bad_key_types(spark, sf_dir):
     """V8: keys whose range is no type."""
     return relational.bad_key_types(_derived(spark, sf_dir), _corpus(spark, sf_dir, "elements")).select("cls", "slot", "range")
