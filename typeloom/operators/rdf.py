@@ -26,7 +26,7 @@ IRI, BLANK, LITERAL = "iri", "blank", "literal"
 TRIPLES = "s string, s_kind string, p string, o string, o_kind string, o_datatype string"
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, unsafe_hash=True)
 class Triple:
     s: str
     s_kind: str
@@ -57,11 +57,10 @@ def _list(items: list[tuple[str, str]], ids: Iterator[int]) -> tuple[tuple[str,
     if not items:
         return (RDF + "nil", IRI), []
     nodes = [f"b{next(ids)}" for _ in items]
-    out = []
-    for i, (value, kind) in enumerate(items):
-        out.append(Triple(nodes[i], BLANK, RDF + "first", value, kind))
-        rest = (nodes[i + 1], BLANK) if i + 1 < len(nodes) else (RDF + "nil", IRI)
-        out.append(Triple(nodes[i], BLANK, RDF + "rest", *rest))
+    out, rests = [], [*((n, BLANK) for n in nodes[1:]), (RDF + "nil", IRI)]
+    for node, (value, kind), (rest, rest_kind) in zip(nodes, items, rests):
+        out.append(Triple(node, BLANK, RDF + "first", value, kind))
+        out.append(Triple(node, BLANK, RDF + "rest", rest, rest_kind))
     return (nodes[0], BLANK), out
 
 

@@ -96,7 +96,14 @@ def json_schema(catalog: Catalog, open_: bool = False, tree_root: str | None = N
             out["pattern"] = attribute.merged("pattern")
         return out
 
+    made: dict[int, dict] = {}  # classes share the attributes that they inherit
+
     def of(attribute: Attribute) -> dict:
+        if id(attribute) not in made:
+            made[id(attribute)] = fresh(attribute)
+        return made[id(attribute)]
+
+    def fresh(attribute: Attribute) -> dict:
         many = attribute.slot.get("multivalued")
         listed = lambda one: {"type": "array", "items": one} if many else one
         if attribute.kind == "any":

@@ -101,6 +101,11 @@ class Catalog:
         self._above: dict[tuple[str, str, bool], list[Element]] = {}
         self._folded: dict[str, dict[str, dict]] = {}
         self._declared: dict[str, dict[str, Schema]] = {}
+        self._shared: dict[tuple, Element] = {}
+        self._resolved: dict[int, Attribute] = {}
+        # by id, with the element, which so stays and keeps its id
+        self._uris: dict[int, tuple[Element, str]] = {}
+        self._meanings: dict[int, tuple[Element, dict[str, str]]] = {}
         self._spaces: dict[int, Mapping[str, str]] = {}
 
     # -- lookups
@@ -153,6 +158,11 @@ class Catalog:
 
     def uri(self, element: Element) -> str:
         """The element's URI: the one written, expanded, or the default namespace and its encoded name."""
+        if id(element) not in self._uris:
+            self._uris[id(element)] = element, self._uri(element)
+        return self._uris[id(element)][1]
+
+    def _uri(self, element: Element) -> str:
         written = element.meta.get({"class": "class_uri", "slot": "slot_uri", "enum": "enum_uri", "type": "uri"}.get(element.kind, "uri"))
         if written is not None:
             return names.expand(written, self.prefixes(element.schema))
@@ -160,10 +170,13 @@ class Catalog:
 
     def meanings(self, enum: Element) -> dict[str, str]:
         """Permissible values with their URIs, in order."""
+        if id(enum) in self._meanings:
+            return self._meanings[id(enum)][1]
         out = {}
         for text, body in (enum.meta.get("permissible_values") or {}).items():
             meaning = body.get("meaning")
             out[text] = names.expand(meaning, self.prefixes(enum.schema)) if meaning else self.default_namespace(enum.schema) + names.uri_encode(names.de_space(text))
+        self._meanings[id(enum)] = enum, out
         return out
 
     def by_meaning(self, enum: Element) -> dict[str, str]:
@@ -239,7 +252,7 @@ class Catalog:
             out[name] = combine(out.get(name, {}), meta)
         for parent in self.parents(cls):
             for name, meta in self._layers(parent, (*path, cls.name)).items():
-                out[name] = combine(out.get(name, {}), meta)
+                out[name] = combine(out[name], meta) if name in out else meta  # shared, and never changed
         self._folded[cls.name] = out
         return out
 
@@ -259,17 +272,22 @@ class Catalog:
         return self._derived[cls.name]
 
     def derived_slot(self, cls: Element, name: str) -> Element:
-        meta = dict(self._layers(cls).get(name, {}))
-        if name in self.slots and not self.from_attributes(cls, name):
-            top = self.slots[name]
-            meta = combine(meta, top.meta)
-            for ancestor in self.ancestors(top, reflexive=False):
-                meta = combine(meta, ancestor.meta, INHERITED)
-        slot = Element(name, "slot", self._source(cls, name), meta)
-        slot.meta["slot_uri"] = self.uri(slot)
-        slot.meta["inlined"] = bool(slot.get("inlined") or slot.get("inlined_as_list"))
-        slot.meta["required"] = bool(slot.get("required") or slot.get("identifier") or slot.get("key"))
-        return slot
+        """A slot as a class has it; classes that add nothing to an inherited slot share it."""
+        layers, source = self._layers(cls).get(name), self._source(cls, name)
+        top = self.slots.get(name) if not self.from_attributes(cls, name) else None
+        key = (id(layers) if layers is not None else name, name, id(source), top is None)
+        if key not in self._shared:
+            meta = dict(layers or {})
+            if top is not None:
+                meta = combine(meta, top.meta)
+                for ancestor in self.ancestors(top, reflexive=False):
+                    meta = combine(meta, ancestor.meta, INHERITED)
+            slot = Element(name, "slot", source, meta)
+            meta["slot_uri"] = self.uri(slot)
+            meta["inlined"] = bool(meta.get("inlined") or meta.get("inlined_as_list"))
+            meta["required"] = bool(meta.get("required") or meta.get("identifier") or meta.get("key"))
+            self._shared[key] = slot
+        return self._shared[key]
 
     def range_of(self, slot: Element) -> str:
         return slot.meta.get("range") or self.default_range(slot.schema)
@@ -322,7 +340,12 @@ class Catalog:
 
     def attributes(self, cls: Element) -> dict[str, Attribute]:
         if cls.name not in self._attributes:
-            self._attributes[cls.name] = {n: self.attribute(s) for n, s in self.derived_slots(cls).items()}
+            out = {}
+            for name, slot in self.derived_slots(cls).items():
+                if id(slot) not in self._resolved:  # the slots live as long as the catalog
+                    self._resolved[id(slot)] = self.attribute(slot)
+                out[name] = self._resolved[id(slot)]
+            self._attributes[cls.name] = out
         return self._attributes[cls.name]
 
     def attribute(self, slot: Element) -> Attribute:
