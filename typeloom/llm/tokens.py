@@ -15,7 +15,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A worker keeps so many bytes of chunks and ids; longer chunks and tails are not kept.
-CACHE_BYTES = 256 << 20
+CACHE_BYTES = 160 << 20
 LONG_CHUNK, LONG_TAIL = 64, 4
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
