@@ -93,6 +93,32 @@ def lint_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, text).mapInPandas(lint, f"{key} {kind}, issue string, severity string, n long")
 
 
+def describe_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """A row for each attribute of each class of each schema text, as the catalog resolves it where the rows are.
+
+    Texts that do not load give no row; imports other than built-in schemas are not followed.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, cls string, tree_root boolean, slot string, uri string, kind string, range string, primitive boolean, subject string, form string"
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from typeloom.operators.lint import load
+        from typeloom.sources.documents import MapImporter
+
+        for batch in batches:
+            rows = []
+            for k, body in zip(batch[key], batch[text]):
+                catalog, _ = load(str(k), body or "", MapImporter())
+                root = catalog.tree_root() if catalog is not None else None
+                for c in catalog.classes.values() if catalog is not None else ():
+                    for a in catalog.attributes(c).values():
+                        rows.append((k, catalog.alias(c), c is root, a.name, catalog.uri(a.slot), a.kind, a.range.name, a.kind == "type" and catalog.is_primitive(a.range), catalog.subject_type(a), a.form.name if a.form else None))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return texts.select(key, text).mapInPandas(describe, schema)
+
+
 # -- lookups
 
 

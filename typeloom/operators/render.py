@@ -270,7 +270,7 @@ def er_diagram(catalog: Catalog, pruning: str = "skip", optional_marker: bool =
                 if attribute.range.name in drawn:
                     end = {(True, True): "|{", (False, True): "o{", (True, False): "||", (False, False): "o|"}[bool(slot.get("required")), bool(many)]
                     line = "--" if attribute.kind == "inline" else ".."
-                    edges.append(f'  {_entity(catalog.alias(cls))} ||{line}{end} {_entity(catalog.alias(attribute.range))} : "{attribute.name}"')
+                    edges.append(f'  {_entity(catalog.alias(cls))} ||{line}{end} {_entity(catalog.alias(attribute.range))} : "{attribute.name.replace(chr(34), chr(39))}"')
                 continue
             kind = "Any" if attribute.kind == "any" else catalog.alias(attribute.range)
             mark = "[]" * bool(many) + "?" * bool(optional_marker and not slot.get("required"))

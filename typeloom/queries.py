@@ -70,11 +70,10 @@ def lineitem_report(spark, sf_dir):
     return validate.report(_lines(spark, sf_dir), tables_catalog(), "LineItem")
 
 
-@query("SELECT l_orderkey, l_linenumber, slot, \"constraint\", count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{s}' AS slot, '{c}' AS \"constraint\" FROM {_LINES} WHERE coalesce({p}, false)" for s, c, p in _LINE_CHECKS) + ") GROUP BY ALL")
+@query(" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{s}' AS slot, '{c}' AS \"constraint\" FROM {_LINES} WHERE coalesce({p}, false)" for s, c, p in _LINE_CHECKS))
 def violations_long(spark, sf_dir):
     """A row for each violation, in one scan."""
-    found = validate.violations(_lines(spark, sf_dir), tables_catalog(), "LineItem", ["l_orderkey", "l_linenumber"])
-    return found.groupBy("l_orderkey", "l_linenumber", "slot", "constraint").agg(F.count(F.lit(1)).alias("n"))
+    return validate.violations(_lines(spark, sf_dir), tables_catalog(), "LineItem", ["l_orderkey", "l_linenumber"])
 
 
 @query(f"SELECT l_linestatus, count(*) AS n FROM {_LINES} WHERE NOT ({' OR '.join(f'coalesce({p}, false)' for _, _, p in _LINE_CHECKS)}) GROUP BY 1")
@@ -468,6 +467,35 @@ def corpus_lint(spark, sf_dir):
     return found.select("p_partkey", "issue", F.col("n").cast("int").alias("n"))
 
 
+_FACTS = """
+WITH k AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'https://p.org/ns#' ELSE 'https://e.org/' || p_partkey || '/' END AS ns FROM part),
+facts(slot, kind, rng, prim, subject, form) AS (VALUES
+  ('plain', 'type', '?', true, 'base', NULL), ('any', 'any', 'Any', false, 'base', NULL), ('code', 'type', 'code', false, 'implicit:p', NULL), ('link', 'type', 'uriorcurie', true, 'uriorcurie', NULL),
+  ('e', 'enum', 'E', false, 'base', NULL), ('ref', 'reference', 'Keyed', false, '?', NULL), ('kids', 'inline', 'Keyed', false, 'base', '?'), ('one', 'inline', 'Bare', false, 'base', 'optional'))
+SELECT k AS p_partkey, 'RootThing' AS cls, k % 5 = 0 AS tree_root, slot, ns || slot AS uri, kind,
+  CASE WHEN slot <> 'plain' THEN rng WHEN k % 2 = 0 THEN 'integer' ELSE 'string' END AS "range", prim AS "primitive",
+  CASE WHEN slot <> 'ref' THEN subject WHEN k % 4 = 0 THEN 'uri' ELSE 'base' END AS subject,
+  CASE WHEN slot <> 'kids' THEN form WHEN k % 2 = 0 THEN 'simple_dict' ELSE 'compact_dict' END AS form
+FROM k, facts"""
+
+
+@query(_FACTS)
+def corpus_attributes(spark, sf_dir):
+    """Attributes as the catalogs of many schema texts resolve them."""
+    k = F.col("p_partkey")
+    pick = lambda check, yes, no: F.when(check, yes).otherwise(no)
+    text = F.concat(
+        F.lit('{"id": "https://e.org/'), k.cast("string"), F.lit('", "name": "s", "imports": ["linkml:types"], "prefixes": {"p": "https://p.org/ns#"}, "default_range": "'), pick(k % 2 == 0, "integer", "string"), F.lit('"'),
+        pick(k % 3 == 0, ', "default_prefix": "p"', ""),
+        F.lit(', "types": {"code": {"typeof": "string", "base": "str", "implicit_prefix": "p"}}, "enums": {"E": {"permissible_values": {"a": {}}}}, "classes": {"Any": {"class_uri": "linkml:Any"}, "Bare": {"attributes": {"n": {}}}, "Keyed": {"attributes": {"id": {"identifier": true, "range": "'),
+        pick(k % 4 == 0, "uri", "string"), F.lit('"}'), pick(k % 2 == 0, ', "v": {}', ""),
+        F.lit('}}, "root thing": {"tree_root": '), pick(k % 5 == 0, "true", "false"),
+        F.lit(', "attributes": {"plain": {}, "any": {"range": "Any"}, "code": {"range": "code"}, "link": {"range": "uriorcurie"}, "e": {"range": "E"}, "ref": {"range": "Keyed"}, "kids": {"range": "Keyed", "multivalued": true, "inlined": true}, "one": {"range": "Bare"}}}}}'),
+    )
+    found = relational.describe_texts(_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return found.filter("cls = 'RootThing'")
+
+
 # -- streams
 
 
@@ -775,6 +803,10 @@ _KEYS = "('r_regionkey', 'n_nationkey', 'c_custkey', 's_suppkey', 'p_partkey', '
 _COLUMNS = "WITH named(cls, tbl) AS (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in _CLASSES.items()) + "), cols AS (SELECT DISTINCT cls, column_name AS name, data_type AS type, ordinal_position AS pos FROM named JOIN information_schema.columns ON tbl = table_name)"
 
 
+_REFS = "refs(name, target) AS (VALUES ('n_regionkey', 'Region'), ('c_nationkey', 'Nation'), ('s_nationkey', 'Nation'), ('o_custkey', 'Customer'), ('l_orderkey', 'Order'), ('l_partkey', 'Part'), ('l_suppkey', 'Supplier'))"
+_ENUMS = "('c_mktsegment', 'p_type', 'o_orderstatus', 'l_returnflag', 'l_linestatus', 'event_type', 'role')"
+
+
 def _sql_type(**named: str) -> str:
     return f"CASE WHEN type IN ('BIGINT', 'INTEGER') THEN '{named['integer']}' WHEN type = 'DOUBLE' THEN '{named['double']}' WHEN type LIKE 'TIMESTAMP%' THEN '{named['time']}' ELSE '{named['text']}' END"
 
@@ -820,7 +852,7 @@ def graphql_fields(spark, sf_dir):
     return _gathered(spark, rows, "cls string, name string, is_key boolean")
 
 
-@query(f"{_COLUMNS}, refs(name, range) AS (VALUES ('n_regionkey', 'Region'), ('c_nationkey', 'Nation'), ('s_nationkey', 'Nation'), ('o_custkey', 'Customer'), ('l_orderkey', 'Order'), ('l_partkey', 'Part'), ('l_suppkey', 'Supplier')) SELECT cls, c.name, r.range AS edge_to, c.name IN {_KEYS} AND r.range IS NULL AS is_key FROM cols c LEFT JOIN refs r ON c.name = r.name AND c.cls <> r.range")
+@query(f"{_COLUMNS}, {_REFS} SELECT cls, c.name, target AS edge_to, c.name IN {_KEYS} AND target IS NULL AS is_key FROM cols c LEFT JOIN refs r ON c.name = r.name AND cls <> target")
 def er_diagram_rows(spark, sf_dir):
     """Attributes and edges of the ER diagram."""
     rows, cls = [], None
@@ -853,12 +885,13 @@ def shape_orders(spark, sf_dir):
     return found.filter(F.col("cls").isin([c for c in _CLASSES if c != "LineItem"])).select("cls", "name", F.col("ord").cast("long").alias("ord"))
 
 
-@query("SELECT * FROM (VALUES ('n_name', 'http://www.w3.org/2001/XMLSchema#string'), ('n_regionkey', 'https://example.org/tables/Region')) t(slot, \"range\")")
+@query(f"{_COLUMNS}, {_REFS} SELECT cls, c.name AS slot, CASE WHEN target IS NOT NULL THEN 'https://example.org/tables/' || target ELSE 'http://www.w3.org/2001/XMLSchema#' || {_sql_type(integer='integer', double='double', time='dateTime', text='string')} END AS \"range\" FROM cols c LEFT JOIN refs r ON c.name = r.name AND cls <> target WHERE c.name NOT IN {_ENUMS} AND NOT (c.name IN {_KEYS} AND pos = 1 AND cls <> 'LineItem')")
 def shape_ranges(spark, sf_dir):
-    """What the shape of a class says of its slots' ranges."""
+    """What the shape of each class says of its slots' ranges."""
     triples = rdf.to_frame(spark, rdf.shacl(tables_catalog()))
-    of = triples.filter((F.col("s") == "https://example.org/tables/Nation") & (F.col("p") == rdf.SH + "property")).select(F.col("o").alias("s"))
-    held = triples.join(of, "s", "left_semi")
-    paths = held.filter(F.col("p") == rdf.SH + "path").select("s", F.element_at(F.split("o", "/"), -1).alias("slot"))
+    local = lambda c: F.element_at(F.split(c, "/"), -1)
+    shapes = triples.filter(F.col("p") == rdf.SH + "property").select(local("s").alias("cls"), F.col("o").alias("s")).filter(F.col("cls").isin(list(_CLASSES)))
+    held = triples.join(shapes.select("s"), "s", "left_semi")
+    paths = held.filter(F.col("p") == rdf.SH + "path").select("s", local("o").alias("slot"))
     ranges = held.filter(F.col("p").isin(rdf.SH + "datatype", rdf.SH + "class")).select("s", F.col("o").alias("range"))
-    return paths.join(ranges, "s").select("slot", "range")
+    return shapes.join(paths, "s").join(ranges, "s").select("cls", "slot", "range")
