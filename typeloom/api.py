@@ -68,7 +68,7 @@ class Schema:
     def _rdf(self, triples, form: str) -> str:
         if form == "turtle":
             return rdf.turtle(triples, rdf.namespaces(self.catalog))
-        return "".join(f"{line}\n" for line in rdf.ntriples(triples))
+        return rdf.ntriples_text(triples)
 
     # -- Spark
 

@@ -36,11 +36,8 @@ class Triple:
     o_datatype: str | None = None
 
     def line(self) -> str:
-        if self.o_kind == LITERAL:
-            o = f'"{ntriples_escape(self.o)}"' + ("" if self.o_datatype in (None, XSD + "string") else f"^^{_iri(self.o_datatype)}")
-        else:
-            o = f"_:{self.o}" if self.o_kind == BLANK else _iri(self.o)
-        return f"{f'_:{self.s}' if self.s_kind == BLANK else _iri(self.s)} {_iri(self.p)} {o} ."
+        rest = f"{_iri(self.p)} _:{self.o} ." if self.o_kind == BLANK else _rest(self.p, self.o, self.o_kind, self.o_datatype)
+        return f"_:{self.s} {rest}" if self.s_kind == BLANK else f"{_iri(self.s)} {rest}"
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -48,6 +45,14 @@ def _iri(value: str) -> str:
     return f"<{ntriples_escape(value, True)}>"
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _rest(p: str, o: str, kind: str, datatype: str | None) -> str:
+    """A line from its predicate on, which triples of one slot in many classes share."""
+    if kind == LITERAL:
+        return f'{_iri(p)} "{ntriples_escape(o)}"' + ("" if datatype in (None, XSD + "string") else f"^^{_iri(datatype)}") + " ."
+    return f"{_iri(p)} {_iri(o)} ."
+
+
 def _literal(s: str, kind: str, p: str, value: str, datatype: str = XSD + "string") -> Triple:
     return Triple(s, kind, p, value, LITERAL, datatype)
 
@@ -97,6 +102,20 @@ def shacl(catalog: Catalog, open_: bool = False, root_only: bool = False) -> Ite
             yield from triples
             yield Triple(subject, BLANK, SH + "or", *head)
 
+    def described(attribute: Attribute) -> Iterator[tuple]:
+        """What is said of a slot without further nodes, as (p, o, o_kind, o_datatype)."""
+        slot = attribute.slot
+        if slot.meta.get("description"):
+            yield SH + "description", slot.meta["description"], LITERAL, XSD + "string"
+        if not slot.get("multivalued"):
+            yield SH + "maxCount", "1", LITERAL, XSD + "integer"
+        if slot.get("required"):
+            yield SH + "minCount", "1", LITERAL, XSD + "integer"
+        yield SH + "path", catalog.uri(slot), IRI, None
+        if attribute.kind != "enum" and not slot.get("any_of"):
+            yield from ((t.p, t.o, t.o_kind, t.o_datatype) for t in ranged("", attribute, slot.meta))
+
+    plain: dict[int, list[tuple]] = {}  # classes share the attributes that they inherit
     for cls in catalog.classes.values():
         if root_only and cls.schema is not catalog.root:
             continue
@@ -112,20 +131,17 @@ def shacl(catalog: Catalog, open_: bool = False, root_only: bool = False) -> Ite
         yield Triple(uri, IRI, SH + "ignoredProperties", *head)
         order = 0
         for attribute in catalog.attributes(cls).values():
-            slot = attribute.slot
-            if slot.get("identifier"):
+            if attribute.slot.get("identifier"):
                 continue
             node = f"b{next(ids)}"
             yield Triple(uri, IRI, SH + "property", node, BLANK)
-            if slot.meta.get("description"):
-                yield _literal(node, BLANK, SH + "description", slot.meta["description"])
-            if not slot.get("multivalued"):
-                yield _literal(node, BLANK, SH + "maxCount", "1", XSD + "integer")
-            if slot.get("required"):
-                yield _literal(node, BLANK, SH + "minCount", "1", XSD + "integer")
-            yield Triple(node, BLANK, SH + "path", catalog.uri(slot))
-            yield from ranged(node, attribute, slot.meta)
-            yield _literal(node, BLANK, SH + "order", str(order), XSD + "integer")
+            if id(attribute) not in plain:
+                plain[id(attribute)] = list(described(attribute))
+            for p, o, kind, datatype in plain[id(attribute)]:
+                yield Triple(node, BLANK, p, o, kind, datatype)
+            if attribute.kind == "enum" or attribute.slot.get("any_of"):
+                yield from ranged(node, attribute, attribute.slot.meta)
+            yield Triple(node, BLANK, SH + "order", str(order), LITERAL, XSD + "integer")
             order += 1
         yield Triple(uri, IRI, SH + "targetClass", uri)
 
@@ -184,6 +200,10 @@ def ntriples(triples: Iterable[Triple]) -> Iterator[str]:
     return (t.line() for t in triples)
 
 
+def ntriples_text(triples: Iterable[Triple]) -> str:
+    return "\n".join([*(t.line() for t in triples), ""])
+
+
 def turtle(triples: Iterable[Triple], prefixes: list[tuple[str, str]]) -> str:
     """A plain Turtle text: prefixes, then the triples by subject."""
 
