@@ -164,6 +164,18 @@ def _search(k: int, top_norm: float, query_files: list[str], parts: int, options
     return search
 
 
+def block_answers(k: int, blocks: int, risk: float = 1e-7) -> int:
+    """How many of a query's k nearest one of several blocks can hold, but for a chance of ``risk``.
+
+    Vectors are dealt by a hash of their ids, so the number is binomial.
+    """
+    p, at_most, n = 1 / blocks, 0.0, -1
+    while n < k and 1 - at_most > risk:
+        n += 1
+        at_most += math.comb(k, n) * p**n * (1 - p) ** (k - n)
+    return max(1, n)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries the k rows of vectors of largest inner product.
 
@@ -175,7 +187,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
 
     Vectors are dealt to blocks once; each block's task reads the queries from the shared folder, so no
     vector is shuffled a second time however many queries there are. With fewer blocks than cores, a
-    block is held by several tasks, which share the queries.
+    block is held by several tasks, which share the queries. A block searches for as many neighbours as it can
+    hold of a query's k (``block_answers``), so its radius, its work and its answers shrink as blocks grow in number.
     """
     spark = vectors.sparkSession
 
@@ -197,7 +210,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     held = kept.select(part.alias("part"), block.alias("block"), F.col("dims").cast("int").alias("dims"), "vec_id", "vector")
     held = held.repartitionById(blocks * parts, F.col("block") * parts + F.col("part")).drop("block")
-    search = _search(k, float(top_norm or 1.0), sorted(asked.inputFiles()), parts, options)
+    search = _search(block_answers(k, blocks), float(top_norm or 1.0), sorted(asked.inputFiles()), parts, options)
     found = held.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
