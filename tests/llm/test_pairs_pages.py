@@ -146,6 +146,12 @@ def test_recall_against_brute_force(spark):
     assert all(np.mean(hits[i::10]) >= 0.9 for i in range(10))  # each tenth of the queries
 
 
+def test_answers_of_a_block():
+    assert [nearest.block_answers(20, b) for b in (1, 2, 10, 100, 10_000)] == [20, 20, 11, 5, 2]
+    rng = np.random.default_rng(0)
+    assert (rng.binomial(20, 0.1, 100_000) <= nearest.block_answers(20, 10)).all()
+
+
 def test_few_vectors_are_verified_and_equal_ones_score_alike():
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((20_000, 64))

@@ -382,7 +382,8 @@ def test_sequences_are_views_of_the_file(spark, tmp_path):
     assert total == len(ids)
     for i in (0, 63, 64, 127, 128):
         found, mask = reader.sequence(i)
-        assert found.base is not None and (found[mask] == ids[16 * i : 16 * i + 16]).all() and mask.sum() == min(16, len(ids) - 16 * i)
+        assert found.base is not None and mask.base is not None and (found[mask] == ids[16 * i : 16 * i + 16]).all() and mask.sum() == min(16, len(ids) - 16 * i)
+        assert [a.to_pylist() for a in reader.arrays(i)] == [found.tolist(), mask.tolist()]
 
 
 # -- classifier

@@ -1,8 +1,8 @@
 """Token output in Arrow files.
 
 A corpus is written as parts in document order. Each part is an Arrow IPC file whose record batches
-hold two fixed-size-list columns, ids and mask (a byte a place), of equal-length sequences: the ids of the
-part's documents in a row, the last sequence padded and masked. Fixed sizes make the place of any sequence
+hold two fixed-size-list columns, ids and mask, of equal-length sequences: the ids of the part's documents
+in a row, the last sequence padded and masked. Fixed sizes make the place of any sequence
 plain arithmetic, so a memory-mapped part is read at random without a copy. Beside each part lies an
 index of its documents.
 """
@@ -45,7 +45,7 @@ def id_type(vocab_size: int) -> pa.DataType:
 
 
 def file_schema(ids: pa.DataType, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"sequence_length": str(length), "batch_sequences": str(BATCH_SEQUENCES)})
+    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"sequence_length": str(length), "batch_sequences": str(BATCH_SEQUENCES)})
 
 
 class PartWriter:
@@ -83,7 +83,7 @@ class PartWriter:
         for at in range(0, end, step):
             ids = flat[at : min(at + step, end)]
             n = -(-len(ids) // self.length)
-            mask = (np.arange(n * self.length) < len(ids)).view(np.uint8)
+            mask = np.arange(n * self.length) < len(ids)
             padded = np.zeros(n * self.length, self.dtype)
             padded[: len(ids)] = ids
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
@@ -114,21 +114,28 @@ class PartReader:
         meta = self.file.schema.metadata
         self.length, self.per_batch = int(meta[b"sequence_length"]), int(meta[b"batch_sequences"])
         self.step = self.length * self.per_batch
+        n_docs = self.index.num_record_batches
+        last = self.index.get_batch(n_docs - 1) if n_docs else None
+        self.total = last.column(1)[-1].as_py() + last.column(2)[-1].as_py() if n_docs else 0
+        #: A mask of n places is a window of this: so many true ones, then false ones.
+        self._masks = np.arange(2 * self.length) < self.length
         self._at, self._flat = -1, np.empty(0)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of the part's i-th sequence."""
-        batch = self.file.get_batch(i // self.per_batch)
-        lo = i % self.per_batch
+    def arrays(self, i: int) -> tuple[pa.Array, pa.Array]:
+        """ids and mask of the part's i-th sequence as they lie in the file."""
+        batch, lo = self.file.get_batch(i // self.per_batch), i % self.per_batch
         ids, mask = (batch.column(c).slice(lo, 1).flatten() for c in (0, 1))
-        return ids.to_numpy(), mask.to_numpy().view(np.bool_)
+        return ids, mask
+
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same as numpy arrays, without a copy: only a part's last sequence is padded, so the mask is a view too."""
+        ids, _ = self.arrays(i)
+        n = min(self.length, self.total - i * self.length)
+        return ids.to_numpy(), self._masks[self.length - n : 2 * self.length - n]
 
     def _batch_ids(self, b: int) -> np.ndarray:
         if b != self._at:
-            batch = self.file.get_batch(b)
-            ids = batch.column(0).flatten().to_numpy()
-            mask = batch.column(1).flatten().to_numpy().view(np.bool_)
-            self._at, self._flat = b, ids if mask.all() else ids[mask]
+            self._at, self._flat = b, self.file.get_batch(b).column(0).flatten().to_numpy()[: self.total - b * self.step]
         return self._flat
 
     def ids(self, start: int, n: int) -> np.ndarray:
