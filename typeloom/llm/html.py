@@ -40,7 +40,9 @@ _BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table caption tbody thead tfoot tr td th ul".split()
 )
 _CLOSES_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption".split())
-_SIBLING_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_GROUP = ("thead", "tbody", "tfoot", "caption", "colgroup")
+#: Elements that a start tag ends, with all inside them, up to the nearest list, table or section around.
+_SIBLING_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "caption", "colgroup"), "colgroup": ("caption", "colgroup"), "option": ("option",), "optgroup": ("optgroup",)} | dict.fromkeys(("thead", "tbody", "tfoot"), _GROUP)
 _SCOPE = frozenset("html body article aside section main div td th table ul ol dl nav header footer form blockquote figure details fieldset li dd".split())
 
 #: Attributes whose words are features, each in one of TOKENS hash buckets.
