@@ -423,8 +423,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, doc_
     walked, walked_path = staged(forest.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _ORDERED), "orders")
     # the rows at the edges of partitions, two a partition, meet here
     ends = walked.filter("first OR last").collect()
-    ends = [r for at in sorted({r["part"] for r in ends}) for mark in ("first", "last") for r in ends if r["part"] == at and r[mark]]
-    met = [(y["rep"], y["n"], x["rep"], x["n"], x["tree"]) for x, y in zip(ends[1::2], ends[2::2]) if (x["tree"], x["l1"], x["l2"]) == (y["tree"], y["l1"], y["l2"])]
+    firsts, lasts = ({r["part"]: r for r in ends if r[mark]} for mark in ("first", "last"))
+    parts = sorted(firsts)
+    edges = [(lasts[p], firsts[q]) for p, q in zip(parts, parts[1:])]
+    met = [(y["rep"], y["n"], x["rep"], x["n"], x["tree"]) for x, y in edges if (x["tree"], x["l1"], x["l2"]) == (y["tree"], y["l1"], y["l2"])]
     across = spark.createDataFrame(met, "rep long, n long, prev long, prev_n long, tree int")
     chained = walked.filter("prev IS NOT NULL").select("rep", "n", "prev", "prev_n", "tree").unionByName(across)
     chained = chained.filter(_alike("n", "prev_n", percent))
