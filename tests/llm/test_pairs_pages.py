@@ -336,6 +336,13 @@ def test_parser_repairs():
     assert html.extract([deep], html.trained()) is not None
 
 
+def test_table_parts_without_end_tags():
+    nodes = html.parse("<table><caption>t<colgroup><col><thead><tr><th>a<th>b<tbody><tr><td>c<td><table><tr><td>d</table><tr><td>e<tfoot><tr><td>f</table>")
+    assert [n.tag for n in nodes if nodes[n.parent].tag == "table"] == ["caption", "thead", "tbody", "tr", "tfoot"]
+    assert [sum(n.parent == i and n.tag == "tr" for n in nodes) for i, g in enumerate(nodes) if g.tag in ("thead", "tbody", "tfoot")] == [1, 2, 1]
+    assert " ".join(t for _, t in sorted(b for n in nodes for b in n.blocks)) == "t a b c d e f"
+
+
 @pytest.mark.parametrize("page, text", [
     ("<html><head><title>x</title><meta a=b><body><article><p>one</article></html>", "one"),
     ("<head><style>x</style><link a=b><article><p>one</p></article>", "one"),
