@@ -256,16 +256,12 @@ class Catalog:
         self._folded[cls.name] = out
         return out
 
-    def _source(self, cls: Element, name: str) -> Schema:
-        found = self._attribute_schemas(cls).get(name)
-        return found or (self.slots[name].schema if name in self.slots else cls.schema)
-
     def derived_slots(self, cls: Element) -> dict[str, Element]:
         """The class's effective slots, in the order of its ancestors, attributes before slots."""
         if cls.name not in self._derived:
             out: dict[str, Element] = {}
             for ancestor in self.ancestors(cls):
-                for name in [*(ancestor.meta.get("attributes") or {}), *ancestor.get("slots")]:
+                for name in (*(ancestor.meta.get("attributes") or ()), *(ancestor.meta.get("slots") or ())):
                     if name not in out:
                         out[name] = self.derived_slot(cls, name)
             self._derived[cls.name] = out
@@ -273,21 +269,22 @@ class Catalog:
 
     def derived_slot(self, cls: Element, name: str) -> Element:
         """A slot as a class has it; classes that add nothing to an inherited slot share it."""
-        layers, source = self._layers(cls).get(name), self._source(cls, name)
-        top = self.slots.get(name) if not self.from_attributes(cls, name) else None
+        layers, declared = self._layers(cls).get(name), self._attribute_schemas(cls).get(name)
+        top = self.slots.get(name) if declared is None else None
+        source = declared or (top.schema if top is not None else cls.schema)
         key = (id(layers) if layers is not None else name, name, id(source), top is None)
-        if key not in self._shared:
+        found = self._shared.get(key)
+        if found is None:
             meta = dict(layers or {})
             if top is not None:
                 meta = combine(meta, top.meta)
                 for ancestor in self.ancestors(top, reflexive=False):
                     meta = combine(meta, ancestor.meta, INHERITED)
-            slot = Element(name, "slot", source, meta)
-            meta["slot_uri"] = self.uri(slot)
+            found = self._shared[key] = Element(name, "slot", source, meta)
+            meta["slot_uri"] = self.uri(found)
             meta["inlined"] = bool(meta.get("inlined") or meta.get("inlined_as_list"))
             meta["required"] = bool(meta.get("required") or meta.get("identifier") or meta.get("key"))
-            self._shared[key] = slot
-        return self._shared[key]
+        return found
 
     def range_of(self, slot: Element) -> str:
         return slot.meta.get("range") or self.default_range(slot.schema)
