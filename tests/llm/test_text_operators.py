@@ -251,6 +251,18 @@ def test_cached_ids_equal_the_tokenizer(name):
     assert code.encode(None) == code.encode("") == b""
 
 
+def test_a_worker_holds_one_operators_cache():
+    from typeloom.llm import common, tokens
+
+    path = vocabulary("byte_bpe_50k.json")
+    first = tokens.encoder(path)
+    assert tokens.encoder(path) is first
+    classifier.features("one two")
+    common.hold_cache("words", classifier._forget)
+    assert tokens._ENCODERS == {} and len(classifier._WORDS)
+    assert tokens.encoder(path) is not first and len(classifier._WORDS) == 0
+
+
 def test_caches_are_bounded_by_bytes():
     code = Encoder(vocabulary("byte_bpe_50k.json"), cache_bytes=40_000)
     for i in range(3000):  # texts without spaces, long chunks, long tails

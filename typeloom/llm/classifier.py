@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeloom.llm.common import WORD, drop_scratch, staged, unused_name
+from typeloom.llm.common import WORD, drop_scratch, hold_cache, staged, unused_name
 
 BITS = 18
 #: The fit sees at most so many labelled documents, those of smallest hash, and of these so many indicators.
@@ -53,6 +53,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _forget() -> None:
+    global _WORDS
+    _WORDS = _Words()
+
+
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Sorted distinct indices of the n-grams in a whole text; the last index is always there."""
     global _WORDS
@@ -164,6 +169,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def _indicator_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hold_cache("words", _forget)
     for batch in batches:
         found = [features(t if isinstance(t, str) else None) for t in batch["_text"]]
         yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "n": [len(g) for g in found], "grams": [g.tobytes() for g in found]})
@@ -195,6 +201,7 @@ def score_udf(model: Model):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold_cache("words", _forget)
         for texts in batches:
             yield pd.Series([model.score(t if isinstance(t, str) else None) for t in texts], dtype="float64")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def hold_cache(owner: str, release: Callable[[], None]) -> None:
+    """Called where a task begins whose operator keeps a cache in its Python worker: the caches that tasks of
+    other operators have left there are let go, as one worker serves them all in turn."""
+    for other in [o for o in _CACHES if o != owner]:
+        _CACHES.pop(other)()
+    _CACHES[owner] = release
+
+
 def unused_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -12,10 +12,12 @@ import re
 import sys
 from array import array
 
+from typeloom.llm.common import hold_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A worker keeps so many bytes of chunks and ids; longer chunks and tails are not kept.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 256 << 20
 LONG_CHUNK, LONG_TAIL = 64, 4
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -113,7 +115,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder of a vocabulary file; kept while the worker lives."""
+    """This worker's encoder of a vocabulary file; kept until the worker serves an operator with another cache."""
+    hold_cache("chunks", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
