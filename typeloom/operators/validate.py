@@ -328,17 +328,14 @@ _JSON_TYPES = {
 }
 
 
-def _json_value(catalog: Catalog, attribute: Attribute, v: Column, closed: bool, above: tuple[str, ...]) -> Column:
-    """True where a variant value does not fit the attribute's range; ``above`` are the classes around it."""
-    shape = F.schema_of_variant(v)
-    if attribute.kind == "any":
-        return F.lit(False)
-    if attribute.kind == "inline":
-        return ~shape.startswith("OBJECT") | _json_object(catalog, attribute.range, v, closed, above)
+def json_checks(catalog: Catalog, attribute: Attribute, v: Column | None, key: Column | None = None) -> list[tuple[str, Column]]:
+    """Kind and Column, true or null where broken, of the checks of a variant that is no inline object; of a dictionary's key, which is a text."""
+    if v is None:
+        return [(name, F.coalesce(check(key), F.lit(False))) for name, check in _value_checks(catalog, attribute, "string")]
+    shape, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
     kind = attribute.identifier if attribute.kind == "reference" else attribute
-    text = F.try_variant_get(v, "$", "string")
     if kind.kind == "enum":
-        return (shape != "STRING") | ~F.coalesce(text.isin(list(catalog.meanings(kind.range))), F.lit(False))
+        return [("enum", (shape != "STRING") | ~F.coalesce(text.isin(list(catalog.meanings(kind.range))), F.lit(False)))]
     runtime = catalog.runtime_type(kind.range)
     wrong = ~shape.rlike(_JSON_TYPES.get(runtime, "^STRING$")) if runtime != "any" else F.lit(False)
     if runtime == "integer":
@@ -348,16 +345,32 @@ def _json_value(catalog: Catalog, attribute: Attribute, v: Column, closed: bool,
         wrong = wrong | ~F.coalesce(text.rlike(LEXICAL[runtime]), F.lit(False))
     typed = "string" if runtime not in ("integer", "float", "double", "decimal") else "double"
     value = F.try_variant_get(v, "$", typed)
-    for name, check in _value_checks(catalog, attribute, typed):
-        if name in ("minimum", "maximum", "pattern"):
-            wrong = wrong | F.coalesce(check(value), F.lit(False))
+    bounds = [(name, ~F.coalesce(wrong, F.lit(True)) & F.coalesce(check(value), F.lit(False))) for name, check in _value_checks(catalog, attribute, typed) if name in ("minimum", "maximum", "pattern")]
+    return [("type", wrong), *bounds]
+
+
+def json_branches(catalog: Catalog, attribute: Attribute) -> list[Attribute]:
+    """The branches of a slot's any_of, as attributes that are inlined as the slot is."""
+    slot = attribute.slot
+    return [catalog.attribute(Element(slot.name, "slot", slot.schema, {"inlined": slot.get("inlined"), **b})) for b in slot.get("any_of") if b.get("range")]
+
+
+def _json_value(catalog: Catalog, attribute: Attribute, v: Column, closed: bool, above: tuple[str, ...]) -> Column:
+    """True where a variant value does not fit the attribute's range; ``above`` are the classes around it."""
+    if attribute.kind == "any":
+        return F.lit(False)
+    if attribute.kind == "inline":
+        return ~F.schema_of_variant(v).startswith("OBJECT") | _json_object(catalog, attribute.range, v, closed, above)
+    wrong = F.lit(False)
+    for _, broken in json_checks(catalog, attribute, v):
+        wrong = wrong | broken
     return wrong
 
 
 def _json_slot(catalog: Catalog, attribute: Attribute, v: Column, closed: bool, above: tuple[str, ...]) -> Column:
     """True where a slot's variant, which is not null, is wrong."""
     shape = F.schema_of_variant(v)
-    branches = [catalog.attribute(Element(attribute.slot.name, "slot", attribute.slot.schema, {**b})) for b in attribute.slot.get("any_of") if b.get("range")]
+    branches = json_branches(catalog, attribute)
 
     def one(x: Column) -> Column:
         if not branches:
@@ -398,7 +411,7 @@ def _json_slot(catalog: Catalog, attribute: Attribute, v: Column, closed: bool,
 def _json_object(catalog: Catalog, cls: Element, v: Column, closed: bool, above: tuple[str, ...], key: str | None = None) -> Column:
     """True where a variant object is no instance of a class; the slot ``key`` may be absent, as a dictionary's key has it."""
     if cls.name in above:
-        raise ValueError(f"class {cls.name} contains itself ({' > '.join((*above, cls.name))}): JSON of any depth cannot be checked by Columns")
+        raise ValueError(f"class {cls.name} contains itself ({' > '.join((*above, cls.name))}): use recursive.json_faults")
     bad = F.lit(False)
     attributes = catalog.attributes(cls).values()
     for attribute in attributes:
@@ -419,7 +432,8 @@ def _json_attribute(catalog: Catalog, attribute: Attribute, v: Column, closed: b
 def json_valid(json: Column, catalog: Catalog, cls: str, closed: bool = True) -> Column:
     """Whether a JSON text is an instance of a class: its types are strict, unknown members only pass if not closed.
 
-    Objects at every level are checked so; a class that contains itself raises a ValueError.
+    Objects at every level are checked so; a class that contains itself raises a ValueError, and is for
+    ``recursive.json_faults``.
     """
     v = F.try_parse_json(json)
     bad = _json_object(catalog, catalog.classes[cls], v, closed, ())

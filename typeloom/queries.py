@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
-from typeloom.operators import rdf, relational, render, validate
+from typeloom.operators import rdf, recursive, relational, render, validate
 from typeloom.session import scratch_path
 from typeloom.streaming import validate as streaming
 from typeloom.tables import tables_catalog
@@ -411,6 +411,34 @@ def inline_triples(spark, sf_dir):
     return found.groupBy(p.alias("p"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_TREE = """{"id": "https://example.org/tree", "name": "tree", "imports": ["linkml:types"], "default_range": "string",
+ "enums": {"Kind": {"permissible_values": {"a": {}, "b": {}}}},
+ "classes": {"Item": {"attributes": {"id": {"required": true}, "qty": {"range": "integer", "minimum_value": 0}, "kind": {"range": "Kind"}, "parts": {"range": "Item", "multivalued": true, "inlined_as_list": true}}}}}"""
+# a part's tree, from its lowest level up: up to 20 levels, each with a leaf beside the next
+_TREE_LEVEL = """concat('{', CASE WHEN (p_partkey + CAST(i AS BIGINT)) % 13 = 0 THEN '' ELSE concat('"id": "n', i, '", ') END,
+  '"qty": ', CASE WHEN (p_partkey + CAST(i AS BIGINT)) % 11 = 0 THEN '-3' WHEN (p_partkey + CAST(i AS BIGINT)) % 19 = 0 THEN '"many"' ELSE CAST(i AS STRING) END,
+  CASE WHEN (p_partkey + CAST(i AS BIGINT)) % 17 = 0 THEN ', "odd": {"id": 1}' ELSE '' END, ', "kind": ', CASE WHEN (p_partkey + CAST(i AS BIGINT)) % 23 = 0 THEN '"q"' ELSE '"a"' END,
+  CASE WHEN acc = '' THEN '' ELSE concat(', "parts": [', acc, ', {"id": "leaf", "kind": "b"}]') END, '}')"""
+
+
+@query(
+    f"""WITH RECURSIVE nodes(k, path, j) AS (
+  SELECT p_partkey, '', CAST(list_reduce(list_transform(range(0, p_partkey % 21 + 1), lambda x: CAST(x AS STRING)), lambda acc, i: {_TREE_LEVEL}, '') AS JSON) FROM part
+  UNION ALL SELECT k, path || '/parts/' || idx, json_extract(j, '$.parts[' || idx || ']') FROM (SELECT k, path, j, unnest(range(CAST(coalesce(json_array_length(j, '$.parts'), 0) AS BIGINT))) AS idx FROM nodes)
+) SELECT k AS p_partkey, path || '/id' AS path, 'required' AS "constraint" FROM nodes WHERE json_extract(j, '$.id') IS NULL
+UNION ALL SELECT k, path || '/qty', 'type' FROM nodes WHERE json_type(j, '$.qty') = 'VARCHAR'
+UNION ALL SELECT k, path || '/qty', 'minimum' FROM nodes WHERE try_cast(json_extract_string(j, '$.qty') AS BIGINT) < 0
+UNION ALL SELECT k, path || '/odd', 'extra' FROM nodes WHERE json_extract(j, '$.odd') IS NOT NULL
+UNION ALL SELECT k, path || '/kind', 'enum' FROM nodes WHERE json_extract_string(j, '$.kind') NOT IN ('a', 'b')"""
+)
+def recursive_json(spark, sf_dir):
+    """Instances of a class that contains itself, as JSON texts up to 21 levels deep: every fault and its place."""
+    from typeloom.operators.lint import loaded
+
+    text = F.expr(f"aggregate(sequence(0, CAST(p_partkey % 21 AS INT)), '', (acc, i) -> {_TREE_LEVEL})")
+    return recursive.json_faults(_table(spark, sf_dir, "part").select("p_partkey", text.alias("json")), loaded(text=_TREE), "Item", ["p_partkey"])
+
+
 @query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '\\' THEN '\\\\' WHEN c = '\"' THEN '\\\"' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t' WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN '\\u' || upper(lpad(to_hex(unicode(c)), 4, '0')) ELSE '\\U' || upper(lpad(to_hex(unicode(c)), 8, '0')) END), '')) AS escaped FROM (SELECT doc_id, text || ' ' || chr(128512) || '\"' || chr(9) AS text FROM documents)")
 def nt_string_escapes(spark, sf_dir):
     """whole texts as N-Triples strings."""
