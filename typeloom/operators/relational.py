@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from typeloom.plans.catalog import Catalog
 from typeloom.plans.catalog import closure as driver_closure
+from typeloom.plans.model import INHERITED
 from typeloom.session import drop_scratch, staged
 
 #: Graphs of at most so many edges are walked whole in each task (some 10 MB); larger ones by joins.
@@ -408,6 +410,83 @@ def derive_slots(class_parents: DataFrame, class_slots: DataFrame, slots: DataFr
     return merged.filter("_own = 1").select("cls", "slot", "range", (F.col("_required") | F.col("identifier")).alias("required"), "multivalued", "identifier", "pattern")
 
 
+def layer_bag(class_parents: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """cls, ancestor, way: every way up from each class, itself included, an ancestor as often as ways lead to it.
+
+    ``way`` lists the places of the steps among the parents of each class on it, mixins before is_a, so ways in
+    order are the layers in order: a class, then each parent in full depth before the next. A way ends where it would
+    meet a class again. ``classes`` (cls) adds classes that have no parents.
+    """
+    rank = F.when(F.col("kind") == "is_a", 1 << 30).otherwise(0) + F.col("ord")
+    edges, _ = staged(class_parents.select(F.col("cls").alias("_s"), F.col("parent").alias("_d"), rank.cast("int").alias("_r")).distinct(), "parents")
+    starts = edges.select(F.col("_s").alias("cls")).union(edges.select("_d"))
+    starts = (starts if classes is None else starts.union(classes.select("cls"))).distinct()
+    none = F.array().cast("array<int>")
+    level, _ = staged(starts.select("cls", F.col("cls").alias("ancestor"), none.alias("way"), F.array("cls").alias("_met")), "ways")
+    found = level
+    while True:
+        step = level.join(edges, (F.col("ancestor") == F.col("_s")) & ~F.array_contains("_met", F.col("_d")))
+        up = step.select("cls", F.col("_d").alias("ancestor"), F.concat("way", F.array("_r")).alias("way"), F.concat("_met", F.array("_d")).alias("_met"))
+        level, path = staged(up, "ways")
+        if level.isEmpty():
+            drop_scratch(path)
+            return found.drop("_met")
+        found = found.unionByName(level)
+
+
+def _in_order(value: Column, rank: str) -> Column:
+    """The values of a group by rank, without nulls."""
+    held = F.collect_list(F.when(value.isNotNull(), F.struct(F.col(rank).alias("p"), value.alias("v"))))
+    return F.transform(F.array_sort(held), lambda x: x["v"])
+
+
+def folded_lists(value: str, kind: str = "array<string>", rank: str = "p") -> Column:
+    """Lists joined from the left by rank; an empty one, and one equal to all joined so far, adds nothing."""
+    return F.aggregate(_in_order(F.col(value), rank), F.array().cast(kind), lambda acc, x: F.when((F.size(x) == 0) | (acc == x), acc).otherwise(F.concat(acc, x)))
+
+
+def folded_maps(value: str, rank: str = "p") -> Column:
+    """Maps joined by rank: a key's value is that of the farthest map that has it."""
+    entries = F.flatten(_in_order(F.map_entries(value), rank))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+
+    def last(k: Column) -> Column:
+        return F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+
+    return F.map_from_arrays(keys, F.transform(keys, last))
+
+
+def fold_layers(class_parents: DataFrame, class_slots: DataFrame, slots: DataFrame | None = None, inherited: frozenset[str] = INHERITED) -> DataFrame:
+    """cls, slot and the given metaslots of the effective slots: all layers of each slot folded from the left.
+
+    ``class_slots`` has cls, slot, source (slot_usage, attribute or slot) and a column for each metaslot: lists are
+    joined, maps take the farthest value of a key, booleans are true if any layer says so, of other values the nearest
+    counts. ``slots`` has slot, ord and such columns: a schema's own slot at 0, then those it inherits from, which
+    give ``inherited`` metaslots only; they come last, and not for slots that a class up declares as an attribute. An
+    ancestor that several ways lead to gives its layers once for each. No layers give an empty list or map, or null.
+    """
+    metaslots = [f for f in class_slots.schema.fields if f.name not in ("cls", "slot", "source")]
+    names = [f.name for f in metaslots]
+    bag = layer_bag(class_parents, class_slots.select("cls"))
+    source = F.array_position(F.array(*map(F.lit, ("slot_usage", "attribute", "slot"))), F.col("source")).cast("int")
+    layers = bag.join(class_slots.withColumnRenamed("cls", "ancestor"), "ancestor").select("cls", "slot", "source", *names, F.struct("way", source.alias("s")).alias("p"))
+    if slots is not None:
+        named = layers.groupBy("cls", "slot").agg(F.max((F.col("source") == "attribute").cast("int")).alias("_a")).filter("_a = 0")
+        given = [F.when((F.col("ord") == 0) | F.lit(n in inherited), F.col(n)).alias(n) if n in slots.columns else F.lit(None).cast(f.dataType).alias(n) for n, f in zip(names, metaslots)]
+        last = F.struct(F.array(F.lit((1 << 31) - 1)).alias("way"), F.col("ord").cast("int").alias("s")).alias("p")
+        layers = layers.unionByName(named.join(slots, "slot").select("cls", "slot", F.lit("top").alias("source"), *given, last))
+
+    def fold(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.ArrayType):
+            return folded_lists(f.name, f.dataType.simpleString())
+        if isinstance(f.dataType, T.MapType):
+            return folded_maps(f.name)
+        return F.bool_or(f.name) if isinstance(f.dataType, T.BooleanType) else nearest(f.name)
+
+    own = F.bool_or(F.col("source").isin("attribute", "slot")).alias("_own")
+    return layers.groupBy("cls", "slot").agg(*[fold(f).alias(f.name) for f in metaslots], own).filter("_own").drop("_own")
+
+
 def materialize(derived: DataFrame) -> DataFrame:
     """cls, n_slots, slots: the slots of each class as one sorted list."""
     return derived.groupBy("cls").agg(F.count(F.lit(1)).alias("n_slots"), F.sort_array(F.collect_list("slot")).alias("slots"))

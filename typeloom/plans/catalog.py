@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from typeloom.functions import names
-from typeloom.plans.model import ANY_URI, BASES, EMIT_PREFIXES, INHERITED, KINDS, SEMWEB_PREFIXES, TYPES_ID, Element, Schema, combine, combine_value
+from typeloom.plans.model import ANY_URI, BASES, EMIT_PREFIXES, INHERITED, KINDS, SEMWEB_PREFIXES, SEQUENCE, TYPES_ID, Element, Schema, combine, combine_value
 
 PLURAL = {"class": "classes", "slot": "slots", "enum": "enums", "type": "types", "subset": "subsets"}
 #: Of kinds that share a name in the global index, the later one wins.
@@ -100,6 +100,7 @@ class Catalog:
         self._attributes: dict[str, dict[str, Attribute]] = {}
         self._above: dict[tuple[str, str, bool], list[Element]] = {}
         self._folded: dict[str, dict[str, dict]] = {}
+        self._bags: dict[str, dict[str, list[dict]]] = {}
         self._declared: dict[str, dict[str, Schema]] = {}
         self._shared: dict[tuple, Element] = {}
         self._resolved: dict[int, Attribute] = {}
@@ -256,6 +257,24 @@ class Catalog:
         self._folded[cls.name] = out
         return out
 
+    def _list_layers(self, cls: Element, path: tuple[str, ...] = ()) -> dict[str, list[dict]]:
+        """The same layers one by one, of those that have lists the lists: a list is compared with all joined so far,
+        so an ancestor met twice counts twice, and lists cannot be joined parent by parent."""
+        if cls.name in path:
+            return {}
+        if cls.name in self._bags:
+            return self._bags[cls.name]
+        out: dict[str, list[dict]] = {}
+        for metaslot in ("slot_usage", "attributes"):
+            for name, meta in (cls.meta.get(metaslot) or {}).items():
+                if lists := {k: v for k, v in meta.items() if k in SEQUENCE and v}:
+                    out.setdefault(name, []).append(lists)
+        for parent in self.parents(cls):
+            for name, layers in self._list_layers(parent, (*path, cls.name)).items():
+                out[name] = out[name] + layers if name in out else layers
+        self._bags[cls.name] = out
+        return out
+
     def derived_slots(self, cls: Element) -> dict[str, Element]:
         """The class's effective slots, in the order of its ancestors, attributes before slots."""
         if cls.name not in self._derived:
@@ -276,6 +295,10 @@ class Catalog:
         found = self._shared.get(key)
         if found is None:
             meta = dict(layers or {})
+            lists: dict = {}
+            for layer in self._list_layers(cls).get(name, ()):
+                lists = combine(lists, layer)
+            meta |= lists
             if top is not None:
                 meta = combine(meta, top.meta)
                 for ancestor in self.ancestors(top, reflexive=False):

@@ -575,6 +575,17 @@ _CORPUS = {
     "slots": """
         SELECT concat('t', r_regionkey) AS slot, 0 AS ord, r_name AS rng, r_regionkey % 2 = 0 AS required, CAST(NULL AS BOOLEAN) AS multivalued, CAST(NULL AS BOOLEAN) AS identifier, CAST(NULL AS STRING) AS pattern FROM region
         UNION ALL SELECT concat('t', n_regionkey), 1 + n_nationkey, 'far', CAST(NULL AS BOOLEAN), n_nationkey % 3 = 0, CAST(NULL AS BOOLEAN), n_name FROM nation""",
+    "layers": """
+        SELECT concat('C', p_partkey) AS cls, concat('s', p_size % 6) AS slot, 'attribute' AS source, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN concat(p_brand, ',', p_type) WHEN 2 THEN p_type END AS aliases,
+               concat('a', p_partkey % 3, '=', p_partkey, ',b=', p_size) AS notes, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS title
+        FROM part WHERE p_partkey % 2 = 1 OR p_partkey < 60
+        UNION ALL SELECT concat('C', p_partkey), concat('s', p_partkey % 7), 'slot_usage', p_type, CASE WHEN p_partkey % 2 = 0 THEN concat('u', p_partkey % 5, '=', p_name) END, p_name
+        FROM part WHERE p_partkey % 3 = 1
+        UNION ALL SELECT concat('C', p_partkey), concat('t', p_partkey % 5), 'slot', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM part WHERE p_partkey % 9 = 2
+        UNION ALL SELECT concat('C', p_partkey), concat('t', p_partkey % 5), 'slot_usage', p_brand, concat('c=', p_partkey), p_type FROM part WHERE p_partkey % 8 = 3""",
+    "top_slots": """
+        SELECT concat('t', r_regionkey) AS slot, 0 AS ord, concat(r_name, ',x') AS aliases, concat('c=', r_name) AS notes, r_name AS title FROM region
+        UNION ALL SELECT concat('t', n_regionkey), 1 + n_nationkey, n_name, concat('d', n_nationkey, '=', n_name), n_name FROM nation""",
     "elements": """
         SELECT concat('C', p_partkey) AS name, 'class' AS kind, CAST(p_partkey % 3 AS INT) AS schema_ord, concat('u:c', p_size) AS uri FROM part
         UNION ALL SELECT concat('C', p_partkey), 'class', 3, concat('u:d', p_size) FROM part WHERE p_partkey % 10 = 0
@@ -756,6 +767,38 @@ def map_merge(spark, sf_dir):
     return relational.merged_maps(layers, ["slot"], "v").select("slot", F.explode("v").alias("key", "value"))
 
 
+
+# all layers of each slot in the order of the ways up; the schema's own slots last, where no class declares the slot
+_LAYERS = f"""{_with('class_parents', 'layers', 'top_slots')}, ways(cls, ancestor, way) AS (
+  SELECT c, c, CAST([] AS BIGINT[]) FROM (SELECT cls AS c FROM class_parents UNION SELECT parent FROM class_parents UNION SELECT cls FROM layers)
+  UNION ALL SELECT w.cls, e.parent, list_append(w.way, e.ord + CASE e.kind WHEN 'is_a' THEN 100 ELSE 0 END) FROM ways w JOIN class_parents e ON w.ancestor = e.cls
+), held AS (
+  SELECT w.cls, slot, source, aliases, notes, title, list_append(list_append(way, -1), CASE source WHEN 'slot_usage' THEN 0 WHEN 'attribute' THEN 1 ELSE 2 END) AS p FROM ways w JOIN layers l ON l.cls = w.ancestor
+), named AS (SELECT cls, slot FROM held GROUP BY cls, slot HAVING count(*) FILTER (WHERE source = 'attribute') = 0),
+whole AS (
+  SELECT * FROM held UNION ALL
+  SELECT cls, slot, 'top', CASE WHEN ord = 0 THEN aliases END, notes, title, CAST([1000000, ord] AS BIGINT[]) FROM named JOIN top_slots USING (slot)
+), owned AS (SELECT cls, slot FROM whole GROUP BY cls, slot HAVING count(*) FILTER (WHERE source IN ('attribute', 'slot')) > 0)"""
+
+
+def _folded(spark, sf_dir):
+    """The corpus's layers folded; ``notes`` stands for a metaslot that slots inherit from slots, ``aliases`` for one that they do not."""
+    read = lambda name: _corpus(spark, sf_dir, name).withColumns({"aliases": F.split("aliases", ","), "notes": F.expr("str_to_map(notes, ',', '=')")})
+    return relational.fold_layers(_corpus(spark, sf_dir, "class_parents"), read("layers"), read("top_slots"), frozenset({"notes", "title"}))
+
+
+@query(f"{_LAYERS} SELECT cls, slot, array_to_string(list_reduce(list(CASE WHEN aliases IS NULL THEN CAST([] AS VARCHAR[]) ELSE split(aliases, ',') END ORDER BY p), lambda acc, x: CASE WHEN len(x) = 0 OR acc = x THEN acc ELSE acc || x END, CAST([] AS VARCHAR[])), ',') AS aliases, arg_min(title, p) FILTER (WHERE title IS NOT NULL) AS title FROM whole JOIN owned USING (cls, slot) GROUP BY cls, slot")
+def derive_lists(spark, sf_dir):
+    """Lists of all layers joined from the left, ancestors as often as ways lead to them."""
+    return _folded(spark, sf_dir).select("cls", "slot", F.array_join("aliases", ",").alias("aliases"), "title")
+
+
+@query(f"{_LAYERS}, entries AS (SELECT cls, slot, p, unnest(split(notes, ',')) AS e FROM whole JOIN owned USING (cls, slot) WHERE notes IS NOT NULL) SELECT cls, slot, split_part(e, '=', 1) AS key, arg_max(split_part(e, '=', 2), p) AS value FROM entries GROUP BY ALL")
+def derive_maps(spark, sf_dir):
+    """Maps of all layers, where the farthest layer with a key counts, by its last place."""
+    return _folded(spark, sf_dir).select("cls", "slot", F.explode("notes").alias("key", "value"))
+
+
 @query(f"{_with('elements')} SELECT name, kind, schema_ord, uri FROM elements QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY schema_ord DESC) = 1")
 def element_index(spark, sf_dir):
     """P1, P3, P4."""
