@@ -347,6 +347,91 @@ def unused(elements: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame
     return elements.join(reachable(edges, seeds).withColumnRenamed("node", "name"), "name", "left_anti")
 
 
+# -- imports of many schemas
+
+
+def import_uri(written: Column, importer: Column, prefixes: Column) -> Column:
+    """Where an import leads: a CURIE by the schema's prefixes (a map), a path from the importing schema's folder.
+
+    Absolute URIs, URNs and built-in schemas stay; a file that has no .yaml or .yml gets .yaml.
+    """
+    prefix = F.substring_index(written, ":", 1)
+    space = F.when(written.contains(":") & ~written.contains("://"), F.try_element_at(prefixes, prefix))
+    expanded = F.when(space.isNotNull(), F.concat(space, F.substring(written, F.length(prefix) + 2, 1 << 30))).otherwise(written)
+    plain = F.regexp_replace(expanded, r"^\./", "")
+    folder = F.regexp_extract(importer, "^(.+)/[^/]*$", 1)
+    absolute = plain.contains("://") | plain.startswith("urn:") | plain.startswith("linkml:") | (folder == "")
+    placed = F.regexp_replace(F.when(absolute, plain).otherwise(F.concat(folder, F.lit("/"), plain)), "/$", "")
+    return F.when(placed.rlike(r"\.ya?ml$"), placed).otherwise(F.concat(placed, F.lit(".yaml")))
+
+
+def import_edges(schemas: DataFrame, uri: str = "uri", imports: str = "imports", prefixes: str = "prefixes") -> DataFrame:
+    """schema, import, position of schemas (uri, imports: list of texts, prefixes: map)."""
+    listed = schemas.select(F.col(uri).alias("schema"), F.col(prefixes).alias("_p"), F.posexplode(imports).alias("position", "_w"))
+    return listed.select("schema", import_uri(F.col("_w"), F.col("schema"), F.col("_p")).alias("import"), "position")
+
+
+def import_closure(imports: DataFrame, schemas: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """root, schema, ord: what each root loads, in the order it is loaded.
+
+    A schema comes before what it imports, its imports each in full depth before the next one, and nothing is loaded
+    twice for a root, so imports may be cyclic. ``imports`` has schema, import, position; ``schemas`` (schema) are those
+    there are, and imports of others lead nowhere (see ``missing_imports``). ``roots`` (root) are all schemas unless given.
+
+    What a root reaches is found by joins; a root's own schemas and imports are then walked in one place.
+    """
+    there = schemas.select("schema").distinct()
+    roots = (schemas.select(F.col("schema").alias("root")) if roots is None else roots.select("root")).distinct()
+    edges, _ = staged(imports.join(there.withColumnRenamed("schema", "import"), "import", "left_semi").select("schema", "import", "position"), "imports")
+    seen, _ = staged(closure(edges, "schema", "import", seeds=roots.join(there, F.col("root") == F.col("schema"), "left_semi"), held_edges=0), "reached")
+
+    def walk(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[str]] = {}
+        for name, to in own.dropna(subset=["import"]).sort_values("position", kind="stable")[["node", "import"]].itertuples(index=False):
+            after.setdefault(name, []).append(to)
+        out, stack, met = [], [key[0]], set()
+        while stack:
+            name = stack.pop()
+            if name not in met:
+                met.add(name)
+                out.append(name)
+                stack += reversed(after.get(name, []))
+        return pd.DataFrame({"root": key[0], "schema": out, "ord": range(len(out))})
+
+    inside = seen.select(F.col("start").alias("root"), "node").join(edges.withColumnRenamed("schema", "node"), "node", "left")
+    return staged(inside.groupBy("root").applyInPandas(walk, "root string, schema string, ord int"), "loaded")[0]
+
+
+def missing_imports(loaded: DataFrame, imports: DataFrame, schemas: DataFrame) -> DataFrame:
+    """root, schema, import: imports of what a root loads (root, schema) that name no schema there is."""
+    lost = imports.join(schemas.select(F.col("schema").alias("import")).distinct(), "import", "left_anti")
+    return loaded.select("root", "schema").join(lost.select("schema", "import").distinct(), "schema").select("root", "schema", "import")
+
+
+def root_index(loaded: DataFrame, elements: DataFrame) -> DataFrame:
+    """root, kind, name, schema: what each root sees by name; of schemas that share a name the one loaded last wins.
+
+    ``loaded`` has root, schema, ord; ``elements`` schema, kind, name.
+    """
+    held = loaded.join(elements.select("schema", "kind", "name").distinct(), "schema")
+    return held.groupBy("root", "kind", "name").agg(F.max_by("schema", "ord").alias("schema"))
+
+
+def root_reference_issues(loaded: DataFrame, index: DataFrame, refs: DataFrame) -> DataFrame:
+    """root, schema, path, value, issue of the references (schema, path, value, expected_kind) that a root cannot resolve.
+
+    A schema's references are judged for each root that loads it, by what that root sees.
+    """
+    asked = loaded.select("root", "schema").join(refs, "schema")
+    known = index.groupBy("root", F.col("name").alias("value")).agg(F.collect_set("kind").alias("_kinds"))
+    wanted = F.when(F.col("expected_kind") == "range", F.array(*map(F.lit, RANGES))).otherwise(F.array("expected_kind"))
+    unknown = F.when(F.col("value") == "string", "UnknownStringReference").otherwise("UnknownReference")
+    wrong = F.when(F.col("expected_kind") == "range", "InvalidRange").otherwise("UnknownReference")
+    issue = F.when(F.col("_kinds").isNull(), unknown).when(~F.arrays_overlap("_kinds", wanted), wrong)
+    judged = asked.join(known, ["root", "value"], "left").withColumn("issue", issue)
+    return judged.filter("issue IS NOT NULL").select("root", "schema", "path", "value", "issue")
+
+
 # -- derivation: precedence-ordered merges
 
 

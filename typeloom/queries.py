@@ -575,6 +575,22 @@ _CORPUS = {
     "slots": """
         SELECT concat('t', r_regionkey) AS slot, 0 AS ord, r_name AS rng, r_regionkey % 2 = 0 AS required, CAST(NULL AS BOOLEAN) AS multivalued, CAST(NULL AS BOOLEAN) AS identifier, CAST(NULL AS STRING) AS pattern FROM region
         UNION ALL SELECT concat('t', n_regionkey), 1 + n_nationkey, 'far', CAST(NULL AS BOOLEAN), n_nationkey % 3 = 0, CAST(NULL AS BOOLEAN), n_name FROM nation""",
+    "schema_imports": """
+        SELECT concat('m', p_partkey) AS schema, concat('m', CAST(floor(p_partkey / 12) AS BIGINT) * 12 + (p_partkey * 2) % 12) AS import, 0 AS position FROM part
+        UNION ALL SELECT concat('m', p_partkey), concat('m', CAST(floor(p_partkey / 12) AS BIGINT) * 12 + (p_partkey + 7) % 12), 1 FROM part WHERE p_partkey % 3 = 0
+        UNION ALL SELECT concat('m', p_partkey), concat('b', p_partkey % 5), p_size % 3 + 2 FROM part WHERE p_partkey % 4 = 1
+        UNION ALL SELECT concat('m', p_partkey), concat('gone', p_partkey % 3), 5 FROM part WHERE p_partkey % 50 = 9
+        UNION ALL SELECT concat('b', r_regionkey), concat('b', (r_regionkey + 2) % 5), 0 FROM region
+        UNION ALL SELECT concat('b', r_regionkey), concat('b', (r_regionkey + 1) % 5), 1 FROM region WHERE r_regionkey % 2 = 0""",
+    "schema_files": "SELECT concat('m', p_partkey) AS schema FROM part UNION ALL SELECT concat('b', r_regionkey) FROM region",
+    "schema_elements": """
+        SELECT concat('m', p_partkey) AS schema, 'class' AS kind, concat('C', p_size % 9) AS name FROM part
+        UNION ALL SELECT concat('m', p_partkey), 'enum', concat('C', p_size % 11) FROM part WHERE p_partkey % 6 = 1
+        UNION ALL SELECT concat('m', p_partkey), 'slot', p_brand FROM part
+        UNION ALL SELECT concat('b', r_regionkey), 'type', r_name FROM region UNION ALL SELECT concat('b', r_regionkey), 'class', concat('C', r_regionkey) FROM region""",
+    "schema_refs": """
+        SELECT concat('m', p_partkey) AS schema, '/classes/A/is_a' AS path, concat('C', (p_size + 1) % 10) AS value, 'class' AS expected_kind FROM part
+        UNION ALL SELECT concat('m', p_partkey), '/slots/s/range', CASE p_partkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN p_brand WHEN 2 THEN 'ASIA' ELSE concat('C', p_size % 11) END, 'range' FROM part""",
     "layers": """
         SELECT concat('C', p_partkey) AS cls, concat('s', p_size % 6) AS slot, 'attribute' AS source, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN concat(p_brand, ',', p_type) WHEN 2 THEN p_type END AS aliases,
                concat('a', p_partkey % 3, '=', p_partkey, ',b=', p_size) AS notes, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS title
@@ -650,6 +666,47 @@ def lca(spark, sf_dir):
     return relational.lowest_common_ancestors(_corpus(spark, sf_dir, "class_parents"), _corpus(spark, sf_dir, "grps"))
 
 
+# what each root reaches, by the simple path that comes first: that is the order in which schemas are loaded
+_LOADED = f"""{_with('schema_imports', 'schema_files')}, known AS (SELECT * FROM schema_imports WHERE import IN (SELECT schema FROM schema_files)), paths(root, schema, way, met) AS (
+  SELECT schema, schema, CAST([] AS BIGINT[]), [schema] FROM schema_files
+  UNION ALL SELECT root, k.import, list_append(way, k.position), list_append(met, k.import) FROM paths JOIN known k USING (schema) WHERE NOT list_contains(met, k.import)
+), loaded AS (SELECT root, schema, CAST(row_number() OVER (PARTITION BY root ORDER BY min(way)) - 1 AS INTEGER) AS ord FROM paths GROUP BY root, schema)"""
+_SEEN = f"""{_LOADED}, schema_elements AS ({_CORPUS['schema_elements']}), seen AS (SELECT root, kind, name, arg_max(e.schema, ord) AS schema FROM loaded JOIN schema_elements e USING (schema) GROUP BY root, kind, name)"""
+
+
+def _loaded(spark, sf_dir):
+    return relational.import_closure(_corpus(spark, sf_dir, "schema_imports"), _corpus(spark, sf_dir, "schema_files"))
+
+
+@query(_LOADED + " SELECT root, schema, ord FROM loaded")
+def import_closure(spark, sf_dir):
+    """What each of many schemas loads, in order, through cycles and diamonds of imports."""
+    return _loaded(spark, sf_dir)
+
+
+@query(_LOADED + " SELECT DISTINCT root, l.schema, i.import FROM loaded l JOIN schema_imports i USING (schema) WHERE i.import NOT IN (SELECT schema FROM schema_files)")
+def missing_imports(spark, sf_dir):
+    """S3, V6: imports that cannot be loaded, for each root that meets them."""
+    return relational.missing_imports(_loaded(spark, sf_dir), _corpus(spark, sf_dir, "schema_imports"), _corpus(spark, sf_dir, "schema_files"))
+
+
+@query(_SEEN + " SELECT * FROM seen")
+def root_index(spark, sf_dir):
+    """P1, P2 for many roots: the schema that gives each name, the one loaded last."""
+    return relational.root_index(_loaded(spark, sf_dir), _corpus(spark, sf_dir, "schema_elements"))
+
+
+@query(f"""{_SEEN}, schema_refs AS ({_CORPUS['schema_refs']}), kinds AS (SELECT root, name AS value, list(kind) AS kinds FROM seen GROUP BY root, name)
+SELECT root, schema, path, value, CASE WHEN kinds IS NULL THEN CASE WHEN value = 'string' THEN 'UnknownStringReference' ELSE 'UnknownReference' END WHEN expected_kind = 'range' THEN 'InvalidRange' ELSE 'UnknownReference' END AS issue
+FROM loaded JOIN schema_refs USING (schema) LEFT JOIN kinds USING (root, value)
+WHERE kinds IS NULL OR NOT CASE WHEN expected_kind = 'range' THEN list_has_any(kinds, ['class', 'type', 'enum']) ELSE list_contains(kinds, expected_kind) END""")
+def root_references(spark, sf_dir):
+    """P3, V1-V3 for many roots: references that what a root loads does not resolve."""
+    loaded = _loaded(spark, sf_dir)
+    index = relational.root_index(loaded, _corpus(spark, sf_dir, "schema_elements"))
+    return relational.root_reference_issues(loaded, index, _corpus(spark, sf_dir, "schema_refs"))
+
+
 _REACHED = f"{_with('elements', 'edges', 'seeds')}, r(node) AS (SELECT seed FROM seeds UNION SELECT dst FROM r JOIN edges ON node = src)"
 
 
