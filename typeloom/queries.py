@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
-from typeloom.operators import rdf, recursive, relational, render, validate
+from typeloom.operators import rdf, recursive, relational, render, shapes, validate
 from typeloom.session import scratch_path
 from typeloom.streaming import validate as streaming
 from typeloom.tables import tables_catalog
@@ -575,6 +575,17 @@ _CORPUS = {
     "slots": """
         SELECT concat('t', r_regionkey) AS slot, 0 AS ord, r_name AS rng, r_regionkey % 2 = 0 AS required, CAST(NULL AS BOOLEAN) AS multivalued, CAST(NULL AS BOOLEAN) AS identifier, CAST(NULL AS STRING) AS pattern FROM region
         UNION ALL SELECT concat('t', n_regionkey), 1 + n_nationkey, 'far', CAST(NULL AS BOOLEAN), n_nationkey % 3 = 0, CAST(NULL AS BOOLEAN), n_name FROM nation""",
+    "graph": """
+        SELECT concat('https://e.org/c/', c_custkey) AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, CASE WHEN c_custkey % 7 = 0 THEN 'https://e.org/Vip' ELSE 'https://e.org/Buyer' END AS o, 'iri' AS o_kind, CAST(NULL AS STRING) AS o_datatype FROM customer WHERE c_custkey % 41 <> 0
+        UNION ALL SELECT concat('https://e.org/c/', c_custkey), 'https://e.org/name', c_name, 'literal', CASE WHEN c_custkey % 5 = 0 THEN 'http://www.w3.org/2001/XMLSchema#string' END FROM customer WHERE c_custkey % 11 <> 0
+        UNION ALL SELECT concat('https://e.org/c/', c_custkey), 'https://e.org/name', concat(c_name, 'x'), 'literal', CAST(NULL AS STRING) FROM customer WHERE c_custkey % 13 = 0
+        UNION ALL SELECT concat('https://e.org/c/', c_custkey), 'https://e.org/nation', CASE WHEN c_custkey % 17 = 0 THEN 'n/a' ELSE CAST(c_nationkey AS STRING) END, 'literal', CASE WHEN c_custkey % 19 = 0 THEN CAST(NULL AS STRING) ELSE 'http://www.w3.org/2001/XMLSchema#integer' END FROM customer
+        UNION ALL SELECT concat('https://e.org/c/', c_custkey), 'https://e.org/segment', concat('https://e.org/', CASE WHEN c_custkey % 23 = 0 THEN 'NONE' ELSE c_mktsegment END), CASE WHEN c_custkey % 29 = 0 THEN 'literal' ELSE 'iri' END, CAST(NULL AS STRING) FROM customer
+        UNION ALL SELECT concat('https://e.org/c/', c_custkey), 'https://e.org/tier', CAST(c_custkey % 3 AS STRING), 'literal', 'http://www.w3.org/2001/XMLSchema#integer' FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 31 = 0
+        UNION ALL SELECT concat('https://e.org/o/', o_orderkey), 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'https://e.org/Sale', 'iri', CAST(NULL AS STRING) FROM orders
+        UNION ALL SELECT concat('https://e.org/o/', o_orderkey), 'https://e.org/buyer', CASE WHEN o_orderkey % 100 = 3 THEN concat('https://e.org/o/', o_orderkey) ELSE concat('https://e.org/c/', o_custkey) END, CASE WHEN o_orderkey % 100 = 4 THEN 'literal' ELSE 'iri' END, CAST(NULL AS STRING) FROM orders WHERE o_orderkey % 100 <> 5
+        UNION ALL SELECT concat('https://e.org/o/', o_orderkey), 'https://e.org/mark', CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 1 THEN concat('https://e.org/c/', o_custkey) WHEN 2 THEN 'https://e.org/BUILDING' ELSE o_orderpriority END, CASE WHEN o_orderkey % 4 IN (1, 2) THEN 'iri' ELSE 'literal' END, CASE WHEN o_orderkey % 4 = 0 THEN 'http://www.w3.org/2001/XMLSchema#integer' END FROM orders
+        UNION ALL SELECT concat('https://e.org/o/', o_orderkey), 'https://e.org/odd', o_orderstatus, 'literal', CAST(NULL AS STRING) FROM orders WHERE o_orderkey % 37 = 0""",
     "schema_imports": """
         SELECT concat('m', p_partkey) AS schema, concat('m', CAST(floor(p_partkey / 12) AS BIGINT) * 12 + (p_partkey * 2) % 12) AS import, 0 AS position FROM part
         UNION ALL SELECT concat('m', p_partkey), concat('m', CAST(floor(p_partkey / 12) AS BIGINT) * 12 + (p_partkey + 7) % 12), 1 FROM part WHERE p_partkey % 3 = 0
@@ -666,6 +677,39 @@ def lca(spark, sf_dir):
     return relational.lowest_common_ancestors(_corpus(spark, sf_dir, "class_parents"), _corpus(spark, sf_dir, "grps"))
 
 
+_SHAPES = """{"id": "https://example.org/shapes", "name": "shapes", "imports": ["linkml:types"], "default_range": "string", "default_prefix": "e", "prefixes": {"e": "https://e.org/"},
+ "enums": {"Segment": {"permissible_values": {"MACHINERY": {}, "FURNITURE": {}, "BUILDING": {}, "AUTOMOBILE": {}, "HOUSEHOLD": {}}}},
+ "classes": {
+  "Agent": {"abstract": true, "attributes": {"id": {"identifier": true}, "name": {"required": true}, "nation": {"range": "integer"}}},
+  "Buyer": {"is_a": "Agent", "attributes": {"segment": {"range": "Segment"}}},
+  "Vip": {"is_a": "Buyer", "attributes": {"tier": {"range": "integer"}}},
+  "Sale": {"attributes": {"buyer": {"range": "Buyer", "required": true}, "mark": {"any_of": [{"range": "integer"}, {"range": "Segment"}, {"range": "Vip"}]}}}}}"""
+
+
+@query(
+    f"""WITH g AS ({_CORPUS['graph']}), t AS (SELECT s, o AS type FROM g WHERE p LIKE '%#type'), up(type, shape) AS (VALUES ('Vip', 'Vip'), ('Vip', 'Buyer'), ('Vip', 'Agent'), ('Buyer', 'Buyer'), ('Buyer', 'Agent'), ('Sale', 'Sale')),
+targets AS (SELECT DISTINCT s, 'https://e.org/' || shape AS shape FROM t JOIN up ON t.type = 'https://e.org/' || up.type),
+props(shape, p) AS (VALUES ('Agent', 'name'), ('Agent', 'nation'), ('Buyer', 'name'), ('Buyer', 'nation'), ('Buyer', 'segment'), ('Vip', 'name'), ('Vip', 'nation'), ('Vip', 'segment'), ('Vip', 'tier'), ('Sale', 'buyer'), ('Sale', 'mark')),
+v AS (SELECT DISTINCT targets.s, targets.shape, g.p, o, o_kind, o_datatype, props.p IS NOT NULL AS known FROM g JOIN targets USING (s) LEFT JOIN props ON targets.shape = 'https://e.org/' || props.shape AND g.p = 'https://e.org/' || props.p WHERE g.p NOT LIKE '%#type'),
+k AS (SELECT *, split_part(p, '.org/', 2) AS n, EXISTS (SELECT 1 FROM t WHERE t.s = v.o AND t.type IN ('https://e.org/Buyer', 'https://e.org/Vip')) AS buys, EXISTS (SELECT 1 FROM t WHERE t.s = v.o AND t.type = 'https://e.org/Vip') AS vip,
+  o_kind = 'literal' AND o_datatype = 'http://www.w3.org/2001/XMLSchema#integer' AND regexp_full_match(o, '[+-]?[0-9]+') AS whole, o_kind = 'iri' AND o IN ('https://e.org/MACHINERY', 'https://e.org/FURNITURE', 'https://e.org/BUILDING', 'https://e.org/AUTOMOBILE', 'https://e.org/HOUSEHOLD') AS segment FROM v WHERE known),
+found AS (SELECT s, shape, p, 'closed' AS "constraint", o FROM v WHERE NOT known AND shape <> 'https://e.org/Agent' AND p <> 'https://e.org/id'
+UNION ALL SELECT s, shape, p, 'datatype', o FROM k WHERE n IN ('nation', 'tier') AND NOT coalesce(whole, false)
+UNION ALL SELECT s, shape, p, 'in', o FROM k WHERE n = 'segment' AND NOT segment
+UNION ALL SELECT s, shape, p, 'nodeKind', o FROM k WHERE n = 'buyer' AND o_kind = 'literal'
+UNION ALL SELECT s, shape, p, 'class', o FROM k WHERE n = 'buyer' AND (o_kind = 'literal' OR NOT buys)
+UNION ALL SELECT s, shape, p, 'or', o FROM k WHERE n = 'mark' AND NOT (coalesce(whole, false) OR segment OR (o_kind = 'iri' AND vip))
+UNION ALL SELECT s, shape, p, 'maxCount', NULL FROM k WHERE n <> 'id' GROUP BY s, shape, p HAVING count(*) > 1
+UNION ALL SELECT s, targets.shape, 'https://e.org/' || r.p, 'minCount', NULL FROM targets JOIN (VALUES ('Agent', 'name'), ('Buyer', 'name'), ('Vip', 'name'), ('Sale', 'buyer')) r(shape, p) ON targets.shape = 'https://e.org/' || r.shape WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.s = targets.s AND g.p = 'https://e.org/' || r.p))
+SELECT s, shape, p AS path, "constraint", o AS value FROM found"""
+)
+def shape_violations(spark, sf_dir):
+    """D1-D3, D6, D8, D9, D11 over triples: nodes against the shapes of their classes and of their ancestors."""
+    from typeloom.operators.lint import loaded
+
+    return shapes.shape_violations(_corpus(spark, sf_dir, "graph"), loaded(text=_SHAPES))
+
+
 # what each root reaches, by the simple path that comes first: that is the order in which schemas are loaded
 _LOADED = f"""{_with('schema_imports', 'schema_files')}, known AS (SELECT * FROM schema_imports WHERE import IN (SELECT schema FROM schema_files)), paths(root, schema, way, met) AS (
   SELECT schema, schema, CAST([] AS BIGINT[]), [schema] FROM schema_files
