@@ -22,11 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: What a piece of markup begins with; a comment and a character data section have ends of their own.
+_OPENING = re.compile(r"<(?:(!--|!\[CDATA\[|[!?])|(/?)([a-zA-Z][^\s/>]*))")
+_SECTION = re.compile(r"<(!--|!\[CDATA\[|[!?])")
+_ENDS = {"!--": "-->", "![CDATA[": "]]>"}
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -43,6 +44,7 @@ _CLOSES_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption".split())
 _GROUP = ("thead", "tbody", "tfoot", "caption", "colgroup")
 #: Elements that a start tag ends, with all inside them, up to the nearest list, table or section around.
 _SIBLING_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "caption", "colgroup"), "colgroup": ("caption", "colgroup"), "option": ("option",), "optgroup": ("optgroup",)} | dict.fromkeys(("thead", "tbody", "tfoot"), _GROUP)
+_LISTS = frozenset("ul ol dl table select div section article".split())
 _SCOPE = frozenset("html body article aside section main div td th table ul ol dl nav header footer form blockquote figure details fieldset li dd".split())
 
 #: Attributes whose words are features, each in one of TOKENS hash buckets.
@@ -74,11 +76,56 @@ def _tokens_of(attributes: str) -> tuple[int, ...]:
     return tuple(dict.fromkeys(zlib.crc32(t.encode()) % TOKENS for t in found if len(t) > 1))
 
 
-def _ended(page: str, tag: str) -> set[int]:
-    """Where the start tags of an element begin that have an end tag of their own."""
+class _Markup:
+    """The pieces of markup of a page, each found in time in proportion to its own length.
+
+    A tag ends at the first > outside of quotes; where quotes leave none, at the first > at all, and without any it is
+    text. What is known to lead nowhere is remembered, as the pages are whatever the web holds.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        #: Places at which a quote opens, outside of others, from which no > outside of quotes is left.
+        self.lost: set[int] = set()
+        self.last = page.rfind(">")
+
+    def tag_end(self, at: int) -> int:
+        """Where a tag ends whose attributes begin at a place that has a > after it."""
+        begin, met = at, []
+        while True:
+            stop = _STOP.search(self.page, at)
+            if stop is not None and self.page[stop.start()] == ">":
+                return stop.end()
+            close = -1 if stop is None or stop.start() in self.lost else self.page.find(self.page[stop.start()], stop.end())
+            if stop is not None:
+                met.append(stop.start())
+            if close < 0:
+                self.lost.update(met)
+                return self.page.find(">", begin) + 1
+            at = close + 1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Begin, end, name, whether it is an end tag, and attributes (of a section: its text) of the next piece; a comment has no name."""
+        while True:
+            m = (_OPENING if at <= self.last else _SECTION).search(self.page, at)
+            if m is None:
+                return None
+            if m[1]:
+                close = _ENDS.get(m[1], ">")
+                end = self.page.find(close, m.end())
+                inside = self.page[m.end() : len(self.page) if end < 0 else end] if m[1] == "![CDATA[" else ""
+                return m.start(), len(self.page) if end < 0 else end + len(close), "", False, inside
+            if m.end() <= self.last:
+                end = self.tag_end(m.end())
+                return m.start(), end, m[3].lower(), m[2] == "/", self.page[m.end() : end - 1]
+            at = m.end()
+
+
+def _ended(page: str, tag: str, last: int) -> set[int]:
+    """Where the start tags of an element begin that have an end tag of their own; ``last`` is the page's last >."""
     found: set[int] = set()
     open_: list[int] = []
-    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*?(/?)>", page, re.I):
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*?(/?)>", re.I).finditer(page, 0, last + 1):
         if m[1]:
             if open_:
                 found.add(open_.pop())
@@ -103,6 +150,11 @@ def parse(page: str | None) -> list[Node]:
     # open elements, with the block node each lies in, and whether it is muted up to an end tag of its own
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]
     ended: dict[str, set[int]] = {}
+    # places in the stack, of each tag, of the elements that bound a search, of muted ones, of those with an end tag
+    where: dict[str, list[int]] = {}
+    holders: dict[str, list[list[int]]] = {}
+    in_scope, in_lists, muted, to_ends = [], [], [], []
+    markup = _Markup(page)
     mute = anchors = 0
     pending: list[str] = []
     order = link_chars = pos = 0
@@ -128,30 +180,39 @@ def parse(page: str | None) -> list[Node]:
         while len(stack) > depth:
             if stack[-1][0] in _BLOCK:
                 flush()
-            tag = stack.pop()[0]
+            tag, _, to_end = stack.pop()
             mute -= tag in _MUTE
             anchors -= tag == "a"
+            for places in held_by(tag):
+                places.pop()
+            if to_end:
+                to_ends.pop()
+
+    def held_by(tag: str) -> list[list[int]]:
+        """The lists of places that an open element is in."""
+        if tag not in holders:
+            where[tag] = []
+            holders[tag] = [where[tag]] + [places for held, places in ((tag in _SCOPE, in_scope), (tag in _LISTS, in_lists), (tag in _MUTE and tag != "head", muted)) if held]
+        return holders[tag]
 
-    def find(tags: tuple[str, ...], scope: frozenset[str]) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in scope:
-                return 0
-        return 0
+    def find(tags: tuple[str, ...], scope: list[int]) -> int:
+        """The place of the innermost open element of some tags, or 0 if another element of a scope lies inside it."""
+        at = max(where[t][-1] if where.get(t) else 0 for t in tags)
+        return at if at and (not scope or scope[-1] <= at) else 0
 
     def overdue(tag: str) -> int:
         """Where the outermost muted element is that a start tag ends, or 0."""
-        for i in range(1, len(stack)):
-            held, _, to_end = stack[i]
-            if held == "head":
-                if tag not in _IN_HEAD:
-                    return 0 if any(x[2] for x in stack[i + 1 :]) else i
-            elif to_end:
-                return 0
-            elif held in _MUTE and (tag in _BLOCK or tag == held and tag in _SINGLE):
-                return i
-        return 0
+        found = []
+        if tag not in _IN_HEAD and where.get("head"):
+            found.append((where["head"][0], not to_ends or to_ends[-1] < where["head"][0]))
+        if to_ends:
+            found.append((to_ends[0], False))
+        if tag in _BLOCK and muted:
+            found.append((muted[0], True))
+        if tag in _SINGLE and where.get(tag):
+            found.append((where[tag][0], True))
+        at, ends = min(found, default=(0, False))  # False, for an element that has its end, comes first
+        return at if ends else 0
 
     def text_between(lo: int, hi: int) -> None:
         nonlocal link_chars
@@ -162,19 +223,19 @@ def parse(page: str | None) -> list[Node]:
             link_chars += (hi - lo) * (anchors > 0)
 
     while True:
-        m = _TOKEN.search(page, pos)
-        if m is None:
+        piece = markup.next(pos)
+        if piece is None:
             text_between(pos, len(page))
             break
-        text_between(pos, m.start())
-        pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        begin, end, tag, ends, attributes = piece
+        text_between(pos, begin)
+        pos = end
         if not tag:
-            if m[0].startswith("<![CDATA[") and not mute:
-                pending.append(entities.escape(m[0][9:].removesuffix("]]>")))
+            if attributes and not mute:
+                pending.append(entities.escape(attributes))
             continue
-        if m[1] or m[4]:
-            at = find((tag,), frozenset() if tag in _BLOCK or tag in _MUTE else _SCOPE)
+        if ends:
+            at = find((tag,), [] if tag in _BLOCK or tag in _MUTE else in_scope)
             if at:
                 close_to(at)
             continue
@@ -185,11 +246,11 @@ def parse(page: str | None) -> list[Node]:
         if tag in _BLOCK:
             flush()
         if tag in _CLOSES_P:
-            at = find(("p",), _SCOPE)
+            at = find(("p",), in_scope)
             if at:
                 close_to(at)
         if tag in _SIBLING_ENDS:
-            at = find(_SIBLING_ENDS[tag], frozenset(("ul", "ol", "dl", "table", "select", "div", "section", "article")))
+            at = find(_SIBLING_ENDS[tag], in_lists)
             if at:
                 close_to(at)
         if tag in _VOID:
@@ -197,10 +258,9 @@ def parse(page: str | None) -> list[Node]:
                 flush()
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, pos)
+            end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, pos, markup.last + 1)
             pos = end.end() if end else len(page)
             continue
-        attributes = m[3] or m[6] or ""
         block = stack[-1][1]
         if tag in _BLOCK and not mute:
             nodes[block].children.append(len(nodes))
@@ -212,8 +272,12 @@ def parse(page: str | None) -> list[Node]:
             to_end = tag in _MUTE and tag != "head"
             if to_end:
                 if tag not in ended:
-                    ended[tag] = _ended(page, tag)
-                to_end = m.start() in ended[tag]
+                    ended[tag] = _ended(page, tag, markup.last)
+                to_end = begin in ended[tag]
+            for places in held_by(tag):
+                places.append(len(stack))
+            if to_end:
+                to_ends.append(len(stack))
             stack.append((tag, block, to_end))
             mute += tag in _MUTE
             anchors += tag == "a"
