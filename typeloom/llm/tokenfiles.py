@@ -102,6 +102,14 @@ class PartWriter:
         return self.name, self.total
 
 
+def kept(mask: pa.BooleanArray) -> int:
+    """How many places a stored mask keeps; they come first, or the file is not what this module writes."""
+    n = mask.true_count
+    if mask.slice(0, n).true_count != n:
+        raise ValueError("a mask keeps places after its padding")
+    return n
+
+
 class PartReader:
     """Random access to a part: local files are memory-mapped, so a sequence is a view of the file."""
 
@@ -128,14 +136,19 @@ class PartReader:
         return ids, mask
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same as numpy arrays, without a copy: only a part's last sequence is padded, so the mask is a view too."""
-        ids, _ = self.arrays(i)
-        n = min(self.length, self.total - i * self.length)
+        """The same as numpy arrays, without a copy.
+
+        The file holds a mask as bits, which numpy has no view of: they are counted and checked, and the mask is a window
+        over a template with as many places as the file's has.
+        """
+        ids, mask = self.arrays(i)
+        n = kept(mask)
         return ids.to_numpy(), self._masks[self.length - n : 2 * self.length - n]
 
     def _batch_ids(self, b: int) -> np.ndarray:
         if b != self._at:
-            self._at, self._flat = b, self.file.get_batch(b).column(0).flatten().to_numpy()[: self.total - b * self.step]
+            ids, mask = (c.flatten() for c in self.file.get_batch(b).columns)
+            self._at, self._flat = b, ids.to_numpy()[: kept(mask)]
         return self._flat
 
     def ids(self, start: int, n: int) -> np.ndarray:
