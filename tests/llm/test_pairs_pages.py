@@ -3,13 +3,15 @@
 import io
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from typeloom.llm import forest, html, nearest, warc
+from typeloom.llm import forest, html, nearest, tokenfiles, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -431,3 +433,59 @@ def test_odd_pages(spark):
     assert [r["text"] for r in rows if r["html"] in (None, "")] == ["", ""] and len(rows) == 4
     assert [r["text"] for r in rows if r["html"] and "nav" in r["html"]] == [""]
     assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_ill_formed_pages_take_linear_time():
+    """Five megabytes of what a browser repairs, of each kind; text is kept where no tag is."""
+    started = time.process_time()
+    pages = {
+        "tags without an end": "<a " * 1_250_000,
+        "quotes without an end": '<a b="' * 800_000,
+        "end tags that close nothing": "<b>x" * 500_000 + "</i>" * 500_000,
+        "quotes around every >": '<a ">"' * 800_000,
+        "one name": "<a" * 2_500_000,
+        "end tags beyond a scope": "<i><div>" + "<b>" * 400_000 + "</i>" * 400_000,
+        "muted": "<svg>" * 300_000 + "<g>" * 300_000,
+        "raw text": "<script>" + "</script " * 500_000,
+        "one attribute": "<a " + "x" * 4_000_000 + ">t",
+    }
+    found = {name: html.parse(page) for name, page in pages.items()}
+    assert time.process_time() - started < 90
+    assert found["tags without an end"][0].own == len(pages["tags without an end"].strip()) and found["one attribute"][0].blocks == [(0, "t")]
+
+
+def test_a_file_with_another_mask_is_refused(tmp_path):
+    writer = tokenfiles.PartWriter(str(tmp_path), 0, tokenfiles.id_type(1000), 16)
+    writer.add([(1, np.arange(20))])
+    name, _ = writer.close()
+    table = pa.ipc.open_file(name + ".arrow").read_all()
+    mask = pa.FixedSizeListArray.from_arrays(pa.array([i % 2 == 0 for i in range(32)]), 16)
+    with pa.ipc.new_file(name + ".arrow", table.schema) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), mask], schema=table.schema))
+    reader = tokenfiles.PartReader(str(tmp_path), name)
+    for read in (lambda: reader.sequence(0), lambda: reader.ids(0, 20)):
+        with pytest.raises(ValueError):
+            read()
+
+
+def test_answers_that_a_block_cut_are_searched_again(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 20 = 0")
+    whole = nearest.nearest(df, queries, 5, block_rows=100, risk=0.0)
+    cut = nearest.nearest(df, queries, 5, block_rows=100, risk=0.999)
+    assert nearest.block_answers(5, 4, 0.999) == 1
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_an_id_with_several_vectors_counts_once(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 2.0]), (2, [5.0, 1.0]), (3, [1.0, 1.0])]
+    for given in (rows, rows[::-1]):
+        found = nearest.nearest(spark.createDataFrame(given, "vec_id long, embedding array<double>"), spark.createDataFrame([(3, [1.0, 1.0])], "vec_id long, embedding array<double>"), 2)
+        assert [(r["vec_id"], r["score"]) for r in found.orderBy("rank").collect()] == [(2, 2.0), (1, 1.0)]
+
+
+def test_an_index_has_as_many_arrays_as_projections():
+    for d in (6, 64, 200):
+        assert nearest.CollisionIndex(np.random.default_rng(1).standard_normal((50, d)), 30.0).m == 65

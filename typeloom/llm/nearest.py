@@ -34,7 +34,7 @@ class CollisionIndex:
     apart best if windows are some 1.5 deviations wide; most vectors lie inside, so those outside are counted.
     """
 
-    def __init__(self, vectors: np.ndarray, top_norm: float, projections: int = 64, spread: float = 1.5, slack: float = 1.0, growth: float = 1.03, start: float = 1.0, seed: int = 5):
+    def __init__(self, vectors: np.ndarray, top_norm: float, projections: int = 65, spread: float = 1.5, slack: float = 1.0, growth: float = 1.03, start: float = 1.0, seed: int = 5):
         self.vectors = vectors
         n, d = vectors.shape
         self.norm = top_norm or 1.0
@@ -42,7 +42,7 @@ class CollisionIndex:
         fill = np.sqrt(np.maximum(0.0, 1.0 - (placed * placed).sum(1)))
         rng = np.random.default_rng(seed)
         bases = [np.linalg.qr(rng.standard_normal((d + 1, d + 1)))[0] * math.sqrt(d + 1) for _ in range(-(-projections // (d + 1)))]
-        self.axes = np.concatenate(bases, axis=1)
+        self.axes = np.concatenate(bases, axis=1)[:, :projections]
         self.m = self.axes.shape[1]
         sampled = rng.permutation(n)[: max(32, n // 32)]
         self.sample = np.concatenate([placed[sampled], fill[sampled, None]], axis=1)
@@ -58,7 +58,7 @@ class CollisionIndex:
         density = math.exp(-spread * spread / 2) / math.sqrt(2 * math.pi)
         p = math.erf(spread / math.sqrt(2))
         # the axes of a basis are orthogonal, which takes away a part of the count's variance
-        deviation = math.sqrt(self.m * max(p * (1 - p) - 2 * (spread * density) ** 2, 1e-3))
+        deviation = math.sqrt(self.m * max(p * (1 - p) - 2 * (spread * density) ** 2 * min(1.0, self.m / (d + 1)), 1e-3))
         self.threshold = min(self.m, max(1, math.floor(self.m * p - slack * deviation)))
         self.spread, self.growth, self.start = spread, growth, start
         self.verified = 0
@@ -176,19 +176,20 @@ def block_answers(k: int, blocks: int, risk: float = 1e-7) -> int:
     return max(1, n)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, risk: float = 1e-7, **options) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries the k rows of vectors of largest inner product.
 
     A query's own id is no candidate of its own. Ties go to the smaller vec_id. Vectors that are null,
     empty, zero or hold null or non-finite components take no part, nor do null ids; a query meets
     vectors of its own length only, and gets fewer than k rows where there are fewer. Of equal vectors the
-    k + 1 smallest ids take part, which is all that any answer can hold. Repeated rows with one id count
-    once. Empty tables give an empty result; other columns are left out, whatever their names.
+    k + 1 smallest ids take part, which is all that any answer can hold. Rows with one id count once, as the
+    first of their vectors in the order of arrays. Empty tables give an empty result; other columns are left out, whatever their names.
 
     Vectors are dealt to blocks once; each block's task reads the queries from the shared folder, so no
     vector is shuffled a second time however many queries there are. With fewer blocks than cores, a
     block is held by several tasks, which share the queries. A block searches for as many neighbours as it can
-    hold of a query's k (``block_answers``), so its radius, its work and its answers shrink as blocks grow in number.
+    hold of a query's k but for a chance of ``risk`` (``block_answers``), so its radius, its work and its answers shrink as
+    blocks grow in number; queries of which a block gave all its answers to the result are searched again for k.
     """
     spark = vectors.sparkSession
 
@@ -197,21 +198,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         return rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
 
     equal = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    kept = clean(vectors).dropDuplicates(["vec_id"]).withColumns(dict(zip(("k1", "k2"), text_key(F.col("vector")))))
+    once = lambda df: df.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    kept = once(clean(vectors)).withColumns(dict(zip(("k1", "k2"), text_key(F.col("vector")))))
     kept = kept.withColumn("_place", F.row_number().over(equal)).filter(F.col("_place") <= k + 1)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     kept, _ = staged(kept.select("vec_id", "vector", F.size("vector").alias("dims"), norm.alias("norm")), "vectors")
-    asked = clean(queries).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.size("vector").cast("int").alias("dims"), "vector")
+    asked = once(clean(queries)).select(F.col("vec_id").alias("query_id"), F.size("vector").cast("int").alias("dims"), "vector")
     asked, _ = staged(asked, "queries")
-    n, top_norm = kept.agg(F.count(F.lit(1)), F.max("norm")).first()
-    blocks = max(1, math.ceil(n / block_rows))
+    rows, top_norm = kept.agg(F.count(F.lit(1)), F.max("norm")).first()
+    blocks = max(1, math.ceil(rows / block_rows))
     parts = max(1, math.ceil(spark.sparkContext.defaultParallelism / blocks))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     held = kept.select(part.alias("part"), block.alias("block"), F.col("dims").cast("int").alias("dims"), "vec_id", "vector")
     held = held.repartitionById(blocks * parts, F.col("block") * parts + F.col("part")).drop("block")
-    search = _search(block_answers(k, blocks), float(top_norm or 1.0), sorted(asked.inputFiles()), parts, options)
-    found = held.mapInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+
+    def answers(queries: DataFrame, n: int) -> DataFrame:
+        search = _search(n, float(top_norm or 1.0), sorted(queries.inputFiles()), parts, options)
+        return staged(held.mapInArrow(search, "query_id long, vec_id long, score double"), "answers")[0]
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    n = block_answers(k, blocks, risk)
+    found = answers(asked, n)
+    if n < k:
+        cut = ranked(found).groupBy("query_id", block.alias("block")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n)
+        again, _ = staged(asked.join(cut.select("query_id").distinct(), "query_id", "left_semi"), "queries-again")
+        if not again.isEmpty():
+            found = found.join(again.select("query_id"), "query_id", "left_anti").unionByName(answers(again, k))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
