@@ -304,7 +304,10 @@ class Catalog:
                 for ancestor in self.ancestors(top, reflexive=False):
                     meta = combine(meta, ancestor.meta, INHERITED)
             found = self._shared[key] = Element(name, "slot", source, meta)
-            meta["slot_uri"] = self.uri(found)
+            try:
+                meta["slot_uri"] = self.uri(found)
+            except names.UnknownPrefix:
+                pass  # stays as written, for lint to tell of
             meta["inlined"] = bool(meta.get("inlined") or meta.get("inlined_as_list"))
             meta["required"] = bool(meta.get("required") or meta.get("identifier") or meta.get("key"))
         return found

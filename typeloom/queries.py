@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
-from typeloom.operators import rdf, recursive, relational, render, shapes, validate
+from typeloom.operators import paths, rdf, recursive, relational, render, shapes, validate
 from typeloom.session import scratch_path
 from typeloom.streaming import validate as streaming
 from typeloom.tables import tables_catalog
@@ -524,6 +524,48 @@ def corpus_attributes(spark, sf_dir):
     return found.filter("cls = 'RootThing'")
 
 
+# a schema document for each part, some of them broken
+_DOCUMENT = """concat('{"id": "https://e.org/', p_partkey, '", "name": "s"', CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN ', "default_range": "C1"' ELSE ', "imports": ["linkml:types"]' END,
+  ', "prefixes": {"p": "https://p.org/"}, "slots": {"s": {', CASE p_partkey % 3 WHEN 0 THEN '"range": "C1"' WHEN 1 THEN '"required": true' ELSE '"range": "C1", "slot_uri": "p:x"' END, '}}, "classes": ',
+  CASE WHEN p_partkey % 37 = 0 THEN '5' ELSE concat('{"C1": {"tree_root": ', CASE WHEN p_partkey % 4 = 0 THEN 'false' ELSE 'true' END, ', "class_uri": "',
+    CASE p_partkey % 6 WHEN 0 THEN 'p:ok' WHEN 1 THEN 'zz:C' WHEN 2 THEN 'http://e.org/a b' WHEN 3 THEN 'plain' WHEN 4 THEN 'schema:Thing' ELSE concat('urn:x:', p_size) END,
+    '"}, "C2": {"tree_root": ', CASE WHEN p_partkey % 5 = 0 THEN 'true' ELSE 'false' END, ', "attributes": {"a": {', CASE WHEN p_partkey % 2 = 0 THEN '"range": "C1"' ELSE '' END, '}}}}') END,
+  CASE WHEN p_partkey % 31 = 0 THEN '' ELSE '}' END)"""
+
+
+@query(f"""WITH docs AS (SELECT p_partkey, {_DOCUMENT} AS text FROM part),
+errors AS (SELECT p_partkey, 'SchemaParseError' AS issue, CASE WHEN json_valid(text) THEN '/classes' ELSE '/' END AS path, NULL AS value FROM docs WHERE NOT json_valid(text) OR json_type(TRY_CAST(text AS JSON), '$.classes') <> 'OBJECT'),
+good AS (SELECT p_partkey, TRY_CAST(text AS JSON) AS j, json_extract(TRY_CAST(text AS JSON), '$.default_range') IS NULL AND json_extract_string(TRY_CAST(text AS JSON), '$.imports[0]') IS NULL AS undefined FROM docs ANTI JOIN errors USING (p_partkey)),
+roots AS (SELECT p_partkey, list_sort(list_filter(json_keys(j, '$.classes'), lambda c: json_extract_string(j, '$.classes.' || c || '.tree_root') = 'true')) AS names FROM good),
+uris AS (SELECT p_partkey, '/slots/s/slot_uri' AS path, json_extract_string(j, '$.slots.s.slot_uri') AS value FROM good UNION ALL SELECT p_partkey, '/classes/C1/class_uri', json_extract_string(j, '$.classes.C1.class_uri') FROM good),
+fatal AS (SELECT p_partkey, 'InvalidDefaultRange' AS issue, '/slots/s/range/' AS path, NULL AS value FROM good WHERE undefined AND json_extract(j, '$.slots.s.range') IS NULL
+  UNION ALL SELECT p_partkey, 'InvalidDefaultRange', '/classes/C2/attributes/a/range/', NULL FROM good WHERE undefined AND json_extract(j, '$.classes.C2.attributes.a.range') IS NULL),
+milder AS (SELECT p_partkey, 'MultipleTreeRoots' AS issue, '' AS path, array_to_string(names, ',') AS value FROM roots WHERE len(names) > 1
+  UNION ALL SELECT p_partkey, 'NoTreeRootClass', '', NULL FROM roots WHERE len(names) = 0
+  UNION ALL SELECT p_partkey, 'UndefinedDefaultRange', '', NULL FROM good WHERE undefined
+  UNION ALL SELECT p_partkey, 'InvalidUriOrCurie', path, value FROM uris WHERE CASE WHEN contains(value, '://') OR value LIKE 'urn:%' THEN contains(value, ' ') ELSE contains(value, ':') AND split_part(value, ':', 1) NOT IN ('p', 'schema') END)
+SELECT * FROM errors UNION ALL SELECT * FROM fatal UNION ALL SELECT * FROM milder ANTI JOIN fatal USING (p_partkey)""")
+def lint_documents(spark, sf_dir):
+    """Rules over the nodes of many schema documents."""
+    docs = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_DOCUMENT).alias("text"))
+    return paths.document_issues(paths.path_table(docs, "p_partkey", "text"), "p_partkey").select("p_partkey", "issue", "path", "value")
+
+
+# documents that share ids by tens, written in two ways, of which some differ in content
+_VERSION = """CASE WHEN p_partkey % 2 = 0
+  THEN concat('{"id": "https://e.org/', CAST(floor(p_partkey / 10) AS BIGINT), '", "name": "s", "classes": {"A": {"rank": 1, "mixins": ["M", "N"]}, "B": {"description": "', CASE WHEN p_partkey % 30 < 10 THEN p_brand ELSE 'same' END, '"}}}')
+  ELSE concat('{"classes" : {"B": { "description":"', CASE WHEN p_partkey % 30 < 10 THEN p_brand ELSE 'same' END, '"}, "A": {"mixins": [', CASE WHEN p_partkey % 50 = 15 THEN '"N", "M"' ELSE '"M", "N"' END, '], "rank": 1}}, "name": "s", "id": "https://e.org/', CAST(floor(p_partkey / 10) AS BIGINT), '"}') END"""
+
+
+@query(f"""WITH docs AS (SELECT p_partkey, CAST({_VERSION} AS JSON) AS j FROM part),
+flat AS (SELECT p_partkey, json_extract_string(j, '$.id') AS id, concat_ws('|', json_extract_string(j, '$.name'), json_extract_string(j, '$.classes.A.rank'), json_extract(j, '$.classes.A.mixins'), json_extract_string(j, '$.classes.B.description')) AS content FROM docs)
+SELECT id, count(*) AS n_documents, count(DISTINCT content) AS n_contents FROM flat GROUP BY id HAVING count(DISTINCT content) > 1""")
+def schema_id_clashes(spark, sf_dir):
+    """V5: ids of documents that differ in structure, however they are written."""
+    docs = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_VERSION).alias("text"))
+    return paths.id_clashes(paths.digests(paths.path_table(docs, "p_partkey", "text"), "p_partkey"))
+
+
 # -- streams
 
 
