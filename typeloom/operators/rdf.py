@@ -245,7 +245,7 @@ def instances(df: DataFrame, catalog: Catalog, cls: str, subject: Column | None
     if subject is None:
         if key is None:
             raise ValueError(f"class {cls} has no identifier; give a subject")
-        subject = F.concat(F.lit(_instance_space(catalog, element)), F.col(catalog.alias(key)).cast("string"))
+        subject = F.concat(F.lit(instance_space(catalog, element)), F.col(catalog.alias(key)).cast("string"))
     rows = _node(catalog, element, df.schema, lambda name: F.col(f"`{name}`"), F.col("_subject"), F.lit(IRI))
     found = df.withColumn("_subject", subject).select(F.explode(rows).alias("t"))
     return found.select("t.s", "t.s_kind", "t.p", "t.o", "t.o_kind", "t.o_datatype")
@@ -293,7 +293,7 @@ def _value(catalog: Catalog, attribute: Attribute, x: Column, kind: T.DataType,
         name = catalog.alias(own) if own is not None else None
         given = key if key is not None and own is not None else x[name] if name in kind.names else None
         blank = F.concat(F.lit("b"), F.md5(F.concat_ws("|", s, F.lit(p), i.cast("string")).cast("binary")))
-        node = blank if given is None else F.coalesce(F.concat(F.lit(_instance_space(catalog, attribute.range)), given.cast("string")), blank)
+        node = blank if given is None else F.coalesce(F.concat(F.lit(instance_space(catalog, attribute.range)), given.cast("string")), blank)
         node_kind = F.lit(BLANK) if given is None else F.when(given.isNotNull(), IRI).otherwise(BLANK)
         inner = _node(catalog, attribute.range, kind, lambda n: x[n], node, node_kind)
         return F.when(x.isNotNull(), F.concat(F.array(_row(s, s_kind, p, node, node_kind)), inner))
@@ -304,7 +304,7 @@ def _value(catalog: Catalog, attribute: Attribute, x: Column, kind: T.DataType,
     return F.when(x.isNotNull(), F.array(_row(s, s_kind, p, value, o_kind, datatype)))
 
 
-def _instance_space(catalog: Catalog, element: Element) -> str:
+def instance_space(catalog: Catalog, element: Element) -> str:
     return f"{catalog.default_namespace(element.schema)}{catalog.local_name(element).lower()}/"
 
 
@@ -326,7 +326,7 @@ def _object(catalog: Catalog, attribute: Attribute, x: Column) -> tuple[Column,
     if how in ("uri", "curie", "uriorcurie"):
         return F.coalesce(expand_col(text, catalog.prefixes(attribute.slot.schema), strict=False), text), F.lit(IRI), None
     if attribute.kind == "reference":
-        return F.concat(F.lit(_instance_space(catalog, attribute.range)), text), F.lit(IRI), None
+        return F.concat(F.lit(instance_space(catalog, attribute.range)), text), F.lit(IRI), None
     return text, F.lit(LITERAL), catalog.uri(attribute.range)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
-from typeloom.operators import paths, rdf, recursive, relational, render, shapes, validate
+from typeloom.operators import frames, paths, rdf, recursive, relational, render, shapes, validate
 from typeloom.session import scratch_path
 from typeloom.streaming import validate as streaming
 from typeloom.tables import tables_catalog
@@ -439,6 +439,30 @@ def recursive_json(spark, sf_dir):
     return recursive.json_faults(_table(spark, sf_dir, "part").select("p_partkey", text.alias("json")), loaded(text=_TREE), "Item", ["p_partkey"])
 
 
+
+@query(f"SELECT ckey, okey, CAST(l_linenumber AS BIGINT) AS number, quantity, flag FROM {_OF}")
+def framed_objects(spark, sf_dir):
+    """Customers with their orders with their lines, taken apart into triples and put together from them again."""
+    found = frames.frame(rdf.instances(_nested(spark, sf_dir), _nested_catalog(), "Cust"), _nested_catalog(), "Cust")
+    orders = found.select("ckey", F.explode("orders").alias("o"))
+    return orders.select("ckey", F.col("o.okey").alias("okey"), F.explode_outer("o.lines").alias("l")).select("ckey", "okey", F.col("l.number").alias("number"), F.col("l.quantity").alias("quantity"), F.col("l.flag").alias("flag"))
+
+
+# an order's lines as a list: a cell for each, in the order of their numbers, the last of which leads to nil but for some orders
+_CELLS = """SELECT concat('c', l_orderkey, '_', n) AS cell, l_orderkey, n, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_orderkey % 10 < 8) AS numbered"""
+_LIST_TRIPLES = f"""
+  SELECT cell AS s, 'blank' AS s_kind, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#first' AS p, CAST(l_partkey AS STRING) AS o, 'literal' AS o_kind FROM ({_CELLS}) AS a
+  UNION ALL SELECT cell, 'blank', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#rest', CASE WHEN following IS NOT NULL THEN following WHEN l_orderkey % 10 = 3 THEN concat('c', l_orderkey, '_1') ELSE 'http://www.w3.org/1999/02/22-rdf-syntax-ns#nil' END,
+    CASE WHEN following IS NOT NULL OR l_orderkey % 10 = 3 THEN 'blank' ELSE 'iri' END FROM (SELECT cell, l_orderkey, lead(cell) OVER (PARTITION BY l_orderkey ORDER BY n) AS following FROM ({_CELLS}) AS b) AS c"""
+
+
+@query(f"SELECT '_:c' || l_orderkey || '_1' AS head, n - 1 AS pos, CAST(l_partkey AS VARCHAR) AS o FROM ({_CELLS}) WHERE l_orderkey % 10 <> 3")
+def rdf_lists(spark, sf_dir):
+    """The members of RDF lists in order; lists that never end have none."""
+    sql = re.sub(r"\bFROM lineitem", f"FROM (SELECT * FROM parquet.`{sf_dir}/lineitem.parquet`) AS lineitem", _LIST_TRIPLES)
+    return frames.rdf_lists(spark.sql(sql)).select("head", "pos", "o")
+
+
 @query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '\\' THEN '\\\\' WHEN c = '\"' THEN '\\\"' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t' WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN '\\u' || upper(lpad(to_hex(unicode(c)), 4, '0')) ELSE '\\U' || upper(lpad(to_hex(unicode(c)), 8, '0')) END), '')) AS escaped FROM (SELECT doc_id, text || ' ' || chr(128512) || '\"' || chr(9) AS text FROM documents)")
 def nt_string_escapes(spark, sf_dir):
     """whole texts as N-Triples strings."""
