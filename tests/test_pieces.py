@@ -105,7 +105,7 @@ def test_triples_are_read_and_any_values_decoded(spark, tmp_path):
     path = tmp_path / "t.nt"
     path.write_text('<http://s/1> <http://p> "a \\"b\\"" .\n_:x <http://p> <http://o> .\n<http://s/1> <http://p> "1"^^<http://int> .\n# no triple\n')
     rows = sorted(map(tuple, instances.read_ntriples(spark, str(path)).collect()), key=str)
-    assert rows == sorted([("http://s/1", "iri", "http://p", 'a \\"b\\"', "literal", None), ("x", "blank", "http://p", "http://o", "iri", None), ("http://s/1", "iri", "http://p", "1", "literal", "http://int")], key=str)
+    assert rows == sorted([("http://s/1", "iri", "http://p", 'a "b"', "literal", None), ("x", "blank", "http://p", "http://o", "iri", None), ("http://s/1", "iri", "http://p", "1", "literal", "http://int")], key=str)
     df = spark.createDataFrame([('{"a": 1}',), ("[1]",), (None,)], "v string")
     assert [r["d"] for r in df.select(instances.decode_any(F.col("v"), "map<string,int>").alias("d")).collect()] == [{"a": 1}, None, None]
 

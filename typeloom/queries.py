@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from typeloom.functions import expressions, names
 from typeloom.operators import frames, paths, rdf, recursive, relational, render, shapes, validate
 from typeloom.session import scratch_path
+from typeloom.sources import instances
 from typeloom.streaming import validate as streaming
 from typeloom.tables import tables_catalog
 
@@ -622,6 +623,22 @@ def stream_orphans(spark, sf_dir):
     return _streamed(spark, sf_dir, "orders", lambda s: streaming.orphans(s.select("o_orderkey", "o_custkey"), "o_custkey", parents, "c_custkey"))
 
 
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n > 1 AND user_id IS NOT NULL AND event_type IS NOT NULL")
+def stream_duplicates(spark, sf_dir):
+    """Every later row of a key of a stream."""
+    return _streamed(spark, sf_dir, "events", lambda s: streaming.duplicates(s.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"]))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'syntax' WHEN c_custkey % 10 = 1 THEN 'escape' WHEN c_custkey % 10 = 2 THEN 'character' END AS reason, CASE WHEN c_custkey % 10 > 2 THEN c_name || ' \"é' || chr(128512) || '\\' || chr(10) || c_mktsegment END AS o, CASE WHEN c_custkey % 10 = 3 THEN 'en-GB' END AS o_lang FROM customer")
+def ntriples_read(spark, sf_dir):
+    """Lines of N-Triples with escapes and languages, and those that are none with the reason."""
+    end = F.when(F.col("c_custkey") % 10 == 0, F.lit('" no end')).when(F.col("c_custkey") % 10 == 1, F.lit('\\q" .')).when(F.col("c_custkey") % 10 == 2, F.lit('\\uD800" .')).when(F.col("c_custkey") % 10 == 3, F.lit('"@en-GB .')).otherwise(F.lit('" .'))
+    line = F.concat(F.lit("<https://e.org/"), F.col("c_custkey").cast("string"), F.lit('> <https://e.org/p> "'), "c_name", F.lit(' \\"\\u00e9\\U0001F600\\\\\\n'), "c_mktsegment", end)
+    found = instances.ntriples_table(_table(spark, sf_dir, "customer").select(line.alias("value")))
+    key = F.regexp_extract(F.coalesce("s", "line"), "e.org/([0-9]+)", 1).cast("long")
+    return found.select(key.alias("c_custkey"), "reason", "o", "o_lang")
+
+
 # -- the schema algebra over a corpus: classes, slots and references made of the tables' rows by SQL that both engines read
 
 _CORPUS = {

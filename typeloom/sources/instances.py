@@ -23,22 +23,61 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("json"))
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """s, s_kind, p, o, o_kind, o_datatype of the lines of N-Triples; escapes stay, other lines are left out."""
-    line = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:(<[^>]*>|_:\S+)|\"((?:[^\"\\]|\\.)*)\"(?:\^\^<([^>]*)>|@\S+)?)\s*\.\s*$"
-    rows = spark.read.text(path).filter(F.col("value").rlike(line))
-    part = lambda i: F.regexp_extract("value", line, i)
-    name = lambda c: F.regexp_replace(c, "^(<|_:)|>$", "")
+#: A line of N-Triples: subject, predicate, then an IRI or blank node, or a literal with its type or its language.
+_LINE = r"^\s*(<[^>\s]*>|_:[^\s<>\"]+)\s*<([^>\s]*)>\s*(?:(<[^>\s]*>|_:[^\s<>\"]*[^\s<>\".])|\"((?:[^\"\\]|\\.)*)\"(?:\^\^<([^>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?$"
+#: Escapes that stand for no character: a half of a pair, or beyond the last one.
+_NO_CHARACTER = r"\\u[dD][89a-fA-F]|\\U(?!000[0-9A-Fa-f]|0010)|\\U0000[dD][89a-fA-F]"
+_NO_ESCAPE = r"(?<!\\)(?:\\\\)*\\(?![tbnrf\"'\\]|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
+
+
+def _unescaped(text: Column) -> Column:
+    """A text with its escapes as the characters they stand for."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), F.lit(1))
+    fixed = F.create_map(*[F.lit(x) for pair in {"\\t": "\t", "\\b": "\b", "\\n": "\n", "\\r": "\r", "\\f": "\f", '\\"': '"', "\\'": "'", "\\\\": "\\"}.items() for x in pair])
+
+    def one(p: Column) -> Column:
+        coded = F.decode(F.unhex(F.lpad(F.substring(p, 3, 8), 8, "0")), "UTF-32")
+        return F.when(p.rlike(r"^\\[uU]"), coded).when(p.startswith("\\"), F.try_element_at(fixed, p)).otherwise(p)
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def ntriples_table(lines: DataFrame, value: str = "value") -> DataFrame:
+    """s, s_kind, p, o, o_kind, o_datatype, o_lang, line, reason of each line that is not blank or a comment alone.
+
+    Escapes are decoded. A line that is no triple has its text in ``line`` and why in ``reason``: syntax, escape (one
+    that there is not) or character (an escape that stands for none); its other columns are null.
+    """
+    text = F.col(value)
+    rows = lines.filter(text.isNotNull() & ~text.rlike(r"^\s*(#.*)?$"))
+    reason = F.when(~text.rlike(_LINE), "syntax").when(text.contains("\\") & text.rlike(_NO_ESCAPE), "escape").when(text.contains("\\") & text.rlike(_NO_CHARACTER), "character")
+    fine = F.col("reason").isNull()
+    part = lambda i: F.regexp_extract("line", _LINE, i)
+    name = lambda c: _unescaped(F.regexp_replace(c, "^(<|_:)|>$", ""))
     kind = lambda c: F.when(c.startswith("_:"), "blank").otherwise("iri")
+    # an empty object is a literal too
     literal = part(3) == ""
-    return rows.select(
-        name(part(1)).alias("s"),
-        kind(part(1)).alias("s_kind"),
-        part(2).alias("p"),
-        F.when(literal, part(4)).otherwise(name(part(3))).alias("o"),
-        F.when(literal, "literal").otherwise(kind(part(3))).alias("o_kind"),
-        F.nullif(part(5), F.lit("")).alias("o_datatype"),
-    )
+    columns = {
+        "s": name(part(1)),
+        "s_kind": kind(part(1)),
+        "p": _unescaped(part(2)),
+        "o": F.when(literal, _unescaped(part(4))).otherwise(name(part(3))),
+        "o_kind": F.when(literal, "literal").otherwise(kind(part(3))),
+        "o_datatype": _unescaped(F.nullif(part(5), F.lit(""))),
+        "o_lang": F.nullif(part(6), F.lit("")),
+    }
+    return rows.select(text.alias("line"), reason.alias("reason")).select(*[F.when(fine, c).alias(n) for n, c in columns.items()], F.when(~fine, F.col("line")).alias("line"), "reason")
+
+
+def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """s, s_kind, p, o, o_kind, o_datatype of the lines of N-Triples, escapes decoded; for the lines that are no triples
+    see ``ntriples_rejects``, for languages ``ntriples_table``."""
+    return ntriples_table(spark.read.text(path)).filter("reason IS NULL").drop("o_lang", "line", "reason")
+
+
+def ntriples_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """line, reason of the lines that ``read_ntriples`` leaves out."""
+    return ntriples_table(spark.read.text(path)).filter("reason IS NOT NULL").select("line", "reason")
 
 
 def decode_any(text: Column, spark_type: str) -> Column:
