@@ -437,7 +437,9 @@ def recursive_json(spark, sf_dir):
     from typeloom.operators.lint import loaded
 
     text = F.expr(f"aggregate(sequence(0, CAST(p_partkey % 21 AS INT)), '', (acc, i) -> {_TREE_LEVEL})")
-    return recursive.json_faults(_table(spark, sf_dir, "part").select("p_partkey", text.alias("json")), loaded(text=_TREE), "Item", ["p_partkey"])
+    # the table is one small file, and the texts made of its rows are not small
+    rows = _table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+    return recursive.json_faults(rows.select("p_partkey", text.alias("json")), loaded(text=_TREE), "Item", ["p_partkey"])
 
 
 
