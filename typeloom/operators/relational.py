@@ -472,27 +472,29 @@ def derive_slots(class_parents: DataFrame, class_slots: DataFrame, slots: DataFr
     Layers rank by precedence: a class's usage, then its attribute, then its mixins, each in full depth, then
     its parent. The schema's own ``slots`` (slot, ord, range, required, ...; ord 0 for the slot itself, then
     those it inherits from) come last, for slots that no class declares as an attribute. Values come from the
-    first layer that has one, flags are true if any layer says so, keys are required.
+    first layer that has one, flags are true if any layer says so, keys are required. ``key`` is a flag like
+    ``identifier``, where class_slots (and slots) have it.
     """
     up = ancestors(class_parents).select("cls", "ancestor", "p")
     alone = class_slots.select("cls").distinct().join(up.select("cls").distinct(), "cls", "left_anti").select("cls", F.col("cls").alias("ancestor"), F.lit(0).alias("p"))
     source = F.array_position(F.array(*map(F.lit, ("slot_usage", "attribute", "slot"))), F.col("source"))
-    values = ("range", "required", "multivalued", "identifier", "pattern")
+    values = ("range", "required", "multivalued", "identifier", "pattern", *(["key"] if "key" in class_slots.columns else []))
     held = up.unionByName(alone).join(class_slots.withColumnRenamed("cls", "ancestor"), "ancestor")
     layers = held.select("cls", "slot", "source", *values, F.struct(F.col("p"), source.cast("int").alias("s")).alias("p"))
     if slots is not None:
         named = layers.groupBy("cls", "slot").agg(F.max((F.col("source") == "attribute").cast("int")).alias("_a")).filter("_a = 0")
         top = named.join(slots, "slot").select("cls", "slot", F.lit("top").alias("source"), *values, F.struct(F.lit((1 << 31) - 1).alias("p"), F.col("ord").cast("int").alias("s")).alias("p"))
         layers = layers.unionByName(top)
+    keys = [any_true(k).alias(k) for k in ("identifier", "key") if k in values]
     merged = layers.groupBy("cls", "slot").agg(
+        *keys,
         nearest("range").alias("range"),
         any_true("required").alias("_required"),
         any_true("multivalued").alias("multivalued"),
-        any_true("identifier").alias("identifier"),
         nearest("pattern").alias("pattern"),
         F.max(F.col("source").isin("attribute", "slot").cast("int")).alias("_own"),
     )
-    return merged.filter("_own = 1").select("cls", "slot", "range", (F.col("_required") | F.col("identifier")).alias("required"), "multivalued", "identifier", "pattern")
+    return merged.filter("_own = 1").select("cls", "slot", "range", (F.col("_required") | is_key(merged)).alias("required"), "multivalued", *values[3:])
 
 
 def layer_bag(class_parents: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -572,6 +574,11 @@ def fold_layers(class_parents: DataFrame, class_slots: DataFrame, slots: DataFra
     return layers.groupBy("cls", "slot").agg(*[fold(f).alias(f.name) for f in metaslots], own).filter("_own").drop("_own")
 
 
+def is_key(derived: DataFrame) -> Column:
+    """Whether a slot is its class's identifier or, where derived has ``key``, its key."""
+    return F.coalesce(F.col("identifier"), F.lit(False)) | F.coalesce(F.col("key"), F.lit(False)) if "key" in derived.columns else F.col("identifier")
+
+
 def materialize(derived: DataFrame) -> DataFrame:
     """cls, n_slots, slots: the slots of each class as one sorted list."""
     return derived.groupBy("cls").agg(F.count(F.lit(1)).alias("n_slots"), F.sort_array(F.collect_list("slot")).alias("slots"))
@@ -579,7 +586,7 @@ def materialize(derived: DataFrame) -> DataFrame:
 
 def collection_forms(derived: DataFrame) -> DataFrame:
     """cls, form: list without a key, simple_dict with two slots or two required ones, else compact_dict."""
-    counts = derived.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if("required").alias("r"), F.count_if("identifier").alias("k"))
+    counts = derived.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if("required").alias("r"), F.count_if(is_key(derived)).alias("k"))
     form = F.when(F.col("k") == 0, "list").when((F.col("n") == 2) | (F.col("r") == 2), "simple_dict").otherwise("compact_dict")
     return counts.select("cls", form.alias("form"))
 
@@ -592,9 +599,9 @@ def range_forms(uses: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def bad_key_types(derived: DataFrame, elements: DataFrame) -> DataFrame:
-    """Identifiers whose range is a class or an enumeration and no type."""
+    """Identifiers and keys whose range is a class or an enumeration and no type."""
     kinds = elements.groupBy(F.col("name").alias("range")).agg(F.bool_or(F.col("kind") == "type").alias("_type"), F.bool_or(F.col("kind").isin("class", "enum")).alias("_other"))
-    return derived.filter("identifier").join(kinds, "range").filter("_other AND NOT _type").drop("_type", "_other")
+    return derived.filter(is_key(derived)).join(kinds, "range").filter("_other AND NOT _type").drop("_type", "_other")
 
 
 def slot_order(slots: DataFrame, group: Sequence[str], rank: str = "rank", name: str = "name", key: str = "is_key", value: str = "is_value") -> DataFrame:
@@ -604,8 +611,8 @@ def slot_order(slots: DataFrame, group: Sequence[str], rank: str = "rank", name:
 
 
 def multiple_keys(derived: DataFrame) -> DataFrame:
-    """cls, n_keys of the classes with several identifiers."""
-    return derived.filter("identifier").groupBy("cls").agg(F.count(F.lit(1)).alias("n_keys")).filter("n_keys > 1")
+    """cls, n_keys of the classes with several identifiers or keys."""
+    return derived.filter(is_key(derived)).groupBy("cls").agg(F.count(F.lit(1)).alias("n_keys")).filter("n_keys > 1")
 
 
 def bad_slot_usage(class_parents: DataFrame, class_slots: DataFrame) -> DataFrame:
