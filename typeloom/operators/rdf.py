@@ -1,4 +1,4 @@
-"""RDF: shapes and vocabularies of a catalog as triples, instances as triples, and N-Triples sinks."""
+"""RDF: shapes and vocabularies of a catalog as triples, instances as triples, N-Triples and Turtle sinks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 SKOS = "http://www.w3.org/2004/02/skos/core#"
 _ROWS = "array<struct<s:string,s_kind:string,p:string,o:string,o_kind:string,o_datatype:string>>"
 IRI, BLANK, LITERAL = "iri", "blank", "literal"
+#: Triples after which a statement of Turtle ends, so that none outgrows a task that reads it.
+STATEMENT = 10_000
 TRIPLES = "s string, s_kind string, p string, o string, o_kind string, o_datatype string"
 
 
@@ -344,3 +347,54 @@ def ntriples_lines(triples: DataFrame) -> DataFrame:
 def write_ntriples(triples: DataFrame, path: str) -> None:
     """Lines written by each partition as they come; the graph is never gathered."""
     ntriples_lines(triples).write.mode("overwrite").text(path)
+
+
+def turtle_lines(triples: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
+    """value: Turtle texts, in order within each partition; each partition is a document that stands alone.
+
+    Triples are sorted by ranges of subject, predicate and object, so that a subject of any number of triples is split,
+    and its run goes on from batch to batch. Of the prefixes whose namespace an IRI begins with, the longest is used,
+    where the rest is a plain name. Repeated triples stay, languages (``o_lang``) too where there are any; a null subject,
+    predicate or object gives no triple.
+    """
+    spaces = sorted(prefixes, key=lambda pair: (-len(pair[1]), pair[0]))
+
+    def iri(v: Column) -> Column:
+        short = [F.when(v.startswith(space) & F.substr(v, F.lit(len(space) + 1)).rlike("^([A-Za-z0-9_][A-Za-z0-9_-]*)?$"), F.concat(F.lit(f"{prefix}:"), F.substr(v, F.lit(len(space) + 1)))) for prefix, space in spaces]
+        return F.coalesce(*short, F.concat(F.lit("<"), ntriples_iri(v), F.lit(">")))
+
+    end = lambda v, k: F.when(k == BLANK, F.concat(F.lit("_:"), v)).otherwise(iri(v))
+    quoted = F.concat(F.lit('"'), ntriples_string(F.col("o")), F.lit('"'))
+    plain = F.col("o_datatype").isNull() | (F.col("o_datatype") == XSD + "string")
+    literal = F.when(plain, quoted).otherwise(F.concat(quoted, F.lit("^^"), iri(F.col("o_datatype"))))
+    if "o_lang" in triples.columns:
+        literal = F.when(F.col("o_lang").isNull(), literal).otherwise(F.concat(quoted, F.lit("@"), F.col("o_lang")))
+    verb = F.when(F.col("p") == RDF + "type", "a").otherwise(iri(F.col("p")))
+    parts = triples.select(end(F.col("s"), F.col("s_kind")).alias("s"), verb.alias("p"), F.when(F.col("o_kind") == LITERAL, literal).otherwise(end(F.col("o"), F.col("o_kind"))).alias("o")).dropna()
+    head = "".join(f"@prefix {p}: <{ntriples_escape(s, True)}> .\n" for p, s in prefixes)
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_s = last_p = None
+        said = 0  # triples of the run that the batch before ended with
+        for b in batches:
+            if b.empty:
+                continue
+            s, p, o = b["s"], b["p"], b["o"]
+            new = s != s.shift(1, fill_value=last_s)
+            run = new.cumsum()
+            place = run.groupby(run).cumcount() + (run == 0) * said
+            first = new | (place % STATEMENT == 0)
+            value = ("    , " + o).mask(p != p.shift(1, fill_value=last_p), "    ; " + p + " " + o).mask(first, ".\n" + s + " " + p + " " + o)
+            if last_s is None:
+                value.iloc[0] = head + value.iloc[0].removeprefix(".\n")
+            yield value.to_frame("value")
+            last_s, last_p, said = s.iloc[-1], p.iloc[-1], int(place.iloc[-1]) + 1
+        if last_s is not None:
+            yield pd.DataFrame({"value": ["."]})
+
+    return parts.repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o").mapInPandas(lines, "value string")
+
+
+def write_turtle(triples: DataFrame, path: str, prefixes: list[tuple[str, str]]) -> None:
+    """Turtle files, each with all prefixes; the graph is never gathered."""
+    turtle_lines(triples, prefixes).write.mode("overwrite").text(path)
