@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
 from typeloom.operators import frames, paths, rdf, recursive, relational, render, shapes, validate
-from typeloom.session import scratch_path
-from typeloom.sources import instances
+from typeloom.session import scratch_path, staged
+from typeloom.sources import instances, turtle
 from typeloom.streaming import validate as streaming
 from typeloom.tables import tables_catalog
 
@@ -641,6 +641,45 @@ def ntriples_read(spark, sf_dir):
     return found.select(key.alias("c_custkey"), "reason", "o", "o_lang")
 
 
+@query(
+    "SELECT c_custkey, 'name' AS slot, c_name || ' . \"' || c_mktsegment || '\"' || chr(10) || 'é #' AS o, 'en-GB' AS o_lang FROM customer "
+    "UNION ALL SELECT c_custkey, 'key', 'https://example.org/o' || c_custkey % 3 || '/' || c_nationkey, NULL FROM customer UNION ALL SELECT c_custkey, 'prefix', NULL, NULL FROM customer WHERE c_custkey % 50 = 0"
+)
+def turtle_read(spark, sf_dir):
+    """Turtle files whose prefixes change from statement to statement, with long strings, blank nodes and statements that are none."""
+    k, c = F.col("c_custkey").cast("string"), F.lit("<https://example.org/")
+    text = F.concat(
+        F.lit("@prefix o: <https://example.org/o"), (F.col("c_custkey") % 3).cast("string"), F.lit("/> .\n"),
+        c, F.lit("c/"), k, F.lit("> <https://example.org/name> \"\"\""), "c_name", F.lit(' . "'), "c_mktsegment", F.lit('"\n\\u00e9 #"""@en-GB ;\n  <https://example.org/has> [ <https://example.org/key> o:'), F.col("c_nationkey").cast("string"), F.lit(" ] .\n"),
+        F.when(F.col("c_custkey") % 50 == 0, F.concat(c, F.lit("c/"), k, F.lit("> <https://example.org/name> q:x ."))).otherwise(""),
+    )
+    path = scratch_path(spark, "turtle-text")
+    _table(spark, sf_dir, "customer").select(text.alias("value")).write.text(path)
+    found, _ = staged(turtle.turtle_table(spark, path), "turtle-read")
+    key = F.regexp_extract(F.coalesce("s", "line"), "/c/([0-9]+)", 1).cast("long").alias("c_custkey")
+    names = found.filter("p = 'https://example.org/name'").select(key, F.lit("name").alias("slot"), "o", "o_lang")
+    rejects = found.filter("reason IS NOT NULL").select(key, F.col("reason").alias("slot"), F.lit(None).cast("string").alias("o"), F.lit(None).cast("string").alias("o_lang"))
+    held = found.filter("p = 'https://example.org/has'").select(key, F.col("o").alias("node"))
+    keys = held.join(found.filter("p = 'https://example.org/key'").select(F.col("s").alias("node"), "o", "o_lang"), "node").select("c_custkey", F.lit("key").alias("slot"), "o", "o_lang")
+    return names.unionByName(keys).unionByName(rejects)
+
+
+_ORDER_TRIPLES = """
+  SELECT concat('https://example.org/order/', o_orderkey) AS s, 'iri' AS s_kind, 'https://example.org/of' AS p, concat('https://example.org/customer/', o_custkey) AS o, 'iri' AS o_kind, CAST(NULL AS STRING) AS o_datatype FROM orders
+  UNION ALL SELECT concat('https://example.org/customer/', o_custkey), 'iri', 'https://example.org/orders', concat('https://example.org/order/', o_orderkey), 'iri', NULL FROM orders
+  UNION ALL SELECT concat('https://example.org/order/', o_orderkey), 'iri', 'https://example.org/priority', concat(o_orderpriority, ' "', o_orderstatus, '"'), 'literal', 'https://example.org/text' FROM orders"""
+
+
+@query(_ORDER_TRIPLES)
+def turtle_written(spark, sf_dir):
+    """Triples written as Turtle by ranges of subjects with the longest prefixes, and read back."""
+    _table(spark, sf_dir, "orders").createOrReplaceTempView("_turtle_orders")
+    path = scratch_path(spark, "turtle-files")
+    spaces = [("x", "https://example.org/"), ("o", "https://example.org/order/"), ("c", "https://example.org/customer/")]
+    rdf.write_turtle(spark.sql(_ORDER_TRIPLES.replace("FROM orders", "FROM _turtle_orders")), path, spaces)
+    return turtle.read_turtle(spark, path)
+
+
 # -- the schema algebra over a corpus: classes, slots and references made of the tables' rows by SQL that both engines read
 
 _CORPUS = {
