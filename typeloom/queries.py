@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
-from typeloom.operators import frames, paths, rdf, recursive, relational, render, shapes, validate
+from typeloom.operators import frames, paths, rdf, reach, recursive, relational, render, shapes, validate
 from typeloom.session import scratch_path, staged
 from typeloom.sources import instances, turtle
 from typeloom.streaming import validate as streaming
@@ -754,6 +754,17 @@ _CORPUS = {
         UNION ALL SELECT concat('C', p_partkey), p_brand FROM part WHERE p_partkey % 3 = 0
         UNION ALL SELECT p_brand, p_type FROM part WHERE p_partkey % 5 = 0
         UNION ALL SELECT p_type, concat('C', p_partkey) FROM part WHERE p_partkey % 97 = 5""",
+    "typed_elements": """
+        SELECT DISTINCT concat('C', p_partkey) AS name, 'class' AS kind FROM part
+        UNION ALL SELECT concat('C', p_partkey), 'enum' FROM part WHERE p_partkey % 10 = 0
+        UNION ALL SELECT DISTINCT p_brand, 'type' FROM part
+        UNION ALL SELECT DISTINCT p_type, 'enum' FROM part
+        UNION ALL SELECT DISTINCT p_type, 'slot' FROM part
+        UNION ALL SELECT concat('t', r_regionkey), 'slot' FROM region""",
+    "types": "SELECT p_brand AS type, CASE WHEN count(*) % 2 = 0 THEN max(p_type) END AS typeof, CASE WHEN count(*) % 3 = 0 THEN split(concat('C', min(p_partkey), ',nowhere,C', max(p_partkey)), ',') END AS union_of FROM part GROUP BY p_brand",
+    "enums": "SELECT p_type AS enum, CASE WHEN count(*) % 2 = 1 THEN split(concat('C', 10 * min(p_partkey), ',', max(p_brand)), ',') END AS inherits FROM part GROUP BY p_type",
+    "slot_says": "SELECT concat('t', r_regionkey) AS slot, concat('C', r_regionkey * 31 + 1) AS rng, CASE WHEN r_regionkey = 2 THEN 'C40' END AS domain FROM region",
+    "slot_parents": "SELECT concat('t', r_regionkey) AS slot, concat('t', (r_regionkey + 1) % 5) AS parent FROM region WHERE r_regionkey % 2 = 0",
     "seeds": "SELECT concat('C', p_partkey) AS seed FROM part WHERE p_partkey % 90 = 17",
     "grps": """
         SELECT concat('g', s_suppkey) AS grp, concat('C', s_suppkey * 7 + 3) AS cls FROM supplier
@@ -936,6 +947,39 @@ def underived_reachability(spark, sf_dir):
     return relational.reachable(edges, _corpus(spark, sf_dir, "seeds"))
 
 
+_TYPED = f"""typed_elements AS ({_CORPUS['typed_elements']}), types AS ({_CORPUS['types']}), enums AS ({_CORPUS['enums']}), seeds AS ({_CORPUS['seeds']}),
+means AS (SELECT name, arg_min(kind, CASE kind WHEN 'class' THEN 0 WHEN 'type' THEN 1 ELSE 2 END) AS kind FROM typed_elements WHERE kind <> 'slot' GROUP BY name),
+below AS (SELECT 'type' AS src_kind, type AS src, 'typeof' AS how, typeof AS name, true AS inlined FROM types UNION ALL SELECT 'type', type, 'union_of', unnest(union_of), true FROM types UNION ALL SELECT 'enum', enum, 'inherits', unnest(inherits), true FROM enums)"""
+_TYPED_WALK = """, e AS (SELECT src_kind, src, m.kind AS dst_kind, u.name AS dst FROM uses u JOIN means m ON u.name = m.name WHERE how NOT IN ('parent', 'slot') AND (how <> 'range' OR m.kind <> 'class' OR inlined)
+UNION SELECT src_kind, src, t.kind, u.name FROM uses u JOIN typed_elements t ON u.name = t.name AND t.kind = CASE how WHEN 'slot' THEN 'slot' ELSE src_kind END WHERE how IN ('parent', 'slot')),
+r(kind, name) AS (SELECT 'class', seed FROM seeds UNION SELECT dst_kind, dst FROM r JOIN e ON kind = src_kind AND name = src) SELECT kind, name FROM r"""
+_BRANCHES = {"any_of": "CASE WHEN slot = 's5' THEN split(concat(cls, '0,', rng), ',') END", "domain": "CASE WHEN slot = 's7' THEN concat('C', 10 * length(cls)) END"}
+
+
+def _typed(spark, sf_dir, uses, inlined_only):
+    edges = reach.typed_edges(uses, _corpus(spark, sf_dir, "typed_elements"), inlined_only)
+    seeds = _corpus(spark, sf_dir, "seeds").select(F.lit("class").alias("kind"), F.col("seed").alias("name"))
+    return reach.reached(edges, seeds).select("kind", "name")
+
+
+@query(f"""{_MERGED}, {_TYPED}, said AS (SELECT *, {_BRANCHES['any_of']} AS any_of, {_BRANCHES['domain']} AS domain FROM (SELECT *, "range" AS rng FROM derived)),
+uses AS (SELECT 'class' AS src_kind, cls AS src, 'range' AS how, rng AS name, multivalued AS inlined FROM said UNION ALL SELECT 'class', cls, 'any_of', unnest(any_of), true FROM said UNION ALL SELECT 'class', cls, 'domain', domain, true FROM said
+  UNION ALL SELECT 'class', cls, 'parent', parent, true FROM class_parents UNION ALL SELECT * FROM below){_TYPED_WALK}""")
+def typed_derived_reach(spark, sf_dir):
+    """Elements by kind and name that classes reach by inlined ranges, unions, domains and parents, and by types and enumerations."""
+    branches = {name: F.expr(sql.replace("rng", "`range`")) for name, sql in _BRANCHES.items()}
+    derived = _derived(spark, sf_dir).withColumns(branches).withColumn("inlined", F.col("multivalued"))
+    return _typed(spark, sf_dir, reach.derived_uses(derived, *(_corpus(spark, sf_dir, n) for n in ("class_parents", "types", "enums"))), True)
+
+
+@query(f"""{_with('class_parents', 'class_slots', 'slot_says', 'slot_parents')}, {_TYPED}, uses AS (SELECT 'class' AS src_kind, cls AS src, CASE source WHEN 'slot' THEN 'slot' ELSE 'range' END AS how, CASE source WHEN 'slot' THEN slot ELSE rng END AS name, true AS inlined FROM class_slots
+  UNION ALL SELECT 'class', cls, 'parent', parent, true FROM class_parents UNION ALL SELECT 'slot', slot, 'parent', parent, true FROM slot_parents
+  UNION ALL SELECT 'slot', slot, 'range', rng, true FROM slot_says UNION ALL SELECT 'slot', slot, 'domain', domain, true FROM slot_says UNION ALL SELECT * FROM below){_TYPED_WALK}""")
+def typed_written_reach(spark, sf_dir):
+    """The same by what elements say as written: classes, the slots they name, slots above those, types and enumerations."""
+    return _typed(spark, sf_dir, reach.written_uses(*(_corpus(spark, sf_dir, n) for n in ("class_slots", "class_parents", "slot_says", "slot_parents", "types", "enums"))), False)
+
+
 @query(_MERGED + " SELECT cls, count(*) AS n_slots, string_agg(slot, ',' ORDER BY slot) AS slots FROM derived GROUP BY cls")
 def materialized_classes(spark, sf_dir):
     """A7."""
