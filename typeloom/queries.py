@@ -412,6 +412,31 @@ def inline_triples(spark, sf_dir):
     return found.groupBy(p.alias("p"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_LINE_TRIPLES = f"""WITH o AS {_OF}, l AS (SELECT *, 'https://example.org/n/ord/' || okey AS ord, '_:' || okey || '|' || l_linenumber AS node FROM o WHERE l_linenumber IS NOT NULL),
+k AS (SELECT DISTINCT ckey, okey, 'https://example.org/n/cust/' || ckey AS cust, 'https://example.org/n/ord/' || okey AS ord FROM o), x(integer, double) AS (SELECT 'http://www.w3.org/2001/XMLSchema#integer', 'http://www.w3.org/2001/XMLSchema#double')
+SELECT DISTINCT cust AS s, 'type' AS p, 'https://example.org/n/Cust' AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_datatype FROM k
+UNION ALL SELECT cust, 'orders', ord, 'iri', NULL FROM k UNION ALL SELECT ord, 'type', 'https://example.org/n/Ord', 'iri', NULL FROM k
+UNION ALL SELECT ord, 'lines', node, 'blank', NULL FROM l UNION ALL SELECT node, 'type', 'https://example.org/n/Line', 'iri', NULL FROM l
+UNION ALL SELECT node, 'number', CAST(l_linenumber AS VARCHAR), 'literal', integer FROM l, x UNION ALL SELECT node, 'quantity', CAST(quantity AS VARCHAR), 'literal', double FROM l, x WHERE quantity IS NOT NULL
+UNION ALL SELECT node, 'flag', CASE flag WHEN 'R' THEN 'https://example.org/item/returned' WHEN 'X' THEN 'X' ELSE 'https://example.org/n/' || flag END, CASE flag WHEN 'X' THEN 'literal' ELSE 'iri' END, NULL FROM l WHERE flag IS NOT NULL"""
+
+
+@query(_LINE_TRIPLES)
+def inline_triples_each(spark, sf_dir):
+    """Every triple of the nested objects, blank nodes named by their order and number."""
+    found, _ = staged(rdf.instances(_nested(spark, sf_dir), _nested_catalog(), "Cust"), "inline-triples")
+    of = lambda name: F.col("p") == f"https://example.org/n/{name}"
+    order = F.regexp_extract("s", "[^/]+$", 0)
+    held = found.filter(of("lines")).select(F.col("o").alias("label"), order.alias("okey"))
+    numbers = found.filter(of("number")).select(F.col("s").alias("label"), F.col("o").alias("number"))
+    names, _ = staged(held.join(numbers, "label").select("label", F.concat(F.lit("_:"), "okey", F.lit("|"), "number").alias("node")), "inline-names")
+    s = F.when(F.col("s_kind") == "blank", F.col("s")).alias("label")
+    named = found.withColumn("label", s).join(names, "label", "left").withColumn("s", F.coalesce("node", "s")).drop("label", "node")
+    o = F.when(F.col("o_kind") == "blank", F.col("o"))
+    named = named.withColumn("label", o).join(names, "label", "left").withColumn("o", F.coalesce("node", "o"))
+    return named.select("s", F.regexp_extract("p", "[^/#]+$", 0).alias("p"), "o", "o_kind", "o_datatype")
+
+
 _TREE = """{"id": "https://example.org/tree", "name": "tree", "imports": ["linkml:types"], "default_range": "string",
  "enums": {"Kind": {"permissible_values": {"a": {}, "b": {}}}},
  "classes": {"Item": {"attributes": {"id": {"required": true}, "qty": {"range": "integer", "minimum_value": 0}, "kind": {"range": "Kind"}, "parts": {"range": "Item", "multivalued": true, "inlined_as_list": true}}}}}"""
