@@ -992,7 +992,8 @@ uses AS (SELECT 'class' AS src_kind, cls AS src, 'range' AS how, rng AS name, mu
   UNION ALL SELECT 'class', cls, 'parent', parent, true FROM class_parents UNION ALL SELECT * FROM below){_TYPED_WALK}""")
 def typed_derived_reach(spark, sf_dir):
     """Elements by kind and name that classes reach by inlined ranges, unions, domains and parents, and by types and enumerations."""
-    branches = {name: F.expr(sql.replace("rng", "`range`")) for name, sql in _BRANCHES.items()}
+    # in the SQL a missing range is an empty text of the union
+    branches = {name: F.expr(sql.replace("rng", "coalesce(`range`, '')")) for name, sql in _BRANCHES.items()}
     derived = _derived(spark, sf_dir).withColumns(branches).withColumn("inlined", F.col("multivalued"))
     return _typed(spark, sf_dir, reach.derived_uses(derived, *(_corpus(spark, sf_dir, n) for n in ("class_parents", "types", "enums"))), True)
 
