@@ -35,6 +35,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of one small file dealt over the cores, for texts made of them that cost far more than the rows."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _report_sql(source: str, checks: list[tuple[str, str, str]]) -> str:
     """slot, constraint, n_invalid for (slot, constraint, predicate)."""
     return " UNION ALL ".join(f"SELECT '{s}' AS slot, '{c}' AS \"constraint\", count(*) FILTER (WHERE coalesce({p}, false)) AS n_invalid FROM {source}" for s, c, p in checks)
@@ -462,8 +467,7 @@ def recursive_json(spark, sf_dir):
     from typeloom.operators.lint import loaded
 
     text = F.expr(f"aggregate(sequence(0, CAST(p_partkey % 21 AS INT)), '', (acc, i) -> {_TREE_LEVEL})")
-    # the table is one small file, and the texts made of its rows are not small
-    rows = _table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+    rows = _spread(_table(spark, sf_dir, "part").select("p_partkey"))
     return recursive.json_faults(rows.select("p_partkey", text.alias("json")), loaded(text=_TREE), "Item", ["p_partkey"])
 
 
@@ -543,7 +547,7 @@ def corpus_lint(spark, sf_dir):
     bodies = F.array(*[F.lit(body) for body, _ in _FAULTS])
     rest = F.element_at(bodies, (F.col("p_partkey") % len(_FAULTS) + 1).cast("int"))
     text = F.concat(F.lit('{"id": "https://e.org/'), F.col("p_partkey").cast("string"), F.lit('", "name": "s", '), rest, F.lit("}"))
-    found = relational.lint_texts(_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    found = relational.lint_texts(_spread(_table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", text.alias("text")), "p_partkey", "text")
     return found.select("p_partkey", "issue", F.col("n").cast("int").alias("n"))
 
 
@@ -572,7 +576,7 @@ def corpus_attributes(spark, sf_dir):
         F.lit('}}, "root thing": {"tree_root": '), pick(k % 5 == 0, "true", "false"),
         F.lit(', "attributes": {"plain": {}, "any": {"range": "Any"}, "code": {"range": "code"}, "link": {"range": "uriorcurie"}, "e": {"range": "E"}, "ref": {"range": "Keyed"}, "kids": {"range": "Keyed", "multivalued": true, "inlined": true}, "one": {"range": "Bare"}}}}}'),
     )
-    found = relational.describe_texts(_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    found = relational.describe_texts(_spread(_table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", text.alias("text")), "p_partkey", "text")
     return found.filter("cls = 'RootThing'")
 
 
@@ -599,7 +603,7 @@ milder AS (SELECT p_partkey, 'MultipleTreeRoots' AS issue, '' AS path, array_to_
 SELECT * FROM errors UNION ALL SELECT * FROM fatal UNION ALL SELECT * FROM milder ANTI JOIN fatal USING (p_partkey)""")
 def lint_documents(spark, sf_dir):
     """Rules over the nodes of many schema documents."""
-    docs = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_DOCUMENT).alias("text"))
+    docs = _spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.expr(_DOCUMENT).alias("text"))
     return paths.document_issues(paths.path_table(docs, "p_partkey", "text"), "p_partkey").select("p_partkey", "issue", "path", "value")
 
 
