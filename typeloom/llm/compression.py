@@ -34,8 +34,8 @@ PROSE = (
 WIDE = 0.25
 #: What fitted bands allow beyond the 1st and 99th percentile of a corpus's good prose.
 MARGIN = 0.03
-#: A step of half an octave is fitted on so many ratios at least; the fit sees at most so many documents.
-LEAST, SAMPLE = 16, 4000
+#: A step of half an octave is fitted on so many ratios at least, which are counted by so many decimals.
+LEAST, DECIMALS = 16, 3
 
 
 @dataclass(frozen=True)
@@ -141,19 +141,20 @@ def _ratios(bands: Bands):
     return ratios
 
 
-def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bands: Bands = DEFAULT, sample: int = SAMPLE) -> Bands:
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bands: Bands = DEFAULT) -> Bands:
     """bands with knots from the ratios of good prose: texts labelled 1 that pass the base rules, and their chunks.
 
     For each half octave of length with at least LEAST ratios the limits are their 1st and 99th percentile,
-    widened by MARGIN; elsewhere the knots of ``bands`` stay. Held-out documents are not looked at; of the
-    others at most ``sample``, those of smallest hash. A document with several labels counts by the smallest.
+    widened by MARGIN; elsewhere the knots of ``bands`` stay. Held-out documents are not looked at; all others are,
+    and their ratios, rounded to DECIMALS, are counted. A document with several labels counts by the smallest.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL")
     good = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1")
-    taken = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(taken), "doc_id")  # at most sample ids
-    steps = rows.select("_text").mapInPandas(_ratios(bands), "step int, ratio double").groupBy("step")
-    found = steps.agg(F.count(F.lit(1)).alias("n"), F.percentile("ratio", F.lit(0.01)).alias("low"), F.percentile("ratio", F.lit(0.99)).alias("high")).collect()  # a row a step
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(good, "doc_id", "left_semi")
+    ratios = rows.select("_text").mapInPandas(_ratios(bands), "step int, ratio double")
+    counts = ratios.groupBy("step", F.round("ratio", DECIMALS).alias("ratio")).agg(F.count(F.lit(1)).alias("k"))
+    at = lambda share: F.percentile("ratio", F.lit(share), F.col("k"))
+    found = counts.groupBy("step").agg(F.sum("k").alias("n"), at(0.01).alias("low"), at(0.99).alias("high")).collect()  # a row a step
     own = {r["step"] / 2 + 0.25: (r["low"] * (1 - MARGIN), r["high"] * (1 + MARGIN)) for r in found if r["n"] >= LEAST}
     knots = {x: (low, high) for x, low, high in bands.knots} | own
     return replace(bands, knots=tuple((x, *knots[x]) for x in sorted(knots)))
