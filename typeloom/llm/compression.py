@@ -130,13 +130,13 @@ def _ratios(bands: Bands):
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             rows = []
-            for text in batch["_text"]:
+            for key, text in zip(batch["doc_id"], batch["_text"]):
                 if not isinstance(text, str) or base_fails(base_counts(text)):
                     continue
                 data = text.encode("utf-8", "surrogatepass")
                 parts = [data[at : at + bands.chunk] for at in range(0, len(data), bands.chunk)] if len(data) > bands.chunk else []
-                rows += [(math.floor(2 * math.log2(len(x))), len(x) / len(packer.compress(x))) for x in (data, *parts)]
-            yield pd.DataFrame(rows, columns=["step", "ratio"])
+                rows += [(key, math.floor(2 * math.log2(len(x))), len(x) / len(packer.compress(x))) for x in (data, *parts)]
+            yield pd.DataFrame(rows, columns=["doc_id", "step", "ratio"])
 
     return ratios
 
@@ -150,8 +150,10 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL")
     good = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label")).filter("label = 1")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(good, "doc_id", "left_semi")
-    ratios = rows.select("_text").mapInPandas(_ratios(bands), "step int, ratio double")
+    # labels are as many as the corpus makes them: ratios meet them, so that texts are never shuffled
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    ratios = rows.mapInPandas(_ratios(bands), f"doc_id {kind}, step int, ratio double").join(good, "doc_id", "left_semi")
     counts = ratios.groupBy("step", F.round("ratio", DECIMALS).alias("ratio")).agg(F.count(F.lit(1)).alias("k"))
     at = lambda share: F.percentile("ratio", F.lit(share), F.col("k"))
     found = counts.groupBy("step").agg(F.sum("k").alias("n"), at(0.01).alias("low"), at(0.99).alias("high")).collect()  # a row a step
