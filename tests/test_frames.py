@@ -55,6 +55,22 @@ def test_order_of_a_list_is_kept(spark):
     assert (row["id"], row["codes"], row["tags"], row["kind"]) == (7, ["z", "a", "m"], [], None)
 
 
+def test_triples_are_read_once_and_objects_keep_the_order_of_a_list(spark):
+    f, seen = "https://e.org/f/", spark.sparkContext.accumulator(0)
+    triples = [("b", "blank", rdf.RDF + "type", f + "Box", "iri"), ("b", "blank", f + "items", "c1", "blank"), ("b", "blank", f + "items", f + "item/5", "iri")]
+    triples += [(f + f"item/{i}", "iri", rdf.RDF + "type", f + "Item", "iri") for i in (9, 2, 5)]
+    triples += [("c1", "blank", FIRST, f + "item/9", "iri"), ("c1", "blank", REST, "c2", "blank"), ("c2", "blank", FIRST, f + "item/2", "iri"), ("c2", "blank", REST, NIL, "iri")]
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    (row,) = frames.frame(spark.createDataFrame(triples, TRIPLES).mapInPandas(counted, TRIPLES), loaded(text=MODEL), "Box").collect()
+    assert (row["node"], [x["id"] for x in row["items"]], row["best"]) == ("_:b", [5, 9, 2], None)
+    assert seen.value == len(triples)
+
+
 def ranked(triples):
     """Members of the lists that are whole, by walking from each head."""
     firsts, rests, before = {}, {}, {}

@@ -6,6 +6,7 @@ innermost classes first, then those that hold them. No node's graph is walked.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,65 +58,110 @@ def frame(triples: DataFrame, catalog: Catalog, cls: str) -> DataFrame:
     values of a single-valued slot the smallest counts, and shapes tell of the others. Inline objects are structs
     (dictionaries come as lists), null where the node is no instance of the slot's class; a class that contains itself
     raises a ValueError. Repeated triples count once; a node without anything said of it has nulls and empty lists.
+
+    The triples are dealt once: what is said of a node in a plain slot goes to the node, an inline slot to the node inside,
+    so that each knows its holders. A class and inline slot then sends its finished structs to those that hold them.
     """
-    graph, _ = staged(triples.select("s", "s_kind", "p", "o", "o_kind").filter("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct().select(_node("s", "s_kind").alias("s"), "p", _node("o", "o_kind").alias("node"), "o", "o_kind"), "graph")
-    lists = rdf_lists(triples)
-    held, _ = staged(lists.select(F.col("head"), "pos", F.col("node").alias("_item"), "o", "o_kind"), "lists")
-    # the members of a list stand in place of its head
-    plain = graph.join(held.select(F.col("head").alias("node")).distinct(), "node", "left_anti").withColumn("pos", F.lit(None).cast("long"))
-    listed = graph.select("s", "p", F.col("node").alias("head")).join(held, "head").select("s", "p", F.col("_item").alias("node"), "o", "o_kind", "pos")
-    nils = (F.col("o") == RDF + "nil") & (F.col("o_kind") == IRI)
-    said, _ = staged(plain.filter(~nils).select("s", "p", "node", "o", "o_kind", "pos").unionByName(listed), "said")
-    return _framed(said, catalog, cls, ())
-
-
-def _framed(said: DataFrame, catalog: Catalog, cls: str, above: tuple[str, ...]) -> DataFrame:
+    plain, inline = _predicates(catalog, cls, ())
+    codes = {p: i for i, p in enumerate(sorted(plain | {RDF + "type", RDF + "first", RDF + "rest"}))}
+    links = {p: len(codes) + i for i, p in enumerate(sorted(inline))}
+    kind = F.when(F.col("o_kind") == IRI, 1).when(F.col("o_kind") == BLANK, 2).otherwise(0).cast("byte").alias("kind")
+    code = lambda found: F.coalesce(*[F.when(F.col("p") == p, i) for p, i in found.items()]).cast("short").alias("code")
+    told = F.when(F.col("p").isin(*codes), F.struct(_node("s", "s_kind").alias("node"), code(codes), F.col("o").alias("v"), kind))
+    held = F.when(F.col("p").isin(*links), F.struct(_node("o", "o_kind").alias("node"), code(links), _node("s", "s_kind").alias("v"), kind)) if links else None
+    rows = triples.filter("s IS NOT NULL AND o IS NOT NULL").filter(F.col("p").isin(*codes, *links)).filter((F.col("p") == RDF + "rest") | (F.col("o") != RDF + "nil") | ~F.col("o_kind").eqNullSafe(IRI))
+    one = F.coalesce(*[x for x in (held, told) if x is not None])
+    rows = rows.select(F.explode(F.array_compact(F.array(told, held))).alias("x") if plain & inline else one.alias("x")).select("x.*")
+    nodes, path = staged(rows.repartition("node").groupBy("node").agg(F.collect_set(F.struct("code", "v", "kind")).alias("said")), "nodes")
+    listed = not nodes.filter(F.exists("said", lambda x: x["code"] == codes[RDF + "first"])).isEmpty()
+    if listed:
+        nodes, gone = _listed(nodes, codes, len(codes)), path
+        drop_scratch(gone)
+    return _framed(nodes, catalog, cls, codes, links, listed).drop("_said")
+
+
+def _predicates(catalog: Catalog, cls: str, above: tuple[str, ...]) -> tuple[set[str], set[str]]:
+    """The predicates of the plain and of the inline slots of a class and of all classes inside it."""
     if cls in above:
         raise ValueError(f"class {cls} contains itself ({' > '.join((*above, cls))})")
+    plain, inline = set(), set()
+    for a in catalog.attributes(catalog.classes[cls]).values():
+        if a.slot.get("identifier"):
+            continue
+        (inline if a.kind == "inline" else plain).add(catalog.uri(a.slot))
+        if a.kind == "inline":
+            more = _predicates(catalog, a.range.name, (*above, cls))
+            plain, inline = plain | more[0], inline | more[1]
+    return plain, inline
+
+
+def _listed(nodes: DataFrame, codes: dict[str, int], n_codes: int) -> DataFrame:
+    """The nodes with the members of each list in place of its head, and their places."""
+    flat = nodes.select("node", F.explode("said").alias("x")).select("node", "x.*")
+    key = F.concat(F.when(F.col("kind") == 2, "_:").otherwise(""), F.col("v"))
+    cells = flat.filter(F.col("code").isin(codes[RDF + "first"], codes[RDF + "rest"]))
+    kind = F.when(F.col("kind") == 2, BLANK).when(F.col("kind") == 1, IRI).otherwise("literal")
+    about = cells.select(F.col("node").alias("cell"), F.when(F.col("code") == codes[RDF + "first"], RDF + "first").otherwise(RDF + "rest").alias("p"), key.alias("node"), F.col("v").alias("o"), kind.alias("o_kind"))
+    member = F.when(F.col("o_kind") == BLANK, 2).when(F.col("o_kind") == IRI, 1).otherwise(0).cast("byte")
+    found, _ = staged(_ranked(about)[0].select("head", "pos", F.col("node").alias("_item"), F.col("o").alias("_o"), member.alias("_kind")), "lists")
+    heads = found.select("head").distinct()
+    parts = []
+    # what is said of a node has the head for its value, an inline slot goes to the head
+    for rows, node, value in ((flat.filter(F.col("code") < n_codes).withColumn("head", key), F.col("node"), F.col("_o")), (flat.filter(F.col("code") >= n_codes).withColumn("head", F.col("node")), F.col("_item"), F.col("v"))):
+        parts.append(rows.join(heads, "head", "left_anti").select("node", "code", "v", "kind", F.lit(None).cast("long").alias("pos")))
+        parts.append(rows.join(found, "head").select(node.alias("node"), "code", value.alias("v"), F.col("_kind").alias("kind"), "pos"))
+    rows = reduce(DataFrame.unionByName, parts)
+    return staged(rows.repartition("node").groupBy("node").agg(F.collect_list(F.struct("code", "v", "kind", "pos")).alias("said")), "nodes")[0]
+
+
+def _about(said: str, code: int) -> Column:
+    return F.filter(said, lambda x: x["code"] == code)
+
+
+def _plain(catalog: Catalog, attribute: Attribute, said: Column, place: Callable[[Column], Column]) -> Column:
+    """The value, or the list of values, of a plain slot from what is said in it."""
+
+    def value(x: Column) -> Column:
+        return _scalar(catalog, attribute, x["v"], F.when(x["kind"] == 1, F.lit(IRI)))
+
+    if not attribute.slot.get("multivalued"):
+        return F.array_min(F.transform(said, value))
+    placed = F.filter(F.transform(said, lambda x: F.struct(place(x).alias("p"), value(x).alias("v"))), lambda x: x["v"].isNotNull())
+    return F.transform(F.array_sort(placed), lambda x: x["v"])
+
+
+def _framed(nodes: DataFrame, catalog: Catalog, cls: str, codes: dict[str, int], links: dict[str, int], listed: bool) -> DataFrame:
     element = catalog.classes[cls]
-    own = said.filter((F.col("p") == RDF + "type") & (F.col("o") == catalog.uri(element)) & (F.col("o_kind") == IRI)).select("s").distinct()
+    place = (lambda x: x["pos"]) if listed else (lambda x: F.lit(None).cast("long"))
+    of_class = lambda x: (x["code"] == codes[RDF + "type"]) & (x["v"] == catalog.uri(element)) & (x["kind"] == 1)
+    own = nodes.filter(F.exists("said", of_class))
     attributes = list(catalog.attributes(element).values())
-    others = [a for a in attributes if not a.slot.get("identifier")]
-    scalars = {catalog.uri(a.slot): a for a in others if a.kind != "inline"}
-    parts = [own.select("s")]
-    if scalars:
-        parts.append(said.filter(F.col("p").isin(*scalars)).select("s", "p", "o", "o_kind", "pos"))
-    columns: list[tuple[Attribute, Column]] = []
-    for i, a in enumerate(others):
-        p = catalog.uri(a.slot)
-        if a.kind == "inline":
-            inner = _framed(said, catalog, a.range.name, (*above, cls))
-            struct = F.struct(*[F.col(f"`{c}`") for c in inner.columns if c != "node"])
-            inside = inner.select("node", struct.alias(f"_inline{i}"))
-            parts.append(said.filter(F.col("p") == p).join(inside, "node").select("s", "p", "pos", f"_inline{i}"))
-            columns.append((a, F.col(f"_inline{i}")))
-        else:
-            columns.append((a, F.when(F.col("p") == p, _scalar(catalog, a, F.col("o"), F.col("o_kind")))))
-    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    if len(parts) == 1:
-        rows = rows.withColumns({"p": F.lit(None).cast("string"), "o": F.lit(None).cast("string")})
-    for name, kind in (("pos", "long"), ("o", "string"), ("o_kind", "string")):
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kind))
-
-    def gathered(a: Attribute, value: Column) -> Column:
-        if not a.slot.get("multivalued"):
-            return F.min(value).alias(a.name)
-        ordered = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col("pos").alias("p"), value.alias("v")))))
-        return F.transform(ordered, lambda x: x["v"]).alias(a.name)
-
-    found = rows.join(own, "s", "left_semi").groupBy("s")
-    built = found.agg(*[gathered(a, c) for a, c in columns]) if columns else found.agg(F.count(F.lit(1)).alias("_n"))
-    key = next((a for a in reversed(attributes) if a.slot.get("identifier")), None)
-    names = [F.col("s").alias("node")]
-    for a in attributes:
-        if a is key:
+    inner = {i: a for i, a in enumerate(attributes) if a.kind == "inline" and not a.slot.get("identifier")}
+    if inner:
+        parts = [own]
+        for i, a in inner.items():
+            inside = _framed(nodes, catalog, a.range.name, codes, links, listed)
+            struct = F.struct(*[F.col(f"`{c}`") for c in inside.columns if c not in ("node", "_said")])
+            code = links[catalog.uri(a.slot)]
+            holders = inside.select(F.explode(_about("_said", code)).alias("x"), struct.alias("v"))
+            parts.append(holders.select(F.col("x.v").alias("node"), F.struct(place(F.col("x")).alias("p"), "v").alias(f"_inline{i}")))
+        rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        # a null struct stands for other parts' rows; the one row with what is said is the node's own
+        gathered = [(F.array_sort(F.collect_list(f"_inline{i}")) if a.slot.get("multivalued") else F.min(F.col(f"_inline{i}")["v"])).alias(f"_inline{i}") for i, a in inner.items()]
+        own = rows.repartition("node").groupBy("node").agg(F.first("said", ignorenulls=True).alias("said"), *gathered).filter("said IS NOT NULL")
+    names = [F.col("node")]
+    for i, a in enumerate(attributes):
+        if a.slot.get("identifier"):
+            if a is not next(k for k in reversed(attributes) if k.slot.get("identifier")):
+                continue
             spark = _SIMPLE.get(catalog.runtime_type(a.range)) if a.kind == "type" else None
-            text = F.when(~F.col("s").startswith("_:"), _without(F.col("s"), instance_space(catalog, element)))
+            text = F.when(~F.col("node").startswith("_:"), _without(F.col("node"), instance_space(catalog, element)))
             names.append((text.try_cast(spark) if spark else text).alias(a.name))
-        elif not a.slot.get("identifier"):
-            names.append(F.col(f"`{a.name}`"))
-    return built.select(*names)
+        elif i in inner:
+            names.append((F.transform(f"_inline{i}", lambda x: x["v"]) if a.slot.get("multivalued") else F.col(f"_inline{i}")).alias(a.name))
+        else:
+            names.append(_plain(catalog, a, _about("said", codes[catalog.uri(a.slot)]), place).alias(a.name))
+    return own.select(*names, F.col("said").alias("_said"))
 
 
 def rdf_lists(triples: DataFrame) -> DataFrame:
@@ -125,17 +171,20 @@ def rdf_lists(triples: DataFrame) -> DataFrame:
     several rests, firsts or cells before them, lists that do not end, and what follows a fault are left out whole: see
     ``list_faults``.
     """
-    return _ranked(triples)[0]
+    return _ranked(_cells(triples))[0]
 
 
 def list_faults(triples: DataFrame) -> DataFrame:
     """node, fault of the cells that make up no list: many_first, many_rest, many_before, no_first, no_rest, no_end."""
-    return _ranked(triples)[1]
+    return _ranked(_cells(triples))[1]
+
+
+def _cells(triples: DataFrame) -> DataFrame:
+    return triples.filter(F.col("p").isin(RDF + "first", RDF + "rest")).select(_node("s", "s_kind").alias("cell"), "p", _node("o", "o_kind").alias("node"), "o", "o_kind")
 
 
-def _ranked(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    about = triples.filter(F.col("p").isin(RDF + "first", RDF + "rest")).select(_node("s", "s_kind").alias("cell"), "p", _node("o", "o_kind").alias("node"), "o", "o_kind").distinct()
-    about, _ = staged(about, "cells")
+def _ranked(about: DataFrame) -> tuple[DataFrame, DataFrame]:
+    about, _ = staged(about.distinct(), "cells")
     first = F.col("p") == RDF + "first"
     cells = about.groupBy("cell").agg(F.count_if(first).alias("_f"), F.count_if(~first).alias("_r"), F.min(F.when(first, F.struct("node", "o", "o_kind"))).alias("_first"), F.min(F.when(~first, F.col("node"))).alias("_rest"))
     cells, _ = staged(cells, "cells")
