@@ -112,3 +112,17 @@ def test_lists_of_any_length_and_broken_ones(spark):
     faults = {tuple(r) for r in frames.list_faults(df).collect()}
     assert {("_:x2", "many_first"), ("_:y2", "no_first"), ("_:z1", "no_rest"), ("_:l1", "no_end"), ("_:m3", "many_before"), ("_:o1", "no_end"), ("_:r1", "many_rest")} <= faults
     assert frames.rdf_lists(df.limit(0)).count() == 0 and frames.rdf_lists(df.filter(F.col("p") == FIRST)).count() == 0
+
+
+def test_lists_that_go_round_end_with_the_longest(spark, monkeypatch):
+    rows, rounds = [], []
+    for length in range(1, 8):
+        rows += [(f"r{length}_{i}", f"r{length}_{(i + 1) % length}") for i in range(length)]
+    rows += [("r6_0", "t0"), ("t0", "t1"), ("t1", "t2")]  # a way out of a round
+    rows += [(f"w{i}", f"w{i}b") for i in range(300)] + [(f"w{i}b", None) for i in range(300)]
+    triples = [(s, "blank", FIRST, "x", "literal") for s in dict.fromkeys(s for s, _ in rows)] + [(s, "blank", REST, o or NIL, "blank" if o else "iri") for s, o in rows]
+    staged = frames.staged
+    monkeypatch.setattr(frames, "staged", lambda df, label: rounds.append(label) or staged(df, label))
+    members, faults = frames._ranked(frames._cells(spark.createDataFrame(triples, TRIPLES)))
+    assert members.count() == 600 and rounds.count("ranks") <= 5
+    assert {tuple(r) for r in faults.collect()} == {("_:" + s, "many_rest" if s == "r6_0" else "no_end") for s, _ in rows if s[0] in "rt"}

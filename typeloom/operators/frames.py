@@ -167,9 +167,9 @@ def _framed(nodes: DataFrame, catalog: Catalog, cls: str, codes: dict[str, int],
 def rdf_lists(triples: DataFrame) -> DataFrame:
     """head, pos, node, o, o_kind: the members of each RDF list, in order from 0.
 
-    Each cell points to the one before it; pointers are doubled, so a list of n cells takes log2(n) joins. Cells with
-    several rests, firsts or cells before them, lists that do not end, and what follows a fault are left out whole: see
-    ``list_faults``.
+    Each cell points to the one before it; pointers are doubled, so a list of n cells takes log2(n) joins, and so does one
+    that goes round. Cells with several rests, firsts or cells before them, lists that do not end, and what follows a
+    fault are left out whole: see ``list_faults``.
     """
     return _ranked(_cells(triples))[0]
 
@@ -184,35 +184,37 @@ def _cells(triples: DataFrame) -> DataFrame:
 
 
 def _ranked(about: DataFrame) -> tuple[DataFrame, DataFrame]:
-    about, _ = staged(about.distinct(), "cells")
-    first = F.col("p") == RDF + "first"
-    cells = about.groupBy("cell").agg(F.count_if(first).alias("_f"), F.count_if(~first).alias("_r"), F.min(F.when(first, F.struct("node", "o", "o_kind"))).alias("_first"), F.min(F.when(~first, F.col("node"))).alias("_rest"))
-    cells, _ = staged(cells, "cells")
-    before = about.filter(~first & (F.col("o") != RDF + "nil")).groupBy(F.col("node").alias("cell")).agg(F.count(F.lit(1)).alias("_b"), F.min(F.col("cell")).alias("_before"))
-    linked, _ = staged(cells.join(before, "cell", "left"), "cells")
-    bad = F.when(F.col("_f") > 1, "many_first").when(F.col("_r") > 1, "many_rest").when(F.col("_b") > 1, "many_before").when(F.col("_f") == 0, "no_first").when(F.col("_r") == 0, "no_rest")
-    # ptr: a cell d steps before; done where it is the head
-    level, path = staged(linked.select("cell", F.coalesce("_before", "cell").alias("ptr"), F.when(F.col("_before").isNull(), 0).otherwise(1).cast("long").alias("d"), F.col("_before").isNull().alias("done")), "ranks")
-    n = level.count()
-    rounds = max(1, n.bit_length())
-    for _ in range(rounds):
-        if level.filter("NOT done").isEmpty():
+    # a cell meets what is said of it and the cells before it in one shuffle; what is said twice the same is one
+    first, rest = F.col("p") == RDF + "first", (F.col("p") == RDF + "rest") & (F.col("o") != RDF + "nil")
+    said = F.struct("cell", F.when(first, 0).otherwise(1).alias("t"), F.struct("node", "o", "o_kind").alias("v"))
+    led = F.when(rest, F.struct(F.col("node").alias("cell"), F.lit(2).alias("t"), F.struct(F.col("cell").alias("node"), F.lit(None).cast("string").alias("o"), "o_kind").alias("v")))
+    told = about.filter("cell IS NOT NULL").select(F.explode(F.array_compact(F.array(said, led))).alias("x")).select("x.*").filter("cell IS NOT NULL")
+    of = {n: F.when(F.col("t") == i, F.col("v")) for i, n in enumerate(("f", "r", "b"))}
+    met = told.repartition("cell").groupBy("cell").agg(*[g(c).alias(f"_{n}{k}") for n, c in of.items() for g, k in ((F.min, "0"), (F.max, "1"))]).filter("_f0 IS NOT NULL OR _r0 IS NOT NULL")
+    bad = F.when(F.col("_f0") != F.col("_f1"), "many_first").when(F.col("_r0") != F.col("_r1"), "many_rest").when(F.col("_b0") != F.col("_b1"), "many_before").when(F.col("_f0").isNull(), "no_first").when(F.col("_r0").isNull(), "no_rest")
+    linked, _ = staged(met.select("cell", F.col("_f0").alias("_first"), F.col("_b0.node").alias("_before"), bad.alias("_bad"), F.coalesce(F.col("_r0.node") == RDF + "nil", F.lit(False)).alias("_last")), "cells")
+    # ptr: a cell d steps before, low: the least of those d cells; done where ptr is the head, loop where there is none
+    head = F.col("_before").isNull()
+    level = linked.select("cell", F.coalesce("_before", "cell").alias("ptr"), F.when(head, 0).otherwise(1).cast("long").alias("d"), F.col("_before").alias("low"), head.alias("done"), F.lit(False).alias("loop"), F.col("_bad").isNotNull().alias("bad"), F.col("_last").alias("last"))
+    parts = []
+    while True:
+        parts.append(level.filter("done").withColumn("low", F.lit(None).cast("string")))
+        open_ = level.filter("NOT done")
+        if open_.isEmpty():
             break
-        far = level.select(F.col("cell").alias("ptr"), F.col("ptr").alias("_p"), F.col("d").alias("_d"), F.col("done").alias("_done"))
-        # heads point to themselves at no distance; what is done is not joined again
-        step = level.filter("NOT done").join(far, "ptr").select("cell", F.col("_p").alias("ptr"), (F.col("d") + F.col("_d")).alias("d"), F.col("_done").alias("done"))
-        held = level.filter("done").unionByName(step)
-        gone = path
-        level, path = staged(held, "ranks")
-        drop_scratch(gone)
-    ranked = level.join(linked, "cell").withColumn("_bad", F.coalesce(bad, F.when(~F.col("done"), F.lit("no_end"))))
-    ranked, _ = staged(ranked.withColumn("head", F.when(F.col("done"), F.col("ptr"))), "ranked")
-    wrong = ranked.filter("_bad IS NOT NULL")
-    lost = wrong.filter("head IS NOT NULL").select("head").distinct()
+        # heads point to themselves at no distance; what is done is neither joined nor written again
+        far = reduce(DataFrame.unionByName, [*parts, open_]).select(F.col("cell").alias("ptr"), F.col("ptr").alias("_p"), F.col("d").alias("_d"), F.col("low").alias("_low"), F.col("done").alias("_done"), F.col("loop").alias("_loop"))
+        # the cells before a cell and those before them are others, unless they go round
+        round_ = ~F.col("_done") & (F.col("low") == F.col("_low"))
+        step = open_.join(far, "ptr").select("cell", F.col("_p").alias("ptr"), (F.col("d") + F.col("_d")).alias("d"), F.least("low", "_low").alias("low"), (F.col("_done") | round_).alias("done"), (F.col("_loop") | round_).alias("loop"), "bad", "last")
+        level, _ = staged(step, "ranks")
+    ranked = reduce(DataFrame.unionByName, parts).select("cell", F.col("ptr").alias("head"), "d", "loop", "bad", "last")
+    listed = ranked.filter("NOT loop")
+    lost = listed.filter("bad").select("head").distinct()
     # a list whose last cell leads to no cell has no end
-    ends = ranked.filter(F.col("_rest") == RDF + "nil").select("head").distinct()
-    whole = ranked.filter("head IS NOT NULL").join(lost, "head", "left_anti").join(ends, "head", "left_semi")
-    members = whole.select("head", F.col("d").alias("pos"), F.col("_first.node").alias("node"), F.col("_first.o").alias("o"), F.col("_first.o_kind").alias("o_kind"))
-    open_ = ranked.filter("head IS NOT NULL AND _bad IS NULL").join(lost, "head", "left_anti").join(ends, "head", "left_anti")
-    faults = wrong.select(F.col("cell").alias("node"), F.col("_bad").alias("fault")).unionByName(open_.select(F.col("cell").alias("node"), F.lit("no_end").alias("fault")))
+    ends = listed.filter("last").select("head").distinct()
+    whole = listed.select("cell", "head", "d", "bad").join(lost, "head", "left_anti")
+    members = whole.join(ends, "head", "left_semi").join(linked.select("cell", "_first"), "cell").select("head", F.col("d").alias("pos"), F.col("_first.node").alias("node"), F.col("_first.o").alias("o"), F.col("_first.o_kind").alias("o_kind"))
+    no_end = ranked.filter("loop AND NOT bad").select("cell").unionByName(whole.filter("NOT bad").join(ends, "head", "left_anti").select("cell"))
+    faults = linked.filter("_bad IS NOT NULL").select(F.col("cell").alias("node"), F.col("_bad").alias("fault")).unionByName(no_end.select(F.col("cell").alias("node"), F.lit("no_end").alias("fault")))
     return members, faults
