@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from typeloom import queries as own_queries
 from typeloom.queries import ORACLES
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,19 @@ def test_entry(spark):
 
 def test_queries_and_sql_share_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _plan(query, spark):
+    return own_queries.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_of_kinds_are_made_of_counts_not_of_triples(spark):
+    _, below = _plan("inline_triples", spark).rsplit("Aggregate [p#", 1)
+    assert "regexp_extract" not in below.split("\n", 1)[1]
+
+
+def test_only_blank_nodes_are_joined_to_their_names(spark):
+    plan = _plan("inline_triples_each", spark)
+    assert plan.count("Join LeftOuter") > 1
+    for side in plan.split("Join LeftOuter")[1:]:
+        assert "_kind" in side.split("Filter", 1)[1].splitlines()[0]

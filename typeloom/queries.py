@@ -410,11 +410,14 @@ def nested_json(spark, sf_dir):
 def inline_triples(spark, sf_dir):
     """Inline objects as nodes of their own, named or blank, with all their values."""
     found = rdf.instances(_nested(spark, sf_dir), _nested_catalog(), "Cust")
+    # counted by what few texts there are, of which the names are made then
     local = lambda c: F.regexp_extract(c, "[^/#]+$", 0)
+    few = F.when((F.col("p") == rdf.RDF + "type") | F.col("p").endswith("/flag"), F.col("o"))
+    found = found.groupBy("p", few.alias("o"), "o_kind", "o_datatype").agg(F.count(F.lit(1)).alias("n"))
     p = local(F.col("p"))
     what = F.when(p == "type", local(F.col("o"))).when(p == "flag", F.when(F.col("o_kind") == "iri", F.col("o")).otherwise(F.concat(F.lit("literal "), "o")))
     what = what.when(F.col("o_kind") == "literal", local(F.col("o_datatype"))).otherwise(F.col("o_kind"))
-    return found.groupBy(p.alias("p"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(p.alias("p"), what.alias("what")).agg(F.sum("n").alias("n"))
 
 
 _LINE_TRIPLES = f"""WITH o AS {_OF}, l AS (SELECT *, 'https://example.org/n/ord/' || okey AS ord, '_:' || okey || '|' || l_linenumber AS node FROM o WHERE l_linenumber IS NOT NULL),
@@ -435,11 +438,12 @@ def inline_triples_each(spark, sf_dir):
     held = found.filter(of("lines")).select(F.col("o").alias("label"), order.alias("okey"))
     numbers = found.filter(of("number")).select(F.col("s").alias("label"), F.col("o").alias("number"))
     names, _ = staged(held.join(numbers, "label").select("label", F.concat(F.lit("_:"), "okey", F.lit("|"), "number").alias("node")), "inline-names")
-    s = F.when(F.col("s_kind") == "blank", F.col("s")).alias("label")
-    named = found.withColumn("label", s).join(names, "label", "left").withColumn("s", F.coalesce("node", "s")).drop("label", "node")
-    o = F.when(F.col("o_kind") == "blank", F.col("o"))
-    named = named.withColumn("label", o).join(names, "label", "left").withColumn("o", F.coalesce("node", "o"))
-    return named.select("s", F.regexp_extract("p", "[^/#]+$", 0).alias("p"), "o", "o_kind", "o_datatype")
+    # only blank nodes meet their names; rows without one would all fall to one task
+    for end in ("s", "o"):
+        blank = F.col(f"{end}_kind") == "blank"
+        label = found.filter(blank).withColumnRenamed(end, "label").join(names, "label", "left").withColumn(end, F.coalesce("node", "label"))
+        found = found.filter(~blank).unionByName(label.select(found.columns))
+    return found.select("s", F.regexp_extract("p", "[^/#]+$", 0).alias("p"), "o", "o_kind", "o_datatype")
 
 
 _TREE = """{"id": "https://example.org/tree", "name": "tree", "imports": ["linkml:types"], "default_range": "string",
