@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
 
@@ -82,3 +83,12 @@ def test_interpolate_and_infer(spark):
     assert [r["x"] for r in filled.collect()] == ["a", "b"]
     with pytest.raises(Exception, match="differs"):
         df.select(expressions.infer_optional(F.lit("z"), F.col("s"))).collect()
+
+
+def test_strings_of_few_and_of_many_kinds_of_odd_characters(spark):
+    many = "".join(chr(c) for c in range(0x3B1, 0x3B1 + 70)) + "\U0001F600\x07"
+    texts = ['é\U0001F600é"\\\n\t\x7f\u00e9', "\\u00E9 é", many, many[:60] + "\\", "plain", ""]
+    column = names.ntriples_string(F.col("t"))
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(column).collect()]
+    assert found == [names.ntriples_escape(t) for t in texts]
+    assert "array_distinct" in str(column)

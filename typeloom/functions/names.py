@@ -143,6 +143,21 @@ def synthetic_uri_col(space: Column, name: Column) -> Column:
 _SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
+#: Kinds of characters that are replaced one kind at a time in a text; texts of more are written character by character.
+_KINDS = 64
+
+
+def _by_code(code: Column) -> Column:
+    return F.when(code <= "0000FFFF", F.concat(F.lit("\\u"), F.substring(code, 5, 4))).otherwise(F.concat(F.lit("\\U"), code))
+
+
+def _replaced(text: Column, odd: str, whole: Column) -> Column:
+    """text with each character that ``odd`` matches by its code; ``whole`` for a text of many kinds of them."""
+    kinds = F.array_distinct(F.regexp_extract_all(text, F.lit(odd), 0))
+    each = F.aggregate(kinds, text, lambda acc, c: F.replace(acc, c, _by_code(F.hex(F.encode(c, "UTF-32")))))
+    return F.when(F.size(kinds) <= _KINDS, each).otherwise(whole)
+
+
 def _coded(text: Column, plain: Callable[[Column], Column], short: Mapping[str, str]) -> Column:
     """text with each character as it is, as its short escape, or as \\u or \\U and its code."""
     codes = F.regexp_extract_all(F.hex(F.encode(text, "UTF-32")), F.lit("(.{8})"), 1)
@@ -151,7 +166,7 @@ def _coded(text: Column, plain: Callable[[Column], Column], short: Mapping[str,
         found = F.when(plain(code), F.decode(F.unhex(F.substring(code, 7, 2)), "UTF-8"))
         for raw, escaped in short.items():
             found = found.when(code == f"{ord(raw):08X}", escaped)
-        return found.when(code <= "0000FFFF", F.concat(F.lit("\\u"), F.substring(code, 5, 4))).otherwise(F.concat(F.lit("\\U"), code))
+        return found.otherwise(_by_code(code))
 
     return F.array_join(F.transform(codes, one), "")
 
@@ -162,7 +177,8 @@ def ntriples_string(text: Column) -> Column:
     for raw, escaped in _SHORT.items():
         simple = F.replace(simple, F.lit(raw), F.lit(escaped))
     plain = lambda code: code.between("00000020", "0000007E") & ~code.isin("00000022", "0000005C")
-    return F.when(text.rlike(r"[^\x20-\x7E\n\r\t]"), _coded(text, plain, _SHORT)).otherwise(simple)
+    odd = r"[^\x20-\x7E\n\r\t]"
+    return F.when(text.rlike(odd), _replaced(simple, odd, _coded(text, plain, _SHORT))).otherwise(simple)
 
 
 def ntriples_iri(text: Column) -> Column:
