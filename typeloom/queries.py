@@ -1084,22 +1084,23 @@ whole AS (
 ), owned AS (SELECT cls, slot FROM whole GROUP BY cls, slot HAVING count(*) FILTER (WHERE source IN ('attribute', 'slot')) > 0)"""
 
 
-def _folded(spark, sf_dir):
-    """The corpus's layers folded; ``notes`` stands for a metaslot that slots inherit from slots, ``aliases`` for one that they do not."""
-    read = lambda name: _corpus(spark, sf_dir, name).withColumns({"aliases": F.split("aliases", ","), "notes": F.expr("str_to_map(notes, ',', '=')")})
-    return relational.fold_layers(_corpus(spark, sf_dir, "class_parents"), read("layers"), read("top_slots"), frozenset({"notes", "title"}))
+def _folded(spark, sf_dir, *wanted):
+    """The wanted metaslots of the corpus's layers folded; ``notes`` stands for one that slots inherit from slots, ``aliases`` for one that they do not."""
+    forms = {"aliases": F.split("aliases", ","), "notes": F.expr("str_to_map(notes, ',', '=')")}
+    read = lambda name, *keys: _corpus(spark, sf_dir, name).select(*keys, *[forms.get(c, F.col(c)).alias(c) for c in wanted])
+    return relational.fold_layers(_corpus(spark, sf_dir, "class_parents"), read("layers", "cls", "slot", "source"), read("top_slots", "slot", "ord"), frozenset({"notes", "title"}))
 
 
 @query(f"{_LAYERS} SELECT cls, slot, array_to_string(list_reduce(list(CASE WHEN aliases IS NULL THEN CAST([] AS VARCHAR[]) ELSE split(aliases, ',') END ORDER BY p), lambda acc, x: CASE WHEN len(x) = 0 OR acc = x THEN acc ELSE acc || x END, CAST([] AS VARCHAR[])), ',') AS aliases, arg_min(title, p) FILTER (WHERE title IS NOT NULL) AS title FROM whole JOIN owned USING (cls, slot) GROUP BY cls, slot")
 def derive_lists(spark, sf_dir):
     """Lists of all layers joined from the left, ancestors as often as ways lead to them."""
-    return _folded(spark, sf_dir).select("cls", "slot", F.array_join("aliases", ",").alias("aliases"), "title")
+    return _folded(spark, sf_dir, "aliases", "title").select("cls", "slot", F.array_join("aliases", ",").alias("aliases"), "title")
 
 
 @query(f"{_LAYERS}, entries AS (SELECT cls, slot, p, unnest(split(notes, ',')) AS e FROM whole JOIN owned USING (cls, slot) WHERE notes IS NOT NULL) SELECT cls, slot, split_part(e, '=', 1) AS key, arg_max(split_part(e, '=', 2), p) AS value FROM entries GROUP BY ALL")
 def derive_maps(spark, sf_dir):
     """Maps of all layers, where the farthest layer with a key counts, by its last place."""
-    return _folded(spark, sf_dir).select("cls", "slot", F.explode("notes").alias("key", "value"))
+    return _folded(spark, sf_dir, "notes").select("cls", "slot", F.explode("notes").alias("key", "value"))
 
 
 @query(f"{_with('elements')} SELECT name, kind, schema_ord, uri FROM elements QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY schema_ord DESC) = 1")
