@@ -151,6 +151,17 @@ def test_depth_of_twenty_and_open_records(spark, catalog):
     assert [tuple(r) for r in recursive.json_faults(df, catalog, "Node", ["k"], closed=False).collect()] == [("a", "/parts/0" * 20 + "/qty", "minimum")]
 
 
+def test_a_step_looks_at_its_own_level_only(spark, catalog):
+    """What a value is, is not told by the schema of all that is below it, anew at each level."""
+    from pyspark.sql import functions as F
+
+    v, path, trail = (F.lit(None).cast(t) for t in ("variant", "string", recursive._TRAIL))
+    step, node = recursive._Step(catalog, True), catalog.classes["Node"]
+    parts = next(a for a in catalog.attributes(node).values() if a.name == "parts")
+    for made in (step.child(node, v, path, trail), step.slot(parts, v, path, trail)):
+        assert "to_json" in str(made) and "schema_of_variant" not in str(made)
+
+
 def test_agrees_with_the_column_form(spark):
     """A class that does not contain itself has both forms."""
     flat = loaded(text=MODEL.replace('"range": "Node", "multivalued"', '"range": "Leaf", "multivalued"').replace('{"range": "Node"}, ', "").replace('"sub": {"range": "Named"', '"sub": {"range": "Leaf"').replace('"more": {"range": "Pair"', '"more": {"range": "Leaf"'))

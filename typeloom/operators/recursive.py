@@ -25,6 +25,11 @@ def _none() -> Column:
     return F.array().cast(f"array<{_ITEM}>")
 
 
+def _members(v: Column) -> Column:
+    """The members of an object, null for what is none; nothing below them is looked at."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 class _Step:
     """What one object holds, as an array of items: broken constraints, and objects for the next step.
 
@@ -42,7 +47,7 @@ class _Step:
     def child(self, cls: Element, v: Column, path: Column, trail: Column, skip: str | None = None) -> Column:
         """An object for the next step; what is no object breaks its type."""
         item = F.struct(path.alias("path"), F.lit(None).cast("string").alias("constraint"), trail.alias("trail"), F.lit(cls.name).alias("cls"), F.lit(skip).cast("string").alias("skip"), F.to_json(v).alias("body"))
-        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(item).cast(f"array<{_ITEM}>")).otherwise(self.fault(F.lit(True), path, "type", trail))
+        return F.when(_members(v).isNotNull(), F.array(item).cast(f"array<{_ITEM}>")).otherwise(self.fault(F.lit(True), path, "type", trail))
 
     def value(self, attribute: Attribute, v: Column, path: Column, trail: Column) -> Column:
         if attribute.kind == "any":
@@ -72,18 +77,18 @@ class _Step:
         """The items of a slot's value, which is not null."""
         if not attribute.slot.get("multivalued"):
             return self.one(attribute, v, path, trail)
-        shape, form = F.schema_of_variant(v), attribute.form
+        form = attribute.form
         if form is not None and form.key is not None:
-            entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+            entries = F.map_entries(_members(v))
             held = F.flatten(F.transform(entries, lambda e: self.entry(attribute, e["key"], e["value"], F.concat(path, F.lit("/"), pointer(e["key"])), trail)))
-            return F.when(shape.startswith("OBJECT"), held).otherwise(self.fault(F.lit(True), path, "form", trail))
+            return F.when(entries.isNotNull(), held).otherwise(self.fault(F.lit(True), path, "form", trail))
         items = F.try_variant_get(v, "$", "array<variant>")
 
         def item(x: Column, i: Column) -> Column:
             at = F.concat(path, F.lit("/"), i.cast("string"))
             return F.when(x.isNull() | F.is_variant_null(x), self.fault(F.lit(True), at, "null_item", trail)).otherwise(self.one(attribute, x, at, trail))
 
-        return F.when(shape.startswith("ARRAY"), F.flatten(F.transform(items, item))).otherwise(self.fault(F.lit(True), path, "form", trail))
+        return F.when(items.isNotNull(), F.flatten(F.transform(items, item))).otherwise(self.fault(F.lit(True), path, "form", trail))
 
     def entry(self, attribute: Attribute, k: Column, v: Column, path: Column, trail: Column) -> Column:
         """An entry of a dictionary: its key has the key slot's checks, its value is an object without the key."""
@@ -91,7 +96,7 @@ class _Step:
         inner = self.catalog.attributes(cls)
         keys = [self.fault(F.coalesce(wrong, F.lit(False)), path, f"key_{kind}", trail) for kind, wrong in json_checks(self.catalog, inner[form.key], None, k)]
         whole = self.child(cls, v, path, trail, form.key)
-        is_object = F.schema_of_variant(v).startswith("OBJECT")
+        is_object = _members(v).isNotNull()
         if form.name == "simple_dict":
             value = inner[form.value]
             simple = self.slot(value, v, path, trail)
@@ -115,7 +120,7 @@ class _Step:
             parts.append(F.when(value.isNull() | F.is_variant_null(value), self.fault(needed, at, "required", trail)).otherwise(self.slot(attribute, value, at, trail)))
         if self.closed:
             known = F.array(*[F.lit(a.name) for a in attributes]).cast("array<string>")
-            extra = F.array_except(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), known)
+            extra = F.array_except(F.map_keys(_members(v)), known)
             parts.append(F.flatten(F.transform(extra, lambda k: self.fault(F.lit(True), F.concat(path, F.lit("/"), pointer(k)), "extra", trail))))
         return F.concat(*parts) if parts else _none()
 
@@ -149,7 +154,7 @@ def json_faults(rows: DataFrame, catalog: Catalog, cls: str, keys: Sequence[str]
     empty = F.array().cast(_TRAIL)
     none = F.lit(None).cast("string")
     v = F.try_parse_json(json)
-    whole = F.when(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"), F.lit(cls))
+    whole = F.when(_members(v).isNotNull(), F.lit(cls))
     # rows are numbered, as choices are settled row by row
     first = rows.select(*keys, F.col(json).alias("_body"), F.monotonically_increasing_id().alias("_row"), whole.alias("_cls"))
     head = [F.lit("").alias("path"), F.when(F.col("_cls").isNull(), "json").alias("constraint"), empty.alias("trail"), F.col("_cls").alias("cls"), none.alias("skip"), F.when(F.col("_cls").isNotNull(), F.col("_body")).alias("body")]
