@@ -119,6 +119,34 @@ def test_labels_by_file(spark, tmp_path):
     assert len({r[0] for r in scoped}) == 4 and all(r[0] == r[3] for r in scoped if r[4] == "blank")
 
 
+def test_rows_of_statements_stay_small(spark, tmp_path, monkeypatch):
+    kept = []
+
+    def staged(df, label):
+        kept.append(before(df, label))
+        return kept[-1]
+
+    before = turtle.staged
+    monkeypatch.setattr(turtle, "staged", staged)
+    for spaces in (1, 300):
+        kept.clear()
+        head = "".join(f"@prefix p{i}: <http://e.org/{i}/> .\n" for i in range(spaces))
+        (tmp_path / f"{spaces}.ttl").write_text(head + "".join(f"p{i % spaces}:a <http://p> {i} .\n" for i in range(20_000)))
+        found = table(spark, str(tmp_path / f"{spaces}.ttl"))
+        assert sorted((int(r[3]), r[0]) for r in found) == [(i, f"http://e.org/{i % spaces}/a") for i in range(20_000)]
+        # 10,000 rows, as many as a batch may have, take a worker little; directives take no more than the statements
+        text, told, longest = kept[-1][0].filter("text IS NOT NULL").select(F.sum(F.length("text")), F.sum(F.length("before")), F.max(F.length("text"))).first()
+        assert longest < 5000 if spaces == 1 else told < 2 * text
+
+
+@pytest.mark.parametrize("n,size", [(turtle.ROWS * 2 + 1, 1), (5, turtle.TEXT)])
+def test_batches_are_bounded(n, size):
+    texts = [("x" * size, [("a", None)] * n), ("y", [("b", "c")]), ("z", [])]
+    batches = list(turtle._batches(texts, "s string, o string"))
+    assert [b.num_rows for b in batches] == ([turtle.ROWS, turtle.ROWS, 1, 1] if size == 1 else [5, 1])
+    assert batches[-1].to_pylist() == [{"s": "b", "o": "c"}] and batches[0].schema.names == ["s", "o"]
+
+
 def test_written_turtle_gives_the_same_triples(spark, tmp_path, sized, monkeypatch):
     monkeypatch.setattr(rdf, "STATEMENT", 7)
     rows = [(f"http://e.org/s{i % 9}", "iri", f"http://e.org/p/{i % 4}", f"v\"\\\n\té{i}", "literal", None, "en" if i % 5 == 0 else None) for i in range(120)]

@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,8 +25,10 @@ from typeloom.session import staged
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 COLUMNS = "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string, line string, reason string"
-#: Text of statements between two directives that goes as one row, in characters.
-CHUNK = 1 << 18
+#: Text of statements between two directives that goes as one row, in characters: a task's batch has some 10,000 rows.
+CHUNK = 1 << 11
+#: Rows, and characters of the statements they come from, after which a task hands on a batch.
+ROWS, TEXT = 10_000, 1 << 22
 
 _PIECES = "file string, block long, phase int, n int, text string, before string, net string"
 _IN = r"(?:\\.|[^\s<>\"'()\[\];,#.\\^@])"
@@ -280,23 +283,51 @@ def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], It
         yield (key[0], int(key[1])), (line + "\n" for _, _, line in own)
 
 
-def _frames(rows: Iterator[tuple], schema: str, size: int) -> Iterator[pd.DataFrame]:
+def _frames(rows: Iterable[tuple], schema: str) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded text."""
     columns = [c.split()[0] for c in schema.split(", ")]
-    while held := list(itertools.islice(rows, size)):
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, str))
+        if len(held) >= ROWS or size >= TEXT:
+            yield pd.DataFrame(held, columns=columns, dtype=object)
+            held, size = [], 0
+    if held:
         yield pd.DataFrame(held, columns=columns, dtype=object)
 
 
+def _batches(found: Iterable[tuple[str, list[tuple]]], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows of texts, given with each text, as batches of bounded rows and text."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*rows, strict=True)], columns)
+
+    held, size = [], 0
+    for text, rows in found:
+        held += rows
+        size += len(text)
+        if len(held) >= ROWS or size >= TEXT:
+            yield from (batch(held[i : i + ROWS]) for i in range(0, len(held), ROWS))
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
 def _pieces(file: str, block: int, phase: int, statements: Iterable[str]) -> Iterator[tuple]:
     """Rows of statements between directives, with the directives of the range before them; last, those of all the range."""
     told: list[tuple] = []
+    before = "[]"
     held, size, n = [], 0, 0
 
     def row() -> tuple:
-        return file, block, phase, n, json.dumps(held), json.dumps(told), None
+        return file, block, phase, n, json.dumps(held), before, None
 
     for text in statements:
         directive = _directive(text)
-        if held and (directive is not None or size > CHUNK):
+        # each row has the directives with it, so that many of them take as much text
+        if held and (directive is not None or size > max(CHUNK, len(before))):
             yield row()
             held, size, n = [], 0, n + 1
         if directive is None:
@@ -304,10 +335,11 @@ def _pieces(file: str, block: int, phase: int, statements: Iterable[str]) -> Ite
             size += len(text)
         else:
             told = _net([*told, directive])
+            before = json.dumps(told)
     if held:
         yield row()
     if told:
-        yield file, block, phase, n + 1, None, None, json.dumps(told)
+        yield file, block, phase, n + 1, None, None, before
 
 
 def _long_strings(lines: DataFrame) -> dict[str, tuple[list[int], list[str]]]:
@@ -324,7 +356,7 @@ def _long_strings(lines: DataFrame) -> dict[str, tuple[list[int], list[str]]]:
                         c.rest()
                 yield file, block, *(c.quotes for c in cutters)
 
-        return _frames(rows(), "file, block, plain, double, single", 1000)
+        return _frames(rows(), "file, block, plain, double, single")
 
     found: dict[str, tuple[list[int], list[str]]] = {}
     which = {"": "plain", '"""': "double", "'''": "single"}
@@ -366,7 +398,7 @@ def turtle_table(spark: SparkSession, path: str, base: str | None = None, by_fil
                 else:
                     yield file, block, 0, 0, cutter.rest(), "whole", None
 
-        return _frames(rows(), _PIECES, 64)
+        return _frames(rows(), _PIECES)
 
     pieces, _ = staged(lines.mapInPandas(cut, _PIECES), "turtle")
     # a statement that crosses ranges: the tail of one, ranges without an end, the head of another
@@ -385,7 +417,7 @@ def turtle_table(spark: SparkSession, path: str, base: str | None = None, by_fil
                     rest = cutter.rest()
                     yield from _pieces(file, int(block), int(phase), [*found, rest] if _tokens(rest) else found)
 
-        return _frames(rows(), _PIECES, 64)
+        return _frames(rows(), _PIECES)
 
     every = pieces.filter("phase = 1").unionByName(texts.mapInPandas(again, _PIECES))
     every, _ = staged(every, "turtle")
@@ -402,29 +434,34 @@ def turtle_table(spark: SparkSession, path: str, base: str | None = None, by_fil
     above = ranges.groupBy("file").applyInPandas(fold, "file string, block long, phase int, above string")
     whole = every.filter("text IS NOT NULL").join(above, ["file", "block", "phase"])
 
-    def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a few rows at a time become Python's, and rows with the same directives share their space
+        few = (b.slice(i, 64).to_pydict() for b in batches for i in range(0, b.num_rows, 64))
+
+        def found() -> Iterator[tuple[str, list[tuple]]]:
+            known = space = None
+            for b in few:
                 for file, block, phase, n, text, before, told in zip(*(b[c] for c in ("file", "block", "phase", "n", "text", "before", "above")), strict=True):
-                    space = _Space(map(tuple, [*json.loads(told), *json.loads(before)]), base)
+                    if known != (told, before):
+                        known, space = (told, before), _Space(map(tuple, [*json.loads(told), *json.loads(before)]), base)
                     place = hashlib.md5(f"{file}|{block}|{phase}|{n}".encode()).hexdigest()
                     scope = hashlib.md5(file.encode()).hexdigest() + "x" if by_file else ""
                     for i, statement in enumerate(json.loads(text)):
                         if not _tokens(statement):
                             continue
                         try:
-                            found = parse(statement, space, f"g{place}x{i}")
+                            own = parse(statement, space, f"g{place}x{i}")
                         except Fault as fault:
-                            yield (None,) * 7 + (statement.strip(), str(fault))
+                            yield statement, [(None,) * 7 + (statement.strip(), str(fault))]
                             continue
                         if scope:
-                            own = f"g{place}x"
-                            found = [tuple(f"f{scope}{t[j]}" if j in (0, 3) and t[j + 1] == "blank" and not t[j].startswith(own) else t[j] for j in range(9)) for t in found]
-                        yield from found
+                            made = f"g{place}x"
+                            own = [tuple(f"f{scope}{t[j]}" if j in (0, 3) and t[j + 1] == "blank" and not t[j].startswith(made) else t[j] for j in range(9)) for t in own]
+                        yield statement, own
 
-        return _frames(rows(), COLUMNS, 10000)
+        return _batches(found(), COLUMNS)
 
-    return whole.mapInPandas(triples, COLUMNS)
+    return whole.mapInArrow(triples, COLUMNS)
 
 
 def read_turtle(spark: SparkSession, path: str, base: str | None = None, by_file: bool = False) -> DataFrame:
