@@ -105,3 +105,25 @@ def test_violations_of_made_up_triples(spark, seed, open_, hierarchy):
     assert len(found) >= len(set(found)) and set(found) == want
     assert {w[3] for w in want} >= {"minCount", "maxCount", "datatype", "or"} | ({"class", "in"} if seed == 0 else set()) and ("closed" in {w[3] for w in want}) != open_
     assert shapes.shape_violations(df.limit(0), catalog).count() == 0
+
+
+@pytest.mark.parametrize("mark", [None, 0])
+def test_only_nodes_are_kept_and_repeats_are_no_second_value(spark, monkeypatch, mark):
+    kept, before = [], shapes.staged
+
+    def staged(df, label):
+        kept.append(before(df, label)[0])
+        return kept[-1], None
+
+    monkeypatch.setattr(shapes, "staged", staged)
+    if mark is not None:  # all values have one mark
+        monkeypatch.setattr(shapes, "_mark", lambda: shapes.F.lit(mark).cast("long"))
+    rows = [(f"{E}n{i}", RDF + "type", E + "Person", "iri", None) for i in range(3)] + [(f"{E}n{i}", E + "name", f"x{i}", "literal", None) for i in range(3)]
+    rows += [(E + "n0", E + "age", "1", "literal", XSD + "integer")] * 40
+    rows += [(E + "n1", E + "age", "1", "literal", XSD + "integer"), (E + "n1", E + "age", "1", "literal", None), (E + "n1", E + "age", "1", None, XSD + "integer")]
+    rows += [(E + "n2", E + "knows", f"{E}n{i}", "iri", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string").repartition(3)
+    found = sorted(tuple(r) for r in shapes.shape_violations(df, loaded(text=MODEL)).select("s", "constraint").collect() if r)
+    assert found.count((E + "n0", "maxCount")) == 0 and found.count((E + "n1", "maxCount")) == 1 and found.count((E + "n2", "class")) == 37
+    # what is written on the way has a row a node, and one a property of several values
+    assert sum(df.count() for df in kept) == 3 + 2

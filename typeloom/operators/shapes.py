@@ -1,8 +1,8 @@
 """Shapes of a catalog's classes over a table of triples: which nodes break which constraint, as SHACL has it.
 
 The shapes are those that ``rdf.shacl`` writes. They become a small table of rules, a row a class and property;
-the triples are joined once with the classes their subjects have, and every rule is then a filter, a group or an
-anti-join on (node, shape, path). No graph is gathered anywhere.
+the triples are joined once with the shapes that hold for their subjects, and what breaks a rule alone goes on. Counts
+are made by node and path, before any shape is looked at. No graph is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -72,6 +72,11 @@ def _faults(b: Column, o: Column, kind: Column, datatype: Column, types: Column)
     return [("nodeKind", ~of_kind), ("datatype", ~typed), ("class", ~classed), ("in", ~F.coalesce(listed, F.lit(False)))]
 
 
+def _mark() -> Column:
+    """A number of a triple's value; unlike ones are of unlike values."""
+    return F.xxhash64("o", "o_kind", "o_datatype")
+
+
 def shape_violations(triples: DataFrame, catalog: Catalog, open_: bool = False, hierarchy: bool = True) -> DataFrame:
     """s, shape, path, constraint, value: what nodes of the triples (s, p, o, o_kind, o_datatype) break.
 
@@ -83,26 +88,35 @@ def shape_violations(triples: DataFrame, catalog: Catalog, open_: bool = False,
     judged, and triples with a null node, predicate or object are none.
 
     The rules are as many as the schema's class attributes; triples are shuffled by subject, and references once by object.
+    Of triples only those that break a rule are told apart from their repeats.
     """
     spark = triples.sparkSession
     rule_rows, shape_rows, class_rows = rules(catalog, open_)
     ruled = spark.createDataFrame(rule_rows, _RULES)
     shapes = spark.createDataFrame(shape_rows, "shape string, closed boolean, ignored array<string>, required array<string>")
-    above = spark.createDataFrame([c for c in class_rows if hierarchy or c[0] == c[1]], "type string, shape string")
+    above: dict[str, list[str]] = {}
+    for type_, shape in class_rows:
+        above.setdefault(type_, []).extend([shape] if hierarchy or type_ == shape else [])
+    classes = spark.createDataFrame(list(above.items()), "type string, shapes array<string>")
+    required = sorted({p for row in shape_rows for p in row[3]})
+    single = sorted({row[1] for row in rule_rows if row[2]})
+    pointing = sorted({row[1] for row in rule_rows if any(b[3] is not None for b in row[4])})
     graph = triples.select("s", "p", "o", "o_kind", "o_datatype").filter("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
 
-    typed, _ = staged(graph.filter((F.col("p") == TYPE) & (F.col("o_kind") == IRI)).select("s", F.col("o").alias("type")).distinct(), "types")
-    targets, _ = staged(typed.join(above, "type").select("s", "shape").distinct(), "targets")
-    said = graph.join(targets, "s").distinct()
-    held, _ = staged(said.join(ruled, ["shape", "p"], "left").join(shapes.select("shape", "closed", "ignored"), "shape"), "values")
-
-    known = held.filter(F.col("branches").isNotNull())
-    # the classes of what values refer to: at most those of the schema for each node
-    of_node = typed.join(spark.createDataFrame([(c[0],) for c in class_rows], "type string").distinct(), "type", "left_semi").groupBy(F.col("s").alias("o")).agg(F.collect_set("type").alias("types"))
-    refers = F.exists("branches", lambda b: b["classes"].isNotNull()) & (F.col("o_kind") != LITERAL)
-    referring = known.filter(refers).join(of_node, "o", "left")
-    plain = known.filter(~refers).withColumn("types", F.lit(None).cast("array<string>"))
-    judged = referring.unionByName(plain)
+    # what is known of each node: its classes of the schema, their shapes, and which of the required properties it has
+    told = graph.select("s", F.when((F.col("p") == TYPE) & (F.col("o_kind") == IRI), F.col("o")).alias("type"), F.when(F.col("p").isin(required), F.col("p")).alias("p"))
+    told = told.filter("type IS NOT NULL OR p IS NOT NULL").join(F.broadcast(classes), "type", "left")
+    typed = F.collect_set(F.when(F.col("shapes").isNotNull(), F.col("type")))
+    nodes = told.groupBy("s").agg(typed.alias("types"), F.array_distinct(F.flatten(F.collect_set("shapes"))).alias("shapes"), F.collect_set("p").alias("had"))
+    nodes, _ = staged(nodes.filter(F.size("types") > 0), "nodes")
+
+    # a type alone breaks nothing, as every shape ignores it, unless a rule is about it
+    judged = graph if any(row[1] == TYPE for row in rule_rows) else graph.filter(F.col("p") != TYPE)
+    refers = F.col("p").isin(pointing) & F.coalesce(F.col("o_kind") != LITERAL, F.lit(False))
+    referring = judged.filter(refers).join(nodes.select(F.col("s").alias("o"), "types"), "o", "left")
+    plain = judged.filter(~refers).withColumn("types", F.lit(None).cast("array<string>"))
+    each = referring.unionByName(plain).join(nodes.select("s", "shapes"), "s").withColumn("shape", F.explode("shapes"))
+    each = each.join(F.broadcast(ruled), ["shape", "p"], "left").join(F.broadcast(shapes.select("shape", "closed", "ignored")), "shape")
     o, kind, datatype, types = (F.col(c) for c in ("o", "o_kind", "o_datatype", "types"))
     one = _faults(F.col("branches")[0], o, kind, datatype, types)
 
@@ -112,17 +126,23 @@ def shape_violations(triples: DataFrame, catalog: Catalog, open_: bool = False,
             bad = bad | broken
         return bad
 
+    nothing = F.array().cast("array<string>")
     named = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in one]))
-    listed = F.when(F.col("choice"), F.when(F.forall("branches", none_fits), F.array(F.lit("or"))).otherwise(F.array().cast("array<string>"))).otherwise(named)
-    values = judged.select("s", "shape", F.col("p").alias("path"), F.explode(listed).alias("constraint"), F.col("o").alias("value"))
-    closed = held.filter(F.col("branches").isNull() & F.col("closed") & ~F.array_contains("ignored", F.col("p")))
-    extra = closed.select("s", "shape", F.col("p").alias("path"), F.lit("closed").alias("constraint"), F.col("o").alias("value"))
+    listed = F.when(F.col("choice"), F.when(F.forall("branches", none_fits), F.array(F.lit("or"))).otherwise(nothing)).otherwise(named)
+    extra = F.when(F.col("closed") & ~F.array_contains("ignored", F.col("p")), F.array(F.lit("closed"))).otherwise(nothing)
+    broken = F.when(F.col("branches").isNull(), extra).otherwise(listed)
+    values = each.select("s", "shape", F.col("p").alias("path"), F.explode(broken).alias("constraint"), F.col("o").alias("value"), "o_kind", "o_datatype").distinct().drop("o_kind", "o_datatype")
 
     no_value = F.lit(None).cast("string").alias("value")
-    many = known.filter("most_one").groupBy("s", "shape", "p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # values with unlike marks are two; those with one mark may be one that repeats, and are compared as they are
+    valued = graph.filter(F.col("p").isin(single))
+    several = valued.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"), F.min(_mark()).alias("low"), F.max(_mark()).alias("high"))
+    several, _ = staged(several.filter("n > 1"), "several")
+    many, alike = several.filter("low <> high").select("s", "p"), several.filter("low = high").select("s", "p")
+    if not alike.isEmpty():
+        many = many.unionByName(valued.join(alike, ["s", "p"], "left_semi").distinct().groupBy("s", "p").count().filter("count > 1").select("s", "p"))
+    many = many.join(nodes.select("s", "shapes"), "s").select("s", "p", F.explode("shapes").alias("shape")).join(F.broadcast(ruled.filter("most_one")), ["shape", "p"])
     many = many.select("s", "shape", F.col("p").alias("path"), F.lit("maxCount").alias("constraint"), no_value)
-    # a node has at most the schema's properties
-    had = targets.select("s", "shape", F.lit(None).cast("string").alias("p")).unionByName(known.select("s", "shape", "p"))
-    present = had.groupBy("s", "shape").agg(F.collect_set("p").alias("_had"))
-    missing = present.join(shapes.select("shape", "required"), "shape").select("s", "shape", F.explode(F.array_except("required", "_had")).alias("path"), F.lit("minCount").alias("constraint"), no_value)
-    return values.unionByName(extra).unionByName(many).unionByName(missing)
+    missing = nodes.select("s", "had", F.explode("shapes").alias("shape")).join(F.broadcast(shapes.select("shape", "required")), "shape")
+    missing = missing.select("s", "shape", F.explode(F.array_except("required", "had")).alias("path"), F.lit("minCount").alias("constraint"), no_value)
+    return values.unionByName(many).unionByName(missing)
