@@ -127,3 +127,11 @@ def test_only_nodes_are_kept_and_repeats_are_no_second_value(spark, monkeypatch,
     assert found.count((E + "n0", "maxCount")) == 0 and found.count((E + "n1", "maxCount")) == 1 and found.count((E + "n2", "class")) == 37
     # what is written on the way has a row a node, and one a property of several values
     assert sum(df.count() for df in kept) == 3 + 2
+
+
+def test_values_of_no_known_kind_are_judged_by_their_classes(spark):
+    rows = [(E + n, RDF + "type", E + "Person", "iri", None) for n in "ab"] + [(E + n, E + "name", "x", "literal", None) for n in "ab"]
+    rows += [(E + "a", E + "knows", E + o, None, None) for o in "bc"]
+    df = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string")
+    found = shapes.shape_violations(df, loaded(text=MODEL)).filter("constraint = 'class'").select("s", "value").collect()
+    assert [tuple(r) for r in found] == [(E + "a", E + "c")]

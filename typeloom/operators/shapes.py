@@ -112,7 +112,7 @@ def shape_violations(triples: DataFrame, catalog: Catalog, open_: bool = False,
 
     # a type alone breaks nothing, as every shape ignores it, unless a rule is about it
     judged = graph if any(row[1] == TYPE for row in rule_rows) else graph.filter(F.col("p") != TYPE)
-    refers = F.col("p").isin(pointing) & F.coalesce(F.col("o_kind") != LITERAL, F.lit(False))
+    refers = F.col("p").isin(pointing) & F.coalesce(F.col("o_kind") != LITERAL, F.lit(True))
     referring = judged.filter(refers).join(nodes.select(F.col("s").alias("o"), "types"), "o", "left")
     plain = judged.filter(~refers).withColumn("types", F.lit(None).cast("array<string>"))
     each = referring.unionByName(plain).join(nodes.select("s", "shapes"), "s").withColumn("shape", F.explode("shapes"))
