@@ -59,3 +59,24 @@ def test_only_blank_nodes_are_joined_to_their_names(spark):
     assert plan.count("Join LeftOuter") > 1
     for side in plan.split("Join LeftOuter")[1:]:
         assert "_kind" in side.split("Filter", 1)[1].splitlines()[0]
+
+
+def test_triples_of_lines_are_neither_sent_nor_written(spark, monkeypatch):
+    written, staged = [], own_queries.staged
+    monkeypatch.setattr(own_queries, "staged", lambda df, label: written.append(df.columns) or staged(df, label))
+    found = own_queries.QUERIES["inline_triples_each"](spark, SF)
+    assert written == [["ckey", "orders"]]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = [x.split("FileScan", 1)[0] for x in plan.split("Exchange")[1:]]
+    assert below and "SortMergeJoin" not in plan and not any("Generate" in x for x in below)
+
+
+def test_blank_nodes_of_a_large_customer_and_of_one_without_a_key(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT i AS o_orderkey, CASE WHEN i < 90 THEN 7 WHEN i < 95 THEN i END AS o_custkey FROM range(100) r(i)) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"COPY (SELECT i // 5 AS l_orderkey, (i % 5 + 1)::INTEGER AS l_linenumber, i AS l_partkey, (i % 50)::DOUBLE AS l_quantity, ['R', 'A', 'N'][i % 3 + 1] AS l_returnflag FROM range(480) r(i)) TO '{tmp_path}/lineitem.parquet'")
+    for name in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    df = own_queries.QUERIES["inline_triples_each"](spark, str(tmp_path))
+    sql = con.sql(ORACLES["inline_triples_each"])
+    assert rows(map(tuple, df.collect()), df.columns) == rows(sql.fetchall(), sql.columns)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import count
 
@@ -234,24 +234,35 @@ def to_frame(spark: SparkSession, triples: Iterable[Triple]) -> DataFrame:
 # -- over DataFrames
 
 
-def instances(df: DataFrame, catalog: Catalog, cls: str, subject: Column | None = None) -> DataFrame:
+def instances(df: DataFrame, catalog: Catalog, cls: str, subject: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of a class as triples, without a shuffle: a type, and each value of each slot.
 
     The subject is the identifier in the class's default namespace unless given; references become IRIs of
     their class's namespace, enumerations their meanings, CURIEs are expanded and implicit prefixes applied;
     nulls are left out. Inline objects, in lists and dictionaries too, are nodes of their own, to the end of
     the schema: named by their identifier, else blank, labelled by where they stand. What cannot be put as an
-    IRI (a value that is none of its enumeration) and values of any type are literals.
+    IRI (a value that is none of its enumeration) and values of any type are literals. Columns to ``keep`` go along
+    with the triples of their row.
     """
+    named, rows = _instance(df, catalog, cls, subject)
+    return named.select(*keep, F.explode(rows).alias("t")).select(*keep, "t.s", "t.s_kind", "t.p", "t.o", "t.o_kind", "t.o_datatype")
+
+
+def instance_rows(df: DataFrame, catalog: Catalog, cls: str, subject: Column | None = None) -> DataFrame:
+    """The rows with what ``instances`` makes of each as an array, ``triples``."""
+    named, rows = _instance(df, catalog, cls, subject)
+    return named.withColumn("triples", rows).drop("_subject")
+
+
+def _instance(df: DataFrame, catalog: Catalog, cls: str, subject: Column | None) -> tuple[DataFrame, Column]:
+    """The rows with their subjects, and the triples of each."""
     element = catalog.classes[cls]
     key = catalog.identifier(element)
     if subject is None:
         if key is None:
             raise ValueError(f"class {cls} has no identifier; give a subject")
         subject = F.concat(F.lit(instance_space(catalog, element)), F.col(catalog.alias(key)).cast("string"))
-    rows = _node(catalog, element, df.schema, lambda name: F.col(f"`{name}`"), F.col("_subject"), F.lit(IRI))
-    found = df.withColumn("_subject", subject).select(F.explode(rows).alias("t"))
-    return found.select("t.s", "t.s_kind", "t.p", "t.o", "t.o_kind", "t.o_datatype")
+    return df.withColumn("_subject", subject), _node(catalog, element, df.schema, lambda name: F.col(f"`{name}`"), F.col("_subject"), F.lit(IRI))
 
 
 def _row(s: Column, s_kind: Column, p: str, o: Column, kind: Column, datatype: str | None = None) -> Column:

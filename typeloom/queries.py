@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.functions import expressions, names
@@ -429,21 +429,45 @@ UNION ALL SELECT node, 'number', CAST(l_linenumber AS VARCHAR), 'literal', integ
 UNION ALL SELECT node, 'flag', CASE flag WHEN 'R' THEN 'https://example.org/item/returned' WHEN 'X' THEN 'X' ELSE 'https://example.org/n/' || flag END, CASE flag WHEN 'X' THEN 'literal' ELSE 'iri' END, NULL FROM l WHERE flag IS NOT NULL"""
 
 
+#: A task names the blank nodes of about so many lines: what it holds of them takes some 150 bytes each.
+_DEALT_LINES = 250_000
+
+
 @query(_LINE_TRIPLES)
 def inline_triples_each(spark, sf_dir):
     """Every triple of the nested objects, blank nodes named by their order and number."""
-    found, _ = staged(rdf.instances(_nested(spark, sf_dir), _nested_catalog(), "Cust"), "inline-triples")
-    of = lambda name: F.col("p") == f"https://example.org/n/{name}"
-    order = F.regexp_extract("s", "[^/]+$", 0)
-    held = found.filter(of("lines")).select(F.col("o").alias("label"), order.alias("okey"))
-    numbers = found.filter(of("number")).select(F.col("s").alias("label"), F.col("o").alias("number"))
-    names, _ = staged(held.join(numbers, "label").select("label", F.concat(F.lit("_:"), "okey", F.lit("|"), "number").alias("node")), "inline-names")
-    # only blank nodes meet their names; rows without one would all fall to one task
-    for end in ("s", "o"):
-        blank = F.col(f"{end}_kind") == "blank"
-        label = found.filter(blank).withColumnRenamed(end, "label").join(names, "label", "left").withColumn(end, F.coalesce("node", "label"))
-        found = found.filter(~blank).unionByName(label.select(found.columns))
-    return found.select("s", F.regexp_extract("p", "[^/#]+$", 0).alias("p"), "o", "o_kind", "o_datatype")
+    # objects are far smaller than their triples: they are written and dealt by customer, and their triples stay where they are
+    nested, _ = staged(_nested(spark, sf_dir), "nested")
+    n_lines = nested.agg(F.expr("sum(aggregate(orders, 0L, (n, o) -> n + greatest(size(o.lines), 0)))")).first()[0] or 0
+    dealt = nested.withColumn("key", F.coalesce(F.col("ckey").cast("string"), F.lit("")))
+    dealt = dealt.repartition(max(spark.sparkContext.defaultParallelism, n_lines // _DEALT_LINES), "key")
+
+    def cut(*fields: str) -> DataFrame:
+        """The customers with only some of what their lines say, or without lines."""
+        lines = lambda o: F.transform(o["lines"], lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("lines")
+        return dealt.withColumn("orders", F.transform("orders", lambda o: F.struct(o["okey"].alias("okey"), *([lines(o)] if fields else []))))
+
+    def spread(p: str, label: str, value: Callable[[Column], Column]) -> Column:
+        """The values that triples of a property give to labels, as maps of some 64 each, as a lookup goes through a map."""
+        said = F.transform(F.filter("triples", lambda t: t["p"] == f"https://example.org/n/{p}"), lambda t: F.struct(t[label].alias("label"), value(t).alias("value")))
+        held = lambda all_, i: F.filter(all_, lambda e: F.pmod(F.hash(e["label"]), F.floor(F.size(all_) / 64).cast("int") + 1) == i)
+        maps = lambda all_: F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / 64).cast("int")), lambda i: F.map_from_entries(F.array_distinct(held(all_, i))))
+        # as an element of an array, what is said is made once
+        return F.transform(F.array(said), maps)[0]
+
+    def name_of(label: str) -> Column:
+        orders, numbers = (F.try_element_at(F.get(c, F.pmod(F.hash(label), F.size(c))), F.col(label)) for c in ("orders", "numbers"))
+        return F.coalesce(F.concat(F.lit("_:"), orders, F.lit("|"), numbers), label)
+
+    said = rdf.instance_rows(cut("number"), _nested_catalog(), "Cust")
+    names = said.select("key", spread("lines", "o", lambda t: F.regexp_extract(t["s"], "[^/]+$", 0)).alias("orders"), spread("number", "s", lambda t: t["o"]).alias("numbers"))
+    # only blank nodes meet their names, those of their customer; tables are small, and each side is where the other is
+    of = lambda *fields: rdf.instances(cut(*fields), _nested_catalog(), "Cust", keep=["key"])
+    blank = lambda end: F.col(f"{end}_kind") == "blank"
+    named = lambda rows, *ends: rows.join(names.hint("shuffle_hash"), "key", "left").withColumns({e: F.when(blank(e), name_of(e)).otherwise(F.col(e)) for e in ends})
+    columns = ["s", F.regexp_extract("p", "[^/#]+$", 0).alias("p"), "o", "o_kind", "o_datatype"]
+    parts = [of().filter(~blank("s") & ~blank("o")), named(of("number", "quantity", "flag").filter(blank("s")), "s", "o"), named(of("number").filter(blank("o") & ~blank("s")), "o")]
+    return parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
 
 
 _TREE = """{"id": "https://example.org/tree", "name": "tree", "imports": ["linkml:types"], "default_range": "string",
